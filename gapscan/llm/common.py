@@ -70,3 +70,15 @@ def text_or_empty(col: str = "text"):
 def crc_mod(id_col: str, modulus: int):
     """crc32 of the id written as text, mod ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose ``(key, id)`` is in ``kept(__id, __key, __copies)``,
+    one of those that share both, with the columns of ``docs``."""
+    keyed = docs.withColumn("__row_key", key)
+    same = (F.col("__row_key") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    whole = keyed.join(kept.hint("shuffle_hash"), same, "inner")
+    once = whole.filter("__copies = 1")
+    if kept.filter("__copies > 1").head(1):  # rows repeated with id and text: one of them
+        once = once.unionByName(whole.filter("__copies > 1").dropDuplicates(["__row_key", "__id"]))
+    return once.select(*docs.columns)

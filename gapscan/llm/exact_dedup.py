@@ -173,13 +173,7 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept = common.staged(
         exact_groups(docs, id_col=id_col, text_col=text_col, **options)
         .filter(F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .select(F.col(id_col).alias("__id"), F.col("sha256").alias("__sha"), F.col("copies").alias("__copies")),
+        .select(F.col(id_col).alias("__id"), F.col("sha256").alias("__key"), F.col("copies").alias("__copies")),
         "kept",
     )
-    keyed = docs.withColumn("__key", F.unhex(F.sha2(normalised(text_col), 256)))
-    same = (F.col("__key") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    whole = keyed.join(kept.hint("shuffle_hash"), same, "inner")
-    once = whole.filter("__copies = 1")
-    if kept.filter("__copies > 1").head(1):  # rows repeated with id and text: one of them
-        once = once.unionByName(whole.filter("__copies > 1").dropDuplicates(["__key", "__id"]))
-    return once.select(*docs.columns)
+    return common.keep_rows(docs, kept, F.unhex(F.sha2(normalised(text_col), 256)), id_col)

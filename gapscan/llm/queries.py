@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 
 
@@ -19,9 +20,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(common.table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

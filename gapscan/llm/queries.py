@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .exact_dedup import exact_dedup
+from .language import identify_language
+from .multi_index import search
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
+from .quality import score_quality
+from .toxicity import score_toxicity
+
+
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +29,29 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(common.table(spark, sf_dir, "documents"), folds=3, held_fold=1)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(common.table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), folds=5, held_fold=0)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

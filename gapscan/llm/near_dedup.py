@@ -3,12 +3,12 @@
 1. One pass over the whole texts gives each document the band keys of its signature
    and a 128-bit fingerprint of its shingle set.  Equal sets collapse to one
    representative.
-2. In each band bucket every member is paired with the bucket's smallest member (one
-   pair a row).  Pairs are verified on the exact shingle sets, and verified pairs
-   make classes.
+2. In each band bucket every member is paired with the bucket's most central member
+   (the one that meets most others over all its bands), one pair a row.  Pairs are
+   verified on the exact shingle sets, and verified pairs make classes.
 3. Buckets that still hold several classes are finished exactly: members outside a
-   bucket's largest class are paired with every member of another class.  A large
-   group of near copies is one class by then, so it costs nothing here.
+   bucket's largest class are compared with every member of another class, block by
+   block.  Most of a large group of near copies is one class by then.
 
 A link is a pair of documents that share a band and whose Jaccard similarity is at
 least ``threshold``; classes are the connected components of links.
@@ -94,6 +94,58 @@ def _verify(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([columns["u"].filter(keep), columns["v"].filter(keep)], names=["u", "v"])
 
 
+def _verify_blocks(batches, threshold: float):
+    """Links between a block of a bucket's minority and a block of its members, one for
+    each document and class met."""
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        for row in range(batch.num_rows):
+            us, vs = batch.column("us")[row].values, batch.column("vs")[row].values
+            ids, labels = vs.field("uid").to_numpy(), vs.field("label").to_numpy()
+            hashes, weights, owner = _flat(vs)
+            total = np.bincount(owner, weights, len(ids))
+            own_hashes, own_weights, own = _flat(us)
+            cuts = np.searchsorted(own, np.arange(len(us) + 1))
+            for i, (uid, label) in enumerate(zip(us.field("uid").to_pylist(), us.field("label").to_pylist(), strict=True)):
+                a, aw = own_hashes[cuts[i] : cuts[i + 1]], own_weights[cuts[i] : cuts[i + 1]]
+                at = np.minimum(np.searchsorted(a, hashes), len(a) - 1)
+                hit = a[at] == hashes
+                both = np.bincount(owner[hit], np.minimum(aw[at[hit]], weights[hit]), len(ids))
+                near = np.flatnonzero((both >= threshold * (aw.sum() + total - both)) & (labels != label))
+                for j in near[np.unique(labels[near], return_index=True)[1]].tolist():
+                    out[0].append(uid)
+                    out[1].append(int(ids[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+
+
+def _flat(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, weights and owner of a list of sets, each set in the order of its hashes."""
+    lists, weights = block.field("s"), block.field("w")
+    owner = np.repeat(np.arange(len(block)), np.diff(lists.offsets.to_numpy()))
+    return lists.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy().astype(np.float64), owner
+
+
+def _unlike_neighbours(members: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links between members of one bucket that are still in different classes.  The
+    bucket's largest class needs no comparison within itself; what is left is compared
+    with every member, block by block, and only links leave a block."""
+    labelled = members.select("key", "uid").join(label.select(F.col("node").alias("uid"), "label").hint("merge"), "uid", "left")
+    labelled = common.staged(labelled.select("key", "uid", F.coalesce("label", "uid").alias("label")), "labelled")
+    kinds = labelled.groupBy("key", "label").count().groupBy("key").agg(
+        F.max_by("label", F.struct("count", "label")).alias("major"),
+        F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("m"), F.max("count").alias("most"),
+    )
+    open_ = common.staged(kinds.filter("kinds > 1").drop("kinds"), "open")
+    inside = common.staged(labelled.join(open_.hint("shuffle_hash"), "key"), "inside")
+    full = inside.join(sets.hint("shuffle_hash"), "uid")
+    packed = F.collect_list(F.struct("uid", "label", "s", "w"))
+    cut = lambda n: F.pmod(F.xxhash64("uid"), F.ceil(n / block))
+    few = full.filter("label <> major").groupBy("key", cut(F.col("m") - F.col("most")).alias("c")).agg(packed.alias("us"))
+    all_ = full.groupBy("key", cut(F.col("m")).alias("b")).agg(packed.alias("vs"))
+    met = common.staged(few, "few").join(common.staged(all_, "all").hint("shuffle_hash"), "key").select("us", "vs")
+    return met.mapInArrow(lambda it: _verify_blocks(it, threshold), "u long, v long").distinct()
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     *,
@@ -104,6 +156,7 @@ def near_duplicate_classes(
     bands: int = 27,
     rows: int = 5,
     weighting: str = "binary",
+    block: int = 64,
 ) -> DataFrame:
     """One row per document: id, ``class_id`` (the smallest id of its class),
     ``class_size``, ``kept`` (one document of each class) and ``text_hash``.
@@ -132,11 +185,15 @@ def near_duplicate_classes(
     reps = keyed.filter("words > 0").join(groups.select(F.col("rep").alias("uid")).hint("shuffle_hash"), "uid", "left_semi")
 
     rows_ = reps.select("uid", F.explode("bands").alias("key"))
-    leaders = rows_.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = common.staged(
-        rows_.join(leaders.select("key", "leader").hint("merge"), "key").select("key", "uid", "leader"), "members"
-    )
-    pairs = common.staged(members.filter("uid <> leader").select(F.col("uid").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
+    sizes = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.staged(rows_.join(sizes.hint("merge"), "key"), "members")
+    central = members.groupBy("uid").agg(F.sum("size").alias("score"))
+    leaders = (
+        members.join(central.hint("merge"), "uid")
+        .groupBy("key").agg(F.max_by("uid", F.struct("score", "uid")).alias("leader"))
+    )
+    met = members.select("key", "uid").join(leaders.hint("merge"), "key").filter("uid <> leader")
+    pairs = common.staged(met.select(F.col("uid").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
 
     wanted = members.select("uid").distinct()
     named = common.staged(
@@ -148,28 +205,12 @@ def near_duplicate_classes(
         texts.mapInArrow(lambda it: _sets(it, width, weighting), "uid long, s array<long>, w array<float>"), "sets"
     )
 
-    def verified(some: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("uid").alias("u"), F.col("s").alias("us"), F.col("w").alias("uw"))
-        right = sets.select(F.col("uid").alias("v"), F.col("s").alias("vs"), F.col("w").alias("vw"))
-        full = some.join(left.hint("shuffle_hash"), "u").join(right.hint("shuffle_hash"), "v")
-        return common.staged(full.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), name)
-
-    links = verified(pairs, "links")
+    left = sets.select(F.col("uid").alias("u"), F.col("s").alias("us"), F.col("w").alias("uw"))
+    right = sets.select(F.col("uid").alias("v"), F.col("s").alias("vs"), F.col("w").alias("vw"))
+    full = pairs.join(left.hint("shuffle_hash"), "u").join(right.hint("shuffle_hash"), "v")
+    links = common.staged(full.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), "links")
     label = connected_components(links)
-    labelled = common.staged(
-        members.select("key", "uid").join(label.select(F.col("node").alias("uid"), "label").hint("merge"), "uid", "left")
-        .select("key", "uid", F.coalesce("label", "uid").alias("label")),
-        "labelled",
-    )
-    counts = labelled.groupBy("key", "label").count()
-    open_ = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("kinds"))
-    open_ = common.staged(open_.filter("kinds > 1").select("key", "major"), "open")
-    inside = common.staged(labelled.join(open_.hint("shuffle_hash"), "key"), "inside")
-    minor = inside.filter("label <> major").select("key", F.col("uid").alias("u"), F.col("label").alias("ul"))
-    others = inside.select("key", F.col("uid").alias("v"), F.col("label").alias("vl"), F.col("label").eqNullSafe(F.col("major")).alias("main"))
-    cross = minor.join(others.hint("merge"), "key").filter("ul <> vl AND (main OR u < v)")
-    cross = common.staged(cross.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cross")
-    more = verified(cross.join(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).hint("merge"), ["u", "v"], "left_anti"), "links")
+    more = common.staged(_unlike_neighbours(members, label, sets, threshold, block), "links")
     if more.head(1):
         label = connected_components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 

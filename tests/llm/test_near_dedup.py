@@ -92,6 +92,19 @@ def test_chain_in_one_bucket(spark):
     compare(spark, rows, 3)
 
 
+def test_large_group_of_scattered_copies(spark):
+    """Copies of one text with many edits: few are near each other, all buckets are full."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(150)] = f"e{rng.random()}"
+        rows.append((i, " ".join(w)))
+    compare(spark, rows)
+
+
 def test_null_ids_repeats_and_clashing_columns(spark):
     text = "a b c d e f g h"
     rows = [(None, text, 1), (5, text, 2), (5, text, 3), (4, text + " ", 4), (9, None, 5), (None, "", 6)]

@@ -80,12 +80,12 @@ ADAPTERS: dict[str, str] = {
                MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 AS compile_failed
         FROM events GROUP BY user_id, day(ts)""",
     "target_events": f"""
-        SELECT 'run' || CAST(user_id % 50 AS STRING) AS run_id, 't' || CAST(user_id AS STRING) AS target_id, event_id AS seq, {SECONDS} AS at,
+        SELECT 'run' || CAST(user_id % 50 AS STRING) AS run_id, 't' || CAST(user_id AS STRING) AS target_id, event_id AS seq, {SECONDS} AS sec,
                CASE event_type WHEN 'signup' THEN 'GENERATED' WHEN 'view' THEN 'GENERATION_REQUESTED' WHEN 'click' THEN 'TEST_FAILED'
                     WHEN 'error' THEN 'COMPILE_FAILED' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'PASSED' ELSE 'REPAIR_REQUESTED' END ELSE 'PENDING' END AS status
         FROM events""",
     "clock_events": f"""
-        SELECT 'u' || CAST(user_id AS STRING) AS run_id, event_id AS seq, {SECONDS} AS at,
+        SELECT 'u' || CAST(user_id AS STRING) AS run_id, event_id AS seq, {SECONDS} AS sec,
                CASE event_type WHEN 'signup' THEN 'tick' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'error' THEN 'cycle' ELSE 'tick' END AS kind
         FROM events""",
     "requests": "SELECT 'b' || CAST(c_custkey % 200 AS STRING) AS batch_id, 't' || CAST(c_custkey AS STRING) AS target_id, c_custkey AS pos FROM customer",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .adapters import Tables, with_adapters
 
-MODULES = ("planning_queries", "run_queries")
+MODULES = ("planning_queries", "run_queries", "gate_queries")
 
 
 class Catalog:

@@ -159,3 +159,16 @@ def with_adapters(sql: str) -> str:
     if ctes and body.upper().startswith("WITH "):
         return f"WITH {recursive}{', '.join(ctes)}, {body[5:]}"
     return f"WITH {recursive}{', '.join(ctes)} {body}" if ctes else sql
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that executors share (local sessions: a temporary one)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-gapscan-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .adapters import Tables, with_adapters
 
-MODULES = ("planning_queries", "run_queries", "gate_queries", "symbol_queries", "corpus_queries")
+MODULES = ("planning_queries", "run_queries", "gate_queries", "symbol_queries", "corpus_queries", "stream_queries")
 
 
 class Catalog:

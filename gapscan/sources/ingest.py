@@ -152,9 +152,10 @@ def read_build_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """S-11: one document a file; unreadable ones come second, as quarantine."""
+    """S-11: one document a file; unreadable ones come second, as quarantine
+    (all columns: Spark does not read the corrupt record alone)."""
     rows = spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE").withColumn("file", F.col("_metadata.file_path"))
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL").select("file", "_corrupt_record")
+    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL")
 
 
 #: Rule action to error code (fixed values)

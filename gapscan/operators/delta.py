@@ -42,8 +42,8 @@ def sut_report(tests: DataFrame, delta: DataFrame) -> DataFrame:
         F.sum("errors").alias("errors"), F.sum("repairs").alias("repairs"),
     )
     status = (
-        F.when(F.col("skip") == F.col("total"), "SKIP").when(F.col("pass") == F.col("total"), "PASS")
-        .when(F.col("pass") > 0, "PARTIAL").otherwise("FAIL")
+        F.when(F.col("pass") == F.col("total"), "PASS").when((F.col("pass") > 0) & (F.col("fail") > 0), "PARTIAL").when(F.col("fail") > 0, "FAIL")
+        .when(F.col("skip") == F.col("total"), "SKIP").otherwise("PARTIAL")
     )
     side = delta.groupBy(F.col("fqcn").alias("sut")).agg(*[F.sum(f"{c}_delta").alias(f"{c}_delta") for c in COUNTERS])
     return counted.withColumn("status", status).join(side, "sut", "left").select(
@@ -62,18 +62,23 @@ def cycle_summary(report: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(report: DataFrame, most: int = DEFAULT.recommendations) -> DataFrame:
-    """A-9: five rules in a fixed priority, class order within a rule, the first few."""
+def recommendations(report: DataFrame, fixtures: DataFrame, totals: DataFrame, most: int = DEFAULT.recommendations) -> DataFrame:
+    """A-9: five rules in a fixed priority, class order within a rule, the first few.
+    Per class: coverage fell, no fixtures, many repairs and still failing; overall:
+    coverage did not move, every class is skipped.  ``fixtures``: fqcn; ``totals``: A-1."""
+    some = fixtures.select(F.col("fqcn").alias("sut"), F.lit(True).alias("__fixture")).distinct()
     rules = [
-        ("fix-failures", F.col("status") == "FAIL"),
-        ("finish-partial", F.col("status") == "PARTIAL"),
-        ("stop-regression", F.coalesce("lines_delta", F.lit(0.0)) < 0),
-        ("cut-repairs", F.col("repairs") > F.col("total")),
-        ("unblock-skipped", F.col("status") == "SKIP"),
+        ("regression", F.coalesce("lines_delta", F.lit(0.0)) < 0),
+        ("no-fixtures", F.col("__fixture").isNull()),
+        ("too-many-repairs", (F.col("repairs") >= 3) & (F.col("fail") > 0)),
     ]
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("priority"), F.lit(n).alias("rule"))) for i, (n, c) in enumerate(rules)]))
-    rows = report.select("sut", F.explode(hits).alias("x")).select("x.priority", "x.rule", "sut")
-    return rows.orderBy("priority", "sut").limit(most)
+    rows = report.join(some, "sut", "left").select("sut", F.explode(hits).alias("x")).select("x.priority", "x.rule", "sut")
+    flat = totals.agg(F.sum("lines_delta").alias("l"), F.sum("branches_delta").alias("b")).filter("l = 0 AND b = 0")
+    skipped = report.agg(F.bool_and(F.col("status") == "SKIP").alias("s")).filter("s")
+    overall = lambda df, i, n: df.select(F.lit(i).alias("priority"), F.lit(n).alias("rule"), F.lit("").alias("sut"))
+    all_ = rows.unionByName(overall(flat, 3, "no-improvement")).unionByName(overall(skipped, 4, "all-skipped"))
+    return all_.orderBy("priority", "sut").limit(most)
 
 
 def class_breakdown(classification: DataFrame) -> DataFrame:

@@ -51,8 +51,22 @@ def impact(seeds: DataFrame, reversed_edges: DataFrame, config: Config = DEFAULT
 
 
 #: Suffixes of types that are mocked, and hints of external clients (fixed values)
-MOCKABLE_SUFFIXES = ("Service", "Repository", "Client", "Gateway", "Mapper", "Dao", "DAO", "Repo", "Provider", "Handler", "Manager", "Adapter", "Port", "Facade", "Factory")
-CLIENT_HINTS = ("Client", "Rest", "Http", "Feign", "Kafka", "Rabbit", "Jms", "Soap", "Grpc", "Api", "Gateway", "Template")
+MOCKABLE_SUFFIXES = (
+    "service", "repository", "dao", "port", "client", "gateway",
+    "adapter", "factory", "provider", "handler", "manager",
+    "processor", "consumer", "producer", "reader", "writer",
+    "store", "cache", "notifier", "publisher", "sender",
+)
+CLIENT_HINTS = (
+    "resttemplate", "webclient", "httpclient", "restclient", "asyncresttemplate",
+    "kafkatemplate", "kafkaconsumer", "kafkaproducer",
+    "rabbitmqtemplate", "amqptemplate", "jmstemplate",
+    "redistemplate", "stringredistemplate", "reactiveredistemplate",
+    "s3client", "sqsclient", "snsclient", "dynamodbclient",
+    "feignclient", "openfeign",
+    "smtpmailer", "javamailer", "mailsender",
+    "elasticsearchclient", "restclientbuilder",
+)
 SLICES = {"RestController": "web", "Controller": "web", "Repository": "data", "Configuration": "context"}
 
 
@@ -66,17 +80,17 @@ def build_dependencies(members: DataFrame, params: DataFrame, classes: DataFrame
     simple = S.simple_name(F.col("type"))
     mockable = (
         F.when(~F.col("type").contains(".") | F.col("type").rlike(r"^java\.(lang|util)\."), False).when(F.col("kind").isNotNull(), (F.col("kind") == "interface") | F.col("is_abstract"))
-        .otherwise(simple.rlike(f"({'|'.join(MOCKABLE_SUFFIXES)})$"))
+        .otherwise(F.lower(simple).rlike(f"({'|'.join(MOCKABLE_SUFFIXES)})$"))
     )
     rows = best.join(params, "evidence_id").join(kinds, "type", "left").join(slices, "sut", "left")
-    return rows.select("sut", "pos", "type", S.camel(F.col("type")).alias("name"), mockable.alias("mockable"), simple.rlike("|".join(CLIENT_HINTS)).alias("external_client"), F.coalesce("slice", F.lit("unit")).alias("slice"))
+    return rows.select("sut", "pos", "type", S.camel(F.col("type")).alias("name"), mockable.alias("mockable"), F.lower(simple).rlike("|".join(CLIENT_HINTS)).alias("external_client"), F.coalesce("slice", F.lit("unit")).alias("slice"))
 
 
 def dependency_index(deps: DataFrame) -> DataFrame:
     """G-4: what each class injects, and which of it are repositories or clients."""
     simple = S.simple_name(F.col("type"))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("type")))), ",")
-    repository, client = simple.rlike("Repository|Repo|Dao|DAO"), simple.rlike("|".join(CLIENT_HINTS))
+    repository, client = simple.rlike("Repository|Repo|Dao|DAO"), F.lower(simple).rlike("|".join(CLIENT_HINTS))
     return deps.groupBy("sut").agg(listed(F.lit(True)).alias("injects"), listed(~repository & ~client).alias("uses"), listed(repository).alias("repositories"), listed(client).alias("clients"))
 
 

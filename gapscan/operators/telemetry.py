@@ -84,9 +84,9 @@ def distribute(shares: DataFrame, group: list[str], order: list[str], total: str
 
 #: Target state to bucket (fixed values)
 BUCKETS = {
-    "PENDING": "pending", "GENERATION_REQUESTED": "pending", "GENERATED": "generated", "APPLIED": "generated", "REPAIRED": "generated",
+    "PENDING": "pending", "GENERATION_REQUESTED": "pending", "GENERATED": "generated", "APPLIED": "generated", "REPAIR_REQUESTED": "generated", "REPAIRED": "generated",
     "SKIPPED": "skipped", "PASSED": "passed", "ABANDONED": "abandoned",
-    "GENERATION_FAILED": "failed", "PATCH_FAILED": "failed", "COMPILE_FAILED": "failed", "TEST_FAILED": "failed", "REPAIR_REQUESTED": "failed",
+    "GENERATION_FAILED": "failed", "PATCH_FAILED": "failed", "COMPILE_FAILED": "failed", "TEST_FAILED": "failed",
 }
 TERMINAL = ("PASSED", "SKIPPED", "ABANDONED")
 BUCKET_NAMES = ("pending", "generated", "passed", "failed", "skipped", "abandoned")
@@ -160,7 +160,11 @@ def token_budget_totals(budgeted: DataFrame, group: str) -> DataFrame:
 
 
 #: Directories that are no workspace (fixed values)
-EXCLUDED_DIRS = (".git", "target", "build", "node_modules", ".idea", ".gradle", ".vscode", "dist", "out", "bin", "__pycache__", ".venv", "venv", ".mvn")
+EXCLUDED_DIRS = (
+    ".git", "node_modules", "target", "build", "dist", "out",
+    ".idea", ".gradle", ".mvn", "__pycache__", ".pytest_cache",
+    ".venv", "venv", ".claude",
+)
 
 
 def workspace_size(files: DataFrame, group: str = "repo") -> DataFrame:
@@ -188,18 +192,22 @@ def cost_efficiency(sizes: DataFrame, ledger: DataFrame, config: Config = DEFAUL
 
 
 def batch_decision(outcomes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A-24: advance, repair or stop each batch.  ``outcomes``: batch_id, status (passed,
+    """A-24: continue, repair first or stop each batch, and why.  ``outcomes``: batch_id, status (passed,
     failed, needs_context), global_error."""
     counted = outcomes.groupBy("batch_id").agg(
         F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") != "needs_context").alias("effective"),
         F.coalesce(F.bool_or("global_error"), F.lit(False)).alias("global_error"),
     )
-    rate = F.coalesce(F.try_divide(F.col("passed").cast("double"), F.col("effective").cast("double")), F.lit(0.0))
-    choice = (
-        F.when(F.col("global_error"), "STOP_GLOBAL_COMPILE_ERROR").when(F.col("effective") == 0, "ADVANCE_ALL_NEED_CONTEXT").when(F.col("rate") >= 1.0, "ADVANCE")
-        .when(F.col("rate") >= config.advance_high, "ADVANCE_WITH_FAILURES").when(F.col("rate") >= config.advance_low, "REPAIR_THEN_ADVANCE").otherwise("STOP")
-    )
-    return counted.withColumn("rate", F.bround(rate, 6)).withColumn("decision", choice)
+    rate = F.coalesce(F.try_divide(F.col("passed").cast("double"), F.col("effective").cast("double")), F.lit(1.0))
+    repair, go = "REPAIR_THEN_CONTINUE", "CONTINUE"
+    steps = [
+        (F.col("global_error"), repair, "GLOBAL_COMPILE_ERROR"), (F.col("effective") == 0, go, "ALL_NEED_MORE_CONTEXT"), (F.col("passed") == F.col("effective"), go, "ALL_PASSED"),
+        (rate >= config.advance_high, repair, "REPAIR_FAILURES"), (rate >= config.advance_low, repair, "REPAIR_FIRST"),
+    ]
+    action, reason = F.lit("STOP"), F.lit("TOO_MANY_FAILURES")
+    for condition, what, why in reversed(steps):
+        action, reason = F.when(condition, what).otherwise(action), F.when(condition, why).otherwise(reason)
+    return counted.select("*", F.bround(rate, 6).alias("rate"), action.alias("decision"), reason.alias("reason"))
 
 
 def pack_self_assessment(responses: DataFrame, col: str) -> DataFrame:
@@ -213,7 +221,7 @@ def stall_streak(cycles: DataFrame, config: Config = DEFAULT) -> DataFrame:
     without a measure neither counts nor resets."""
     order = Window.partitionBy("run_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
     measured = F.col("lines_delta").isNotNull() & F.col("branches_delta").isNotNull()
-    flat = measured & (F.col("lines_delta") <= 0) & (F.col("branches_delta") <= 0)
+    flat = measured & (F.col("lines_delta") == 0) & (F.col("branches_delta") == 0)
     rows = cycles.withColumn("__flat", flat.cast("long")).withColumn("__island", F.sum((measured & ~flat).cast("long")).over(order))
     island = Window.partitionBy("run_id", "__island").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
     streak = F.coalesce(F.sum("__flat").over(island), F.lit(0)).cast("long")

@@ -115,12 +115,14 @@ _PROFILE = """profile AS (SELECT 'a' || CAST(p_partkey AS STRING) AS module, CAS
     CASE WHEN p_size % 4 = 0 THEN '5.9.1' ELSE '4.13' END AS test_version, CASE WHEN p_size % 5 = 0 THEN '5.2.0' ELSE 'unknown' END AS mock_version FROM part)"""
 add("a28_module_profile", _profile, f"WITH {_PROFILE} SELECT * FROM profile")
 add("a26_unresolved_versions", lambda t: C.unresolved_versions(_profile(t)), f"WITH {_PROFILE} SELECT module, 'mock_version' AS missing FROM profile WHERE mock_version = 'unknown'")
+_PARENTS = {"spring-boot-starter-parent": "java-21"}
 add(
-    "a32_archetype", lambda t: C.archetype(_poms(t)),
-    "SELECT 'a' || CAST(p_partkey AS STRING) AS module, CASE WHEN p_size % 3 = 0 THEN 'spring-boot' ELSE 'unknown' END AS archetype, p_size % 3 = 0 AS inherited FROM part",
+    "a32_archetype", lambda t: C.archetype(_poms(t), _PARENTS),
+    """SELECT 'a' || CAST(p_partkey AS STRING) AS module, CASE WHEN p_size % 3 = 0 THEN 'java-21' ELSE 'unknown' END AS archetype, CASE WHEN p_size % 3 = 0 THEN '21' END AS java, CASE WHEN p_size % 3 = 0 THEN '3.x' END AS framework,
+              CASE WHEN p_size % 3 = 0 THEN 'jakarta' ELSE 'none' END AS namespace, CASE WHEN p_size % 3 = 0 THEN 'inherited' ELSE 'absent' END AS coverage_plugin, p_size % 3 = 0 AS inherited FROM part""",
 )
 add(
-    "j20_pom_decision", lambda t: (lambda p: C.pom_decision(p, C.archetype(p)))(_poms(t)),
+    "j20_pom_decision", lambda t: (lambda p: C.pom_decision(p, C.archetype(p, _PARENTS)))(_poms(t)),
     "SELECT 'a' || CAST(p_partkey AS STRING) AS module, CASE WHEN p_size % 7 = 0 THEN 'none' WHEN p_size % 3 = 0 THEN 'forbidden' ELSE 'add' END AS decision FROM part",
 )
 add(
@@ -255,7 +257,7 @@ def _findings(t):
 
 _FIND = f"""k AS (SELECT repo, path, content, {_KIND} AS kind FROM source_files),
     f AS (SELECT repo, 'CRITICAL' AS severity, 'security' AS category, 'possible hard-coded secret' AS title, path AS evidence, path AS raw, 0.70::DOUBLE AS confidence FROM k
-          WHERE regexp_matches(content, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]\\s*[''"]?[A-Za-z0-9_\\-]{{8,}}')
+          WHERE kind = 'config' AND regexp_matches(content, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]\\s*[''"]?[A-Za-z0-9_\\-]{{8,}}')
           UNION ALL SELECT repo, 'LOW', 'observability', 'prints to the console', path, path, 0.95 FROM k WHERE starts_with(kind, 'java') AND contains(content, 'System.out.println')
           UNION ALL SELECT repo, 'HIGH', 'layering', 'controller uses repository', path, path, 0.90 FROM k WHERE kind = 'java-controller' AND regexp_matches(content, '\\.repository\\.|\\b[A-Za-z0-9_]+Repository\\b')
           UNION ALL SELECT repo, 'INFO', 'observability', 'no management endpoints', array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), ','), array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), '|'), 0.55

@@ -149,7 +149,7 @@ _REPORT = """
         SELECT sut, count(*) AS total, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'SKIP') AS skip,
                CAST(SUM(errors) AS BIGINT) AS errors, CAST(SUM(repairs) AS BIGINT) AS repairs FROM test_cases GROUP BY sut
     ), report AS (
-        SELECT c.*, CASE WHEN skip = total THEN 'SKIP' WHEN pass = total THEN 'PASS' WHEN pass > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status,
+        SELECT c.*, CASE WHEN pass = total THEN 'PASS' WHEN pass > 0 AND fail > 0 THEN 'PARTIAL' WHEN fail > 0 THEN 'FAIL' WHEN skip = total THEN 'SKIP' ELSE 'PARTIAL' END AS status,
                CAST(d.l AS DOUBLE) AS lines_delta, CAST(d.b AS DOUBLE) AS branches_delta
         FROM counted c LEFT JOIN (SELECT fqcn AS sut, SUM(lines_delta) AS l, SUM(branches_delta) AS b FROM delta GROUP BY 1) d USING (sut)
     )"""
@@ -182,11 +182,11 @@ add(
         coalesce(SUM(lines_delta), 0) > 0 AS improved, coalesce(bool_and(coalesce(lines_delta, 0) >= 0), TRUE) AS no_regression, coalesce(SUM(errors), 0) = 0 AS compile_clean FROM report""",
 )
 add(
-    "a09_recommendations", lambda t: D.recommendations(_report(t)),
+    "a09_recommendations", lambda t: D.recommendations(_report(t), t("fixtures"), D.coverage_totals(_delta(t))),
     f"""WITH {_DELTA}, {_REPORT}, hits AS (
-        SELECT 0 AS priority, 'fix-failures' AS rule, sut FROM report WHERE status = 'FAIL' UNION ALL SELECT 1, 'finish-partial', sut FROM report WHERE status = 'PARTIAL'
-        UNION ALL SELECT 2, 'stop-regression', sut FROM report WHERE coalesce(lines_delta, 0) < 0 UNION ALL SELECT 3, 'cut-repairs', sut FROM report WHERE repairs > total
-        UNION ALL SELECT 4, 'unblock-skipped', sut FROM report WHERE status = 'SKIP')
+        SELECT 0 AS priority, 'regression' AS rule, sut FROM report WHERE coalesce(lines_delta, 0) < 0 UNION ALL SELECT 1, 'no-fixtures', sut FROM report WHERE sut NOT IN (SELECT fqcn FROM fixtures)
+        UNION ALL SELECT 2, 'too-many-repairs', sut FROM report WHERE repairs >= 3 AND fail > 0 UNION ALL SELECT 3, 'no-improvement', '' FROM (SELECT SUM(lines_delta) AS l, SUM(branches_delta) AS b FROM delta) WHERE l = 0 AND b = 0
+        UNION ALL SELECT 4, 'all-skipped', '' FROM (SELECT bool_and(status = 'SKIP') AS s FROM report) WHERE s)
         SELECT * FROM hits ORDER BY priority, sut LIMIT 5""",
 )
 add("a10_class_breakdown", lambda t: D.class_breakdown(t("classification")), "SELECT type, count(*) AS classes FROM classification GROUP BY type")

@@ -68,8 +68,8 @@ _STATES = """
 add("t01_current_states", lambda t: T.current_states(t("target_events")), f"WITH {_STATES} SELECT * FROM states")
 add(
     "a06_manifest_totals", lambda t: T.manifest_totals(T.current_states(t("target_events"))),
-    f"""WITH {_STATES}, b AS (SELECT run_id, CASE WHEN status IN ('GENERATED', 'APPLIED', 'REPAIRED') THEN 'generated' WHEN status = 'SKIPPED' THEN 'skipped' WHEN status = 'PASSED' THEN 'passed'
-        WHEN status = 'ABANDONED' THEN 'abandoned' WHEN status IN ('GENERATION_FAILED', 'PATCH_FAILED', 'COMPILE_FAILED', 'TEST_FAILED', 'REPAIR_REQUESTED') THEN 'failed' ELSE 'pending' END AS b FROM states)
+    f"""WITH {_STATES}, b AS (SELECT run_id, CASE WHEN status IN ('GENERATED', 'APPLIED', 'REPAIR_REQUESTED', 'REPAIRED') THEN 'generated' WHEN status = 'SKIPPED' THEN 'skipped' WHEN status = 'PASSED' THEN 'passed'
+        WHEN status = 'ABANDONED' THEN 'abandoned' WHEN status IN ('GENERATION_FAILED', 'PATCH_FAILED', 'COMPILE_FAILED', 'TEST_FAILED') THEN 'failed' ELSE 'pending' END AS b FROM states)
         SELECT run_id, {", ".join(f"count(*) FILTER (b = '{n}') AS {n}" for n in T.BUCKET_NAMES)} FROM b GROUP BY run_id""",
 )
 add(
@@ -140,16 +140,17 @@ add(
         )
     ),
     """WITH o AS (SELECT batch_id, count(*) FILTER (status = 'generated') AS passed, count(*) FILTER (status <> 'NEED_MORE_CONTEXT') AS effective, bool_or(pos % 997 = 0) AS global_error FROM responses GROUP BY 1),
-       r AS (SELECT *, CASE WHEN effective = 0 THEN 0.0::DOUBLE ELSE CAST(passed AS DOUBLE) / CAST(effective AS DOUBLE) END AS x FROM o)
-       SELECT batch_id, passed, effective, global_error, round_even(x, 6) AS rate, CASE WHEN global_error THEN 'STOP_GLOBAL_COMPILE_ERROR' WHEN effective = 0 THEN 'ADVANCE_ALL_NEED_CONTEXT' WHEN x >= 1 THEN 'ADVANCE'
-              WHEN x >= 0.8 THEN 'ADVANCE_WITH_FAILURES' WHEN x >= 0.5 THEN 'REPAIR_THEN_ADVANCE' ELSE 'STOP' END AS decision FROM r""",
+       r AS (SELECT *, CASE WHEN effective = 0 THEN 1.0::DOUBLE ELSE CAST(passed AS DOUBLE) / CAST(effective AS DOUBLE) END AS x FROM o)
+       SELECT batch_id, passed, effective, global_error, round_even(x, 6) AS rate, CASE WHEN global_error THEN 'REPAIR_THEN_CONTINUE' WHEN passed = effective THEN 'CONTINUE' WHEN x >= 0.5 THEN 'REPAIR_THEN_CONTINUE' ELSE 'STOP' END AS decision,
+              CASE WHEN global_error THEN 'GLOBAL_COMPILE_ERROR' WHEN effective = 0 THEN 'ALL_NEED_MORE_CONTEXT' WHEN passed = effective THEN 'ALL_PASSED' WHEN x >= 0.8 THEN 'REPAIR_FAILURES'
+                   WHEN x >= 0.5 THEN 'REPAIR_FIRST' ELSE 'TOO_MANY_FAILURES' END AS reason FROM r""",
 )
 add(
     "a29_pack_self_assessment", lambda t: T.pack_self_assessment(t("part").select(F.when(F.col("p_size") % 7 > 0, F.concat(F.lit(" size"), F.col("p_size") % 7)).otherwise(" ").alias("s")), "s"),
     "SELECT CASE WHEN p_size % 7 > 0 THEN 'SIZE' || CAST(p_size % 7 AS STRING) ELSE 'UNKNOWN' END AS bucket, count(*) AS n FROM part GROUP BY 1",
 )
 _STALL = """
-    m AS (SELECT *, lines_delta IS NOT NULL AND branches_delta IS NOT NULL AS me, coalesce(lines_delta <= 0 AND branches_delta <= 0, FALSE) AS fl FROM cycle_events),
+    m AS (SELECT *, lines_delta IS NOT NULL AND branches_delta IS NOT NULL AS me, coalesce(lines_delta = 0 AND branches_delta = 0, FALSE) AS fl FROM cycle_events),
     i AS (SELECT *, SUM(CASE WHEN me AND NOT fl THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY cycle) AS isl FROM m),
     stall AS (SELECT run_id, cycle, lines_delta, branches_delta, compile_failed,
         CAST(SUM(CASE WHEN fl AND me THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, isl ORDER BY cycle) AS BIGINT) AS stall_streak FROM i),

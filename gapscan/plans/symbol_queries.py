@@ -57,7 +57,7 @@ add(
     "c02_fixture_values",
     lambda t: Y.fixture_values(t("members").select("fqcn", "pos", F.concat(F.lit(""), F.element_at(F.array(*[F.lit(x) for x in ("int", "String", "java.util.List<String>", "int[]", "a.B")]), (F.col("n_params") + 1).cast("int"))).alias("type")))
     .select("fqcn", F.map_keys("values").getItem(0).alias("first"), F.element_at("values", "arg5").alias("last")),
-    """SELECT fqcn, 'arg0' AS first, CASE n_params WHEN 0 THEN '0' WHEN 1 THEN '"test"' WHEN 2 THEN 'java.util.List.of()' WHEN 3 THEN 'new int[0]' ELSE 'null' END AS last FROM members WHERE pos = 5""",
+    """SELECT fqcn, 'arg0' AS first, CASE n_params WHEN 0 THEN '0' WHEN 1 THEN '""' WHEN 2 THEN 'Collections.emptyList()' WHEN 3 THEN 'new int[0]' ELSE 'null' END AS last FROM members WHERE pos = 5""",
 )
 add(
     "w10_dictionary_encode", lambda t: Y.dictionary_encode(t("members"), "fqcn", "visibility", "pos"),
@@ -111,7 +111,7 @@ add(
     lambda t: R.build_dependencies(t("members"), t("dependencies").join(t("members").filter("kind = 'constructor'").select(F.col("fqcn").alias("sut"), "evidence_id"), "sut").select("evidence_id", "pos", "type"), t("classes")),
     f"""WITH {_BEST}, p AS (SELECT b.fqcn AS sut, d.pos, d.type FROM best b JOIN dependencies d ON d.sut = b.fqcn)
         SELECT p.sut, p.pos, p.type, lower(substr(regexp_extract(p.type, '([^.]*)$', 1), 1, 1)) || substr(regexp_extract(p.type, '([^.]*)$', 1), 2) AS name,
-               CASE WHEN k.fqcn IS NOT NULL THEN k.kind = 'interface' OR k.is_abstract ELSE regexp_matches(p.type, '(Service|Repository|Mapper)$') END AS mockable, FALSE AS external_client,
+               CASE WHEN k.fqcn IS NOT NULL THEN k.kind = 'interface' OR k.is_abstract ELSE regexp_matches(p.type, '(Service|Repository)$') END AS mockable, FALSE AS external_client,
                CASE c.annotation WHEN 'RestController' THEN 'web' WHEN 'Repository' THEN 'data' WHEN 'Configuration' THEN 'context' ELSE 'unit' END AS slice
         FROM p LEFT JOIN classes k ON k.fqcn = p.type LEFT JOIN classes c ON c.fqcn = p.sut""",
 )
@@ -215,7 +215,7 @@ add(
 add(
     "p15_default_literal",
     lambda t: t("part").select("p_partkey", S.default_literal(F.element_at(F.array(*[F.lit(x) for x in ("int", "java.util.List<a.B>", "String[]", "odd.T")]), (F.col("p_size") % 4 + 1).cast("int"))).alias("literal")),
-    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN 'java.util.List.of()' WHEN 2 THEN 'new String[0]' ELSE 'null' END AS literal FROM part",
+    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN 'Collections.emptyList()' WHEN 2 THEN 'new String[0]' ELSE 'null' END AS literal FROM part",
 )
 add(
     "p16_exception_code",

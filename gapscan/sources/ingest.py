@@ -159,7 +159,24 @@ def read_state_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
 
 
 #: Rule action to error code (fixed values)
-ACTION_CODES = {"addImport": "E_IMPORT_UNRESOLVED", "replaceImport": "E_IMPORT_UNRESOLVED", "replaceMethod": "E_METHOD_UNRESOLVED", "useBuilder": "E_CONSTRUCTOR_UNRESOLVED"}
+ACTION_CODES = {
+    "addImport": "MISSING_IMPORT",
+    "removeImport": "UNRESOLVABLE_IMPORT",
+    "resolveUniqueImportFromWhitelist": "UNRESOLVED_TYPE",
+    "removeUsageAndEscalate": "NON_PUBLIC_TYPE",
+    "addAnnotation": "MISSING_ANNOTATION",
+    "wrapWith": "MOCKITO_STRICT_STUBBING",
+    "removeStub": "MOCKITO_UNNECESSARY_STUBBING",
+    "useMockMaker": "MOCKITO_FINAL_CLASS",
+    "normalizeMatchers": "MOCKITO_MATCHER_MISUSE",
+    "replaceCall": "REPLACE_CALL",
+    "addMockBean": "SPRING_MISSING_MOCKBEAN",
+    "useBuilder": "BUILDER_REQUIRED",
+    "insertAaaComments": "TQG_02_NO_AAA",
+    "removeUnusedStub": "TQG_06_UNUSED_STUB",
+    "convertMockSutToInjectMocks": "TQG_12_OVER_MOCK_SUT",
+    "escalateToLLM": "ESCALATED",
+}
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

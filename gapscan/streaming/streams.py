@@ -94,7 +94,7 @@ class Stall(_Fold):
         for r in _ordered(rows, ["cycle"]).itertuples():
             measured = not (pd.isna(r.lines_delta) or pd.isna(r.branches_delta))
             if measured:
-                streak = streak + 1 if r.lines_delta <= 0 and r.branches_delta <= 0 else 0
+                streak = streak + 1 if r.lines_delta == 0 and r.branches_delta == 0 else 0
             window = (window + ("1" if r.compile_failed else "0"))[-self.config.fail_window :]
             rate = window.count("1") / len(window)
             stalled = streak >= self.config.stall_cycles

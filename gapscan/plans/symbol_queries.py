@@ -231,3 +231,12 @@ add(
     lambda t: t("part").select("p_partkey", F.array_join(S.normalize_params(F.when(F.col("p_size") % 3 == 0, '["String","int"]').when(F.col("p_size") % 3 == 1, '[{"type":"a.B","name":"x"},{"nme":1}]').otherwise(F.lit(None).cast("string"))), ",").alias("types")),
     "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'String,int' WHEN 1 THEN 'a.B,java.lang.Object' ELSE '' END AS types FROM part",
 )
+add(
+    "p16_suggested_rule", lambda t: t("failure_memory").select("event_id", S.suggested_rule(F.element_at(F.array(*[F.lit(x) for x in ("E_NPE", "E_MOCK_STUB", "E_ODD", "E_SPRING_BEAN")]), (F.col("event_id") % 4 + 1).cast("int")),
+                                                                                     F.when(F.col("event_id") % 8 == 2, "package a does not exist").otherwise("x")).alias("rule")),
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'mockito.rules#NULL_RETURN' WHEN 1 THEN 'mockito.rules' WHEN 3 THEN 'spring.rules' ELSE CASE WHEN event_id % 8 = 2 THEN 'imports.rules' END END AS rule FROM failure_memory""",
+)
+add(
+    "p17_classification_bucket", lambda t: t("classification").select("fqcn", S.classification_bucket(F.col("type")).alias("b")).select("fqcn", "b.bucket", "b.subtype"),
+    "SELECT fqcn, CASE WHEN type IN ('generated', 'generated/excluded') THEN 'skip' WHEN type = 'controller' THEN 'web' ELSE 'svc' END AS bucket, type AS subtype FROM classification",
+)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import LETTERS, ChunkRows, subwords
+from .words import LETTERS, ChunkRows, ngram_buckets
 
 ORDERS = (2, 3, 4)
 
@@ -37,12 +37,12 @@ class LanguageModel:
         self.temperature, self.level = 1.0, 0.0
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts: Counter = Counter()
-        for chunk, n in Counter(text.lower().split()).items():
-            for b in subwords(chunk, ORDERS, self.mask):
-                counts[b] += n
-        ids = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = np.fromiter(counts.values(), np.float64, len(counts))
+        counts = Counter(text.lower().split())
+        if not counts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        owner, buckets = ngram_buckets(list(counts), ORDERS, self.mask)
+        ids, where = np.unique(buckets, return_inverse=True)
+        w = np.bincount(where, np.fromiter(counts.values(), np.float64)[owner], len(ids))
         return ids, w / max(w.sum(), 1.0)
 
     def logits(self, ids, w) -> np.ndarray:
@@ -93,11 +93,12 @@ def _predict(batches, model: LanguageModel):
     table = model.embed @ model.out  # bucket -> contribution to each language
     width = table.shape[1]
 
-    def row(chunk: str) -> np.ndarray:
-        ids = subwords(chunk, ORDERS, model.mask)
-        return np.append(table[ids].sum(0), len(ids))
+    def sums(chunks: list[str]) -> np.ndarray:
+        owner, buckets = ngram_buckets(chunks, ORDERS, model.mask)
+        out = [np.bincount(owner, table[buckets, k], len(chunks)) for k in range(width)]
+        return np.stack([*out, np.bincount(owner, minlength=len(chunks))], axis=1)
 
-    rows = ChunkRows(row, width + 1)
+    rows = ChunkRows(sums, width + 1, many=True)
     for batch in batches:
         langs, scores = [], []
         for x in batch.column(batch.num_columns - 1):

@@ -28,12 +28,44 @@ def subwords(chunk: str, orders: Iterable[int], mask: int) -> list[int]:
     return out
 
 
+_U = np.uint64
+_letters: list[np.ndarray] = []
+
+
+def ngram_buckets(chunks: list[str], orders: Iterable[int], mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(chunk, bucket)`` of the character n-grams of each run of letters, its ends
+    marked: the same grams as ``subwords`` for all chunks at once, hashed in numpy."""
+    if not _letters:
+        _letters.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
+    text = "\n" + "\n".join(chunks) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inner = _letters[0][codes]
+    owner = np.cumsum(codes == 10) - 1
+    marked = np.where(inner, codes, 1).astype(np.uint64)
+    owners, buckets = [], []
+    for n in orders:
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        h, ok = np.full(m, n, np.uint64), inner[:m] | inner[1 : m + 1] if n == 2 else np.ones(m, bool)
+        for j in range(n):
+            h = h * _U(0x100000001B3) + marked[j : j + m]
+            if 0 < j < n - 1:
+                ok &= inner[j : j + m]
+        h = h[ok]
+        h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+        buckets.append(((h ^ (h >> _U(32))) & _U(mask)).astype(np.int64))
+        owners.append(np.where(inner[:m], owner[:m], owner[1 : m + 1])[ok])  # a letter's, never the mark's
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
 class ChunkRows:
-    """A row of ``width`` numbers for each chunk, computed when first met.  Holds at
+    """A row of ``width`` numbers for each chunk, computed when first met.  ``compute``
+    gives one chunk's row or, with ``many``, a matrix for a list of chunks.  Holds at
     most ``most`` chunks and starts afresh when full, so memory is bounded."""
 
-    def __init__(self, compute: Callable[[str], np.ndarray], width: int, most: int = 250_000):
-        self.compute, self.most = compute, most
+    def __init__(self, compute: Callable, width: int, most: int = 250_000, many: bool = False):
+        self.compute, self.most, self.many = compute, most, many
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, width))
 
@@ -55,9 +87,12 @@ class ChunkRows:
                 grown = np.zeros((max(need, 2 * len(self.rows)), self.rows.shape[1]))
                 grown[: len(self.rows)] = self.rows
                 self.rows = grown
+            if self.many:
+                self.rows[need - len(new) : need] = self.compute(new)
             for c in new:
                 i = self.at[c] = len(self.at)
-                self.rows[i] = self.compute(c)
+                if not self.many:
+                    self.rows[i] = self.compute(c)
             found = list(map(self.at.__getitem__, counts))
         return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[found]
 

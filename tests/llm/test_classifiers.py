@@ -115,3 +115,14 @@ def test_quality_edges(spark):
     kept = drop_low_quality(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == sum(r.kept for r in scored)
     assert score_quality(odd(spark).limit(0)).count() == 0 and drop_low_quality(odd(spark).limit(0)).count() == 0
+
+
+def test_grams_of_many_chunks_at_once():
+    from gapscan.llm.words import LETTERS, ngram_buckets, subwords
+
+    chunks = ["don't", "a", "12", "éa!b", "日本語", "...", "Straße", "x" * 500]
+    owner, buckets = ngram_buckets(chunks, (2, 3, 4), (1 << 40) - 1)
+    want = [len(subwords(c, (2, 3, 4), 1 << 30)) - len(LETTERS.findall(c)) for c in chunks]
+    assert np.bincount(owner, minlength=len(chunks)).tolist() == want
+    again = ngram_buckets(["zz", "éa!b"], (2, 3, 4), (1 << 40) - 1)
+    assert sorted(again[1][again[0] == 1]) == sorted(buckets[owner == 3])

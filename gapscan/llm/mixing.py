@@ -16,7 +16,8 @@ gathering a source: rows are counted by hash bucket, the counts are summed up, a
 only rows of one bucket are sorted together.
 
 Defined cases: null source is class ``other``; null and repeated ids are placed row
-by row; an empty table gives no rows; other columns are kept.
+by row; an empty table gives no rows; other columns are kept, but for any that bear
+the names of the result.
 """
 
 from __future__ import annotations
@@ -75,12 +76,11 @@ def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     return placed.select(F.col("slot").cast("long").alias("slot"), named.alias("class"), F.col("nth").cast("long").alias("nth"), "done")
 
 
-def mix(
+def _placed(
     docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source",
     block: int = BLOCK, bucket_rows: int = 20_000,
 ) -> DataFrame:
-    """``docs`` with ``mix_class``, ``mix_slot`` and ``mix_position``, the row's place in
-    the mixture, dense from 0.  ``bucket_rows``: how many rows are sorted together."""
+    """``docs`` with ``__mix_class``, ``__mix_slot`` and ``__mix_position``."""
     spark = docs.sparkSession
     weights = dict(weights or WEIGHTS)
     weights.setdefault("other", 1)
@@ -118,18 +118,26 @@ def mix(
     position = sum(earlier[1:], earlier[0]) + F.col("__i") % block
     return placed.select(
         *docs.columns,
-        F.col("__class").alias("mix_class"),
-        (F.col("__turn") * total + F.col("__at")).alias("mix_slot"),
-        position.cast("long").alias("mix_position"),
+        F.col("__class").alias("__mix_class"),
+        (F.col("__turn") * total + F.col("__at")).alias("__mix_slot"),
+        position.cast("long").alias("__mix_position"),
     )
 
 
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> DataFrame:
+    """``docs`` with ``mix_class``, ``mix_slot`` and ``mix_position``, the row's place in
+    the mixture, dense from 0; columns of these names are replaced.  Options: ``id_col``,
+    ``source_col``, ``block`` (rows a block), ``bucket_rows`` (rows sorted together)."""
+    added = ("mix_class", "mix_slot", "mix_position")
+    kept = [c for c in docs.columns if c not in added]
+    return _placed(docs, weights, **options).select(*kept, *[F.col(f"__{c}").alias(c) for c in added])
+
+
 def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> DataFrame:
     """``docs`` in the order of the mixture, with their own columns: row ranges of the
     mixture are partitions, sorted within."""
-    placed = mix(docs, weights, **options)
-    width = common.shuffle_width(docs.sparkSession)
-    return placed.repartitionByRange(width, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    width, at = common.shuffle_width(docs.sparkSession), "__mix_position"
+    return _placed(docs, weights, **options).repartitionByRange(width, at).sortWithinPartitions(at).select(*docs.columns)
 
 
 def reference_cycle(weights: dict[str, int]) -> list[tuple[int, str, int]]:

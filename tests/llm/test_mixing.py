@@ -31,7 +31,7 @@ def test_against_sql(spark, sf_dir):
 
 def test_edges(spark):
     rows = [(None, None, i) for i in range(40)] + [(1, "a", 0), (1, "a", 0), (2, "b", 1), (3, "zz", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, __rank int").withColumnRenamed("__rank", "mix_slot_x")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, __rank int").withColumnRenamed("__rank", "mix_slot")
     out = mix(docs, {"a": 1, "b": 2}, block=2).collect()
     assert sorted(r.mix_position for r in out) == list(range(44))
     assert {r.mix_class for r in out} == {"a", "b", "other"}

@@ -116,27 +116,50 @@ def _probe(batches, books, counts: np.ndarray, dim: int, wanted: int):
             )
 
 
-def _score(batches, dim: int, k: int):
-    """Block pairs to each query's best distinct vectors of the block."""
+def _best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, vector, score) arrays each query's rows that score no less than its
+    k-th best: ties stay."""
+    q, g, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-score, q))
+    q, g, score = q[order], g[order], score[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    sizes = np.diff(starts, append=len(q))
+    least = score[starts + np.minimum(sizes, k) - 1]
+    keep = score >= np.repeat(least, sizes)
+    return q[keep], g[keep], score[keep]
+
+
+def _score(batches, dim: int, k: int, held_rows: int = 400_000):
+    """Block pairs to each query's best distinct vectors.  The best so far are held over
+    the blocks of a task, so what leaves it follows its queries, not its blocks; beyond
+    ``held_rows`` they are sent on and a new list begins."""
+    parts: list[tuple] = []
+    held = 0
     for batch in batches:
-        out = ([], [], [])
         for row in range(batch.num_rows):
             qs = np.asarray(batch.column("qs")[row].values.field("q"))
             qv = np.asarray(batch.column("qs")[row].values.field("v").flatten(), np.float64).reshape(-1, dim)
             vs = np.asarray(batch.column("vs")[row].values.field("g"))
             vv = np.asarray(batch.column("vs")[row].values.field("v").flatten(), np.float64).reshape(-1, dim)
             rough = qv @ vv.T
-            take = min(k + 4, len(vs))
-            best = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            edge = np.take_along_axis(rough, best, 1).min(1)
-            for i in range(len(qs)):
-                chosen = np.flatnonzero(rough[i] >= edge[i] - 1e-9 * (1 + abs(edge[i])))
-                score = (vv[chosen] * qv[i]).sum(1)  # one order of summation, wherever a vector lies
-                out[0].append(np.full(len(chosen), qs[i]))
-                out[1].append(vs[chosen])
-                out[2].append(score)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "g", "score"])
+            take = min(k, len(vs))
+            edge = np.partition(rough, len(vs) - take, axis=1)[:, len(vs) - take]
+            i, j = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+            score = (vv[j] * qv[i]).sum(1)  # one order of summation, wherever a vector lies
+            parts.append((qs[i], vs[j], score))
+            held += len(i)
+            if held > held_rows:
+                parts = [_best(parts, k)]
+                held = len(parts[0][0])
+                if held > held_rows // 2:
+                    yield _scored(parts[0])
+                    parts, held = [], 0
+    if parts:
+        yield _scored(_best(parts, k))
+
+
+def _scored(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["q", "g", "score"])
 
 
 def search(
@@ -223,7 +246,7 @@ def search(
         .groupBy("cell", "c").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
     )
     met = common.staged(qblocks, "qblocks").join(common.staged(vblocks, "vblocks").hint("shuffle_hash"), "cell").select("qs", "vs")
-    scored = met.mapInArrow(lambda it: _score(it, dim, k), "q long, g long, score double")
+    scored = met.mapInArrow(lambda it: _score(it, dim, k + 1), "q long, g long, score double")
     # a query's own row may fill a place, hence k + 1 distinct vectors
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
     members = best.join(indexed.select("g", "ids").hint("merge"), "g").select("q", "score", F.explode("ids").alias("vec_id"))

@@ -246,7 +246,9 @@ def search(
         .groupBy("cell", "c").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
     )
     met = common.staged(qblocks, "qblocks").join(common.staged(vblocks, "vblocks").hint("shuffle_hash"), "cell").select("qs", "vs")
-    scored = met.mapInArrow(lambda it: _score(it, dim, k + 1), "q long, g long, score double")
+    # a task holds its queries' best, so some dozens of block pairs a task keep the lists few
+    pairs = sum(-(-int(counts[c]) // block) * -(-m // block) for c, m in asked_of.items())
+    scored = met.coalesce(max(1, -(-pairs // 32))).mapInArrow(lambda it: _score(it, dim, k + 1), "q long, g long, score double")
     # a query's own row may fill a place, hence k + 1 distinct vectors
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
     members = best.join(indexed.select("g", "ids").hint("merge"), "g").select("q", "score", F.explode("ids").alias("vec_id"))

@@ -6,6 +6,11 @@ items of the next round, where fewer partitions pack them best-fit again, until
 one partition has seen all that is left or a round no longer helps.  A bin is one
 row that carries its members (at most ``capacity`` of them), so no round joins.
 
+With a position column the packing follows that order: a partition holds a range of
+positions, ``span`` consecutive documents are packed together, a round merges the
+underfull bins of neighbouring ranges, and sequences are numbered by ``place``, the
+mean position of their ids.
+
 Defined cases: null text is empty; an empty text is one piece holding the closing
 id alone; null and repeated ids are packed row by row; other columns are ignored;
 an empty table gives no rows.
@@ -25,7 +30,7 @@ from .tokens import tokenizer
 
 BIN_SCHEMA = (
     "finished boolean, used int, ids array<long>, piece array<int>, start array<long>, "
-    "length array<int>, crc array<long>, at array<int>"
+    "length array<int>, crc array<long>, at array<int>, place double"
 )
 _ARROW = pa.schema(
     [
@@ -37,6 +42,7 @@ _ARROW = pa.schema(
         ("length", pa.list_(pa.int32())),
         ("crc", pa.list_(pa.int64())),
         ("at", pa.list_(pa.int32())),
+        ("place", pa.float64()),
     ]
 )
 
@@ -86,34 +92,36 @@ class _Rows:
 
 
 def _pack_items(items: list[tuple], capacity: int, enough: int, rows: _Rows) -> None:
-    """``items``: (used, ids, piece, start, length, crc, at), each already a bin."""
+    """``items``: (used, ids, piece, start, length, crc, at, place), each already a bin."""
     for members in best_fit([x[0] for x in items], capacity):
-        used, out = 0, ([], [], [], [], [], [])
+        used, out, weighed = 0, ([], [], [], [], [], []), 0.0
         for i in members:
-            size, ids, piece, start, length, crc, at = items[i]
+            size, ids, piece, start, length, crc, at, place = items[i]
             for have, more in zip(out, (ids, piece, start, length, crc, [a + used for a in at]), strict=True):
                 have.extend(more)
             used += size
-        rows.add(used >= enough, used, *out)
+            weighed += size * place
+        rows.add(used >= enough, used, *out, weighed / used)
 
 
-def _local(batches, path: str, capacity: int, closing: bytes, enough: int, held: int):
-    rows, items = _Rows(), []
+def _local(batches, path: str, capacity: int, closing: bytes, enough: int, held: int, span: int | None):
+    rows, items, taken = _Rows(), [], 0
     encode = tokenizer(path).id_bytes
     wide = 4 * capacity
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = encode(text.as_py() or "") + closing
             for k, at in enumerate(range(0, len(raw), wide)):
                 cut = raw[at : at + wide]
                 n, crc = len(cut) // 4, zlib.crc32(cut)
                 if n == capacity:
-                    rows.add(True, n, [doc], [k], [at // 4], [n], [crc], [0])
+                    rows.add(True, n, [doc], [k], [at // 4], [n], [crc], [0], place)
                 else:
-                    items.append((n, [doc], [k], [at // 4], [n], [crc], [0]))
-        if len(items) >= held:
-            _pack_items(items, capacity, enough, rows)
-            items = []
+                    items.append((n, [doc], [k], [at // 4], [n], [crc], [0], place))
+            taken += 1
+            if len(items) >= held or (span and taken >= span):
+                _pack_items(items, capacity, enough, rows)
+                items, taken = [], 0
         if len(rows) >= 4000:
             yield rows.take()
     _pack_items(items, capacity, enough, rows)
@@ -145,6 +153,8 @@ def pack_documents(
     held: int = 50_000,
     fan_in: int = 8,
     max_rounds: int = 12,
+    position_col: str | None = None,
+    span: int = 1024,
 ) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset``.
@@ -152,13 +162,25 @@ def pack_documents(
     ``slack``: a bin lacking at most so many ids is final at once.  ``held``: the
     most items that a task packs together, which bounds its memory.  ``fan_in``:
     how many partitions of underfull bins are merged into one in a round.
+    ``position_col``: numbers in whose order the sequences come; ``span``: documents
+    of consecutive positions that are packed together first.
     """
     spark = docs.sparkSession
     common.ship(spark)
     closing, enough = int(closing_id).to_bytes(4, "little"), capacity - slack
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    place = F.col(position_col).cast("double") if position_col else F.lit(0.0)
+    span = span if position_col else None
+
+    def dealt(df: DataFrame, parts: int) -> DataFrame:
+        if not position_col:
+            return df.repartition(parts)
+        return df.repartitionByRange(parts, "place").sortWithinPartitions("place")
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), place.alias("place"))
+    if position_col:
+        slim = dealt(slim, common.shuffle_width(spark))
     bins = common.staged(
-        slim.mapInArrow(lambda it: _local(it, tokenizer_path, capacity, closing, enough, held), BIN_SCHEMA), "pack0"
+        slim.mapInArrow(lambda it: _local(it, tokenizer_path, capacity, closing, enough, held, span), BIN_SCHEMA), "pack0"
     )
     final, rest = [bins.filter("finished")], bins.filter("NOT finished")
     n, width = rest.count(), max(1, common.shuffle_width(spark) // fan_in)
@@ -168,7 +190,7 @@ def pack_documents(
         least = -(-n // held)
         width = max(least, width)
         packed = common.staged(
-            rest.repartition(width).mapInArrow(lambda it: _again(it, capacity, enough, held), BIN_SCHEMA), f"pack{level}"
+            dealt(rest, width).mapInArrow(lambda it: _again(it, capacity, enough, held), BIN_SCHEMA), f"pack{level}"
         )
         final.append(packed.filter("finished"))
         rest = packed.filter("NOT finished")
@@ -180,6 +202,8 @@ def pack_documents(
     whole = final[0]
     for part in final[1:]:
         whole = whole.unionByName(part)
+    if position_col:
+        whole = dealt(whole, common.shuffle_width(spark))
     numbered = whole.withColumn("sequence_id", F.monotonically_increasing_id()).select(  # before explode makes rows
         "sequence_id",
         F.explode(F.arrays_zip("ids", "piece", "start", "length", "crc", "at")).alias("m"),

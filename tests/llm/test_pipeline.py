@@ -1,6 +1,6 @@
 import importlib
 
-
+from pyspark.sql import functions as F
 
 from .test_near_dedup import brute
 from .test_packing import check
@@ -44,3 +44,18 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_run_gives_whole_sequences(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_run_orders_sequences_by_the_mixture(spark, tmp_path):
+    """src0 has a third of the rows and a weight of 20 in 100: shares of prefixes of run()."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 2 = 0")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(57))
+    named = F.when(at < 19, F.lit("src0")).otherwise(F.concat(F.lit("src"), (1 + at % 19).cast("string")))
+    docs.withColumn("source", named).write.parquet(f"{tmp_path}/documents.parquet")
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "source").collect()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("piece = 0").select("sequence_id", "doc_id").collect()
+    order = [source[r.doc_id] for r in sorted(pieces, key=lambda r: r.sequence_id)]
+    assert order.count("src0") > 0.29 * len(order)
+    for share in (0.2, 0.3, 0.4, 0.5):
+        lead = order[: int(share * len(order))]
+        assert abs(lead.count("src0") / len(lead) - 0.2) < 0.05

@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its words and their character 5-grams, hashed; each counts
-once.  On a bounded sample of labelled documents, terms whose presence differs
-significantly between the classes are selected, and a factorization machine
+once.  On a bounded sample of labelled documents, terms are selected whose presence
+differs significantly between the classes, alone or together with another term (the
+covariance of the two), and a factorization machine
 (weights, and ``factors`` latent numbers a term for pairwise interactions such as an
 insult together with a group) is trained by AdaGrad.  Scoring reads whole texts.
 
@@ -32,6 +33,54 @@ def terms(text: str, mask: int) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
+def _paired(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, tile: int = 1024) -> np.ndarray:
+    """Which buckets belong to a pair whose covariance differs between the classes by
+    ``least_z`` standard errors, however common each is alone.  Pairs of all terms are
+    looked at, but those in (or out of) too few rows to reach ``least_z``; terms that
+    stand in the same rows are one.  Rows are held as bits, pairs as one tile."""
+    seen, print_ = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+    marks = np.random.default_rng(3).integers(0, 1 << 63, len(rows)).astype(np.uint64)
+    for r, mark in zip(rows, marks, strict=True):
+        seen[r] += 1
+        print_[r] += mark
+    buckets = np.flatnonzero((seen >= least_z**2) & (len(rows) - seen >= least_z**2))
+    _, first, group = np.unique(print_[buckets], return_index=True, return_inverse=True)
+    m, where = len(first), np.full(size, -1)
+    where[buckets[first]] = np.arange(m)
+    classes = []
+    for label in (True, False):
+        own = [r for r, x in zip(rows, y, strict=True) if x == label]
+        bits = np.zeros((m, -(-len(own) // 8)), np.uint8)
+        for i, r in enumerate(own):
+            x = where[r]
+            bits[x[x >= 0], i >> 3] |= 128 >> (i & 7)
+        classes.append((len(own), bits))
+    best = np.zeros(m, np.float32)
+
+    def part(n: int, bits: np.ndarray, at: int) -> np.ndarray:
+        return np.unpackbits(bits[at : at + tile], axis=1, count=n).astype(np.float32)
+
+    for i in range(0, m, tile):
+        left = [part(n, bits, i) for n, bits in classes]
+        for j in range(i, m, tile):
+            gap, error = 0.0, 1e-12
+            for (n, bits), a, sign in zip(classes, left, (1, -1), strict=True):
+                b = a if i == j else part(n, bits, j)
+                joint, p, q = a @ b.T / n, a.mean(1)[:, None], b.mean(1)[None]
+                covariance = joint - p * q
+                square = (1 - 2 * p) * (1 - 2 * q) * joint + (1 - 2 * p) * p * q * q + (1 - 2 * q) * q * p * p + p * p * q * q
+                gap = gap + sign * covariance
+                error = error + np.maximum(square - covariance**2, 0) / n + 1 / n**2  # one row of doubt
+            z = np.abs(gap) / np.sqrt(error)
+            if i == j:
+                np.fill_diagonal(z, 0)
+            best[i : i + tile] = np.maximum(best[i : i + tile], z.max(1))
+            best[j : j + tile] = np.maximum(best[j : j + tile], z.max(0))
+    found = np.zeros(size, bool)
+    found[buckets[best[group] >= least_z]] = True
+    return found
+
+
 class FactorizationMachine:
     def __init__(self, base: float = 0.0, factors: int = 8, bits: int = 20, seed: int = 11):
         self.base, self.factors, self.bits, self.seed = base, factors, bits, seed
@@ -39,9 +88,10 @@ class FactorizationMachine:
         self.w = np.zeros(0)
         self.v = np.zeros((0, factors))
 
-    def select(self, rows: list[np.ndarray], y: np.ndarray, most: int, least_z: float) -> list[np.ndarray]:
-        """Keep at most ``most`` terms with |z| of the difference in presence at least
-        ``least_z``; gives the rows as indexes of kept terms."""
+    def select(self, rows: list[np.ndarray], y: np.ndarray, least_z: float, pair_z: float = 8.0) -> list[np.ndarray]:
+        """Keep the terms with |z| of the difference in presence at least ``least_z``, and
+        those of any pair with |z| of the difference in covariance at least ``pair_z``;
+        gives the rows as indexes of kept terms."""
         size = 1 << self.bits
         pos, neg = np.zeros(size), np.zeros(size)
         for r, label in zip(rows, y, strict=True):
@@ -49,8 +99,10 @@ class FactorizationMachine:
         n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
         p = (pos + neg) / (n1 + n0)
         z = (pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-        strong = np.flatnonzero(np.abs(z) >= least_z)
-        strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")][:most]
+        kept = np.abs(z) >= least_z
+        if y.any() and not y.all():
+            kept |= _paired(rows, y, size, pair_z)
+        strong = np.flatnonzero(kept)
         self.index = {int(b): i for i, b in enumerate(strong)}
         rng = np.random.default_rng(self.seed)
         self.w, self.v = np.zeros(len(strong)), rng.normal(0, 0.05, (len(strong), self.factors))
@@ -109,7 +161,7 @@ def _score(batches, model: FactorizationMachine, most: int = 300_000):
 def fit_toxicity_model(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     folds: int = 5, held_fold: int = 0, per_class: int = 3000, max_chars: int = 20_000,
-    most_terms: int = 4000, least_z: float = 5.0, **fit,
+    least_z: float = 5.0, pair_z: float = 8.0, **fit,
 ) -> FactorizationMachine:
     """Fit on a bounded sample: ``per_class`` labelled documents of either class (twice
     as many of the negative one), of at most ``max_chars`` characters, drawn by hash."""
@@ -134,7 +186,7 @@ def fit_toxicity_model(
     if not found:
         return model
     y = np.array([r["y"] for r in found])
-    rows = model.select([np.frombuffer(r["terms"], np.int32) for r in found], y, most_terms, least_z)
+    rows = model.select([np.frombuffer(r["terms"], np.int32) for r in found], y, least_z, pair_z)
     if y.any() and not y.all():
         model.fit(rows, y.astype(float), **fit)
     return model

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gapscan.llm.language import identify_language
 from gapscan.llm.quality import DOUBTS, PRAISE, LabelModel, drop_low_quality, score_quality
-from gapscan.llm.toxicity import FactorizationMachine, score_toxicity
+from gapscan.llm.toxicity import FactorizationMachine, _score, fit_toxicity_model, score_toxicity, terms
 from gapscan.llm.words import ChunkRows, sigmoid
 
 
@@ -88,6 +88,30 @@ def test_factorization_machine_learns_an_interaction():
     assert np.mean(hit) > 0.9
 
 
+def test_toxicity_selects_pairs_without_a_marginal(spark):
+    """Each word is as common in either class; only the pair tells."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for k in range(1500):
+        a, b = rng.random(2) < 0.5
+        text = " ".join((["zorblat"] if a else []) + (["quimfex"] if b else []) + [f"filler{chr(97 + i)}" for i in rng.integers(0, 26, 3)])
+        rows.append((k, text))
+        labels.append((k, int(a == b)))
+    x, y = [terms(t, 255) for _, t in rows[:1000]], np.array([bool(t) for _, t in labels[:1000]])
+    model = FactorizationMachine(bits=8)
+    model.select(x, y, 5.0)
+    assert {int(terms(w, 255)[i]) for w in ("zorblat", "quimfex") for i in range(len(terms(w, 255)))} <= set(model.index)
+
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity_model(docs, marks, epochs=40)
+    held = [(t, y) for (k, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(k).encode()) % 5 == 0]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(held))), "held_out": [True] * len(held), "x": [t for t, _ in held]})
+    scores = next(_score([batch], model)).column(2).to_pylist()
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(scores, held, strict=True)]) > 0.9
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     counts: dict[str, int] = {}

@@ -7,6 +7,7 @@ from ..operators import gates as G
 from ..operators import graph as R
 from ..operators import planning as P
 from ..operators import symbols as Y
+from .adapters import sut
 from .catalog import CATALOG
 from .planning_queries import _enriched
 
@@ -154,8 +155,8 @@ add(
 _PRESETS = ("org.junit.jupiter.api.Test", "org.mockito.Mock")
 
 
-def _allowed(t):
-    return Y.allowed_imports(t("classes"), t("members"), t("dependencies"), t("whitelist"), _PRESETS)
+def _allowed(t, dependencies=None):
+    return Y.allowed_imports(t("classes"), t("members"), dependencies or t("dependencies"), t("whitelist"), _PRESETS)
 
 
 _ALLOWED = """
@@ -168,12 +169,18 @@ add(
     "a23_thrown_exceptions", lambda t: Y.thrown_exceptions(t("members")),
     "SELECT fqcn, string_agg(throws, ',' ORDER BY p, throws) AS throws FROM (SELECT fqcn, throws, min(pos) AS p FROM members WHERE throws IS NOT NULL GROUP BY 1, 2) GROUP BY fqcn",
 )
-add(
-    "j16_context_pack",
-    lambda t: Y.context_pack(
-        P.plan(_enriched(t), 500), t("classification"), t("coverage"), t("members"), t("dependencies"), t("fixtures"), _allowed(t), G.failure_digest(t("failure_memory"), t("targets").select("sut"))
-    ),
-)
+def _whole_dependencies(t):
+    """A dependency of every line; the adapter ``dependencies`` keeps a tenth, and 90 types."""
+    return t("lineitem").select(F.expr(sut("l_partkey")).alias("sut"), F.expr(sut("l_suppkey")).alias("type"), F.col("l_linenumber").cast("long").alias("pos")).distinct()
+
+
+def _packs(t):
+    deps = _whole_dependencies(t)
+    digest = G.failure_digest(t("failure_memory"), t("targets").select("sut"))
+    return Y.context_pack(P.plan(_enriched(t), 0), t("classification"), t("coverage"), t("members"), deps, t("fixtures"), _allowed(t, deps), digest)
+
+
+add("j16_context_pack", _packs)
 add(
     "c09_lint_symbols",
     lambda t: Y.lint_symbols(t("members").selectExpr("concat(fqcn, '.java') AS file", "CASE pos % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'builder' WHEN 2 THEN 'call' ELSE 'static' END AS kind", "fqcn AS type",

@@ -198,3 +198,44 @@ def test_delta_totals_are_sums(spark):
     delta = D.coverage_delta(spark.createDataFrame(rows, "repo string, snapshot string, fqcn string, covered_lines long, covered_branches long"))
     total = D.coverage_totals(delta).first()
     assert total.lines_delta == sum(r.lines_delta for r in delta.collect()) == 20 - 7
+
+
+def test_context_pack_against_brute_force(spark):
+    from gapscan.operators.symbols import context_pack
+
+    plan = [("a", "t2", 2), ("a", "t1", 1), ("b", "t3", 3)]
+    deps, fixtures = [("a", "X", 1), ("a", "X", 2), ("a", "W", 3), ("c", "X", 1)], [("X", "f1", "builder")]
+    members, digest = [("a", 1, "method", "go"), ("a", 0, "constructor", "<init>")], [("a", 1, "E", "F")]
+    make = spark.createDataFrame
+    rows = context_pack(
+        make(plan, "sut string, target_id string, plan_rank int"), make([("a", "service", "t.java")], "fqcn string, type string, template string"),
+        make([("a", 3), ("a", 4)], "fqcn string, covered_lines long"), make(members, "fqcn string, pos int, kind string, name string"),
+        make(deps, "sut string, type string, pos int"), make(fixtures, "fqcn string, fixture_id string, strategy string"),
+        make([("a", "i,j")], "fqcn string, imports string"), make(digest, "sut string, place int, error_code string, fix_id string"),
+    ).collect()
+    want = {}
+    for s in {p[0] for p in plan}:
+        built = dict((f, k) for f, _, k in fixtures)
+        want[s] = (
+            ";".join(t for _, t in sorted((n, t) for x, t, n in plan if x == s)),
+            ";".join(f"{k}:{n}" for _, k, n in sorted((p, k, n) for x, p, k, n in members if x == s)),
+            ";".join(f"{t}:{built.get(t, 'mock')}" for t in sorted({t for x, t, _ in deps if x == s})),
+            ";".join(f"{e}:{f}" for x, _, e, f in digest if x == s),
+        )
+    assert {r.sut: (r.targets, r.members, r.dependencies, r.failures) for r in rows} == want and len(rows) == 2
+    assert {r.sut: (r.type, r.covered_lines, r.imports) for r in rows} == {"a": ("service", 7, "i,j"), "b": (None, None, "")}
+
+
+def test_every_planned_class_has_a_pack(spark):
+    from gapscan.plans import catalog
+
+    queries, where = catalog.load()[0], "/root/testdata/sf0.001"
+    planned = sorted((r.sut, r.target_id) for r in queries["w02_plan"](spark, where).select("sut", "target_id").collect())
+    packs = queries["j16_context_pack"](spark, where).select("sut", "targets", "dependencies").collect()
+    assert sorted((r.sut, t) for r in packs for t in r.targets.split(";")) == planned
+    # every line's supplier is a dependency of the line's part
+    lines = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{where}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    number = lambda name: int(__import__("re").search(r"\.C(\d+)", name)[1])
+    for r in packs:
+        got = {number(d) for d in r.dependencies.split(";") if d}
+        assert got == {s for p, s in lines if p == number(r.sut)}

@@ -226,6 +226,7 @@ def search(
         counts[r["cell"]] = r["count"]
 
     wanted = int(np.ceil((share if share is not None else measured_share(sample, books, k, target_recall)) * n))
+    wanted = max(wanted, min(n, k + 1))  # the walk meets as many vectors as a query must return, its own beside
 
     queries = valid.filter("is_q").select("id", "v", F.xxhash64("v").alias("h"))
     asked = queries.select("h", "v").distinct().join(grouped.select("h", "v", "g").hint("merge"), ["h", "v"]).select(F.col("g").alias("q"), "v")

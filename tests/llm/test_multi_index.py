@@ -61,3 +61,16 @@ def test_edges_and_ties(spark):
 def test_too_few(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert search(df, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_tight_clusters_fill_every_place(spark):
+    """The neighbours lie in the first cell, but it holds fewer vectors than are asked for."""
+    rng = np.random.default_rng(6)
+    centers = 10 * rng.standard_normal((100, 8))
+    rows = [(i, [float(x) for x in centers[i % 100] + 1e-3 * rng.standard_normal(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for share in (None, 0.001):
+        found = search(df, F.col("vec_id") % 20 == 0, share=share).groupBy("query_id").count().collect()
+        assert len(found) == 15 and all(r["count"] == 20 for r in found)
+    few = search(df.filter("vec_id < 21"), F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert len(few) == 2 and all(r["count"] == 20 for r in few)

@@ -98,7 +98,7 @@ def fixture_cycles(edges: DataFrame, max_rounds: int = 12) -> DataFrame:
     """G-5: nodes on a cycle, with the other nodes of their strongly connected group.
 
     First edges that cannot lie on a cycle are peeled off (ends with no way in or out),
-    so only the core is closed: path pairs double in length each round until none is new.
+    so only the core is closed: path pairs double in length each round until none is new; it raises when the rounds run out.
     """
     core = cut_lineage(edges.select("src", "dst").distinct())
     for _ in range(max_rounds * 8):
@@ -114,6 +114,8 @@ def fixture_cycles(edges: DataFrame, max_rounds: int = 12) -> DataFrame:
         if (now := paths.count()) == n:
             break
         n = now
+    else:
+        raise RuntimeError("cycles not closed within the allowed rounds")
     back = paths.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     both = paths.join(back, ["src", "dst"])
     partners = F.array_join(F.array_sort(F.collect_set(F.when(F.col("src") != F.col("dst"), F.col("dst")))), ",")

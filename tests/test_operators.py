@@ -239,3 +239,11 @@ def test_every_planned_class_has_a_pack(spark):
     for r in packs:
         got = {number(d) for d in r.dependencies.split(";") if d}
         assert got == {s for p, s in lines if p == number(r.sut)}
+
+
+def test_fixture_cycles_raises_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 12}") for i in range(12)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        R.fixture_cycles(edges, max_rounds=2)
+    rows = R.fixture_cycles(edges).collect()
+    assert len(rows) == 12 and all(r.partners.count(",") == 10 for r in rows)

@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -20,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on them."""
+    """Let Python workers import this package when it is not installed on them, and hand
+    them texts in batches of a few MB, unless the session sets that size itself."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
@@ -49,7 +56,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``staged`` wrote for ``frames``, once nothing reads it any more: what
+    follows has been written in its turn."""
+    for df in frames:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
@@ -72,13 +89,34 @@ def crc_mod(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
+def bit_filter(hashes: DataFrame, col: str, most_bytes: int = 64 << 20) -> Callable[[Column], Column]:
+    """A test whether a 64-bit number may be among ``hashes``: one bit of a table of about
+    16 bits for each of them, at most ``most_bytes`` whatever their number.  None that is
+    among them fails it; of others a sixteenth passes, more where the table is at its
+    bound.  Spark sums the table up in pieces of 4 kB; only it passes the driver."""
+    n = hashes.count()
+    bits = 1 << max(15, min((16 * max(n, 1)).bit_length(), most_bytes.bit_length() + 2))
+    at = F.pmod(F.col(col), F.lit(bits)) + 1
+    pieces = hashes.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit"))
+    table = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        table[r["piece"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    table = table.ravel()
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        at = x.to_numpy(np.int64) & (bits - 1)
+        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return among
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose ``(key, id)`` is in ``kept(__id, __key, __copies)``,
     one of those that share both, with the columns of ``docs``."""
     keyed = docs.withColumn("__row_key", key)
     same = (F.col("__row_key") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))
     whole = keyed.join(kept.hint("shuffle_hash"), same, "inner")
-    once = whole.filter("__copies = 1")
     if kept.filter("__copies > 1").head(1):  # rows repeated with id and text: one of them
-        once = once.unionByName(whole.filter("__copies > 1").dropDuplicates(["__row_key", "__id"]))
-    return once.select(*docs.columns)
+        whole = whole.dropDuplicates(["__row_key", "__id"])
+    return whole.select(*docs.columns)

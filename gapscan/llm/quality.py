@@ -1,16 +1,20 @@
 """Quality classifier from weak labels.
 
-1. Heuristic labellers read every whole text; some vote bad or nothing, some good or
-   nothing.
+1. One pass reads every whole text: heuristic labellers vote on its measures (some vote
+   bad or nothing, some good or nothing), and its hashed terms, shapes and measures are
+   written as a few small arrays.
 2. Votes of all documents are counted by pattern; expectation-maximisation on those
-   counts estimates each labeller's accuracy and the share of good documents, without any human label.
-3. The posterior of a pattern labels a bounded sample of documents, on which a
-   linear scorer over hashed terms, shapes and measures is trained.
-4. The scorer reads every whole text; a document is kept at a score of 0.5 or more.
+   counts estimates each labeller's rates and the share of good documents, without any human label.
+3. The posterior of a pattern labels a bounded sample of documents, on whose arrays a
+   linear scorer is trained; no text reaches the driver.
+4. The scorer reads every document's arrays; a document is kept at a score of 0.5 or more.
 
 Defined cases: a null or empty text, or one of white space, is scored by its
 measures alone (no words: rejected by every labeller that votes); null and repeated
-ids are scored row by row; an empty table gives no rows.
+ids are scored row by row, rows of equal texts alike; texts beyond ``max_chars`` are
+voted on and scored whole but not trained on; a score of just the threshold is kept;
+an empty table gives no rows; other columns, whatever their names, are ignored by
+``score_quality`` and returned unchanged by ``drop_low_quality``.
 """
 
 from __future__ import annotations
@@ -50,18 +54,26 @@ def _chunk_measures(chunk: str) -> list[float]:
 
 
 class Measurer:
-    """The measures of a whole text, from cached sums over its chunks.  ``weigh`` adds
-    a number to each chunk's row; its mean over the text comes last."""
+    """The measures of a whole text and the buckets of its terms and shapes, from cached
+    rows of its chunks."""
 
-    def __init__(self, weigh=None):
-        self.rows = ChunkRows(lambda c: [*_chunk_measures(c), weigh(c) if weigh else 0.0], 9)
+    def __init__(self, scorer: Scorer | None = None):
+        ids = (scorer or Scorer()).chunk_ids
+        self.rows = ChunkRows(lambda c: [*_chunk_measures(c), *ids(c)], 10)
 
-    def __call__(self, text: str) -> tuple[Counter, np.ndarray, int, float]:
+    def __call__(self, text: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """``(measures, words, buckets, counts)``, with buckets as often as chunks share them."""
         words = text.split()
         counts, n = Counter(words), len(words)
         if not n:
-            return counts, np.zeros(len(MEASURES)), 0, 0.0
-        size, symbols, letters, upper, stop, shout, bare, ends, weight = self.rows.total(counts).tolist()
+            return np.zeros(len(MEASURES)), 0, np.zeros(0, np.int64), np.zeros(0)
+        sums, ids, weights = np.zeros(8), [], []
+        for k, rows in self.rows.parts(counts):
+            sums = sums + k @ rows[:, :8]
+            ids.append(rows[:, 8:].astype(np.int64).T.ravel())
+            weights += [k, k]
+        buckets, tallies = np.concatenate(ids), np.concatenate(weights)
+        size, symbols, letters, upper, stop, shout, bare, ends = sums.tolist()
         again = 0.0
         if text.count("\n") > 1:
             lines = Counter(text.split("\n"))
@@ -69,7 +81,7 @@ class Measurer:
         stutter = sum(map(eq, words, words[1:])) / n
         values = [symbols / size, upper / max(letters, 1), stop / n, max(counts.values()) / n, len(counts) / n,
                   again, shout / n, bare / n, size / n, stutter]
-        return counts, np.array(values), n, weight / n
+        return np.array(values), n, buckets, tallies
 
 
 #: Labellers that vote bad or nothing: measure, least words to vote, what is tolerated.
@@ -130,7 +142,7 @@ class LabelModel:
                 )
         post = self._posterior(*seen)
         right = np.concatenate([(n * (1 - post)) @ down, (n * post) @ up])
-        self.accuracy = (right + 0.8 * strength) / (n @ np.hstack([down, up]) + strength)
+        self.accuracy = (right + 0.8 * strength) / (n @ np.hstack([down, up]) + strength)  # of each labeller's votes
 
     @staticmethod
     def _read(patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +162,29 @@ class LabelModel:
         return self._posterior(*self._read(patterns)) if patterns else np.zeros(0)
 
 
+_RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+", re.S), r"\1"))
+
+
+def _letters(run: re.Match) -> str:
+    """Runs of capitals and of other letters, one sign each."""
+    out = []
+    for c in run[0]:
+        sign = "A" if c.isupper() else "a"
+        if not out or out[-1] != sign:
+            out.append(sign)
+    return "".join(out)
+
+
 def _shape(chunk: str) -> str:
+    """The whole chunk with each run of capitals, letters, digits or of one sign as a
+    single character; the caller hashes it."""
     if chunk.isalpha():
         return "a" if chunk.islower() else "A" if chunk.isupper() else "Aa"
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in chunk[:40]]
-    return "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
+    core, last = chunk[:-1], chunk[-1]
+    if core.isalpha() and (core.islower() or core.istitle()) and not last.isalnum():  # most words at the end of a clause
+        return ("a" if core.islower() else "Aa" if len(core) > 1 else "A") + last
+    (letters, _), (digits, nine), (same, one) = _RUNS
+    return same.sub(one, digits.sub(nine, letters.sub(_letters, chunk)))
 
 
 class Scorer:
@@ -165,9 +195,16 @@ class Scorer:
         self.mask = (1 << bits) - 1
         self.w = np.zeros(1 << bits)
         self.bias = 0.0
+        self.shapes: dict[str, int] = {}
 
     def chunk_ids(self, chunk: str) -> tuple[int, int]:
-        return bucket("t:" + chunk.lower(), self.mask), bucket("s:" + _shape(chunk), self.mask)
+        shape = _shape(chunk)
+        known = self.shapes.get(shape)
+        if known is None:
+            if len(self.shapes) > 100_000:
+                self.shapes.clear()
+            known = self.shapes[shape] = bucket("s:" + shape, self.mask)
+        return bucket("t:" + chunk.lower(), self.mask), known
 
     def measure_ids(self, measures: np.ndarray, n: int) -> list[int]:
         sized = min(6, n.bit_length() // 2)
@@ -175,14 +212,14 @@ class Scorer:
             bucket(f"n:{sized}", self.mask)
         ]
 
-    def features(self, counts: Counter, measures: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        x: Counter = Counter()
-        for c, k in counts.items():
-            for b in self.chunk_ids(c):
-                x[b] += k / n
-        for b in self.measure_ids(measures, n):
-            x[b] += 0.5
-        return np.fromiter(x.keys(), np.int64, len(x)), np.fromiter(x.values(), np.float64, len(x))
+    def features(self, measures: np.ndarray, n: int, buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct ids and their values: shares of terms and shapes, halves for measures."""
+        extra = np.array(self.measure_ids(measures, n))
+        ids, where = np.unique(np.concatenate([buckets, extra]), return_inverse=True)
+        return ids, np.bincount(where, np.concatenate([counts / max(n, 1), np.full(len(extra), 0.5)]), len(ids))
+
+    def score(self, ids: np.ndarray, values: np.ndarray) -> float:
+        return float(sigmoid(self.w[ids] @ values + self.bias))
 
     def fit(self, rows: list, y: np.ndarray, epochs: int = 8, rate: float = 0.5, decay: float = 1e-4, seed: int = 9) -> None:
         rng = np.random.default_rng(seed)
@@ -197,70 +234,95 @@ class Scorer:
                 self.bias -= 0.02 * rate * d
 
 
-def _vote(batches):
-    measure = Measurer()
+_FEATURES = "pattern string, chars int, ids binary, x binary"
+
+
+def _read(measure: Measurer, scorer: Scorer, text: str) -> tuple[str, bytes, bytes]:
+    """Votes and feature arrays (16-bit ids, 32-bit values) of one text."""
+    found = measure(text)
+    ids, x = scorer.features(*found)
+    return votes(*found[:2]), ids.astype(np.uint16).tobytes(), x.astype(np.float32).tobytes()
+
+
+def _write(batches):
+    """Batches whose last column is the text, with the features in its place."""
+    scorer = Scorer()
+    measure = Measurer(scorer)
     for batch in batches:
-        found: Counter = Counter()
-        for x in batch.column(0):
-            _, m, n, _ = measure(x.as_py() or "")
-            found[votes(m, n)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
+        rows, chars = [], []
+        for x in batch.column(batch.num_columns - 1):
+            text = x.as_py() or ""
+            rows.append(_read(measure, scorer, text))
+            chars.append(len(text))
+        pattern, ids, values = zip(*rows, strict=True) if rows else ((), (), ())
+        made = [pa.array(pattern, pa.string()), pa.array(chars, pa.int32()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "pattern", "chars", "ids", "x"])
+
+
+def _arrays(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)
 
 
 def _score(batches, scorer: Scorer, threshold: float):
-    weights = scorer.w.tolist()
-    measure = Measurer(lambda c: sum(weights[b] for b in scorer.chunk_ids(c)))
     for batch in batches:
-        scores = []
-        for x in batch.column(batch.num_columns - 1):
-            _, m, n, weight = measure(x.as_py() or "")
-            raw = scorer.bias + 0.5 * scorer.w[scorer.measure_ids(m, n)].sum() + weight
-            scores.append(float(sigmoid(raw)))
+        scores = [scorer.score(*_arrays(*pair)) for pair in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True)]
         s = pa.array(scores, pa.float64())
-        keep = pa.array([x >= threshold for x in scores])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s, keep], names=[*batch.schema.names[:-1], "score", "kept"])
+        keep = pa.array([x >= threshold for x in scores], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), s, keep], names=["id", "score", "kept"])
 
 
-def fit_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000, max_chars: int = 20_000) -> tuple[LabelModel, Scorer]:
+def read_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, written to the shared folder: ``id``, ``draw`` (a hash of id
+    and text), the votes and the feature arrays."""
+    common.ship(docs.sparkSession)
+    draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20))
+    slim = docs.select(F.col(id_col).alias("id"), draw.alias("draw"), F.col(text_col).cast("string").alias("x"))
+    kind = dict(docs.dtypes)[id_col]
+    return common.staged(slim.mapInArrow(_write, f"id {kind}, draw long, {_FEATURES}"), "quality")
+
+
+def fit_quality(features: DataFrame, *, sample_rows: int = 6000, max_chars: int = 20_000) -> tuple[LabelModel, Scorer]:
     """The label model on the votes of all documents, the scorer on a sample of at most
-    ``sample_rows`` documents of at most ``max_chars`` characters, drawn by hash."""
-    text = F.col(text_col).cast("string").alias("x")
-    patterns = docs.select(text).mapInArrow(_vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    counts = {r["pattern"]: r["n"] for r in patterns.collect()}  # at most three to the number of labellers
+    ``sample_rows`` documents of at most ``max_chars`` characters, drawn by hash.  What
+    reaches the driver is the sample's feature arrays: at most six bytes for each
+    distinct bucket of a document."""
+    counts = {r["pattern"]: r["count"] for r in features.groupBy("pattern").count().collect()}  # at most three to the number of labellers
     model, scorer = LabelModel(counts), Scorer()
     total = sum(counts.values())
     if total:
-        draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample_rows / total) * (1 << 20)) + 1
-        rows = docs.filter(draw & (F.length(text_col) <= max_chars)).select(text).limit(sample_rows).collect()
-        measure = Measurer()
-        measured = [measure(r["x"] or "") for r in sorted(rows, key=lambda r: r["x"] or "")]
-        if measured:
-            y = model.posterior([votes(m, n) for _, m, n, _ in measured])
-            scorer.fit([scorer.features(*x[:3]) for x in measured], y)
+        draw = F.col("draw") < int(min(1.0, 1.2 * sample_rows / total) * (1 << 20)) + 1
+        sampled = features.filter(draw & (F.col("chars") <= max_chars)).select("pattern", "ids", "x").limit(sample_rows).toArrow()
+        if sampled.num_rows:
+            rows = sorted(zip(*(c.to_pylist() for c in sampled.columns), strict=True))
+            del sampled
+            y = model.posterior([r[0] for r in rows])
+            scorer.fit([_arrays(*r[1:]) for r in rows], y)
     return model, scorer
 
 
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
     """One row per document: id, ``score`` (chance of being good), ``kept``."""
-    common.ship(docs.sparkSession)
-    _, scorer = fit_quality(docs, id_col=id_col, text_col=text_col, **options)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
+    features = read_features(docs, id_col=id_col, text_col=text_col)
+    _, scorer = fit_quality(features, **options)
     kind = dict(docs.dtypes)[id_col]
-    scored = slim.mapInArrow(lambda it: _score(it, scorer, threshold), f"id {kind}, score double, kept boolean")
+    scored = features.select("id", "ids", "x").mapInArrow(lambda it: _score(it, scorer, threshold), f"id {kind}, score double, kept boolean")
     return scored.withColumnRenamed("id", id_col)
 
 
 def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that are kept, with all their columns: scored and filtered in one
-    pass, without a join."""
-    common.ship(docs.sparkSession)
-    _, scorer = fit_quality(docs, id_col=id_col, text_col=text_col, **options)
+    """The documents that are kept, with all their columns.  Whole rows are scored and
+    filtered where they are read, which measures texts once more but moves none."""
+    features = read_features(docs, id_col=id_col, text_col=text_col)
+    _, scorer = fit_quality(features, **options)
+    common.discard(features)
+    place = docs.columns.index(text_col)
 
     def keep(batches):
+        blank = Scorer()
+        measure = Measurer(blank)
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
-            one = pa.RecordBatch.from_arrays([text], names=["x"])
-            for scored in _score([one], scorer, threshold):
-                yield batch.filter(scored.column(scored.num_columns - 1))
+            texts = batch.column(place).cast(pa.string())
+            good = [scorer.score(*_arrays(*_read(measure, blank, x.as_py() or "")[1:])) >= threshold for x in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

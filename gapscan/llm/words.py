@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -70,12 +71,16 @@ class ChunkRows:
         self.rows = np.zeros((1024, width))
 
     def total(self, counts: Counter) -> np.ndarray:
-        """The sum of the rows of ``counts``, weighted by its counts.  A text with
-        more distinct chunks than fit is summed in parts."""
+        """The sum of the rows of ``counts``, weighted by its counts."""
+        return sum(k @ rows for k, rows in self.parts(counts))
+
+    def parts(self, counts: Counter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Counts and their rows; a text with more distinct chunks than fit comes in parts."""
         if len(counts) > self.most // 2:
             items = list(counts.items())
-            half = [Counter(dict(items[i::2])) for i in (0, 1)]
-            return self.total(half[0]) + self.total(half[1])
+            for i in (0, 1):
+                yield from self.parts(Counter(dict(items[i::2])))
+            return
         found = list(map(self.at.get, counts))
         if None in found:
             new = [c for c, i in zip(counts, found, strict=True) if i is None]
@@ -87,14 +92,15 @@ class ChunkRows:
                 grown = np.zeros((max(need, 2 * len(self.rows)), self.rows.shape[1]))
                 grown[: len(self.rows)] = self.rows
                 self.rows = grown
+            first = need - len(new)
             if self.many:
-                self.rows[need - len(new) : need] = self.compute(new)
-            for c in new:
-                i = self.at[c] = len(self.at)
-                if not self.many:
-                    self.rows[i] = self.compute(c)
+                self.rows[first:need] = self.compute(new)
+            else:
+                flat = np.fromiter(chain.from_iterable(map(self.compute, new)), np.float64, len(new) * self.rows.shape[1])
+                self.rows[first:need] = flat.reshape(len(new), -1)
+            self.at.update(zip(new, range(first, need), strict=True))
             found = list(map(self.at.__getitem__, counts))
-        return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[found]
+        yield np.fromiter(counts.values(), np.float64, len(counts)), self.rows[found]
 
 
 def sigmoid(x):

@@ -2,8 +2,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gapscan.llm.exact_dedup import drop_exact_copies, exact_dedup, rice_decode, rice_encode
+from gapscan.llm.exact_dedup import Exchange, drop_exact_copies, exact_dedup, normalised, rice_decode, rice_encode
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -54,3 +55,15 @@ for i_, t_ in ROWS:
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup(none).count() == 0 and drop_exact_copies(none).count() == 0
+
+
+def test_only_suspects_are_shuffled(spark):
+    """Texts that pass the test are the copies and few others, wherever they lie."""
+    rows = [(i, f"text {i} " + "filler " * 50) for i in range(4000)] + [(5000 + i, f"text {i % 40} " + "filler " * 50) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = Exchange(docs, "doc_id", "text", 10, 1_000_000, 2_000_000)
+    passed = {r.doc_id for r in docs.filter(found.suspect(F.xxhash64(normalised()))).collect()}
+    copies = set(range(40)) | set(range(5000, 5200))
+    assert copies <= passed and len(passed) <= len(copies) + 0.05 * len(rows)
+    assert {r.keep_id for r in found.groups.collect()} == set(range(5160, 5200))
+    assert drop_exact_copies(docs).count() == 4000

@@ -65,13 +65,13 @@ def _sign(batches, width: int, k: int, rows: int, weighting: str):
 def _sets(batches, width: int, weighting: str):
     """Sorted 64-bit shingles and their counts, for the documents to verify."""
     for batch in batches:
-        uids = batch.column(0)
-        for start, texts in text_batches(batch.column(1)):
+        for start, texts in text_batches(batch.column(2)):
             doc, hashes, counts = shingle_batch(texts, width)
             offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-            columns = [uids.slice(start, len(texts)), pa.ListArray.from_arrays(offsets, hashes.view(np.int64))]
+            columns = [batch.column(i).slice(start, len(texts)) for i in (0, 1)]
+            columns.append(pa.ListArray.from_arrays(offsets, hashes.view(np.int64)))
             columns.append(pa.ListArray.from_arrays(offsets, _weights(counts, weighting).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "s", "w"])
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "met", "s", "w"])
 
 
 def jaccard(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.ndarray) -> float:
@@ -129,7 +129,7 @@ def _unlike_neighbours(members: DataFrame, label: DataFrame, sets: DataFrame, th
     """Links between members of one bucket that are still in different classes.  The
     bucket's largest class needs no comparison within itself; what is left is compared
     with every member, block by block, and only links leave a block."""
-    labelled = members.select("key", "uid").join(label.select(F.col("node").alias("uid"), "label").hint("merge"), "uid", "left")
+    labelled = members.join(label.select(F.col("node").alias("uid"), "label").hint("merge"), "uid", "left")
     labelled = common.staged(labelled.select("key", "uid", F.coalesce("label", "uid").alias("label")), "labelled")
     kinds = labelled.groupBy("key", "label").count().groupBy("key").agg(
         F.max_by("label", F.struct("count", "label")).alias("major"),
@@ -137,13 +137,15 @@ def _unlike_neighbours(members: DataFrame, label: DataFrame, sets: DataFrame, th
     )
     open_ = common.staged(kinds.filter("kinds > 1").drop("kinds"), "open")
     inside = common.staged(labelled.join(open_.hint("shuffle_hash"), "key"), "inside")
-    full = inside.join(sets.hint("shuffle_hash"), "uid")
+    full = inside.join(sets.select("uid", "s", "w").hint("shuffle_hash"), "uid")
     packed = F.collect_list(F.struct("uid", "label", "s", "w"))
     cut = lambda n: F.pmod(F.xxhash64("uid"), F.ceil(n / block))
-    few = full.filter("label <> major").groupBy("key", cut(F.col("m") - F.col("most")).alias("c")).agg(packed.alias("us"))
-    all_ = full.groupBy("key", cut(F.col("m")).alias("b")).agg(packed.alias("vs"))
-    met = common.staged(few, "few").join(common.staged(all_, "all").hint("shuffle_hash"), "key").select("us", "vs")
-    return met.mapInArrow(lambda it: _verify_blocks(it, threshold), "u long, v long").distinct()
+    few = common.staged(full.filter("label <> major").groupBy("key", cut(F.col("m") - F.col("most")).alias("c")).agg(packed.alias("us")), "few")
+    all_ = common.staged(full.groupBy("key", cut(F.col("m")).alias("b")).agg(packed.alias("vs")), "all")
+    met = few.join(all_.hint("shuffle_hash"), "key").select("us", "vs")
+    links = common.staged(met.mapInArrow(lambda it: _verify_blocks(it, threshold), "u long, v long").distinct(), "links")
+    common.discard(labelled, open_, inside, few, all_)
+    return links
 
 
 def near_duplicate_classes(
@@ -183,44 +185,46 @@ def near_duplicate_classes(
         "groups",
     )
     reps = keyed.filter("words > 0").join(groups.select(F.col("rep").alias("uid")).hint("shuffle_hash"), "uid", "left_semi")
+    reps = common.staged(reps.select("uid", "id", "h", "bands"), "reps")
 
+    # members of buckets of two and more; how many others a member meets over all its bands
     rows_ = reps.select("uid", F.explode("bands").alias("key"))
-    sizes = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = common.staged(rows_.join(sizes.hint("merge"), "key"), "members")
-    central = members.groupBy("uid").agg(F.sum("size").alias("score"))
-    leaders = (
-        members.join(central.hint("merge"), "uid")
-        .groupBy("key").agg(F.max_by("uid", F.struct("score", "uid")).alias("leader"))
-    )
-    met = members.select("key", "uid").join(leaders.hint("merge"), "key").filter("uid <> leader")
-    pairs = common.staged(met.select(F.col("uid").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
-
-    wanted = members.select("uid").distinct()
-    named = common.staged(
-        reps.select("uid", "id", "h").join(wanted.hint("shuffle_hash"), "uid", "left_semi"), "named"
-    )
-    same = (slim["h"] == named["h"]) & slim["id"].eqNullSafe(named["id"])
-    texts = slim.join(named.hint("shuffle_hash"), same).select(named["uid"], slim["t"])
-    sets = common.staged(
-        texts.mapInArrow(lambda it: _sets(it, width, weighting), "uid long, s array<long>, w array<float>"), "sets"
-    )
-
-    left = sets.select(F.col("uid").alias("u"), F.col("s").alias("us"), F.col("w").alias("uw"))
+    sizes = common.staged(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    shared = rows_.join(sizes.hint("shuffle_hash"), "key").groupBy("uid").agg(F.collect_list("key").alias("keys"), F.sum("size").alias("score"))
+    shared = common.staged(shared, "shared")
+    members = shared.select("uid", "score", F.explode("keys").alias("key"))
+    leaders = common.staged(members.groupBy("key").agg(F.max_by("uid", F.struct("score", "uid")).alias("leader")), "leaders")
+    met = members.join(leaders.hint("shuffle_hash"), "key").groupBy("uid").agg(F.collect_set("leader").alias("met"))
+    met = met.withColumn("met", F.array_remove("met", F.col("uid")))
+    named = common.staged(reps.select("uid", "id", "h").join(met.hint("merge"), "uid"), "named")
+
+    # only texts of members move: a table of bits, of bounded size, tells them
+    some = slim.filter(common.bit_filter(named, "h")(F.col("h")))
+    same = (some["h"] == named["h"]) & some["id"].eqNullSafe(named["id"])
+    texts = some.join(named.hint("shuffle_hash"), same).select(named["uid"], named["met"], some["t"])
+    sets = texts.mapInArrow(lambda it: _sets(it, width, weighting), "uid long, met array<long>, s array<long>, w array<float>")
+    sets = common.staged(sets, "sets")
+    if sets.count() > named.count():  # rows repeated with id and text: one of them
+        sets = common.staged(sets.dropDuplicates(["uid"]), "sets")
+
+    left = sets.select(F.col("uid").alias("u"), F.explode("met").alias("v"), F.col("s").alias("us"), F.col("w").alias("uw"))
     right = sets.select(F.col("uid").alias("v"), F.col("s").alias("vs"), F.col("w").alias("vw"))
-    full = pairs.join(left.hint("shuffle_hash"), "u").join(right.hint("shuffle_hash"), "v")
+    full = left.join(right.hint("shuffle_hash"), "v").select("u", "v", "us", "uw", "vs", "vw")
     links = common.staged(full.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), "links")
     label = connected_components(links)
-    more = common.staged(_unlike_neighbours(members, label, sets, threshold, block), "links")
+    more = _unlike_neighbours(members.select("key", "uid"), label, sets, threshold, block)
     if more.head(1):
         label = connected_components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
     sized = groups.join(label.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").select(
         "words", "hi", "lo", "best", "n", F.coalesce("label", "rep").alias("label")
     )
-    classes = sized.groupBy("label").agg(F.min("best").alias("first"), F.sum("n").alias("class_size"))
+    sized = common.staged(sized, "labels")
+    classes = common.staged(sized.groupBy("label").agg(F.min("best").alias("first"), F.sum("n").alias("class_size")), "sums")
     full = common.staged(
         sized.select("words", "hi", "lo", "label").join(classes.hint("merge"), "label").drop("label"), "classes"
     )
+    common.discard(groups, reps, sizes, shared, leaders, named, sets, links, more, sized, classes)
     return keyed.drop("bands").join(full.hint("merge"), ["words", "hi", "lo"]).select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("class_id"),
@@ -231,10 +235,13 @@ def near_duplicate_classes(
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
+    """The documents that stay, one of each class, with all their columns.  Rows whose
+    class is theirs alone are not shuffled."""
     found = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
-    rows = found.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__key")).agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("__copies")
-    )
+    found = common.staged(found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__key"), "kept", "class_size"), "found")
+    shared = common.bit_filter(found.filter("class_size > 1"), "__key")
+    rows = found.filter(shared(F.col("__key"))).groupBy("__id", "__key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("__copies"))
     kept = common.staged(rows.filter("kept").drop("kept"), "kept")
-    return common.keep_rows(docs, kept, F.xxhash64(text_col), id_col)
+    common.discard(found)
+    key = F.xxhash64(text_col)
+    return docs.filter(~shared(key)).unionByName(common.keep_rows(docs.filter(shared(key)), kept, key, id_col))

@@ -13,6 +13,14 @@ import numpy as np
 _ODD = re.compile("[\x1c-\x1f]")
 #: ASCII punctuation that may be cut off the end of a chunk (the apostrophe may not).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this are lower-cased to one letter here and in the tokenizer, but for
+#: the capital I with a dot, which becomes a letter and a mark.
+_LATIN, _DOTTED = "\u0250", "\u0130"
+
+
+def _plain(word: str) -> bool:
+    """Latin letters only: the tokenizer takes the word as one run of letters."""
+    return word.isalpha() and (word.isascii() or (max(word) < _LATIN and _DOTTED not in word))
 
 
 class ChunkTokenizer:
@@ -60,8 +68,8 @@ class ChunkTokenizer:
 
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
-        words = [c for c in chunks if c.isalpha()]
-        rest = [c for c in chunks if not c.isalpha()]
+        words = [c for c in chunks if _plain(c)]
+        rest = [c for c in chunks if not _plain(c)]
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
             found.update(zip(part, self._encode_words(part) or self._encode_any(part), strict=True))
@@ -86,7 +94,7 @@ class ChunkTokenizer:
                 out[chunk] = known
                 continue
             core = chunk.rstrip(_TAIL)
-            if core and core != chunk and core[-1].isalpha():
+            if core and core != chunk and _plain(core[-1]):
                 split[chunk] = parts = (core, chunk[len(core) :])
                 need.update(x for x in parts if self._known(x) is None)
             else:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -25,6 +26,23 @@ def test_chunk_ids_equal_plain_encoding():
         assert np.frombuffer(cached.id_bytes(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_mixed_scripts_equal_plain_encoding():
+    plain, cached = Tokenizer.from_file(PATH), ChunkTokenizer(PATH, max_chunks=500)
+    rng = random.Random(6)
+    spans = [(0x20, 0x7F), (0xA0, 0x250), (0x250, 0x400), (0x400, 0x530), (0x590, 0x700), (0x900, 0x980), (0x1100, 0x1200),
+             (0x1E00, 0x2070), (0x2100, 0x2150), (0x3040, 0x3100), (0xAC00, 0xAD00), (0xFB00, 0xFB07), (0x1F600, 0x1F650)]
+
+    def word():
+        if rng.random() < 0.4:
+            return "".join(rng.choice("abeISTİıÉßΣς") for _ in range(rng.randint(1, 5))) + rng.choice([".", "!", "?,", "...", "'s", '"', ")"])
+        lo, hi = rng.choice(spans)
+        return "".join(chr(rng.randrange(lo, hi)) if rng.random() < 0.8 else rng.choice("İı'.-") for _ in range(rng.randint(1, 6)))
+
+    texts = ["aİ.", "TATİLİ!", "Aİ, b", "aİb cİ dd"] + [" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(cached.id_bytes(text), "<u4").tolist() == want.ids, text
+
+
 def test_best_fit_prefers_the_tightest_bin():
     bins = best_fit([60, 50, 40, 50, 100], 100)
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3], [4]]

@@ -4,16 +4,19 @@ Both halves of a vector are quantised with a codebook of their own, fitted on a
 bounded sample.  The cells are pairs of centroids.  A query walks the cells in the
 order of summed distance, the negative inner product of each half with its
 centroid, taking the next pair from a heap, until the cells passed hold
-a measured share of the vectors.  Every vector is indexed; candidates are scored exactly.
+a measured share of the vectors.  Every vector is indexed; only vectors of the cells
+passed are scored, exactly.
 
-Equal vectors are indexed once with their ``k + 1`` smallest ids: no other of them
-can be in a result, since ties go to the smaller id.  Cells are cut into blocks of
-vectors and of queries, and a block pair is one matrix product, so no cell, however
-full, meets in one task.
+Cells are fine, so that few vectors are scored, and neighbouring cells are stored
+together as a unit: a query is sent to a unit once, with one bit for each cell it
+passed there.  Units are cut into blocks of vectors and of queries, so none, however
+full, meets in one task.  Equal vectors are indexed once with their ``k + 1`` smallest
+ids: no other of them can be in a result, since ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, hold a null or non-finite value,
 or differ in length from most others take no part; null ids take no part; ids that
-repeat are candidates once for each distinct vector; an empty table gives no rows.
+repeat are candidates once for each distinct vector, and ask once for each; other
+columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,21 +102,28 @@ def _assign(batches, books, dim: int):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
 
 
-def _probe(batches, books, counts: np.ndarray, dim: int, wanted: int):
+def _probe(batches, books, counts: np.ndarray, dim: int, wanted: int, span: int):
+    """A row for each query and unit it passes, with the bits of the cells passed there."""
     half = len(books[0][0])
     for batch in batches:
         if not batch.num_rows:
             continue
         q = _matrix(batch.column("v"), dim)
         first, second = -(q[:, :half] @ books[0].T), -(q[:, half:] @ books[1].T)
-        cells = [walk(x, y, counts, wanted) for x, y in zip(first, second, strict=True)]
-        rows = np.repeat(np.arange(len(q)), [len(c) for c in cells])
-        flat = np.array([c for own in cells for c in own], np.int32)
+        rows, units, bits = [], [], []
+        for i, (x, y) in enumerate(zip(first, second, strict=True)):
+            cells = np.sort(np.array(walk(x, y, counts, wanted)))
+            met, starts = np.unique(cells // span, return_index=True)
+            for unit, own in zip(met.tolist(), np.split(cells, starts[1:]), strict=True):
+                passed = np.zeros(span, bool)
+                passed[own - unit * span] = True
+                rows.append(i)
+                units.append(unit)
+                bits.append(np.packbits(passed).tobytes())
         for at in range(0, len(rows), 20_000):
             part = batch.take(pa.array(rows[at : at + 20_000]))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("q"), part.column("v"), pa.array(flat[at : at + 20_000])], names=["q", "v", "cell"]
-            )
+            columns = [part.column("q"), part.column("v"), pa.array(units[at : at + 20_000], pa.int32()), pa.array(bits[at : at + 20_000], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "v", "unit", "bits"])
 
 
 def _best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,10 +151,21 @@ def _score(batches, dim: int, k: int, held_rows: int = 400_000):
             qv = np.asarray(batch.column("qs")[row].values.field("v").flatten(), np.float64).reshape(-1, dim)
             vs = np.asarray(batch.column("vs")[row].values.field("g"))
             vv = np.asarray(batch.column("vs")[row].values.field("v").flatten(), np.float64).reshape(-1, dim)
-            rough = qv @ vv.T
+            cells = np.asarray(batch.column("vs")[row].values.field("at"))
+            marks = batch.column("qs")[row].values.field("bits")
+            passed = np.unpackbits(np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(qs), -1), axis=1)
+            order = np.argsort(cells, kind="stable")
+            cells, vs, vv = cells[order], vs[order], vv[order]
+            rough = np.full((len(qs), len(vs)), -np.inf)
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True):
+                who = np.flatnonzero(passed[:, cells[lo]])
+                rough[who, lo:hi] = qv[who] @ vv[lo:hi].T
             take = min(k, len(vs))
             edge = np.partition(rough, len(vs) - take, axis=1)[:, len(vs) - take]
-            i, j = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+            i, j = np.nonzero((rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (rough > -np.inf))
+            if not len(i):
+                continue
             score = (vv[j] * qv[i]).sum(1)  # one order of summation, wherever a vector lies
             parts.append((qs[i], vs[j], score))
             held += len(i)
@@ -171,19 +192,20 @@ def search(
     k: int = 20,
     codebook: int | None = None,
     share: float | None = None,
-    target_recall: float = 0.95,
+    target_recall: float = 0.93,
     sample_rows: int = 20_000,
     block: int = 256,
+    unit_rows: int = 2048,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` largest inner products
     found for each row that ``is_query`` (a Column) marks, among all other rows.
 
-    ``codebook``: centroids a half (by default sqrt(n / 200), between 8 and 256).
+    ``codebook``: centroids a half (by default sqrt(n), between 8 and 256).
     ``share``: the share of the vectors that the cells passed must hold; by default
     the least that reaches ``target_recall`` among the sample, where it is measured
-    by brute force.  Neighbours in the sample lie farther off than those in the
-    table, so the measure errs on the safe side.  ``sample_rows`` bounds the rows
-    that the codebooks are fitted and the share is measured on.
+    by brute force.  ``sample_rows`` bounds the rows that the codebooks are fitted and
+    the share is measured on.  ``unit_rows``: about how many vectors cells are stored
+    together for; ``block``: queries of a block, and a quarter of its vectors.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -211,9 +233,11 @@ def search(
     if not len(sample):
         sample = np.array([r.v for r in grouped.select("v").limit(sample_rows).collect()], np.float64).reshape(-1, dim)
     half = max(1, dim // 2)
-    codebook = codebook or int(min(256, max(8, (n / 200) ** 0.5)))
+    codebook = codebook or int(min(256, max(8, n**0.5)))
     books = [fit_codebook(sample[:, :half], codebook), fit_codebook(sample[:, half:], codebook) if dim > 1 else np.zeros((1, 0))]
     cells = len(books[0]) * len(books[1])
+    rows_of_cells = -(-len(books[0]) // max(1, min(len(books[0]), n // unit_rows)))
+    span = rows_of_cells * len(books[1])  # cells of a unit: some neighbouring first centroids with all second ones
     indexed = common.staged(
         grouped.select("g", "v", "ids").mapInArrow(
             lambda it: _assign(it, books, dim), f"g long, v array<{kept_as}>, ids array<long>, cell int"
@@ -231,25 +255,27 @@ def search(
     queries = valid.filter("is_q").select("id", "v", F.xxhash64("v").alias("h"))
     asked = queries.select("h", "v").distinct().join(grouped.select("h", "v", "g").hint("merge"), ["h", "v"]).select(F.col("g").alias("q"), "v")
     visits = common.staged(
-        asked.mapInArrow(lambda it: _probe(it, books, counts, dim, wanted), f"q long, v array<{kept_as}>, cell int"), "visits"
+        asked.mapInArrow(lambda it: _probe(it, books, counts, dim, wanted, span), f"q long, v array<{kept_as}>, unit int, bits binary"), "visits"
     )
-    asked_of = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # as bounded
+    held = np.add.reduceat(counts, np.arange(0, cells, span))
+    asked_of = {r["unit"]: r["count"] for r in visits.groupBy("unit").count().collect()}  # at most a unit a centroid
     cut = spark.createDataFrame(
-        [(c, int(-(-counts[c] // block)), -(-m // block)) for c, m in asked_of.items()] or [(0, 1, 1)], "cell int, vcut int, qcut int"
+        [(u, int(-(-held[u] // (4 * block))), -(-m // block)) for u, m in asked_of.items()] or [(0, 1, 1)], "unit int, vcut int, qcut int"
     )
-    cut = F.broadcast(cut)  # one row a cell
+    cut = F.broadcast(cut)  # one row a unit
+    place = F.col("cell") - F.col("unit") * span
     vblocks = (
-        indexed.join(cut, "cell").withColumn("b", F.pmod(F.xxhash64("g"), "vcut"))
-        .groupBy("cell", "b").agg(F.collect_list(F.struct("g", "v")).alias("vs"))
+        indexed.withColumn("unit", F.floor(F.col("cell") / span).cast("int")).join(cut, "unit").withColumn("b", F.pmod(F.xxhash64("g"), "vcut"))
+        .groupBy("unit", "b").agg(F.collect_list(F.struct("g", "v", place.alias("at"))).alias("vs"))
     )
     qblocks = (
-        visits.join(cut, "cell").withColumn("c", F.pmod(F.xxhash64("q"), "qcut"))
-        .groupBy("cell", "c").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
+        visits.join(cut, "unit").withColumn("c", F.pmod(F.xxhash64("q"), "qcut"))
+        .groupBy("unit", "c").agg(F.collect_list(F.struct("q", "v", "bits")).alias("qs"))
     )
-    met = common.staged(qblocks, "qblocks").join(common.staged(vblocks, "vblocks").hint("shuffle_hash"), "cell").select("qs", "vs")
+    met = common.staged(qblocks, "qblocks").join(common.staged(vblocks, "vblocks").hint("shuffle_hash"), "unit").select("qs", "vs")
     # a task holds its queries' best, so some dozens of block pairs a task keep the lists few
-    pairs = sum(-(-int(counts[c]) // block) * -(-m // block) for c, m in asked_of.items())
-    scored = met.coalesce(max(1, -(-pairs // 32))).mapInArrow(lambda it: _score(it, dim, k + 1), "q long, g long, score double")
+    pairs = sum(-(-int(held[u]) // (4 * block)) * -(-m // block) for u, m in asked_of.items())
+    scored = met.coalesce(max(1, -(-pairs // 8))).mapInArrow(lambda it: _score(it, dim, k + 1), "q long, g long, score double")
     # a query's own row may fill a place, hence k + 1 distinct vectors
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
     members = best.join(indexed.select("g", "ids").hint("merge"), "g").select("q", "score", F.explode("ids").alias("vec_id"))

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its words and their character 5-grams, hashed; each counts
-once.  On a bounded sample of labelled documents, terms are selected whose presence
+once.  On a bounded sample of labelled documents, whose terms are counted by Spark and
+of which only terms that may be selected reach the driver, terms are selected whose presence
 differs significantly between the classes, alone or together with another term (the
 covariance of the two), and a factorization machine
 (weights, and ``factors`` latent numbers a term for pairwise interactions such as an
@@ -9,8 +10,10 @@ insult together with a group) is trained by AdaGrad.  Scoring reads whole texts.
 
 Defined cases: null or empty text scores as no terms do; a null id is never learned
 from and not held out; labels that are null are skipped and repeated ones count
-once, as the largest; without both classes to learn from every score is the share
-of class 1 (0 without labels).
+once, as the largest; repeated rows are scored each, alike; texts beyond ``max_chars``
+are scored whole but not learned from; without both classes to learn from every score
+is the share of class 1 (0 without labels); an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -135,8 +138,32 @@ class FactorizationMachine:
 
 def _collect_terms(batches, mask: int):
     for batch in batches:
-        found = [terms(x.as_py() or "", mask).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "terms"])
+        found = pa.array([terms(x.as_py() or "", mask) for x in batch.column(1)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["y", "terms"])
+
+
+def _numbered(batches, where: np.ndarray):
+    """The kept terms of each row by their numbers, as bytes."""
+    for batch in batches:
+        lists, out = batch.column(1), []
+        flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i in range(batch.num_rows):
+            x = where[flat[cuts[i] : cuts[i + 1]]]
+            out.append(np.sort(x[x >= 0]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "terms"])
+
+
+def _eligible(sample: DataFrame, least_z: float, pair_z: float) -> np.ndarray:
+    """Buckets that may be selected, alone or in a pair: Spark counts the rows of each."""
+    count = lambda y: F.count_if("y" if y else ~F.col("y"))
+    n1, n0 = sample.agg(count(True), count(False)).first()
+    seen = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(count(True).alias("pos"), count(False).alias("neg"))
+    p = (F.col("pos") + F.col("neg")) / (n1 + n0)
+    z = (F.col("pos") / max(1, n1) - F.col("neg") / max(1, n0)) / F.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-9)
+    rows = F.col("pos") + F.col("neg")
+    paired = (rows >= pair_z**2) & (n1 + n0 - rows >= pair_z**2)
+    found = seen.filter((F.abs(z) >= 0.999 * least_z) | paired).select("term").toArrow()  # select() decides; at most 2**bits
+    return np.sort(found.column(0).to_numpy()).astype(np.int64)
 
 
 def _score(batches, model: FactorizationMachine, most: int = 300_000):
@@ -164,7 +191,8 @@ def fit_toxicity_model(
     least_z: float = 5.0, pair_z: float = 8.0, **fit,
 ) -> FactorizationMachine:
     """Fit on a bounded sample: ``per_class`` labelled documents of either class (twice
-    as many of the negative one), of at most ``max_chars`` characters, drawn by hash."""
+    as many of the negative one), of at most ``max_chars`` characters, drawn by hash of
+    the id."""
     marked = labels.filter((common.crc_mod(id_col, folds) != held_fold) & F.col(label_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col) != 0).alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
@@ -177,16 +205,23 @@ def fit_toxicity_model(
     cut = F.when(F.col("y"), F.lit(int(share[True] * (1 << 20)) + 1)).otherwise(F.lit(int(share[False] * (1 << 20)) + 1))
     some = common.staged(marked.filter(draw < cut).limit(8 * per_class), "labelled")  # bounded, so it can be broadcast
     texts = docs.filter(F.length(text_col) <= max_chars).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("x"))
-    mask = (1 << model.bits) - 1
-    found = (
-        texts.join(F.broadcast(some), "id").select("y", "x").limit(8 * per_class)
-        .mapInArrow(lambda it: _collect_terms(it, mask), "y boolean, terms binary").collect()
-    )
-    found.sort(key=lambda r: (r["y"], r["terms"]))
+    size = 1 << model.bits
+    read = texts.join(F.broadcast(some), "id").select("y", "x").mapInArrow(lambda it: _collect_terms(it, size - 1), "y boolean, terms array<int>")
+    sample = common.staged(read, "terms")
+    kept = _eligible(sample, least_z, pair_z)
+    where = np.full(size, -1, np.int32)
+    where[kept] = np.arange(len(kept))
+    numbered = sample.mapInArrow(lambda it: _numbered(it, where), "y boolean, terms binary")
+    if sample.count() > 8 * per_class:  # ids that repeat in ``docs`` make more rows than labels
+        numbered = numbered.limit(8 * per_class)
+    table = numbered.toArrow()
+    common.discard(sample, some)
+    found = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+    del table
     if not found:
         return model
-    y = np.array([r["y"] for r in found])
-    rows = model.select([np.frombuffer(r["terms"], np.int32) for r in found], y, least_z, pair_z)
+    y = np.array([label for label, _ in found])
+    rows = model.select([kept[np.frombuffer(x, np.int32)].astype(np.int32) for _, x in found], y, least_z, pair_z)
     if y.any() and not y.all():
         model.fit(rows, y.astype(float), **fit)
     return model

@@ -2,18 +2,25 @@
 trained by stochastic gradient descent in numpy, with calibrated rejection.
 
 Training rows are a bounded sample of labelled documents (``per_language`` rows of
-each language of at most ``max_chars`` characters); prediction reads whole texts.
-Averaging and the output layer are linear, so prediction sums one small row for each
-distinct word.  A temperature is fitted on a tenth of the sample, and ``accepted``
-tells where the calibrated score reaches the level at which ``target`` of that tenth
-is right.
+each language of at most ``max_chars`` characters, and ``sample_rows`` in all: with
+many languages each gets fewer, and none is left out); prediction reads whole texts.
+A row is learned from whole and by six of its words, so that short texts are told
+apart too; workers reduce both to feature arrays.  Averaging and the output layer are
+linear, so prediction sums one small row for each distinct word.  A temperature is
+fitted on a tenth of the sample's documents, none of which is trained on, and
+``accepted`` tells where the calibrated score reaches the level at which ``target`` of
+that tenth is right.
 
 Defined cases: null text or one without a letter is ``und`` with score 0; with no
-row to learn from all are ``und``; a null id is not held out and is not learned from.
+row to learn from all are ``und``; a null id is not held out and is not learned from;
+a language whose texts are all beyond ``max_chars`` is learned from those; repeated
+rows are predicted each, alike; languages that tie go by name; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,17 +55,14 @@ class LanguageModel:
     def logits(self, ids, w) -> np.ndarray:
         return (w @ self.embed[ids]) @ self.out + self.bias
 
-    def fit(self, texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, target: float = 0.99, seed: int = 5) -> None:
+    def fit(self, rows: list[list[tuple]], labels: list[str], epochs: int = 4, rate: float = 0.5, target: float = 0.99, seed: int = 5) -> None:
+        """``rows``: the feature arrays that each document gives, one list a document."""
         rng = np.random.default_rng(seed)
         where = {x: i for i, x in enumerate(self.languages)}
-        rows = []
-        for text, label in zip(texts, labels, strict=True):
-            words = text.split()
-            at = int(rng.integers(0, max(1, len(words) - 6)))  # short texts must be told apart too
-            rows += [(f, where[label]) for f in map(self.features, (text, " ".join(words[at : at + 6]))) if len(f[0])]
-        order = rng.permutation(len(rows))
-        held = [rows[i] for i in order[: len(rows) // 10]]
-        train = [rows[i] for i in order[len(rows) // 10 :]]
+        docs = [[(f, where[label]) for f in own if len(f[0])] for own, label in zip(rows, labels, strict=True)]
+        order = rng.permutation(len(docs))
+        held = [x for i in order[: len(docs) // 10] for x in docs[i]]
+        train = [x for i in order[len(docs) // 10 :] for x in docs[i]]
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for i in rng.permutation(len(train)):
@@ -117,34 +121,53 @@ def _predict(batches, model: LanguageModel):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), s, ok], names=["id", "held_out", "lang_pred", "score", "accepted"])
 
 
+def _learn(batches):
+    """Feature arrays (16-bit buckets, 32-bit weights) of a text and of six words of it."""
+    blank = LanguageModel([])
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for x in batch.column(1):
+            text = x.as_py()
+            words = text.split()
+            at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(words) - 6)
+            for k, part in enumerate((text, " ".join(words[at : at + 6]))):
+                ids, w = blank.features(part)
+                out[2 * k].append(ids.astype(np.uint16).tobytes())
+                out[2 * k + 1].append(w.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in out)], names=["y", "ids", "w", "ids6", "w6"])
+
+
 def fit_language_model(
     docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 600, max_languages: int = 200, max_chars: int = 20_000, **fit,
+    per_language: int = 600, sample_rows: int = 12_000, max_chars: int = 20_000, **fit,
 ) -> LanguageModel | None:
-    """Fit on a bounded sample: ``per_language`` rows of each of the ``max_languages``
-    most frequent languages, drawn by hash among the rows that ``learn`` marks."""
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.filter(F.length(text_col).between(1, max_chars)).select(
-        F.col(lang_col).alias("y"), F.col(text_col).alias("x"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)).alias("draw")
-    )
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_languages).collect()}
+    """Fit on a bounded sample: ``per_language`` rows of each language, fewer where there
+    are more than ``sample_rows`` in all, drawn by hash among the rows that ``learn`` marks."""
+    rows = docs.filter(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.col(lang_col).alias("y"), F.col(text_col).alias("x"),
+        (F.length(text_col) <= max_chars).alias("short"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)).alias("draw"),
+    )
+    # one number a language: the set of labels, not of rows
+    sizes = {r["y"]: (r["short"], r["all"]) for r in rows.groupBy("y").agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("all")).collect()}
     if not sizes:
         return None
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("y") == lang, F.lit(int((1 << 20) * min(1.0, 1.1 * per_language / n)) + 1)).otherwise(share)
-    taken = rows.filter(F.col("draw") < share).limit(2 * per_language * len(sizes)).collect()
-    taken.sort(key=lambda r: (r["y"], r["x"]))
-    left = dict.fromkeys(sizes, per_language)
-    texts, labels = [], []
-    for r in taken:
-        if left[r["y"]] > 0:
-            left[r["y"]] -= 1
-            texts.append(r["x"])
-            labels.append(r["y"])
+    each = max(1, min(per_language, sample_rows // len(sizes)))
+    share = [(y, short > 0, int((1 << 20) * min(1.0, 1.1 * each / (short or n) + 3 / (short or n))) + 1) for y, (short, n) in sorted(sizes.items())]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(share, "y string, brief boolean, cut int"))  # a row a language
+    drawn = rows.join(cut, "y").filter((F.col("draw") < F.col("cut")) & (F.col("short") | ~F.col("brief")))
+    taken = drawn.select("y", "x").mapInArrow(_learn, "y string, ids binary, w binary, ids6 binary, w6 binary").limit(2 * each * len(sizes) + 8 * len(sizes)).toArrow()
+    left = dict.fromkeys(sizes, each)
+    features, labels = [], []
+    for y, *raw in sorted(zip(*(c.to_pylist() for c in taken.columns), strict=True)):
+        if left[y] > 0:
+            left[y] -= 1
+            arrays = [np.frombuffer(x, kind) for x, kind in zip(raw, (np.uint16, np.float32) * 2, strict=True)]
+            features.append([(arrays[0], arrays[1]), (arrays[2], arrays[3])])
+            labels.append(y)
+    del taken
     model = LanguageModel(sorted(set(labels)) or sorted(sizes))
-    if texts:
-        model.fit(texts, labels, **fit)
+    if features:
+        model.fit(features, labels, **fit)
     return model
 
 

@@ -18,9 +18,27 @@ def test_shares_are_even_and_few_keys_move():
         fill_table(["a"], 10)
 
 
+def claimed(shards, slots):
+    """The claim loop, plainly: each shard's whole order first, then turn by turn the
+    first slot of its order that nobody holds."""
+    orders = []
+    for name in shards:
+        raw = hashlib.blake2b(name.encode(), digest_size=16).digest()
+        start, step = (int.from_bytes(raw[at : at + 8], "big") for at in (0, 8))
+        orders.append(iter([(start % slots + k * (step % (slots - 1) + 1)) % slots for k in range(slots)]))
+    holder = {}
+    while len(holder) < slots:
+        for i, order in enumerate(orders):
+            free = next((s for s in order if s not in holder), None)
+            if free is not None:
+                holder[free] = i
+    return [holder[s] for s in range(slots)]
+
+
 def test_place_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    table = fill_table(SHARDS)
+    table = claimed(SHARDS, SLOTS)
+    assert fill_table(SHARDS) == table
     out = place(docs, ["doc_id"], fallback=["text"])
     rows = out.collect()
     assert len(rows) == docs.count()
@@ -33,7 +51,7 @@ def test_place_against_brute_force(spark, sf_dir, tmp_path):
 
 
 def test_edges(spark):
-    rows = [(None, f"t{i}", "x") for i in range(50)] + [(1, "a", "y"), (1, "b", "y"), (2, None, None), (None, None, None)]
+    rows = [(None, f"t{i}", "x") for i in range(50)] + [(1, "a", "y"), (1, "b" * 2_000_000, "y"), (2, None, None), (None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     out = place(docs, ["doc_id"], fallback=["text"]).collect()
     assert len(out) == 54 and len({r.shard for r in out if r.doc_id is None}) > 10

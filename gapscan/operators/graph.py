@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
+from .lineage import cut_lineage
 from .symbols import best_constructor
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names, which all executors share; a
-    local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 EDGE_KINDS = ("uses", "injects", "repositories", "clients", "extends", "implements")
 
 
@@ -67,7 +54,7 @@ CLIENT_HINTS = (
     "smtpmailer", "javamailer", "mailsender",
     "elasticsearchclient", "restclientbuilder",
 )
-SLICES = {"RestController": "web", "Controller": "web", "Repository": "data", "Configuration": "context"}
+SLICES = {"RestController": "web", "Controller": "web", "ControllerAdvice": "web", "RestControllerAdvice": "web", "Repository": "data", "Configuration": "context"}
 
 
 def build_dependencies(members: DataFrame, params: DataFrame, classes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
+from .lineage import cut_lineage
 
 
 def target_ids(coverage: DataFrame, mode: str = "coverage", config: Config = DEFAULT) -> DataFrame:
@@ -23,23 +24,20 @@ def filter_by_mode(targets: DataFrame, mode: str = "coverage") -> DataFrame:
     return targets.filter(wanted[mode])
 
 
-def _rule_prefix(pattern: Column) -> Column:
-    return F.regexp_replace(pattern, r"\*+$", "")
-
-
 def exclude_generated(df: DataFrame, rules: DataFrame, *, col: str = "sut", boundary: bool = False) -> DataFrame:
     """F-2: anti join on exact names, then on package patterns.  With ``boundary`` a
     package ends at a dot and path globs are left out, which makes the second join equi
     too: a class is matched through each of its dotted prefixes.  Without it a pattern
     is an unanchored prefix (``*`` is any text); the few patterns are one broadcast regex."""
-    exact = rules.filter("rule_kind = 'fqcn'").select(F.col("pattern").alias(col)).distinct()
     packages = rules.filter("rule_kind = 'package'")
-    left = df.join(exact, col, "left_anti")
+    exact = rules.filter("rule_kind = 'fqcn'").select(F.col("pattern").alias(col))
     if boundary:
-        names = packages.filter(~F.col("pattern").contains("/")).select(F.regexp_replace("pattern", r"(\.\*+|\.)$", "").alias("__prefix")).distinct()
-        prefixes = left.select(col).distinct().withColumn("__prefix", F.explode(dotted_prefixes(F.col(col))))
-        bad = prefixes.join(names, "__prefix", "left_semi").select(col).distinct()
-        return left.join(bad, col, "left_anti")
+        names = packages.filter(~F.col("pattern").contains("/")).select(F.regexp_replace("pattern", r"(\.\*+|\.)$", "").alias("__prefix"), F.lit(False).alias("__whole"))
+        named = names.unionByName(exact.select(F.col(col).alias("__prefix"), F.lit(True).alias("__whole"))).distinct()
+        prefixes = df.select(col).distinct().withColumn("__prefix", F.explode(dotted_prefixes(F.col(col))))
+        met = prefixes.join(named.hint("shuffle_hash"), "__prefix").filter(~F.col("__whole") | (F.col(col) == F.col("__prefix")))
+        return df.join(met.select(col).distinct().hint("merge"), col, "left_anti")
+    left = df.join(exact.distinct(), col, "left_anti")
     pattern = packages.agg(
         F.array_join(F.collect_set(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.\[\](){}+?^$|\\])", r"\\$1"), r"\*", ".*"))), "|").alias("__re")
     )  # one row: rules are a short list kept by hand
@@ -97,24 +95,19 @@ def collapse_lambdas(targets: DataFrame) -> DataFrame:
     lambda without one becomes a target ``name()`` of its own, flagged."""
     name = F.regexp_extract("method", r"^lambda\$([A-Za-z_]\w*)\$\d+\(", 1)
     parts = targets.withColumn("__lambda", name).withColumn("__name", F.when(name != "", name).otherwise(F.substring_index("method", "(", 1)))
-    last = Window.partitionBy("repo", "sut", "__name").orderBy(F.col("__lambda") == "", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parent = parts.withColumn("__parent", F.when(F.last("__lambda").over(last) == "", F.last("target_id").over(last)))
-    lambdas = parent.filter("__lambda <> ''")
-    groups = lambdas.filter(F.col("__parent").isNotNull()).groupBy(F.col("__parent").alias("target_id")).agg(
-        F.sum("missed_lines").alias("__l"), F.sum("missed_branches").alias("__b"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target_id"))), lambda x: x["target_id"]), ",").alias("__from"),
-    )
-    whole = parent.filter("__lambda = ''").join(groups, "target_id", "left").select(
-        "repo", "target_id", "sut", "method", "pos",
-        (F.col("missed_lines") + F.coalesce("__l", F.lit(0))).alias("missed_lines"),
-        (F.col("missed_branches") + F.coalesce("__b", F.lit(0))).alias("missed_branches"),
-        F.coalesce("__from", F.lit("")).alias("collapsed"), F.lit(False).alias("fallback"),
-    )
-    alone = lambdas.filter(F.col("__parent").isNull()).select(
-        "repo", "target_id", "sut", F.concat("__lambda", F.lit("()")).alias("method"), "pos", "missed_lines", "missed_branches",
-        F.lit("").alias("collapsed"), F.lit(True).alias("fallback"),
+    is_lambda, alike = F.col("__lambda") != "", Window.partitionBy("repo", "sut", "__name")
+    own = F.struct("pos", "target_id")
+    seen = parts.withColumn("__parent", F.max(F.when(~is_lambda, own)).over(alike)).withColumn("__group", F.struct(
+        F.sum(F.when(is_lambda, F.col("missed_lines"))).over(alike).alias("l"), F.sum(F.when(is_lambda, F.col("missed_branches"))).over(alike).alias("b"),
+        F.array_sort(F.collect_list(F.when(is_lambda, own)).over(alike)).alias("from"),
+    ))
+    takes = own == F.col("__parent")  # not so for a lambda
+    more = lambda part: F.when(takes, F.coalesce(F.col(f"__group.{part}"), F.lit(0))).otherwise(0)
+    return seen.filter(~is_lambda | F.col("__parent").isNull()).select(
+        "repo", "target_id", "sut", F.when(is_lambda, F.concat("__lambda", F.lit("()"))).otherwise(F.col("method")).alias("method"), "pos",
+        (F.col("missed_lines") + F.coalesce(more("l"), F.lit(0))).alias("missed_lines"), (F.col("missed_branches") + F.coalesce(more("b"), F.lit(0))).alias("missed_branches"),
+        F.when(takes, F.array_join(F.transform("__group.from", lambda x: x["target_id"]), ",")).otherwise("").alias("collapsed"), is_lambda.alias("fallback"),
     )
-    return whole.unionByName(alone)
 
 
 def enrich_targets(targets: DataFrame, classification: DataFrame, penalties: DataFrame, affected: DataFrame, fixtures: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -146,14 +139,22 @@ def plan_score(config: Config = DEFAULT) -> Column:
 def plan(enriched: DataFrame, limit: int = 0, config: Config = DEFAULT) -> DataFrame:
     """W-2: score, drop what is covered, rank within each repository by score, class and
     input order (``target_id`` breaks ties); ``limit`` 0 keeps all; ``eligible`` counts
-    before the limit.  Filters stand before the window, so only eligible rows are sorted."""
-    scored = drop_covered(enriched.withColumn("plan_score", plan_score(config)))
-    order = Window.partitionBy("repo").orderBy(F.desc("plan_score"), "sut", "pos", "target_id")
-    total = scored.groupBy("repo").agg(F.count(F.lit(1)).alias("eligible"))
-    ranked = scored.withColumn("plan_rank", F.row_number().over(order))
-    if limit:
-        ranked = ranked.filter(F.col("plan_rank") <= limit)
-    return ranked.join(total, "repo")
+    before the limit.  Filters stand before the window, so only eligible rows are sorted,
+    and a repository's rows are ranked score by score, not in one task."""
+    scored = cut_lineage(drop_covered(enriched.withColumn("plan_score", plan_score(config))))  # read twice, worked out once
+    inside = [F.col("sut"), F.col("pos"), F.col("target_id")]
+    if limit:  # Spark drops what no task can need before it shuffles
+        order = Window.partitionBy("repo").orderBy(F.desc("plan_score"), *inside)
+        total = scored.groupBy("repo").agg(F.count(F.lit(1)).alias("eligible"))
+        ranked = scored.withColumn("plan_rank", F.row_number().over(order)).filter(F.col("plan_rank") <= limit)
+        return ranked.join(total.hint("shuffle_hash"), "repo")
+    # rows of one score are ranked together; those of higher scores are only counted
+    counts = scored.groupBy("repo", "plan_score").agg(F.count(F.lit(1)).alias("__n"))
+    higher = Window.partitionBy("repo").orderBy(F.desc("plan_score")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("repo", "plan_score", F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("repo")).alias("eligible"))
+    nth = F.row_number().over(Window.partitionBy("repo", "plan_score").orderBy(*inside))
+    rows = scored.withColumn("__nth", nth).join(counts.hint("shuffle_hash"), ["repo", "plan_score"])
+    return rows.select(*scored.columns, (F.col("__before") + F.col("__nth")).cast("int").alias("plan_rank"), "eligible")
 
 
 def top_suts(planned: DataFrame, n: int) -> DataFrame:

@@ -105,22 +105,27 @@ def best_constructor(members: DataFrame, public_only: bool = False) -> DataFrame
     return best.select("fqcn", "b.*")
 
 
-def build_fixtures(members: DataFrame, classes: DataFrame) -> DataFrame:
+def build_fixtures(members: DataFrame, classes: DataFrame, with_mocks: bool = True) -> DataFrame:
     """C-2: how to make an instance of each class: builder, public constructor, static
-    factory, mock for what cannot be made, degraded mock last."""
-    builder = F.min_by(F.struct(F.lit("builder").alias("strategy"), F.col("evidence_id").alias("evidence")), F.when(F.col("kind") == "builder", F.col("pos")))
-    factory = F.min_by(
-        F.struct(F.lit("static-factory").alias("strategy"), F.col("evidence_id").alias("evidence")),
-        F.when((F.col("kind") == "method") & (F.col("visibility") == "public") & F.col("is_static") & F.coalesce("usable", F.lit(True)), F.col("pos")),
+    method that returns the class, mock; a mock of what is neither an interface nor
+    abstract is degraded.  Interfaces and abstract classes are only ever mocked.
+    ``members``: also entry (of a builder; a generated ``X_Builder`` is none), build,
+    is_static, return_type."""
+    entry, made = F.col("entry"), lambda name, evidence: F.struct(F.lit(name).alias("strategy"), evidence.alias("evidence"))
+    is_builder = (F.col("kind") == "builder") & (entry.contains(".Builder") | (entry.endswith("Builder()") & ~entry.contains("_Builder")))
+    returned = S.simple_name(F.col("return_type")) == S.simple_name(F.col("fqcn"))
+    is_factory = (F.col("kind") == "method") & F.col("is_static") & returned
+    picks = members.groupBy("fqcn").agg(
+        F.min_by(made("builder", F.concat_ws(" … ", entry, F.coalesce("build", F.lit("build()")))), F.when(is_builder, F.col("pos"))).alias("b"),
+        F.min_by(made("factory", F.col("evidence_id")), F.when(is_factory, F.col("pos"))).alias("f"),
     )
-    picks = members.groupBy("fqcn").agg(builder.alias("b"), factory.alias("f"))
-    ctor = best_constructor(members, public_only=True).select("fqcn", F.struct(F.lit("constructor").alias("strategy"), F.col("evidence_id").alias("evidence")).alias("c"))
-    mock = F.struct(F.lit("mock").alias("strategy"), F.lit(None).cast("string").alias("evidence"))
-    degraded = F.struct(F.lit("degraded-mock").alias("strategy"), F.lit(None).cast("string").alias("evidence"))
+    ctor = best_constructor(members, public_only=True).select("fqcn", made("constructor", F.col("evidence_id")).alias("c"))
     abstract = (F.col("kind") == "interface") | F.col("is_abstract")
     rows = classes.join(picks, "fqcn", "left").join(ctor, "fqcn", "left")
-    chosen = F.coalesce("b", F.when(~abstract, F.col("c")), F.col("f"), F.when(abstract, mock), degraded)
-    return rows.withColumn("__x", chosen).select("fqcn", "__x.strategy", "__x.evidence", (F.col("__x.strategy") == "degraded-mock").alias("degraded"))
+    concrete = F.coalesce("b", F.when(F.col("kind") != "annotation", F.col("c")), "f")
+    chosen = F.coalesce(F.when(~abstract, concrete), made("mock", F.lit(None).cast("string")))
+    degraded = (F.col("__x.strategy") == "mock") & ~(abstract & F.lit(with_mocks))
+    return rows.withColumn("__x", chosen).select("fqcn", "__x.strategy", "__x.evidence", degraded.alias("degraded"))
 
 
 def fixture_values(params: DataFrame, literals: dict[str, str] | None = None) -> DataFrame:

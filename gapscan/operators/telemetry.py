@@ -236,14 +236,16 @@ def compile_fail_window(cycles: DataFrame, config: Config = DEFAULT) -> DataFram
     return rated.withColumn("gate", gate)
 
 
-def dynamic_batch_size(cycles: DataFrame, slow_modules: bool = False) -> DataFrame:
-    """W-12: base 5; a fail rate above 0.3 halves it (at least 2); after two good cycles
-    2 more, up to 10; a slow module gets at most 3."""
+def dynamic_batch_size(cycles: DataFrame, base: int = 5, most: int = 10, slow_most: int = 3) -> DataFrame:
+    """W-12: the size of a cycle's batch, from the cycles before it: a fail rate above 0.3
+    in the last one halves the base (at least 2); gains in each of the last two without a
+    failure add 2, up to ``most``; a slow module gets at most ``slow_most``.
+    ``cycles``: run_id, cycle, fail_rate, delta, slow."""
     order = Window.partitionBy("run_id").orderBy("cycle")
-    before = F.lag("fail_rate").over(order)
-    size = F.when(F.col("fail_rate") > 0.3, 2).when((F.col("fail_rate") == 0) & (before == 0), 7).otherwise(5)
-    size = F.least(size, F.lit(10))
-    return cycles.withColumn("batch_size", F.when(F.col("slow"), F.least(size, F.lit(3))).otherwise(size) if slow_modules else size)
+    good = (F.col("delta") > 0) & (F.col("fail_rate") == 0)
+    both = F.coalesce(F.lag(good, 1).over(order) & F.lag(good, 2).over(order), F.lit(False))
+    size = F.when(F.lag("fail_rate").over(order) > 0.3, max(2, base // 2)).when(both, min(base + 2, most)).otherwise(base)
+    return cycles.withColumn("batch_size", F.when(F.col("slow"), F.least(size, F.lit(slow_most))).otherwise(size))
 
 
 def retain_cycles(patches: DataFrame, summaries: DataFrame, keep: int) -> DataFrame:

@@ -95,9 +95,9 @@ ADAPTERS: dict[str, str] = {
                WHEN o_orderkey % 9 = 3 THEN 'strange' ELSE 'generated' END AS status, o_orderkey % 3 AS n_methods
         FROM orders WHERE o_orderkey % 4 < 2""",
     "dep_edges": """
-        SELECT DISTINCT 'n' || CAST(l_partkey % 600 AS STRING) AS src, 'n' || CAST(l_suppkey % 600 AS STRING) AS dst,
+        SELECT DISTINCT 'n' || CAST(l_partkey AS STRING) AS src, 'n' || CAST(l_suppkey AS STRING) AS dst,
                CASE l_linenumber % 3 WHEN 0 THEN 'injects' WHEN 1 THEN 'uses' ELSE 'extends' END AS kind
-        FROM lineitem WHERE l_orderkey % 20 = 0""",
+        FROM lineitem""",
     "members": f"""
         SELECT {sut("p_partkey")} AS fqcn, m AS pos, CASE m WHEN 0 THEN 'constructor' WHEN 1 THEN 'constructor' WHEN 4 THEN 'builder' ELSE 'method' END AS kind,
                CASE m WHEN 0 THEN '<init>' WHEN 1 THEN '<init>' WHEN 3 THEN '<clinit>' ELSE 'do' || CAST(m AS STRING) END AS name,
@@ -107,7 +107,7 @@ ADAPTERS: dict[str, str] = {
                'ev:' || CAST(p_partkey AS STRING) || ':' || CAST(m AS STRING) AS evidence_id
         FROM part CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k""",
     "dependencies": f"""
-        SELECT DISTINCT {sut("(l_partkey)")} AS sut, {sut("(1 + l_suppkey % 90)")} AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem WHERE l_orderkey % 10 = 0""",
+        SELECT DISTINCT {sut("(l_partkey)")} AS sut, {sut("(1 + l_suppkey)")} AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem""",
     "imports": """
         SELECT 'p' || CAST(l_orderkey AS STRING) AS patch_id, l_linenumber AS pos,
                CASE l_partkey % 5 WHEN 0 THEN 'java.util.L' WHEN 1 THEN 'org.junit.A' WHEN 2 THEN 'com.acme.p3.C' WHEN 3 THEN 'org.mockito.M' ELSE 'odd.pkg.X' END
@@ -168,7 +168,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-gapscan-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -117,7 +117,7 @@ add(
             "fqcn AS sut", "CASE WHEN class_no % 17 = 0 THEN 'x' ELSE fqcn END AS request_sut", "concat(fqcn, CASE WHEN class_no % 13 = 0 THEN 'IT' ELSE 'Test' END) AS test_class",
             "CASE WHEN class_no % 11 = 0 THEN array('a.B', 'c.D') ELSE array('a.B') END AS imports", "array('a.B') AS allowed_imports", "CASE WHEN class_no % 7 = 0 THEN array('E') ELSE array('B') END AS annotations",
             "CASE WHEN class_no % 10 = 0 THEN array() WHEN class_no % 10 = 1 THEN array('e9') ELSE array('e1') END AS evidence_ids", "array('e1', 'e2') AS allowed_ids",
-            "CASE WHEN class_no % 9 = 0 THEN array('e2') ELSE array() END AS required_ids", "concat('c', substr(substring_index(fqcn, '.', -1), 2), CASE WHEN class_no % 5 = 0 THEN '.leap();' ELSE '.run(\"x.leap()\");' END) AS body",
+            "CASE WHEN class_no % 9 = 0 THEN array('e2') ELSE array() END AS required_ids", "concat(substring_index(fqcn, '.', -1), ' sut = make(); sut', CASE WHEN class_no % 5 = 0 THEN '.leap();' ELSE '.run(\"sut.leap()\"); other.leap();' END) AS body",
             "array('run') AS evidenced_methods",
         )
     ).select("class_no", "reason"),
@@ -151,13 +151,12 @@ add(
 add(
     "j22_missing_framework_imports",
     lambda t: G.missing_framework_imports(
-        t("classes").selectExpr("fqcn AS file", "CASE class_no % 4 WHEN 0 THEN '@Test void a() { assertThat(x); }' WHEN 1 THEN '@Mock A a; Mockito.when(a);' WHEN 2 THEN '// @Test' ELSE 'x = \"@Mock\"; assertEquals(1, 2);' END AS body"),
-        t("classes").selectExpr("fqcn AS file", "CASE class_no % 5 WHEN 0 THEN 'org.junit.jupiter.api.Test' WHEN 1 THEN 'org.mockito.*' WHEN 2 THEN 'org.junit.jupiter.api.Assertions.*' ELSE 'a.B' END AS import"),
+        t("classes").selectExpr("fqcn AS file", "CASE class_no % 4 WHEN 0 THEN 'void a() { assertThat(x); when(y); }' WHEN 1 THEN 'ArgumentCaptor<A> c; Mockito.when(a); z.fail();' WHEN 2 THEN '// verify(x)' ELSE 'x = \"eq(1)\"; Assertions.assertEquals(1, anyInt());' END AS body"),
+        t("classes").selectExpr("fqcn AS file", "CASE class_no % 5 WHEN 0 THEN 'org.hamcrest.MatcherAssert.assertThat' WHEN 1 THEN 'org.mockito.*' WHEN 2 THEN 'org.junit.jupiter.api.Assertions.*' WHEN 3 THEN 'my.Mockito' ELSE 'a.B' END AS import", "class_no % 5 IN (0, 2) AS is_static"),
     ),
-    """WITH s AS (SELECT * FROM (VALUES (0, 'Test', 'org.junit.jupiter.api.Test'), (0, 'assertThat', 'org.assertj.core.api.Assertions.assertThat'), (1, 'Mock', 'org.mockito.Mock'),
-             (1, 'Mockito', 'org.mockito.Mockito'), (3, 'assertEquals', 'org.junit.jupiter.api.Assertions.assertEquals')) AS x(k, symbol, import))
-       SELECT fqcn AS file, symbol, import FROM classes JOIN s ON class_no % 4 = k
-       WHERE NOT (class_no % 5 = 0 AND symbol = 'Test') AND NOT (class_no % 5 = 1 AND k = 1) AND NOT (class_no % 5 = 2 AND k = 3)""",
+    """WITH s AS (SELECT * FROM (VALUES (0, 'static', 'assertThat'), (0, 'static', 'when'), (1, 'type', 'ArgumentCaptor'), (1, 'type', 'Mockito'), (3, 'type', 'Assertions'), (3, 'static', 'anyInt')) AS x(k, kind, symbol))
+       SELECT fqcn AS file, s.kind, symbol FROM classes JOIN s ON class_no % 4 = k
+       WHERE NOT (class_no % 5 = 0 AND symbol = 'assertThat') AND NOT (class_no % 5 = 1 AND s.kind = 'type') AND NOT (class_no % 5 = 2 AND s.kind = 'static') AND NOT (class_no % 5 = 3 AND symbol = 'Mockito')""",
 )
 add(
     "w04_failure_digest", lambda t: G.failure_digest(t("failure_memory"), t("targets").select("sut")),

@@ -163,11 +163,17 @@ add(
 )
 add(
     "w12_dynamic_batch_size",
-    lambda t: T.dynamic_batch_size(t("cycle_events").select("run_id", "cycle", F.when(F.col("compile_failed"), 0.5).otherwise(0.0).alias("fail_rate"), (F.col("cycle") % 5 == 0).alias("slow")), True),
-    """WITH c AS (SELECT run_id, cycle, CASE WHEN compile_failed THEN 0.5::DOUBLE ELSE 0 END AS fail_rate, cycle % 5 = 0 AS slow FROM cycle_events),
-       p AS (SELECT *, lag(fail_rate) OVER (PARTITION BY run_id ORDER BY cycle) AS b FROM c),
-       s AS (SELECT *, CASE WHEN fail_rate > 0.3 THEN 2 WHEN fail_rate = 0 AND b = 0 THEN 7 ELSE 5 END AS z FROM p)
-       SELECT run_id, cycle, fail_rate, slow, CAST(CASE WHEN slow THEN least(z, 3) ELSE z END AS INTEGER) AS batch_size FROM s""",
+    lambda t: T.dynamic_batch_size(
+        t("cycle_events").select(
+            "run_id", "cycle", F.when(F.col("compile_failed"), 0.5).otherwise(0.0).alias("fail_rate"),
+            (F.coalesce("lines_delta", F.lit(0)) + F.coalesce("branches_delta", F.lit(0))).alias("delta"), (F.col("cycle") % 5 == 0).alias("slow"),
+        )
+    ),
+    """WITH c AS (SELECT run_id, cycle, CASE WHEN compile_failed THEN 0.5::DOUBLE ELSE 0 END AS fail_rate, coalesce(lines_delta, 0) + coalesce(branches_delta, 0) AS delta, cycle % 5 = 0 AS slow,
+            row_number() OVER (PARTITION BY run_id ORDER BY cycle) AS n FROM cycle_events),
+       j AS (SELECT c.*, p.fail_rate AS r1, p.delta AS d1, q.fail_rate AS r2, q.delta AS d2 FROM c LEFT JOIN c p ON p.run_id = c.run_id AND p.n = c.n - 1 LEFT JOIN c q ON q.run_id = c.run_id AND q.n = c.n - 2),
+       s AS (SELECT *, CASE WHEN r1 > 0.3 THEN 2 WHEN r1 = 0 AND r2 = 0 AND d1 > 0 AND d2 > 0 THEN 7 ELSE 5 END AS size FROM j)
+       SELECT run_id, cycle, fail_rate, delta, slow, CAST(CASE WHEN slow AND size > 3 THEN 3 ELSE size END AS INTEGER) AS batch_size FROM s""",
 )
 add(
     "w15_retain_cycles", lambda t: T.retain_cycles(t("cycle_events"), t("cycle_events").filter("cycle % 2 = 0"), 2),

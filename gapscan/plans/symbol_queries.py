@@ -45,14 +45,20 @@ _BEST = """best AS (SELECT fqcn, name, visibility, n_params, pos, evidence_id FR
     QUALIFY row_number() OVER (PARTITION BY fqcn ORDER BY CASE visibility WHEN 'public' THEN 0 ELSE 1 END, n_params, pos) = 1)"""
 add("w03_best_constructor", lambda t: Y.best_constructor(t("members")), f"WITH {_BEST} SELECT * FROM best")
 add(
-    "c02_build_fixtures", lambda t: Y.build_fixtures(t("members").withColumn("is_static", F.col("n_params") == 1), t("classes")),
-    """WITH b AS (SELECT fqcn, arg_min(evidence_id, pos) AS e FROM members WHERE kind = 'builder' AND class_hash(fqcn) GROUP BY 1),
+    "c02_build_fixtures",
+    lambda t: Y.build_fixtures(
+        t("members").selectExpr(
+            "*", "n_params = 1 AS is_static", "CASE WHEN n_params = 1 AND pos = 2 THEN fqcn WHEN n_params = 1 THEN 'void' END AS return_type",
+            "CASE WHEN kind = 'builder' AND n_params < 2 THEN concat(fqcn, '.Builder()') WHEN kind = 'builder' AND n_params = 2 THEN concat(fqcn, '_Builder()') ELSE 'make()' END AS entry", "CAST(NULL AS STRING) AS build",
+        ),
+        t("classes"),
+    ),
+    """WITH b AS (SELECT fqcn, fqcn || '.Builder() … build()' AS e FROM members WHERE kind = 'builder' AND n_params < 2),
        c AS (SELECT fqcn, evidence_id AS e FROM members WHERE kind = 'constructor' AND visibility = 'public' QUALIFY row_number() OVER (PARTITION BY fqcn ORDER BY n_params, pos) = 1),
-       f AS (SELECT fqcn, arg_min(evidence_id, pos) AS e FROM members WHERE kind = 'method' AND visibility = 'public' AND n_params = 1 AND usable GROUP BY 1),
+       f AS (SELECT fqcn, evidence_id AS e FROM members WHERE kind = 'method' AND pos = 2 AND n_params = 1),
        x AS (SELECT k.fqcn, k.kind = 'interface' OR k.is_abstract AS a, b.e AS be, c.e AS ce, f.e AS fe FROM classes k LEFT JOIN b USING (fqcn) LEFT JOIN c USING (fqcn) LEFT JOIN f USING (fqcn))
-       SELECT fqcn, CASE WHEN be IS NOT NULL THEN 'builder' WHEN NOT a AND ce IS NOT NULL THEN 'constructor' WHEN fe IS NOT NULL THEN 'static-factory' WHEN a THEN 'mock' ELSE 'degraded-mock' END AS strategy,
-              CASE WHEN be IS NOT NULL THEN be WHEN NOT a AND ce IS NOT NULL THEN ce ELSE fe END AS evidence,
-              be IS NULL AND (a OR ce IS NULL) AND fe IS NULL AND NOT a AS degraded FROM x""".replace(" AND class_hash(fqcn)", ""),
+       SELECT fqcn, CASE WHEN a THEN 'mock' WHEN be IS NOT NULL THEN 'builder' WHEN ce IS NOT NULL THEN 'constructor' WHEN fe IS NOT NULL THEN 'factory' ELSE 'mock' END AS strategy,
+              CASE WHEN NOT a THEN coalesce(be, ce, fe) END AS evidence, NOT a AND be IS NULL AND ce IS NULL AND fe IS NULL AS degraded FROM x""",
 )
 add(
     "c02_fixture_values",
@@ -92,7 +98,7 @@ add(
        FROM u LEFT JOIN classes e ON e.fqcn = u.name LEFT JOIN classes l ON l.fqcn = u.package || '.' || u.name LEFT JOIN s ON s.name = u.name""",
 )
 _EDGES = "rev AS (SELECT DISTINCT dst AS src, src AS dst FROM dep_edges)"
-_SEEDS = "seeds AS (SELECT DISTINCT 'n' || CAST(p_partkey % 600 AS STRING) AS fqcn FROM part WHERE p_partkey % 150 = 1)"
+_SEEDS = "seeds AS (SELECT DISTINCT 'n' || CAST(p_partkey AS STRING) AS fqcn FROM part WHERE p_size = 7)"
 
 
 def _index(t):
@@ -100,7 +106,7 @@ def _index(t):
 
 
 def _seeds(t):
-    return t("part").filter("p_partkey % 150 = 1").select(F.concat(F.lit("n"), (F.col("p_partkey") % 600).cast("string")).alias("fqcn"))
+    return t("part").filter("p_size = 7").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("fqcn"))
 
 
 _WALK = f"""WITH RECURSIVE {_SEEDS}, {_EDGES}, walk AS (SELECT fqcn AS node, 0 AS hops FROM seeds UNION SELECT r.dst, w.hops + 1 FROM walk w JOIN rev r ON r.src = w.node WHERE w.hops < 3)

@@ -120,7 +120,7 @@ def test_architecture_rules(spark):
 def test_build_logs_of_every_format(spark):
     logs = {
         "maven": ["[ERROR] /C:/x/F.java:[12,5] package a.b does not exist"],
-        "jdt": ["1. ERROR in /x/F.java (at line 7)", "\tfoo.bar();", "\t^^^", "Type mismatch: cannot convert from int to String", "----------"],
+        "jdt": ["1. ERROR in /x/F.java (at line 7)", "\tfoo.bar();", "\t^^^", "\tTypo();", "\tType mismatch: cannot convert from int to String", "----------", "\tlater"],
         "vscode": ["src/F.java(3, 9): error: method does not override"],
     }
     lines = spark.createDataFrame([(k, i, x) for k, v in logs.items() for i, x in enumerate(v)], "run_id string, line_no int, line string")
@@ -247,3 +247,72 @@ def test_fixture_cycles_raises_when_rounds_run_out(spark):
         R.fixture_cycles(edges, max_rounds=2)
     rows = R.fixture_cycles(edges).collect()
     assert len(rows) == 12 and all(r.partners.count(",") == 10 for r in rows)
+
+
+def test_framework_imports_go_by_simple_name(spark):
+    bodies = {
+        "hamcrest": "assertThat(x, is(1));", "bare": "when(a.b()).thenReturn(1);", "wild": "when(a); verify(b);", "type": "ArgumentCaptor<A> c; Assertions.fail();",
+        "noise": '// when(x)\nString s = "verify(x)"; a.fail();', "own": "Mockito.mock(A.class);",
+    }
+    imports = [("hamcrest", "org.hamcrest.MatcherAssert.assertThat", True), ("wild", "org.mockito.Mockito.*", True), ("type", "org.mockito.Mockito.*", True), ("own", "org.mockito.Mockito", False)]
+    got = G.missing_framework_imports(spark.createDataFrame(list(bodies.items()), "file string, body string"), spark.createDataFrame(imports, "file string, import string, is_static boolean"))
+    assert sorted(map(tuple, got.collect())) == [("bare", "static", "when"), ("type", "type", "ArgumentCaptor"), ("type", "type", "Assertions")]
+
+
+def test_doubles_of_the_class_under_test(spark):
+    bodies = {
+        "plain": "@Mock Foo foo;", "modifier": "@Mock private Foo foo;", "arguments": "@MockBean(name = \"x\")\n  @Lazy private final Foo foo;", "call": "Foo f = mock( Foo.class );",
+        "other": "@Mock private Bar bar; Foo foo;", "commented": "// @Mock Foo foo;\n",
+    }
+    files = spark.createDataFrame([(k, v, "Foo") for k, v in bodies.items()], "file string, body string, sut string")
+    assert {r.file for r in C.lint_tests(files).filter("kind = 'MOCKS_SUT'").collect()} == {"plain", "modifier", "arguments", "call"}
+
+
+def test_stubs_that_nothing_calls(spark):
+    bodies = {
+        "unused": "when(a.b()).thenReturn(1); sut.run();", "used": "when(a.b()).thenReturn(1); assertEquals(1, a.b());", "bdd": "given(a . b(x)).willReturn(1);",
+        "after": "doReturn(1).when(a).b(); sut.run();", "twice": "doReturn(1).when(a).b(); a.b(); a.b();", "none": "sut.run();",
+    }
+    methods = spark.createDataFrame([(k, 0, "shouldRun_whenAsked", v) for k, v in bodies.items()], "file string, pos int, name string, body string")
+    assert {r.file for r in C.lint_methods(methods).filter("kind = 'UNUSED_STUB'").collect()} == {"unused", "bdd", "after"}
+
+
+def test_noise_is_read_once_from_left_to_right(spark):
+    texts = ['a = "x // y"; b', "c // \"d\ne", "f/* ' */g", "'\"' + h", '"\\"" + i', "  import j.K;\nl"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.strip_noise(F.col("t")).alias("x")).collect()]
+    assert got == ['a = ""; b', "c \ne", "f g", "'' + h", '"" + i', "\nl"]
+
+
+def test_batch_size_follows_the_cycles_before(spark):
+    rows = [(1, 0.0, 3, False), (2, 0.0, 2, False), (3, 0.4, 1, False), (4, 0.0, 1, False), (5, 0.0, 1, False), (6, 0.0, 0, True), (7, 0.0, 1, False)]
+    cycles = spark.createDataFrame([("r", *x) for x in rows], "run_id string, cycle int, fail_rate double, delta int, slow boolean")
+    assert [r.batch_size for r in T.dynamic_batch_size(cycles).orderBy("cycle").collect()] == [5, 5, 7, 2, 5, 3, 5]
+    assert [r.batch_size for r in T.dynamic_batch_size(cycles, base=9).orderBy("cycle").collect()] == [9, 9, 10, 4, 9, 3, 9]
+
+
+def test_fixture_strategies(spark):
+    members = [
+        ("a.B", 0, "builder", "x", "public", 0, "e0", "B_Builder()", None, False, None), ("a.B", 1, "constructor", "<init>", "public", 1, "e1", None, None, False, None),
+        ("a.C", 0, "builder", "x", "public", 0, "e2", "C.Builder()", "make()", False, None), ("a.D", 0, "method", "of", "package", 1, "e3", None, None, True, "D"),
+        ("a.E", 0, "method", "of", "public", 1, "e4", None, None, True, "int"), ("a.I", 0, "method", "of", "public", 0, "e5", None, None, True, "a.I"),
+        ("a.I", 1, "builder", "x", "public", 0, "e6", "I.Builder()", None, False, None),
+    ]
+    kinds = "fqcn string, pos int, kind string, name string, visibility string, n_params int, evidence_id string, entry string, build string, is_static boolean, return_type string"
+    classes = spark.createDataFrame([(f"a.{x}", "interface" if x == "I" else "class", x == "A") for x in "ABCDEI"], "fqcn string, kind string, is_abstract boolean")
+    got = {r.fqcn[-1]: (r.strategy, r.evidence, r.degraded) for r in Y.build_fixtures(spark.createDataFrame(members, kinds), classes).collect()}
+    assert got == {"A": ("mock", None, False), "B": ("constructor", "e1", False), "C": ("builder", "C.Builder() … make()", False), "D": ("factory", "e3", False), "E": ("mock", None, True), "I": ("mock", None, False)}
+    assert {r.degraded for r in Y.build_fixtures(spark.createDataFrame(members, kinds), classes, with_mocks=False).filter("strategy = 'mock'").collect()} == {True}
+
+
+def test_indented_trace_with_a_lower_case_test_class(spark):
+    text = ["  Caused by: x.BadException: why: so", "\tat org.junit.R.go(R.java:1)", "\tat a.Foo$In.<init>(Foo.java:3)", "\tat a.Mytests1.run(M.java)", "\tat a.B.c(Native Method)"]
+    got = C.parse_stack_traces(spark.createDataFrame([("t", i, x) for i, x in enumerate(text)], "trace_id string, line_no int, line string")).first()
+    assert (got.exception, got.message, got.relevant_frame, got.symbol, got.test_frame) == ("x.BadException", "why: so", "a.Foo$In.<init>:3", "a.Foo$In#<init>", "a.Mytests1.run")
+
+
+def test_calls_on_any_variable_of_the_class(spark):
+    bodies = {"renamed": "final Foo x = make(); x . leap();", "full": "a.Foo<T> y; y.leap();", "fine": "Foo x = make(); x.run(); other.leap();", "undeclared": "foo.leap();", "named": "FooBar z = q; z.leap();"}
+    row = lambda b: (1, "patch:1", "a.Foo", "a.Foo", "a.FooTest", ["a.B"], ["a.B"], ["B"], ["e"], ["e"], [], b, ["run"])
+    kinds = "k string, schema_version int, patch_id string, sut string, request_sut string, test_class string, imports array<string>, allowed_imports array<string>, annotations array<string>, evidence_ids array<string>, allowed_ids array<string>, required_ids array<string>, body string, evidenced_methods array<string>"
+    got = {r.k: r.reason for r in G.validate_patch_methods(spark.createDataFrame([(k, *row(b)) for k, b in bodies.items()], kinds)).collect()}
+    assert got == {"renamed": "CALL_WITHOUT_EVIDENCE", "full": "CALL_WITHOUT_EVIDENCE", "fine": None, "undeclared": None, "named": None}

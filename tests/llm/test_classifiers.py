@@ -150,3 +150,34 @@ def test_grams_of_many_chunks_at_once():
     assert np.bincount(owner, minlength=len(chunks)).tolist() == want
     again = ngram_buckets(["zz", "éa!b"], (2, 3, 4), (1 << 40) - 1)
     assert sorted(again[1][again[0] == 1]) == sorted(buckets[owner == 3])
+
+
+def test_quality_scores_equal_a_plain_scorer(spark, tables):
+    """From the same fitted weights, without caches, arrays or batches."""
+    import re
+
+    from gapscan.llm import quality as Q
+
+    docs = tables[0].limit(150).cache()
+    features = Q.read_features(docs)
+    _, scorer = Q.fit_quality(features)
+    got = {r.id: r.score for r in features.select("id", "ids", "x").mapInArrow(lambda it: Q._score(it, scorer, 0.5), "id long, score double, kept boolean").collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        words, raw = text.split(), scorer.bias
+        for w in words:
+            raw += (scorer.w[Q.bucket("t:" + w.lower(), scorer.mask)] + scorer.w[Q.bucket("s:" + Q._shape(w), scorer.mask)]) / len(words)
+        measures = np.zeros(len(Q.MEASURES))
+        if words:
+            n, lines = len(words), text.split("\n")
+            again = sum(len(x) for i, x in enumerate(lines) if x in lines[:i]) / len(text) if text.count("\n") > 1 else 0.0
+            letters = sum(c.isalpha() for c in text)
+            measures = np.array([
+                sum(len(re.findall(r"[^\w\s.,;:'\"’()-]", w)) for w in words) / sum(map(len, words)),
+                sum(c.isupper() for w in words for c in w if sum(map(str.isalpha, w)) > 1) / max(letters, 1),
+                sum(w.strip(".,;:!?\"'()%&$*#|").lower() in Q.STOPWORDS for w in words) / n, max(map(words.count, words)) / n, len(set(words)) / n, again,
+                sum(w.count("!") for w in words) / n, sum(not any(map(str.isalnum, w)) for w in words) / n, sum(map(len, words)) / n,
+                sum(a == b for a, b in zip(words, words[1:])) / n,
+            ])
+        raw += 0.5 * scorer.w[scorer.measure_ids(measures, len(words))].sum()
+        assert abs(got[r.doc_id] - float(sigmoid(raw))) < 1e-4, r.doc_id

@@ -59,3 +59,20 @@ def test_run_orders_sequences_by_the_mixture(spark, tmp_path):
     for share in (0.2, 0.3, 0.4, 0.5):
         lead = order[: int(share * len(order))]
         assert abs(lead.count("src0") / len(lead) - 0.2) < 0.05
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeats, a very long text, clashing names; and no rows at all."""
+    good = "the cat and the dog of the house walked to the river and it was good for them to rest in the shade of a tree"
+    rows = [(1, None, None, None), (2, "", "en", "src1"), (None, good, "en", None), (None, good, "en", None), (3, good + " again", "en", "src0"), (3, good + " again", "en", "src0"),
+            (4, (good + " and ") * 3000, None, "src2"), (5, "12 !! %%", "en", "src0")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, piece string")
+    docs = docs.withColumns({"uid": F.lit(1), "score": F.lit("s"), "mix_position": F.lit("m"), "sequence_id": F.lit(9), "h": F.lit(0)})
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    firsts = [r.doc_id for r in out if r.piece == 0]
+    # 3 repeats and is near the rows without an id, which lose to it; empty texts and junk are rejected
+    assert firsts.count(3) == 1 and set(firsts) <= {3, 4}
+    assert all(0 < r.length <= 2048 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -12,10 +12,31 @@ from .lineage import cut_lineage
 
 def target_ids(coverage: DataFrame, mode: str = "coverage", config: Config = DEFAULT) -> DataFrame:
     """W-1: number the targets of each repository in document order, after the mode's
-    filter; ``score`` = 2 lines + 3 branches.  Needs repo, class_pos, method_pos."""
-    order = Window.partitionBy("repo").orderBy("class_pos", "method_pos")
+    filter; ``score`` = 2 lines + 3 branches.  Needs repo, class_pos, method_pos (not
+    null).  Classes are counted and targets numbered inside a class, so a repository's
+    targets are never sorted in one task."""
     score = config.target_line_weight * F.col("missed_lines") + config.target_branch_weight * F.col("missed_branches")
-    return filter_by_mode(coverage, mode).withColumn("target_id", F.format_string("tgt:%04d", F.row_number().over(order))).withColumn("score", score)
+    rows = filter_by_mode(coverage, mode)
+    nth = F.row_number().over(Window.partitionBy("repo", "class_pos").orderBy("method_pos"))
+    starts = _starts(rows, ["repo"], "class_pos")
+    numbered = rows.withColumn("__nth", nth).join(starts.hint("merge"), ["repo", "class_pos"])
+    return numbered.select(*coverage.columns, (F.col("__before") + F.col("__nth")).cast("int").alias("__n")).withColumn("target_id", F.format_string("tgt:%04d", "__n")).withColumn("score", score).drop("__n")
+
+
+def _starts(rows: DataFrame, group: list[str], part: str) -> DataFrame:
+    """``__before``: how many rows of the group stand in parts before this one."""
+    counts = rows.groupBy(*group, part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*group, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def _place(rows: DataFrame, group: list[str], by: str, chunk: int = 4096) -> DataFrame:
+    """``__place``: the row's number in its group by a whole-number column, worked out in
+    chunks of that column."""
+    rows = rows.withColumn("__chunk", F.floor(F.col(by) / chunk))
+    nth = F.row_number().over(Window.partitionBy(*group, "__chunk").orderBy(by))
+    placed = rows.withColumn("__nth", nth).join(_starts(rows, group, "__chunk").hint("merge"), [*group, "__chunk"])
+    return placed.withColumn("__place", F.col("__before") + F.col("__nth")).drop("__chunk", "__nth", "__before")
 
 
 def filter_by_mode(targets: DataFrame, mode: str = "coverage") -> DataFrame:
@@ -172,23 +193,25 @@ def capped_errors(errors: DataFrame, most: int = DEFAULT.errors_kept) -> DataFra
 def batches(planned: DataFrame, size: int, *, type_caps: dict[str, int] | None = None, one_class_a_batch: bool = False) -> DataFrame:
     """W-11: consecutive slices of the plan.  Type caps limit a type's rows in a batch
     (later rows of the type move on); with ``one_class_a_batch`` the nth targets of all
-    classes come before the n+1st, and a batch never spans two such rounds."""
+    classes come before the n+1st, and a batch never spans two such rounds.  Rows are
+    numbered in chunks; only batches, not rows, are sorted a repository."""
     rows = planned
     if type_caps:
         cap = F.lit(size)
         for name, n in type_caps.items():
             cap = F.when(F.col("type") == name, n).otherwise(cap)
-        nth = F.row_number().over(Window.partitionBy("repo", "type").orderBy("plan_rank"))
-        rows = rows.withColumn("__turn", F.floor((nth - 1) / cap))
-        within = F.row_number().over(Window.partitionBy("repo", "__turn").orderBy("plan_rank"))
+        typed = rows.withColumn("type", F.coalesce("type", F.lit("")))
+        rows = _place(typed, ["repo", "type"], "plan_rank").withColumn("__turn", F.floor((F.col("__place") - 1) / cap))
+        rows = _place(rows.drop("__place"), ["repo", "__turn"], "plan_rank")
     elif one_class_a_batch:
         rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("repo", "sut").orderBy("plan_rank")) - 1)
-        within = F.row_number().over(Window.partitionBy("repo", "__turn").orderBy("plan_rank"))
+        rows = _place(rows, ["repo", "__turn"], "plan_rank")
     else:
-        rows, within = rows.withColumn("__turn", F.lit(0)), F.col("plan_rank")
-    rows = rows.withColumn("__slice", F.floor((within - 1) / size))
-    number = F.dense_rank().over(Window.partitionBy("repo").orderBy("__turn", "__slice"))
-    return rows.withColumn("batch_id", F.format_string("batch-%03d", number)).drop("__turn", "__slice")
+        rows = rows.withColumn("__turn", F.lit(0)).withColumn("__place", F.col("plan_rank"))
+    rows = rows.withColumn("__slice", F.floor((F.col("__place") - 1) / size)).drop("__place")
+    number = F.row_number().over(Window.partitionBy("repo").orderBy("__turn", "__slice"))
+    named = rows.select("repo", "__turn", "__slice").distinct().withColumn("batch_id", F.format_string("batch-%03d", number))
+    return rows.join(named.hint("merge"), ["repo", "__turn", "__slice"]).select(*planned.columns, "batch_id")
 
 
 def select_unprocessed(planned: DataFrame, processed: DataFrame, n: int) -> DataFrame:

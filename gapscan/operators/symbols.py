@@ -105,12 +105,29 @@ def best_constructor(members: DataFrame, public_only: bool = False) -> DataFrame
     return best.select("fqcn", "b.*")
 
 
+#: Scenarios to test of a class type; other types have the default (fixed values)
+VARIANTS = {
+    "controller": ("valid-request", "invalid-request", "not-found", "unauthorized"),
+    "service": ("happy-path", "not-found", "validation-error", "dependency-failure"),
+    "repository": ("find-found", "find-not-found", "save-success", "delete-success"),
+    "component": ("happy-path", "error-case"),
+    "mapper": ("valid-mapping", "null-input"),
+    "data-carrier": ("default-values", "full-values"),
+    "enum": ("all-values",),
+    "non-instantiable": (),
+    "generated/excluded": (),
+    "configuration": (),
+}
+DEFAULT_VARIANTS = ("happy-path",)
+
+
 def build_fixtures(members: DataFrame, classes: DataFrame, with_mocks: bool = True) -> DataFrame:
     """C-2: how to make an instance of each class: builder, public constructor, static
     method that returns the class, mock; a mock of what is neither an interface nor
     abstract is degraded.  Interfaces and abstract classes are only ever mocked.
     ``members``: also entry (of a builder; a generated ``X_Builder`` is none), build,
-    is_static, return_type."""
+    is_static, return_type.  ``variants`` are the scenarios of the class's ``type``, where
+    ``classes`` has one; a degraded mock has none."""
     entry, made = F.col("entry"), lambda name, evidence: F.struct(F.lit(name).alias("strategy"), evidence.alias("evidence"))
     is_builder = (F.col("kind") == "builder") & (entry.contains(".Builder") | (entry.endswith("Builder()") & ~entry.contains("_Builder")))
     returned = S.simple_name(F.col("return_type")) == S.simple_name(F.col("fqcn"))
@@ -125,7 +142,10 @@ def build_fixtures(members: DataFrame, classes: DataFrame, with_mocks: bool = Tr
     concrete = F.coalesce("b", F.when(F.col("kind") != "annotation", F.col("c")), "f")
     chosen = F.coalesce(F.when(~abstract, concrete), made("mock", F.lit(None).cast("string")))
     degraded = (F.col("__x.strategy") == "mock") & ~(abstract & F.lit(with_mocks))
-    return rows.withColumn("__x", chosen).select("fqcn", "__x.strategy", "__x.evidence", degraded.alias("degraded"))
+    by_type = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.lit(",".join(v)))])
+    kept = F.col("type") if "type" in classes.columns else F.lit(None).cast("string")
+    variants = F.when(degraded, "").otherwise(F.coalesce(F.try_element_at(by_type, kept), F.lit(",".join(DEFAULT_VARIANTS))))
+    return rows.withColumn("__x", chosen).select("fqcn", "__x.strategy", "__x.evidence", degraded.alias("degraded"), variants.alias("variants"))
 
 
 def fixture_values(params: DataFrame, literals: dict[str, str] | None = None) -> DataFrame:
@@ -267,6 +287,22 @@ def source_types(files: DataFrame) -> DataFrame:
     )
 
 
+#: Methods of a builder that set nothing (fixed values)
+NO_SETTERS = ("build", "clear", "mergeFrom")
+
+
+def builder_setters(files: DataFrame) -> DataFrame:
+    """C-12: fluent setters, that is one-argument methods that return a builder, once for
+    each name and type, in order.  ``files``: path, content."""
+    declared = r"(?<![\w.])(?:[A-Za-z_]\w*\.)*Builder\s+([A-Za-z_]\w*)\s*\(\s*([A-Za-z_][^(){};]*?)\s+[A-Za-z_]\w*\s*\)"
+    code = S.strip_noise(F.col("content"))
+    parts = F.arrays_zip(*[F.regexp_extract_all("__code", F.lit(declared), F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "type"))])
+    found = files.select("path", code.alias("__code")).select("path", F.posexplode(parts).alias("pos", "x"))
+    rows = found.select("path", "pos", F.col("x.name").alias("name"), F.regexp_replace("x.type", r"\s+", " ").alias("type"))
+    setters = rows.filter(~F.col("name").isin(*NO_SETTERS) & ~F.col("name").startswith("map"))
+    return setters.groupBy("path", "name", "type").agg(F.min("pos").alias("pos"))
+
+
 def enrich_classes(classes: DataFrame, types: DataFrame) -> DataFrame:
     """C-13: annotations from sources added; a builder on an interface makes it a mock."""
     own = types.select("fqcn", F.col("annotations").alias("__a"), "has_builder")

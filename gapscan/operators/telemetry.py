@@ -132,9 +132,13 @@ def cycle_outcomes(tests: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
     counted = tests.groupBy("cycle").agg(
         F.count_if(kept).alias("generated"), F.count_if(~kept).alias("discarded"), F.array_join(F.array_sort(F.collect_set("sut")), ",").alias("suts"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("evidence_id")), 1, config.evidence_kept), ",").alias("evidence_ids"),
     )
-    return counted.join(histogram, "cycle", "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))
+    # the first few ids are picked before any are gathered
+    nth = F.row_number().over(Window.partitionBy("cycle").orderBy("evidence_id"))
+    few = tests.filter("evidence_id IS NOT NULL").select("cycle", "evidence_id").distinct().withColumn("__n", nth).filter(F.col("__n") <= config.evidence_kept)
+    evidence = few.groupBy("cycle").agg(F.array_join(F.array_sort(F.collect_list("evidence_id")), ",").alias("evidence_ids"))
+    rows = counted.join(evidence, "cycle", "left").join(histogram, "cycle", "left")
+    return rows.withColumn("reasons", F.coalesce("reasons", F.lit(""))).withColumn("evidence_ids", F.coalesce("evidence_ids", F.lit("")))
 
 
 def majority(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
@@ -177,8 +181,8 @@ def workspace_size(files: DataFrame, group: str = "repo") -> DataFrame:
 
 def cost_efficiency(sizes: DataFrame, ledger: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A-17: what sending the whole workspace with every call would have cost.  ``sizes``
-    (repo, bytes) and ``ledger`` (repo, calls, tokens, cost_usd, estimated) have one row a
-    repository."""
+    (repo, bytes) and ``ledger`` (repo, calls, tokens, cost_usd, estimated, sent_bytes) have
+    one row a repository; without bytes sent the byte factor is 0."""
     both = sizes.join(ledger, "repo")
     baseline = F.ceil(F.col("bytes") / config.chars_per_token) * F.col("calls")
     saved = F.greatest(F.lit(0), baseline - F.col("tokens"))
@@ -187,6 +191,7 @@ def cost_efficiency(sizes: DataFrame, ledger: DataFrame, config: Config = DEFAUL
         "repo", baseline.cast("long").alias("baseline_tokens"), F.col("tokens").alias("actual_tokens"), saved.cast("long").alias("saved_tokens"),
         F.bround(F.try_divide(baseline.cast("double"), F.col("tokens").cast("double")), 4).alias("factor"),
         F.bround(F.coalesce(F.try_divide(saved * 100.0, baseline.cast("double")), F.lit(0.0)), 2).alias("savings_pct"),
+        F.bround(F.coalesce(F.try_divide((F.col("bytes") * F.col("calls")).cast("double"), F.col("sent_bytes").cast("double")), F.lit(0.0)), 4).alias("byte_factor"),
         F.bround(saved * blended, 6).alias("saved_usd"), F.when(F.col("estimated"), "size_estimate").otherwise("api_usage").alias("source"),
     )
 

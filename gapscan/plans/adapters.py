@@ -108,6 +108,8 @@ ADAPTERS: dict[str, str] = {
         FROM part CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k""",
     "dependencies": f"""
         SELECT DISTINCT {sut("(l_partkey)")} AS sut, {sut("(1 + l_suppkey)")} AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem""",
+    "supplied": f"""
+        SELECT DISTINCT {sut("l_partkey")} AS sut, {sut("l_suppkey")} AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem""",
     "imports": """
         SELECT 'p' || CAST(l_orderkey AS STRING) AS patch_id, l_linenumber AS pos,
                CASE l_partkey % 5 WHEN 0 THEN 'java.util.L' WHEN 1 THEN 'org.junit.A' WHEN 2 THEN 'com.acme.p3.C' WHEN 3 THEN 'org.mockito.M' ELSE 'odd.pkg.X' END

@@ -152,14 +152,15 @@ add(
                                                                                         F.create_map(F.lit("v"), F.col("p_brand"))).alias("value")),
     "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN '$' || '{w}' ELSE '1.2' END AS value FROM part",
 )
-add("p12_namespace_to_package", lambda t: t("pages").select("page_id", S.namespace_to_package(F.col("url")).alias("package")),
-    """WITH u AS (SELECT page_id, regexp_replace(url, '^[A-Za-z]+://', '') AS b FROM pages),
+_NAMESPACES = """WITH u AS (SELECT page_id, regexp_replace(url, '^[A-Za-z]+://', '') AS b FROM pages),
        p AS (SELECT page_id, list_concat(list_reverse(list_filter(string_split(regexp_replace(lower(regexp_extract(b, '^([^/?#]*)', 1)), ':[0-9]+$', ''), '.'), lambda x : x <> '' AND x <> 'www')),
                   list_filter(string_split(regexp_extract(b, '^[^/?#]*/?([^?#]*)', 1), '/'), lambda x : x <> '')) AS l FROM u)
-       SELECT page_id, coalesce(array_to_string(list_transform(l, lambda x : CASE WHEN regexp_matches(lower(x), '^[0-9]') THEN '_' ELSE '' END || regexp_replace(lower(x), '[^a-z0-9_]', '_', 'g')), '.'), '') AS package FROM p""")
+       SELECT page_id, coalesce(array_to_string(list_transform(l, lambda x : CASE WHEN regexp_matches(lower(x), '^[0-9]') THEN '_' ELSE '' END || regexp_replace(lower(x), '[^a-z0-9_]', '_', 'g')), '.'), '') AS package FROM p"""
+add("p12_namespace_to_package", lambda t: t("pages").select("page_id", S.namespace_to_package(F.col("url")).alias("package")), _NAMESPACES)
 add(
     "s13_read_wsdl_packages",
     lambda t: I.read_wsdl_packages(t.spark, _written(t, t("pages").select(F.concat(F.lit('<definitions targetNamespace="'), F.col("url"), F.lit('"/>'))), "wsdl")).select("package").distinct(),
+    f"WITH n AS ({_NAMESPACES}) SELECT DISTINCT n.package FROM n JOIN pages USING (page_id) WHERE url IS NOT NULL",
 )
 _KIND = """CASE WHEN lower(path) LIKE '%.java' THEN CASE WHEN regexp_matches(lower(path), '/controller/|controller\\.java$') THEN 'java-controller' WHEN regexp_matches(lower(path), '/service/|service\\.java$|serviceimpl') THEN 'java-service'
     WHEN regexp_matches(lower(path), '/repository/|repository\\.java$') THEN 'java-repository' ELSE 'java' END WHEN regexp_matches(lower(path), '\\.(yml|yaml|properties)$') THEN 'config' WHEN lower(path) LIKE '%.md' THEN 'docs' ELSE 'other' END"""
@@ -232,6 +233,27 @@ add(
 )
 _METHODS = """concat('class T { @Test void ', CASE WHEN class_no % 2 = 0 THEN 'shouldRun_whenAsked' ELSE 'bad' END, '() { ', CASE WHEN class_no % 3 = 0 THEN '// given\\n// when\\n// then\\n' WHEN class_no % 3 = 1 THEN '// when\\n// given\\n// then\\n' ELSE '' END,
     CASE WHEN class_no % 5 = 0 THEN 'if (a) { b(); } ' ELSE '' END, CASE WHEN class_no % 7 = 0 THEN '' ELSE 'assertEquals(1, 1); ' END, '} @Test void shouldStop_whenTold() { /* given */ verify(x); } }')"""
+_STACKS = [("junit5", "mockito", True, True), ("junit4", "mockito", False, False), ("unknown", "powermock", False, False), ("junit5", "unknown", False, True), ("junit5", "mockito", False, False)]
+_USED = ("org.junit.jupiter.api.Test", "org.junit.Test", "org.mockito.Mock", "org.powermock.X", "org.springframework.test.Y", "org.junit.runner.RunWith", "java.util.List")
+
+
+def _stacks(t):
+    pick = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in _STACKS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t("part").select(F.concat(F.lit("m"), (F.col("p_partkey") % 5).cast("string")).alias("module"), *[pick(i).alias(n) for i, n in enumerate(("test_framework", "mock_framework", "inline_mocks", "spring_test"))]).distinct()
+
+
+add(
+    "c07_lint_stack",
+    lambda t: C.lint_stack(
+        t("classes").select(F.col("fqcn").alias("file"), F.element_at(F.array(*[F.lit(x) for x in _USED]), (F.col("class_no") % 7 + 1).cast("int")).alias("import")),
+        t("classes").selectExpr("fqcn AS file", "concat('m', class_no % 6) AS module", "CASE WHEN class_no % 2 = 0 THEN 'try (var m = mockStatic(A.class)) {}' ELSE '// mockStatic(A.class)' END AS body"), _stacks(t),
+    ),
+    """WITH f AS (SELECT fqcn, class_no % 6 AS m, class_no % 7 AS i, class_no % 2 = 0 AS st FROM classes), k AS (SELECT *, m IN (0, 3, 4) AS j5, m IN (0, 1, 4) AS mo, m = 2 AS pw, m IN (0, 3) AS sp FROM f)
+       SELECT fqcn AS file, CASE WHEN i IN (0, 1, 5) THEN 'JUNIT_VERSION_MISMATCH' ELSE 'FRAMEWORK_NOT_IN_STACK' END AS kind,
+              CASE i WHEN 0 THEN 'org.junit.jupiter.api.Test' WHEN 1 THEN 'org.junit.Test' WHEN 2 THEN 'org.mockito.Mock' WHEN 3 THEN 'org.powermock.X' WHEN 4 THEN 'org.springframework.test.Y' ELSE 'org.junit.runner.RunWith' END AS subject
+       FROM k WHERE (i = 0 AND NOT j5) OR (i IN (1, 5) AND j5) OR (i = 2 AND NOT mo) OR (i = 3 AND NOT pw) OR (i = 4 AND NOT sp)
+       UNION ALL SELECT fqcn, 'FEATURE_NOT_IN_STACK', 'mockStatic' FROM k WHERE st AND m IN (1, 4)""",
+)
 add(
     "c08_lint_methods", lambda t: C.lint_methods(C.split_test_methods(t("classes").selectExpr("fqcn AS file", f"{_METHODS} AS body"))),
     """WITH r AS (SELECT fqcn AS file, 0 AS pos, CASE WHEN class_no % 2 = 0 THEN 'shouldRun_whenAsked' ELSE 'bad' END AS name, class_no AS n FROM classes)
@@ -247,7 +269,14 @@ add(
     "a19_component_map", lambda t: C.component_map(t("source_files").select("repo", "path", "content")),
     f"""WITH k AS (SELECT repo, content, {_KIND} AS kind FROM source_files)
         SELECT repo, CASE WHEN kind IN ('java-controller', 'java-service', 'java-repository') THEN substr(kind, 6) ELSE 'other' END AS layer, count(*) AS files, CAST(0 AS BIGINT) AS packages, CAST(0 AS BIGINT) AS import_edges,
-               bool_or(contains(content, 'springframework')) AS uses_spring, bool_or(contains(content, 'lombok')) AS uses_lombok FROM k GROUP BY 1, 2""",
+               {", ".join(f"bool_or(starts_with(kind, 'java') AND ({' OR '.join(f'contains(content, {chr(39)}{w}{chr(39)})' for w in words)})) AS {s}" for s, words in C.SIGNALS.items())},
+               bool_or(kind = 'config' AND contains(content, 'management.endpoints')) AS actuator_configured FROM k GROUP BY 1, 2""",
+)
+add(
+    "a19_package_files",
+    lambda t: C.package_files(t("classes").selectExpr("repo", "concat('src/', fqcn, CASE WHEN class_no % 4 = 0 THEN '.kt' ELSE '.java' END) AS path", "concat(CASE WHEN class_no % 3 > 0 THEN concat('package a.p', class_no % 7, ';\\n') ELSE '' END, CASE WHEN class_no % 5 = 0 THEN '@Entity ' ELSE '' END, 'class X {}') AS content")),
+    """WITH f AS (SELECT repo, class_no AS n, 'src/' || fqcn || '.java' AS path FROM classes WHERE class_no % 4 <> 0 AND class_no % 3 > 0)
+       SELECT repo, 'a.p' || CAST(n % 7 AS STRING) AS package, path, CASE WHEN n % 6 = 0 THEN 'service' WHEN n % 6 = 1 THEN 'repository' WHEN n % 5 = 0 THEN 'entity' WHEN n % 6 = 2 THEN 'dto' ELSE 'other' END AS layer FROM f""",
 )
 
 
@@ -259,9 +288,10 @@ _FIND = f"""k AS (SELECT repo, path, content, {_KIND} AS kind FROM source_files)
     f AS (SELECT repo, 'CRITICAL' AS severity, 'security' AS category, 'possible hard-coded secret' AS title, path AS evidence, path AS raw, 0.70::DOUBLE AS confidence FROM k
           WHERE kind = 'config' AND regexp_matches(content, '(?i)(password|secret|token|apikey|api_key)\\s*[:=]\\s*[''"]?[A-Za-z0-9_\\-]{{8,}}')
           UNION ALL SELECT repo, 'LOW', 'observability', 'prints to the console', path, path, 0.95 FROM k WHERE starts_with(kind, 'java') AND contains(content, 'System.out.println')
-          UNION ALL SELECT repo, 'HIGH', 'layering', 'controller uses repository', path, path, 0.90 FROM k WHERE kind = 'java-controller' AND regexp_matches(content, '\\.repository\\.|\\b[A-Za-z0-9_]+Repository\\b')
-          UNION ALL SELECT repo, 'INFO', 'observability', 'no management endpoints', array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), ','), array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), '|'), 0.55
-          FROM k WHERE kind = 'config' GROUP BY repo HAVING NOT bool_or(contains(content, 'management'))
+          UNION ALL SELECT repo, 'HIGH', 'layering', 'controller uses repository', path, path, CASE WHEN regexp_matches(content, '\\b([A-Z][A-Za-z0-9_]*)?Repository\\b') THEN 0.90 ELSE 0.85 END FROM k
+          WHERE kind = 'java-controller' AND regexp_matches(content, '\\.repository\\.|\\b[A-Za-z0-9_]*Repository\\b')
+          UNION ALL SELECT repo, 'INFO', 'observability', 'no management endpoints', coalesce(array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (kind = 'config')), 1, 5), ','), ''), coalesce(array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (kind = 'config')), 1, 5), '|'), ''), 0.55
+          FROM k GROUP BY repo HAVING NOT bool_or(kind = 'config' AND contains(content, 'management.endpoints'))
           UNION ALL SELECT repo, 'MEDIUM', 'layering', 'controllers without services', array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (kind = 'java-controller')), 1, 10), ','),
           array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (kind = 'java-controller')), 1, 10), '|'), 0.65 FROM k GROUP BY repo HAVING bool_or(kind = 'java-controller') AND NOT bool_or(kind = 'java-service')),
     found AS (SELECT repo, 'arch-' || left(sha1(category || '|' || title || '|' || raw), 12) AS id, severity, category, title, evidence, confidence FROM f)"""
@@ -281,13 +311,19 @@ add(
 add(
     "a30_generated_rules",
     lambda t: C.generated_rules(
-        t("part").selectExpr("concat('r', p_partkey % 9) AS repo", "CASE WHEN p_size % 3 = 0 THEN 'jaxws-maven-plugin' ELSE 'other' END AS plugin", "CASE WHEN p_size % 2 = 0 THEN concat('g.p', p_size) END AS package", "CASE WHEN p_size % 5 = 0 THEN concat('s', p_size, '.yml') END AS spec"),
+        t("part").selectExpr("concat('r', p_partkey % 9) AS repo", "CASE p_size % 3 WHEN 0 THEN 'openapi-generator-maven-plugin' WHEN 1 THEN 'cxf-codegen-plugin' ELSE 'other' END AS plugin",
+                             "CASE WHEN p_size % 4 = 0 THEN 'gen/cxf/' END AS source_root", "CASE WHEN p_size % 2 = 0 THEN concat('g.p', p_size) END AS package", "CASE WHEN p_size % 5 = 0 THEN concat('s', p_size, '.yml') END AS spec"),
         t("pages").select(F.concat(F.lit("r"), (F.col("page_id") % 9).cast("string")).alias("repo"), F.lit("w.s").alias("package")),
         t("orders").selectExpr("concat('r', o_orderkey % 9) AS repo", "CASE WHEN o_orderkey % 2 = 0 THEN concat('target/generated-sources/xsd/com/g/K', o_orderkey % 50, '.java') ELSE concat('s', o_orderkey % 20, '.yml') END AS path"),
+        t("part").selectExpr("concat('r', p_partkey % 9) AS repo", "CASE WHEN p_size = 9 THEN 'org.projectlombok' WHEN p_size = 11 THEN 'com.google.auto.value' ELSE 'g' END AS group_id", "CASE WHEN p_size IN (9, 12) THEN 'lombok' ELSE 'mapstruct-x' END AS artifact_id"),
     ),
-    """WITH p AS (SELECT 'r' || CAST(p_partkey % 9 AS STRING) AS repo, p_size AS z FROM part WHERE p_size % 3 = 0), s AS (SELECT 'r' || CAST(o_orderkey % 9 AS STRING) AS repo, o_orderkey AS o FROM orders)
+    """WITH a AS (SELECT 'r' || CAST(p_partkey % 9 AS STRING) AS repo, p_size AS z FROM part), p AS (SELECT * FROM a WHERE z % 3 < 2), s AS (SELECT 'r' || CAST(o_orderkey % 9 AS STRING) AS repo, o_orderkey AS o FROM orders)
        SELECT DISTINCT repo, 'package' AS rule_kind, 'g.p' || CAST(z AS STRING) AS pattern FROM p WHERE z % 2 = 0 UNION SELECT 'r' || CAST(page_id % 9 AS STRING), 'package', 'w.s' FROM pages
        UNION SELECT repo, 'fqcn', 'com.g.K' || CAST(o % 50 AS STRING) FROM s WHERE o % 2 = 0
+       UNION SELECT repo, 'directory', d FROM a, (SELECT unnest(['target/generated-sources/**', 'build/generated/**', 'src/generated/**']) AS d)
+       UNION SELECT repo, 'directory', CASE WHEN z % 4 = 0 THEN 'gen/cxf/**' ELSE 'target/generated-sources/cxf/**' END FROM p WHERE z % 3 = 1
+       UNION SELECT repo, 'generator', CASE z % 3 WHEN 0 THEN 'openapi' ELSE 'cxf' END FROM p UNION SELECT repo, 'generator', CASE z WHEN 9 THEN 'lombok' ELSE 'autovalue' END FROM a WHERE z IN (9, 11)
+       UNION SELECT repo, 'blocked', '' FROM p WHERE z % 5 <> 0
        UNION SELECT repo, 'blocked', 's' || CAST(z AS STRING) || '.yml' FROM p WHERE z % 5 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.repo = p.repo AND o % 2 = 1 AND o % 20 = z)""",
 )
 add(
@@ -315,16 +351,16 @@ add(
 
 
 def _state_documents(t):
-    """One document a nation, one a file; every fifth is cut short."""
-    text = F.concat(F.lit('{"id": '), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 4, ', "kind": ').otherwise(F.concat(F.lit(',\n "kind": "'), F.col("n_name"), F.lit('"}'))))
+    """One document a supplier, one a file; every fifth is cut short."""
+    text = F.concat(F.lit('{"id": '), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 5 == 4, ', "kind": ').otherwise(F.concat(F.lit(',\n "kind": "'), F.col("s_name"), F.lit('"}'))))
     path = scratch(t.spark, "state")
-    t("nation").select(text.alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    t("supplier").select(text.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(path)
     return I.read_state_json(t.spark, path, "id long, kind string")
 
 
 add(
     "s11_read_state_json", lambda t: _state_documents(t)[0].select("id", "kind"),
-    "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS kind FROM nation WHERE n_nationkey % 5 <> 4",
+    "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS kind FROM supplier WHERE s_suppkey % 5 <> 4",
 )
 add(
     "s09_read_classpath_versions",

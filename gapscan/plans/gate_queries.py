@@ -75,6 +75,15 @@ add(
     """WITH u AS (SELECT p_partkey, p_size, concat_ws(',', CASE WHEN p_size % 4 = 0 THEN 'mock' END, CASE WHEN p_size % 3 = 0 THEN 'test' END) AS unknown FROM part)
        SELECT p_partkey AS pack_id, CASE WHEN p_size % 10 = 0 OR unknown <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, unknown FROM u""",
 )
+add(
+    "j07_gate_positional_stack",
+    lambda t: G.gate_stack(
+        t("part").selectExpr("p_partkey AS pack_id", "CASE WHEN p_size % 10 = 0 THEN TRUE END AS blocked", "CAST(NULL AS MAP<STRING, STRING>) AS stack",
+                             "transform(sequence(0, 9), i -> CASE WHEN p_size % 3 = 0 AND i = p_partkey % 10 THEN 'UNKNOWN' WHEN i <> 4 THEN 'x' END) AS positional")
+    ),
+    """WITH u AS (SELECT p_partkey AS pack_id, p_size % 10 = 0 AS blocked, CASE WHEN p_size % 3 = 0 AND p_partkey % 10 NOT IN (0, 6, 7, 8) THEN CAST(p_partkey % 10 AS STRING) ELSE '' END AS unknown FROM part)
+       SELECT pack_id, CASE WHEN blocked OR unknown <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, unknown FROM u""",
+)
 add(
     "f08_preflight_gate",
     lambda t: G.preflight_gate(

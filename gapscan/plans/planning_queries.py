@@ -126,6 +126,26 @@ add(
         s AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, turn ORDER BY plan_rank) - 1) / 50) AS sl FROM r)
         SELECT repo, target_id, printf('batch-%03d', dense_rank() OVER (PARTITION BY repo ORDER BY turn, sl)) AS batch_id FROM s""",
 )
+_CAPS = {"service": 3, "controller": 2}
+
+
+def _typed(t):
+    return P.plan(_enriched(t)).join(t("classification").select(F.col("fqcn").alias("sut"), "type"), "sut", "left").withColumn("type", F.coalesce("type", F.lit("")))
+
+
+add(
+    "w11_batches_type_caps", lambda t: P.batches(_typed(t), 7, type_caps=_CAPS).select("repo", "target_id", "type", "batch_id"),
+    f"""WITH {_LAMBDA}, {_ENRICH}, {_PLAN}, ty AS (SELECT p.*, coalesce(c.type, '') AS type FROM planned p LEFT JOIN classification c ON c.fqcn = p.sut),
+        tu AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, type ORDER BY plan_rank) - 1) / CASE type WHEN 'service' THEN 3 WHEN 'controller' THEN 2 ELSE 7 END) AS turn FROM ty),
+        sl AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, turn ORDER BY plan_rank) - 1) / 7) AS slice FROM tu)
+        SELECT repo, target_id, type, printf('batch-%03d', dense_rank() OVER (PARTITION BY repo ORDER BY turn, slice)) AS batch_id FROM sl""",
+)
+add(
+    "w16_capped_errors",
+    lambda t: P.capped_errors(t("failure_memory").select(F.col("test_case_id").alias("run_id"), F.col("event_id").alias("pos"), "error_code"), 5).select("run_id", "pos", "error_code", "nth", "total", "kept"),
+    """WITH n AS (SELECT test_case_id AS run_id, event_id AS pos, error_code, CAST(row_number() OVER (PARTITION BY test_case_id ORDER BY event_id) AS INTEGER) AS nth, count(*) OVER (PARTITION BY test_case_id) AS total FROM failure_memory)
+       SELECT *, least(total, 5) AS kept FROM n WHERE nth <= 5""",
+)
 add(
     "j08_select_unprocessed",
     lambda t: P.select_unprocessed(P.plan(_enriched(t)), t("targets").filter("pos = 1").select("target_id"), 20).select("repo", "target_id", "next"),
@@ -218,7 +238,13 @@ add(
     "p19_stable_fingerprint", lambda t: D.stable_fingerprint(t("fixtures")),
     """SELECT *, sha256('{"fixture_id":"' || fixture_id || '","fqcn":"' || fqcn || '","strategy":"' || strategy || '"}') AS fingerprint FROM fixtures""",
 )
-add("p19_table_fingerprint", lambda t: D.table_fingerprint(t("classes")))
+add(
+    "p19_table_fingerprint", lambda t: D.table_fingerprint(t("classes")),
+    """WITH r AS (SELECT sha256('{"annotation":' || coalesce('"' || annotation || '"', 'null') || ',"class_no":' || CAST(class_no AS STRING) || ',"fqcn":"' || fqcn || '","is_abstract":' || CAST(is_abstract AS STRING)
+                              || ',"kind":"' || kind || '","repo":"' || repo || '"}') AS h FROM classes),
+       s AS (SELECT count(*) AS n, CAST(SUM(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING) AS a, CAST(SUM(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING) AS b FROM r)
+       SELECT n, sha256(a || ':' || b || ':' || CAST(n AS STRING)) AS fingerprint FROM s""",
+)
 add(
     "x04_fingerprint_diff",
     lambda t: D.fingerprint_diff(

@@ -117,18 +117,18 @@ def _ledger(t):
     costed = _costed(t).withColumn("repo", F.concat(F.lit("repo-src"), (F.substring("run_id", 4, 9).cast("long") % 20).cast("string")))
     return costed.groupBy("repo").agg(
         F.count(F.lit(1)).alias("calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"),
-        (F.sum(F.bround(F.col("cost_usd") * 1e6, 0).cast("long")) / 1e6).alias("cost_usd"), F.bool_or("estimated").alias("estimated"),
+        (F.sum(F.bround(F.col("cost_usd") * 1e6, 0).cast("long")) / 1e6).alias("cost_usd"), F.bool_or("estimated").alias("estimated"), F.sum("tokens_in").alias("sent_bytes"),
     )
 
 
 add(
     "a17_cost_efficiency", lambda t: T.cost_efficiency(T.workspace_size(t("source_files")), _ledger(t)),
     f"""WITH {_COSTED}, {_SIZES}, led AS (SELECT 'repo-src' || CAST(CAST(substr(run_id, 4) AS BIGINT) % 20 AS STRING) AS repo, count(*) AS calls, CAST(SUM(tokens_in + tokens_out) AS BIGINT) AS tokens,
-            CAST(SUM(CAST(round_even(cost_usd * 1e6, 0) AS BIGINT)) AS BIGINT) / 1e6 AS usd, bool_or(estimated) AS est FROM costed GROUP BY 1),
+            CAST(SUM(CAST(round_even(cost_usd * 1e6, 0) AS BIGINT)) AS BIGINT) / 1e6 AS usd, bool_or(estimated) AS est, CAST(SUM(tokens_in) AS BIGINT) AS sent FROM costed GROUP BY 1),
         b AS (SELECT *, CAST(ceil(bytes / 4) * calls AS BIGINT) AS base FROM sizes JOIN led USING (repo)),
         s AS (SELECT *, greatest(0, base - tokens) AS saved FROM b)
         SELECT repo, base AS baseline_tokens, tokens AS actual_tokens, CAST(saved AS BIGINT) AS saved_tokens, round_even(CAST(base AS DOUBLE) / CAST(tokens AS DOUBLE), 4) AS factor,
-               round_even(saved * 100.0::DOUBLE / CAST(base AS DOUBLE), 2) AS savings_pct, round_even(saved * (usd / CAST(tokens AS DOUBLE)), 6) AS saved_usd,
+               round_even(saved * 100.0::DOUBLE / CAST(base AS DOUBLE), 2) AS savings_pct, round_even(CAST(bytes * calls AS DOUBLE) / CAST(sent AS DOUBLE), 4) AS byte_factor, round_even(saved * (usd / CAST(tokens AS DOUBLE)), 6) AS saved_usd,
                CASE WHEN est THEN 'size_estimate' ELSE 'api_usage' END AS source FROM s""",
 )
 add(

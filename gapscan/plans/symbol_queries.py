@@ -7,9 +7,8 @@ from ..operators import gates as G
 from ..operators import graph as R
 from ..operators import planning as P
 from ..operators import symbols as Y
-from .adapters import sut
 from .catalog import CATALOG
-from .planning_queries import _enriched
+from .planning_queries import _ENRICH, _LAMBDA, _PLAN, _enriched
 
 add = CATALOG.add
 
@@ -51,14 +50,15 @@ add(
             "*", "n_params = 1 AS is_static", "CASE WHEN n_params = 1 AND pos = 2 THEN fqcn WHEN n_params = 1 THEN 'void' END AS return_type",
             "CASE WHEN kind = 'builder' AND n_params < 2 THEN concat(fqcn, '.Builder()') WHEN kind = 'builder' AND n_params = 2 THEN concat(fqcn, '_Builder()') ELSE 'make()' END AS entry", "CAST(NULL AS STRING) AS build",
         ),
-        t("classes"),
+        t("classes").withColumn("type", F.element_at(F.array(*[F.lit(x) for x in (*Y.VARIANTS, "odd")]), (F.col("class_no") % (len(Y.VARIANTS) + 1) + 1).cast("int"))),
     ),
-    """WITH b AS (SELECT fqcn, fqcn || '.Builder() … build()' AS e FROM members WHERE kind = 'builder' AND n_params < 2),
+    f"""WITH b AS (SELECT fqcn, fqcn || '.Builder() … build()' AS e FROM members WHERE kind = 'builder' AND n_params < 2),
        c AS (SELECT fqcn, evidence_id AS e FROM members WHERE kind = 'constructor' AND visibility = 'public' QUALIFY row_number() OVER (PARTITION BY fqcn ORDER BY n_params, pos) = 1),
        f AS (SELECT fqcn, evidence_id AS e FROM members WHERE kind = 'method' AND pos = 2 AND n_params = 1),
-       x AS (SELECT k.fqcn, k.kind = 'interface' OR k.is_abstract AS a, b.e AS be, c.e AS ce, f.e AS fe FROM classes k LEFT JOIN b USING (fqcn) LEFT JOIN c USING (fqcn) LEFT JOIN f USING (fqcn))
+       x AS (SELECT k.fqcn, k.class_no % {len(Y.VARIANTS) + 1} AS v, k.kind = 'interface' OR k.is_abstract AS a, b.e AS be, c.e AS ce, f.e AS fe FROM classes k LEFT JOIN b USING (fqcn) LEFT JOIN c USING (fqcn) LEFT JOIN f USING (fqcn))
        SELECT fqcn, CASE WHEN a THEN 'mock' WHEN be IS NOT NULL THEN 'builder' WHEN ce IS NOT NULL THEN 'constructor' WHEN fe IS NOT NULL THEN 'factory' ELSE 'mock' END AS strategy,
-              CASE WHEN NOT a THEN coalesce(be, ce, fe) END AS evidence, NOT a AND be IS NULL AND ce IS NULL AND fe IS NULL AS degraded FROM x""",
+              CASE WHEN NOT a THEN coalesce(be, ce, fe) END AS evidence, NOT a AND be IS NULL AND ce IS NULL AND fe IS NULL AS degraded,
+              CASE WHEN NOT a AND be IS NULL AND ce IS NULL AND fe IS NULL THEN '' ELSE CASE v {" ".join(f"WHEN {i} THEN '{','.join(names)}'" for i, names in enumerate(Y.VARIANTS.values()))} ELSE 'happy-path' END END AS variants FROM x""",
 )
 add(
     "c02_fixture_values",
@@ -75,15 +75,15 @@ add(
 
 add(
     "p20_compact_imports",
-    lambda t: Y.compact_imports(t("imports").select(F.substring("patch_id", 1, 4).alias("fqcn"), "import").distinct().withColumn("pos", F.col("import"))),
-    """WITH d AS (SELECT DISTINCT substr(patch_id, 1, 4) AS fqcn, import FROM imports), n AS (SELECT *, row_number() OVER (PARTITION BY fqcn ORDER BY import) AS n FROM d),
+    lambda t: Y.compact_imports(t("imports").select(F.col("patch_id").alias("fqcn"), "import").distinct().withColumn("pos", F.col("import"))),
+    """WITH d AS (SELECT DISTINCT patch_id AS fqcn, import FROM imports), n AS (SELECT *, row_number() OVER (PARTITION BY fqcn ORDER BY import) AS n FROM d),
        k AS (SELECT *, regexp_extract(import, '^(.*)\\.[^.]*$', 1) AS p FROM n WHERE n <= 40), m AS (SELECT *, count(*) OVER (PARTITION BY fqcn, p) >= 3 AS many FROM k)
        SELECT fqcn, CASE WHEN many THEN p ELSE '_' END AS prefix, string_agg(CASE WHEN many THEN regexp_extract(import, '([^.]*)$', 1) ELSE import END, ',' ORDER BY n) AS leaves FROM m GROUP BY 1, 2""",
 )
 add(
     "p20_expand_imports",
-    lambda t: Y.expand_imports(Y.compact_imports(t("imports").select(F.substring("patch_id", 1, 4).alias("fqcn"), "import").distinct().withColumn("pos", F.col("import")))),
-    """WITH d AS (SELECT DISTINCT substr(patch_id, 1, 4) AS fqcn, import FROM imports)
+    lambda t: Y.expand_imports(Y.compact_imports(t("imports").select(F.col("patch_id").alias("fqcn"), "import").distinct().withColumn("pos", F.col("import")))),
+    """WITH d AS (SELECT DISTINCT patch_id AS fqcn, import FROM imports)
        SELECT fqcn, import FROM d QUALIFY row_number() OVER (PARTITION BY fqcn ORDER BY import) <= 40""",
 )
 add(
@@ -161,8 +161,8 @@ add(
 _PRESETS = ("org.junit.jupiter.api.Test", "org.mockito.Mock")
 
 
-def _allowed(t, dependencies=None):
-    return Y.allowed_imports(t("classes"), t("members"), dependencies or t("dependencies"), t("whitelist"), _PRESETS)
+def _allowed(t, dependencies="dependencies"):
+    return Y.allowed_imports(t("classes"), t("members"), t(dependencies), t("whitelist"), _PRESETS)
 
 
 _ALLOWED = """
@@ -175,18 +175,31 @@ add(
     "a23_thrown_exceptions", lambda t: Y.thrown_exceptions(t("members")),
     "SELECT fqcn, string_agg(throws, ',' ORDER BY p, throws) AS throws FROM (SELECT fqcn, throws, min(pos) AS p FROM members WHERE throws IS NOT NULL GROUP BY 1, 2) GROUP BY fqcn",
 )
-def _whole_dependencies(t):
-    """A dependency of every line; the adapter ``dependencies`` keeps a tenth, and 90 types."""
-    return t("lineitem").select(F.expr(sut("l_partkey")).alias("sut"), F.expr(sut("l_suppkey")).alias("type"), F.col("l_linenumber").cast("long").alias("pos")).distinct()
 
 
 def _packs(t):
-    deps = _whole_dependencies(t)
     digest = G.failure_digest(t("failure_memory"), t("targets").select("sut"))
-    return Y.context_pack(P.plan(_enriched(t), 0), t("classification"), t("coverage"), t("members"), deps, t("fixtures"), _allowed(t, deps), digest)
+    return Y.context_pack(P.plan(_enriched(t), 0), t("classification"), t("coverage"), t("members"), t("supplied"), t("fixtures"), _allowed(t, "supplied"), digest)
 
 
-add("j16_context_pack", _packs)
+add(
+    "j16_context_pack", _packs,
+    f"""WITH {_LAMBDA}, {_ENRICH}, {_PLAN}, {_ALLOWED.replace("FROM dependencies", "FROM supplied")},
+        fl AS (SELECT *, split_part(symbol_fqn, '#', 1) AS sut FROM failure_memory WHERE last_result = 'FAILED' AND split_part(symbol_fqn, '#', 1) IN (SELECT sut FROM targets)),
+        ag AS (SELECT *, row_number() OVER (PARTITION BY sut, error_code, fix_id ORDER BY last_seen_cycle DESC, event_id DESC) > 1 AS again FROM fl),
+        di AS (SELECT *, row_number() OVER (PARTITION BY sut ORDER BY again, last_seen_cycle DESC, event_id DESC) AS place FROM ag),
+        fs AS (SELECT fqcn AS type, min(strategy) AS strategy FROM fixtures GROUP BY 1),
+        de AS (SELECT d.sut, d.type || ':' || coalesce(fs.strategy, 'mock') AS line, d.type FROM (SELECT DISTINCT sut, type FROM supplied) d LEFT JOIN fs USING (type)),
+        p1 AS (SELECT sut, string_agg(target_id, ';' ORDER BY plan_rank, target_id) AS x FROM planned GROUP BY 1),
+        p2 AS (SELECT fqcn AS sut, string_agg(kind || ':' || name, ';' ORDER BY pos, kind || ':' || name) AS x FROM members GROUP BY 1),
+        p3 AS (SELECT sut, string_agg(line, ';' ORDER BY type) AS x FROM de GROUP BY 1),
+        p4 AS (SELECT sut, string_agg(error_code || ':' || fix_id, ';' ORDER BY place) AS x FROM di WHERE place <= 8 GROUP BY 1),
+        k AS (SELECT fqcn AS sut, max(type) AS type, max(template) AS template FROM classification GROUP BY 1),
+        cv AS (SELECT fqcn AS sut, CAST(SUM(covered_lines) AS BIGINT) AS covered_lines FROM coverage GROUP BY 1),
+        pk AS (SELECT p1.sut, k.type, k.template, cv.covered_lines, coalesce(al2.imports, '') AS imports, p1.x AS targets, coalesce(p2.x, '') AS members, coalesce(p3.x, '') AS dependencies, coalesce(p4.x, '') AS failures
+               FROM p1 LEFT JOIN k USING (sut) LEFT JOIN cv USING (sut) LEFT JOIN (SELECT fqcn AS sut, imports FROM allowed) al2 USING (sut) LEFT JOIN p2 USING (sut) LEFT JOIN p3 USING (sut) LEFT JOIN p4 USING (sut))
+        SELECT *, CAST(floor((strlen(sut) + strlen(imports) + strlen(targets) + strlen(members) + strlen(dependencies) + strlen(failures) + 5) * 0.25) AS BIGINT) AS pack_tokens FROM pk""",
+)
 add(
     "c09_lint_symbols",
     lambda t: Y.lint_symbols(t("members").selectExpr("concat(fqcn, '.java') AS file", "CASE pos % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'builder' WHEN 2 THEN 'call' ELSE 'static' END AS kind", "fqcn AS type",
@@ -204,6 +217,12 @@ add(
     """SELECT fqcn AS path, 0 AS pos, 'com.acme.p' || CAST(class_no % 5 AS STRING) || '.T' || CAST(class_no AS STRING) AS fqcn, kind, CASE WHEN class_no % 3 = 0 THEN 'Builder,Service' ELSE 'Service' END AS annotations, class_no % 3 = 0 AS has_builder FROM classes
        UNION ALL SELECT fqcn, 1, 'com.acme.p' || CAST(class_no % 5 AS STRING) || '.Inner', 'class', '', FALSE FROM classes""",
 )
+_BUILDER = "concat('class T', class_no, ' { static class Builder { Builder size(int n) { return this; } // Builder hidden(int n);\\n public abstract T', class_no, '.Builder names( java.util.List<String>  xs ); Builder size(int m); Builder mapIt(int n); T build(); Builder part', class_no % 4, '(String s); } }')"
+add(
+    "c12_builder_setters", lambda t: Y.builder_setters(t("classes").selectExpr("fqcn AS path", f"{_BUILDER} AS content")),
+    """SELECT fqcn AS path, 'size' AS name, 'int' AS type, 0 AS pos FROM classes UNION ALL SELECT fqcn, 'names', 'java.util.List<String>', 1 FROM classes
+       UNION ALL SELECT fqcn, 'part' || CAST(class_no % 4 AS STRING), 'String', 4 FROM classes""",
+)
 add(
     "c13_enrich_classes",
     lambda t: Y.enrich_classes(_classes(t).select("fqcn", "kind", "annotations"), t("classes").filter("class_no % 2 = 0").select("fqcn", F.array(F.lit("Builder"), F.lit("Slf4j")).alias("annotations"), (F.col("class_no") % 3 == 0).alias("has_builder"))),
@@ -225,15 +244,24 @@ add(
     "p14_referenced_types", lambda t: t("classes").select("class_no", F.array_join(S.referenced_types(F.concat(F.lit("java.util.Map<java.lang.String, "), "fqcn", F.lit(">"))), ",").alias("types")),
     "SELECT class_no, 'java.util.Map,' || fqcn AS types FROM classes",
 )
+#: Every entry of the fixed tables, as a bare, a qualified and an odd name
+_TYPES = {**S.DEFAULT_LITERALS, "java.util.List<a.B>": "Collections.emptyList()", "a.b.Odd[]": "new Odd[0]", "odd.T": "null"}
+_RAISED = {**S.EXCEPTION_CODES, **{f"a.b.My{name}": code for name, code in S.EXCEPTION_CODES.items()}, "b.Odd": "E_UNKNOWN"}
+
+
+def _cases(values):
+    return " ".join(f"WHEN {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(values))
+
+
 add(
     "p15_default_literal",
-    lambda t: t("part").select("p_partkey", S.default_literal(F.element_at(F.array(*[F.lit(x) for x in ("int", "java.util.List<a.B>", "String[]", "odd.T")]), (F.col("p_size") % 4 + 1).cast("int"))).alias("literal")),
-    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN 'Collections.emptyList()' WHEN 2 THEN 'new String[0]' ELSE 'null' END AS literal FROM part",
+    lambda t: t("part").select("p_partkey", S.default_literal(F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (F.col("p_partkey") % len(_TYPES) + 1).cast("int"))).alias("literal")),
+    f"SELECT p_partkey, CASE p_partkey % {len(_TYPES)} {_cases(_TYPES.values())} END AS literal FROM part",
 )
 add(
     "p16_exception_code",
-    lambda t: t("part").select("p_partkey", S.exception_code(F.element_at(F.array(*[F.lit(x) for x in ("java.lang.NullPointerException", "a.MyAssertionError", "b.Odd", "org.mockito.exceptions.base.MockitoException")]), (F.col("p_size") % 4 + 1).cast("int"))).alias("code")),
-    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'E_NPE' WHEN 1 THEN 'E_ASSERTION' WHEN 2 THEN 'E_UNKNOWN' ELSE 'E_MOCK' END AS code FROM part",
+    lambda t: t("part").select("p_partkey", S.exception_code(F.element_at(F.array(*[F.lit(x) for x in _RAISED]), (F.col("p_partkey") % len(_RAISED) + 1).cast("int"))).alias("code")),
+    f"SELECT p_partkey, CASE p_partkey % {len(_RAISED)} {_cases(_RAISED.values())} END AS code FROM part",
 )
 add(
     "p17_lookups", lambda t: t("part").select("p_partkey", S.leading_int(F.concat(F.col("p_size").cast("string"), F.lit(".2.x"))).alias("major"), S.spring_namespace(F.concat((F.col("p_size") % 6).cast("string"), F.lit(".1"))).alias("namespace")),

@@ -226,6 +226,31 @@ def test_context_pack_against_brute_force(spark):
     assert {r.sut: (r.type, r.covered_lines, r.imports) for r in rows} == {"a": ("service", 7, "i,j"), "b": (None, None, "")}
 
 
+def test_stack_rules_of_unknown_modules_and_comments(spark):
+    files = spark.createDataFrame([("a", "m", "mockStatic(X.class)"), ("b", "none", "// mockStatic(X.class)"), ("c", "m", None)], "file string, module string, body string")
+    imports = spark.createDataFrame([("a", "org.junit.Before"), ("b", "org.mockito.Mock"), ("b", "org.junit.Before"), ("c", None)], "file string, import string")
+    profiles = spark.createDataFrame([("m", "junit5", "mockito", False, False)], "module string, test_framework string, mock_framework string, inline_mocks boolean, spring_test boolean")
+    got = {tuple(r) for r in C.lint_stack(imports, files, profiles).collect()}
+    assert got == {("a", "JUNIT_VERSION_MISMATCH", "org.junit.Before"), ("a", "FEATURE_NOT_IN_STACK", "mockStatic"), ("b", "FRAMEWORK_NOT_IN_STACK", "org.mockito.Mock")}
+
+
+def test_type_caps_move_rows_on_and_lose_none(spark):
+    rows = [("r", i, f"t{i}", "a" if i % 3 else None) for i in range(1, 20)]
+    planned = spark.createDataFrame(rows, "repo string, plan_rank int, target_id string, type string")
+    got = P.batches(planned, 4, type_caps={"a": 2}).collect()
+    assert sorted(r.target_id for r in got) == sorted(r[2] for r in rows)
+    for batch in {r.batch_id for r in got}:
+        held = [r.type for r in got if r.batch_id == batch]
+        assert len(held) <= 4 and held.count("a") <= 2
+
+
+def test_numbers_of_a_class_do_not_depend_on_chunks(spark):
+    rows = [("r", i * 1000, f"c{i % 2}", f"t{i}") for i in range(1, 30)]
+    planned = spark.createDataFrame(rows, "repo string, plan_rank int, sut string, target_id string")
+    got = {r.target_id: r.batch_id for r in P.batches(planned, 2, one_class_a_batch=True).collect()}
+    assert got == {f"t{i}": f"batch-{(i + 1) // 2:03d}" for i in range(1, 30)}
+
+
 def test_every_planned_class_has_a_pack(spark):
     from gapscan.plans import catalog
 

@@ -80,7 +80,8 @@ def _placed(
     docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source",
     block: int = BLOCK, bucket_rows: int = 20_000,
 ) -> DataFrame:
-    """``docs`` with ``__mix_class``, ``__mix_slot`` and ``__mix_position``."""
+    """``docs`` with ``__mix_class``, ``__mix_slot``, ``__mix_position`` and, in every row,
+    ``__mix_total``, the number of rows."""
     spark = docs.sparkSession
     weights = dict(weights or WEIGHTS)
     weights.setdefault("other", 1)
@@ -121,6 +122,7 @@ def _placed(
         F.col("__class").alias("__mix_class"),
         (F.col("__turn") * total + F.col("__at")).alias("__mix_slot"),
         position.cast("long").alias("__mix_position"),
+        F.aggregate(F.map_values("__sizes"), F.lit(0).cast("long"), lambda a, x: a + x).alias("__mix_total"),
     )
 
 
@@ -135,9 +137,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> Da
 
 def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> DataFrame:
     """``docs`` in the order of the mixture, with their own columns: row ranges of the
-    mixture are partitions, sorted within."""
-    width, at = common.shuffle_width(docs.sparkSession), "__mix_position"
-    return _placed(docs, weights, **options).repartitionByRange(width, at).sortWithinPartitions(at).select(*docs.columns)
+    mixture are partitions, sorted within.  Positions are dense, so ranges follow by
+    arithmetic: no run of the plan to sample them."""
+    width, at = common.shuffle_width(docs.sparkSession), F.col("__mix_position")
+    part = F.floor(at * width / F.col("__mix_total")).cast("int")
+    return _placed(docs, weights, **options).repartitionById(width, part).sortWithinPartitions(at).select(*docs.columns)
 
 
 def reference_cycle(weights: dict[str, int]) -> list[tuple[int, str, int]]:

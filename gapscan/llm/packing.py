@@ -6,6 +6,9 @@ items of the next round, where fewer partitions pack them best-fit again, until
 one partition has seen all that is left or a round no longer helps.  A bin is one
 row that carries its members (at most ``capacity`` of them), so no round joins.
 
+Tokenising and packing may be done apart: ``cut_documents`` reads texts where they
+stand and gives counts and checksums, which ``pack_cuts`` packs, so that no text moves.
+
 With a position column the packing follows that order: a partition holds a range of
 positions, ``span`` consecutive documents are packed together, a round merges the
 underfull bins of neighbouring ranges, and sequences are numbered by ``place``, the
@@ -104,20 +107,33 @@ def _pack_items(items: list[tuple], capacity: int, enough: int, rows: _Rows) ->
         rows.add(used >= enough, used, *out, weighed / used)
 
 
-def _local(batches, path: str, capacity: int, closing: bytes, enough: int, held: int, span: int | None):
-    rows, items, taken = _Rows(), [], 0
+def _cut(batches, path: str, capacity: int, closing: bytes):
+    """Batches whose last column is the text, with its ids' number and the checksums of
+    its pieces in its place."""
     encode = tokenizer(path).id_bytes
     wide = 4 * capacity
     for batch in batches:
-        for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        tokens, crcs = [], []
+        for text in batch.column(batch.num_columns - 1):
             raw = encode(text.as_py() or "") + closing
-            for k, at in enumerate(range(0, len(raw), wide)):
-                cut = raw[at : at + wide]
-                n, crc = len(cut) // 4, zlib.crc32(cut)
+            tokens.append(len(raw) // 4)
+            crcs.append([zlib.crc32(raw[at : at + wide]) for at in range(0, len(raw), wide)])
+        made = [pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "tokens", "crcs"])
+
+
+def _local(batches, capacity: int, enough: int, held: int, span: int | None):
+    """Batches of id, place, tokens and crcs."""
+    rows, items, taken = _Rows(), [], 0
+    for batch in batches:
+        for doc, place, tokens, crcs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, crc in enumerate(crcs):
+                at = k * capacity
+                n = min(capacity, tokens - at)
                 if n == capacity:
-                    rows.add(True, n, [doc], [k], [at // 4], [n], [crc], [0], place)
+                    rows.add(True, n, [doc], [k], [at], [n], [crc], [0], place)
                 else:
-                    items.append((n, [doc], [k], [at // 4], [n], [crc], [0], place))
+                    items.append((n, [doc], [k], [at], [n], [crc], [0], place))
             taken += 1
             if len(items) >= held or (span and taken >= span):
                 _pack_items(items, capacity, enough, rows)
@@ -141,6 +157,19 @@ def _again(batches, capacity: int, enough: int, held: int):
     yield rows.take()
 
 
+def cut_documents(
+    docs: DataFrame, tokenizer_path: str, *, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", capacity: int = 2048, closing_id: int = 0
+) -> DataFrame:
+    """One row per document, written: the columns ``kept``, ``tokens`` (ids with the
+    closing one) and ``crcs`` (checksum of each piece of ``capacity`` ids)."""
+    common.ship(docs.sparkSession)
+    closing = int(closing_id).to_bytes(4, "little")
+    slim = docs.select(*kept, F.col(text_col).cast("string").alias("text"))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "tokens long", "crcs array<long>"])
+    return common.staged(slim.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity, closing), schema), "cut")
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -149,15 +178,22 @@ def pack_documents(
     text_col: str = "text",
     capacity: int = 2048,
     closing_id: int = 0,
-    slack: int = 4,
-    held: int = 50_000,
-    fan_in: int = 8,
-    max_rounds: int = 12,
     position_col: str | None = None,
-    span: int = 1024,
+    **options,
 ) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``,
-    ``sequence_id``, ``offset``.
+    ``sequence_id``, ``offset``.  Options as in ``pack_cuts``."""
+    if position_col:
+        cuts = cut_documents(docs, tokenizer_path, kept=(id_col, position_col), text_col=text_col, capacity=capacity, closing_id=closing_id)
+        return pack_cuts(cuts, id_col=id_col, capacity=capacity, position_col=position_col, **options)
+    common.ship(docs.sparkSession)
+    closing = int(closing_id).to_bytes(4, "little")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("place"), F.col(text_col).cast("string").alias("text"))
+    return _packed(slim, lambda it: _cut(it, tokenizer_path, capacity, closing), id_col, capacity, **options)
+
+
+def pack_cuts(cuts: DataFrame, *, id_col: str = "doc_id", capacity: int = 2048, position_col: str | None = None, **options) -> DataFrame:
+    """Pack what ``cut_documents`` gave, at the same capacity; columns as ``pack_documents``.
 
     ``slack``: a bin lacking at most so many ids is final at once.  ``held``: the
     most items that a task packs together, which bounds its memory.  ``fan_in``:
@@ -165,23 +201,28 @@ def pack_documents(
     ``position_col``: numbers in whose order the sequences come; ``span``: documents
     of consecutive positions that are packed together first.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
-    closing, enough = int(closing_id).to_bytes(4, "little"), capacity - slack
     place = F.col(position_col).cast("double") if position_col else F.lit(0.0)
-    span = span if position_col else None
+    slim = cuts.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), "tokens", "crcs")
+    return _packed(slim, iter, id_col, capacity, ordered=position_col is not None, **options)
+
+
+def _packed(
+    slim: DataFrame, read, id_col: str, capacity: int, *,
+    ordered: bool = False, slack: int = 4, held: int = 50_000, fan_in: int = 8, max_rounds: int = 12, span: int = 1024,
+) -> DataFrame:
+    """``read`` turns batches of ``slim`` into batches of id, place, tokens and crcs."""
+    spark = slim.sparkSession
+    common.ship(spark)
+    enough, most = capacity - slack, span if ordered else None
 
     def dealt(df: DataFrame, parts: int) -> DataFrame:
-        if not position_col:
+        if not ordered:
             return df.repartition(parts)
         return df.repartitionByRange(parts, "place").sortWithinPartitions("place")
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), place.alias("place"))
-    if position_col:
+    if ordered:
         slim = dealt(slim, common.shuffle_width(spark))
-    bins = common.staged(
-        slim.mapInArrow(lambda it: _local(it, tokenizer_path, capacity, closing, enough, held, span), BIN_SCHEMA), "pack0"
-    )
+    bins = common.staged(slim.mapInArrow(lambda it: _local(read(it), capacity, enough, held, most), BIN_SCHEMA), "pack0")
     final, rest = [bins.filter("finished")], bins.filter("NOT finished")
     n, width = rest.count(), max(1, common.shuffle_width(spark) // fan_in)
     for level in range(1, max_rounds + 1):
@@ -202,7 +243,7 @@ def pack_documents(
     whole = final[0]
     for part in final[1:]:
         whole = whole.unionByName(part)
-    if position_col:
+    if ordered:
         whole = dealt(whole, common.shuffle_width(spark))
     numbered = whole.withColumn("sequence_id", F.monotonically_increasing_id()).select(  # before explode makes rows
         "sequence_id",

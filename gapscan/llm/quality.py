@@ -274,11 +274,16 @@ def _score(batches, scorer: Scorer, threshold: float):
 def read_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, written to the shared folder: ``id``, ``draw`` (a hash of id
     and text), the votes and the feature arrays."""
+    return _measured(docs, {"id": id_col}, id_col, text_col)
+
+
+def _measured(docs: DataFrame, kept: dict[str, str], id_col: str, text_col: str) -> DataFrame:
+    """``kept`` (new name to column) with ``draw`` and the features, written."""
     common.ship(docs.sparkSession)
-    draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20))
-    slim = docs.select(F.col(id_col).alias("id"), draw.alias("draw"), F.col(text_col).cast("string").alias("x"))
-    kind = dict(docs.dtypes)[id_col]
-    return common.staged(slim.mapInArrow(_write, f"id {kind}, draw long, {_FEATURES}"), "quality")
+    draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)).alias("draw")
+    slim = docs.select(*[F.col(old).alias(new) for new, old in kept.items()], draw, F.col(text_col).cast("string").alias("x"))
+    kinds = ", ".join(f"{new} {dict(docs.dtypes)[old]}" for new, old in kept.items())
+    return common.staged(slim.mapInArrow(_write, f"{kinds}, draw long, {_FEATURES}"), "quality")
 
 
 def fit_quality(features: DataFrame, *, sample_rows: int = 6000, max_chars: int = 20_000) -> tuple[LabelModel, Scorer]:
@@ -310,19 +315,18 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that are kept, with all their columns.  Whole rows are scored and
-    filtered where they are read, which measures texts once more but moves none."""
-    features = read_features(docs, id_col=id_col, text_col=text_col)
+    """The documents that are kept, with all their columns.  Whole rows are written beside
+    their features, so that texts are measured once and none is moved to be joined."""
+    named = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    features = _measured(docs, named, id_col, text_col)
     _, scorer = fit_quality(features, **options)
-    common.discard(features)
-    place = docs.columns.index(text_col)
 
     def keep(batches):
-        blank = Scorer()
-        measure = Measurer(blank)
         for batch in batches:
-            texts = batch.column(place).cast(pa.string())
-            good = [scorer.score(*_arrays(*_read(measure, blank, x.as_py() or "")[1:])) >= threshold for x in texts]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            pairs = zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True)
+            good = [scorer.score(*_arrays(*pair)) >= threshold for pair in pairs]
+            yield batch.select(list(named)).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = features.select(*named, "ids", "x")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(named)])
+    return rows.mapInArrow(keep, schema).toDF(*docs.columns)

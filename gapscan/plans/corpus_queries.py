@@ -1,6 +1,10 @@
 """Raw corpora: formats that Spark writes from the tables and reads back, logs, lint,
 findings and profiles."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -369,3 +373,69 @@ add(
     ).select("artifact", "version").distinct(),
     "SELECT DISTINCT 'art' || CAST(p_partkey % 90 AS STRING) AS artifact, CAST(p_partkey % 90 AS STRING) AS version FROM part WHERE p_partkey % 90 <= 80",
 )
+
+
+def _zips(rows):
+    """One archive of ``archive, entry, content`` rows each; the caller bounds their number."""
+
+    def pack(key, pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for entry, content in zip(pdf["entry"], pdf["content"], strict=True):
+                z.writestr(entry, content)
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    return rows.groupBy("archive").applyInPandas(pack, "path string, content binary")
+
+
+def _sources(t):
+    """Orders as XML below a source folder or a build folder, and as text, which is no source."""
+    path = scratch(t.spark, "sources")
+    rows = t("orders").select("o_orderkey")
+    rows.filter("o_orderkey % 5 > 0").write.format("xml").option("rootTag", "rows").option("rowTag", "row").save(f"{path}/src")
+    rows.filter("o_orderkey % 5 = 0").write.format("xml").option("rootTag", "rows").option("rowTag", "row").save(f"{path}/target")
+    rows.select(F.format_string("<o_orderkey>%d</o_orderkey>", "o_orderkey")).write.text(f"{path}/notes")
+    keys = F.regexp_extract_all("content", F.lit(r"<o_orderkey>(\d+)</o_orderkey>"), F.lit(1))
+    return I.read_sources(t.spark, path).select("kind", F.explode(keys.cast("array<bigint>")).alias("o_orderkey"))
+
+
+add("s06_read_sources", _sources, "SELECT 'other' AS kind, o_orderkey FROM orders WHERE o_orderkey % 5 > 0")
+# forty parts an archive; every third archive has two top folders
+_ENTRIES = """CASE p_size % 4 WHEN 0 THEN '/src/service/K' || k || '.java' WHEN 1 THEN '/target/K' || k || '.java' WHEN 2 THEN '/d' || k || '.md' ELSE '/b' || k || '.bin' END"""
+_ARCHIVED = f"""SELECT archive, top, top || {_ENTRIES} AS entry, p_name AS content FROM (
+    SELECT 'a' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) AS archive, CAST(p_partkey AS STRING) AS k, p_size, p_name,
+           CASE WHEN floor(p_partkey / 40) % 3 = 0 THEN 't' || CAST(p_partkey % 2 AS STRING) ELSE 'top' END AS top FROM part) p"""
+add(
+    "s07_source_archives",
+    lambda t: I.source_archives(_zips(t.spark.sql(_ARCHIVED.replace("FROM part)", "FROM {part})"), part=t("part")).drop("top"))),
+    f"""WITH e AS ({_ARCHIVED}), n AS (SELECT archive, count(DISTINCT top) AS tops FROM e GROUP BY archive)
+        SELECT e.archive, CASE WHEN tops = 1 THEN substr(entry, length(top) + 2) ELSE entry END AS path, CASE WHEN entry LIKE '%.md' THEN 'docs' ELSE 'java-service' END AS kind,
+               CAST(strlen(content) AS BIGINT) AS size, content
+        FROM e JOIN n USING (archive) WHERE entry LIKE '%.md' OR entry LIKE '%/service/%'""",
+)
+
+
+def _jars(t):
+    k = F.col("p_partkey").cast("string")
+    folder = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("p"), (F.col("p_partkey") % 700).cast("string"), F.lit("/q/")))
+    names = F.array(F.concat(folder, F.lit("C"), k, F.lit(".class")), F.concat(folder, F.lit("C"), k, F.lit("$D.class")), F.concat(folder, F.lit("C"), k, F.lit(".txt")))
+    rows = t("part").select(F.floor(F.col("p_partkey") / 40).cast("string").alias("archive"), F.explode(names).alias("entry"), F.lit("").alias("content"))
+    return I.archive_entries(_zips(rows))
+
+
+add(
+    "s08_archive_entries", _jars,
+    """WITH c AS (SELECT DISTINCT CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'p' || CAST(p_partkey % 700 AS STRING) || '.q' END AS package, p_partkey FROM part)
+       SELECT CASE WHEN package = '' THEN '' ELSE package || '.' END || 'C' || CAST(p_partkey AS STRING) AS name, 'class' AS level, 'dep' AS origin FROM c
+       UNION ALL SELECT DISTINCT package, 'package', 'dep' FROM c WHERE package <> ''""",
+)
+_RULE_LINES = """SELECT 'r' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || CASE WHEN floor(p_partkey / 40) % 10 = 9 THEN '.txt' ELSE '.rules' END AS file, CAST(p_partkey % 40 AS INT) AS line,
+    CASE p_size % 6 WHEN 0 THEN '"' || p_type || '" => addImport(' || p_brand || ')' WHEN 1 THEN '# "' || p_type || '" => addImport(x)' WHEN 2 THEN '' WHEN 3 THEN '  "' || p_type || '"=>escalateToLLM( ' || p_brand || ' ) '
+        WHEN 4 THEN p_type || ' => addImport(x)' ELSE '"' || p_type || '" => somethingElse()' END AS text FROM part"""
+add(
+    "s12_parse_rules", lambda t: I.parse_rules(t.spark.sql(_RULE_LINES.replace("FROM part", "FROM {part}"), part=t("part"))).drop("rule_order"),
+    """SELECT 'r' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.rules' AS file, CAST(p_partkey % 40 + 1 AS INTEGER) AS line, p_type AS pattern,
+              CASE p_size % 6 WHEN 0 THEN 'addImport' WHEN 3 THEN 'escalateToLLM' ELSE 'somethingElse' END AS action, CASE WHEN p_size % 6 = 5 THEN '' ELSE p_brand END AS args,
+              CASE p_size % 6 WHEN 0 THEN 'MISSING_IMPORT' WHEN 3 THEN 'ESCALATED' ELSE 'GENERIC' END AS error_code, p_size % 6 <> 3 AS evidence_required
+       FROM part WHERE p_size % 6 IN (0, 3, 5) AND floor(p_partkey / 40) % 10 <> 9""",
+)

@@ -106,34 +106,47 @@ def _unzip(pdfs, with_text: bool):
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             rows = []
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for info in z.infolist():
-                    if not info.is_dir():
-                        rows.append((path, info.filename, info.file_size, z.read(info).decode("utf-8", "replace") if with_text else ""))
-                        if len(rows) >= 500:
-                            yield pd.DataFrame(rows, columns=["archive", "path", "size", "content"])
-                            rows = []
-            yield pd.DataFrame(rows, columns=["archive", "path", "size", "content"])
+                files = [info for info in z.infolist() if not info.is_dir()]
+                tops = {info.filename.partition("/")[:2] for info in files}
+                top = "/".join(next(iter(tops))[:1]) + "/" if len(tops) == 1 and all(slash for _, slash in tops) else ""
+                for info in files:
+                    rows.append((path, info.filename, info.filename[len(top) :], info.file_size, z.read(info).decode("utf-8", "replace") if with_text else ""))
+                    if len(rows) >= 500:
+                        yield pd.DataFrame(rows, columns=["archive", "entry", "path", "size", "content"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["archive", "entry", "path", "size", "content"])
 
 
-def _archives(spark: SparkSession, path: str, with_text: bool) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(lambda it: _unzip(it, with_text), "archive string, path string, size long, content string")
+def _archives(files: DataFrame, with_text: bool) -> DataFrame:
+    kind = "archive string, entry string, path string, size long, content string"
+    return files.select("path", "content").mapInPandas(lambda it: _unzip(it, with_text), kind)
+
+
+def _binary_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+def source_archives(files: DataFrame) -> DataFrame:
+    """S-7: relevant files of zip archives (``path``, ``content``); a single common top
+    folder is stripped, which the one reader of an archive sees by itself."""
+    return _archives(files, True).filter(is_relevant(F.col("path"))).select("archive", "path", classify_path(F.col("path")).alias("kind"), "size", "content")
 
 
 def read_source_archives(spark: SparkSession, path: str) -> DataFrame:
-    """S-7: relevant files of zip archives; a single common top folder is stripped."""
-    rows = _archives(spark, path, True)
-    tops = rows.groupBy("archive").agg(F.count_distinct(F.substring_index("path", "/", 1)).alias("__n"), F.bool_and(F.col("path").contains("/")).alias("__in"))
-    named = rows.join(tops, "archive").withColumn("path", F.when((F.col("__n") == 1) & F.col("__in"), F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path")))
-    return named.filter(is_relevant(F.col("path"))).select("archive", "path", classify_path(F.col("path")).alias("kind"), "size", "content")
+    """``source_archives`` of a folder."""
+    return source_archives(_binary_files(spark, path))
+
+
+def archive_entries(files: DataFrame) -> DataFrame:
+    """S-8: classes (no nested ones) and packages of jars (``path``, ``content``)."""
+    names = _archives(files, False).filter("entry LIKE '%.class' AND NOT contains(entry, '$')").select(F.regexp_replace(F.regexp_replace("entry", r"\.class$", ""), "/", ".").alias("name"))
+    levels = F.array(F.struct(F.col("name"), F.lit("class").alias("level")), F.struct(S.package_of(F.col("name")).alias("name"), F.lit("package").alias("level")))
+    return names.select(F.inline(levels)).filter("name <> ''").distinct().withColumn("origin", F.lit("dep"))
 
 
 def read_archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """S-8: classes (no nested ones) and packages of jars."""
-    names = _archives(spark, path, False).filter("path LIKE '%.class' AND NOT contains(path, '$')").select(F.regexp_replace(F.regexp_replace("path", r"\.class$", ""), "/", ".").alias("name"))
-    packages = names.select(S.package_of(F.col("name")).alias("name")).filter("name <> ''")
-    rows = names.withColumn("level", F.lit("class")).unionByName(packages.withColumn("level", F.lit("package")))
-    return rows.distinct().withColumn("origin", F.lit("dep"))
+    """``archive_entries`` of a folder."""
+    return archive_entries(_binary_files(spark, path))
 
 
 def read_classpath_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -180,9 +193,15 @@ ACTION_CODES = {
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """S-12: rule lines in file name and line order; comments and bad lines are dropped."""
+    """``parse_rules`` of a folder."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), "value")
-    lines = files.filter(F.col("file").endswith(".rules")).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return parse_rules(files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")))
+
+
+def parse_rules(lines: DataFrame) -> DataFrame:
+    """S-12: rules of ``.rules`` files (``file``, ``line`` from 0, ``text``) in file name and
+    line order; comments and bad lines are dropped."""
+    lines = lines.filter(F.col("file").endswith(".rules"))
     pattern = r'^\s*"((?:[^"\\]|\\.)*)"\s*=>\s*([A-Za-z_][A-Za-z0-9_]*)\((.*)\)\s*$'
     part = lambda i: F.regexp_extract("text", pattern, i)
     rows = lines.filter(~F.col("text").rlike(r"^\s*(#|$)") & F.col("text").rlike(pattern)).select("file", (F.col("line") + 1).alias("line"), part(1).alias("pattern"), part(2).alias("action"), F.trim(part(3)).alias("args"))

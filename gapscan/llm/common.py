@@ -89,11 +89,10 @@ def crc_mod(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def bit_filter(hashes: DataFrame, col: str, most_bytes: int = 64 << 20) -> Callable[[Column], Column]:
-    """A test whether a 64-bit number may be among ``hashes``: one bit of a table of about
-    16 bits for each of them, at most ``most_bytes`` whatever their number.  None that is
-    among them fails it; of others a sixteenth passes, more where the table is at its
-    bound.  Spark sums the table up in pieces of 4 kB; only it passes the driver."""
+def bit_table(hashes: DataFrame, col: str, most_bytes: int = 64 << 20) -> np.ndarray:
+    """A table of about 16 bits for each of the 64-bit numbers in ``col``, a bit set for
+    each, at most ``most_bytes`` whatever their number.  Spark sums the table up in pieces
+    of 4 kB; only it passes the driver."""
     n = hashes.count()
     bits = 1 << max(15, min((16 * max(n, 1)).bit_length(), most_bytes.bit_length() + 2))
     at = F.pmod(F.col(col), F.lit(bits)) + 1
@@ -101,12 +100,23 @@ def bit_filter(hashes: DataFrame, col: str, most_bytes: int = 64 << 20) -> Calla
     table = np.zeros((bits >> 15, 4096), np.uint8)
     for r in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         table[r["piece"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    table = table.ravel()
+    return table.ravel()
+
+
+def may_hold(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each number's bit is set: always for what the table was made of, for
+    others one time in sixteen, more often where the table is at its bound."""
+    at = numbers.astype(np.uint64) & np.uint64(8 * len(table) - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bit_filter(hashes: DataFrame, col: str, most_bytes: int = 64 << 20) -> Callable[[Column], Column]:
+    """``may_hold`` of a ``bit_table`` as a column function."""
+    table = bit_table(hashes, col, most_bytes)
 
     @F.pandas_udf("boolean")
     def among(x: pd.Series) -> pd.Series:
-        at = x.to_numpy(np.int64) & (bits - 1)
-        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(may_hold(table, x.to_numpy(np.int64)))
 
     return among
 

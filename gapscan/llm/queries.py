@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, sharding, warc
+from . import collocations, common, divergence, mixing, sharding, warc
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .multi_index import search
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .quality import score_quality
+from .spelling import spelling_variants
 from .toxicity import score_toxicity
 
 
@@ -60,6 +61,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge_quality(common.table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +84,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_distribution_divergence": op11_distribution_divergence,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +103,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(t) AS text_sha256
         FROM numbered
     """,
+    "op12_phrase_collocations": collocations.oracle_sql(),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
+from ..functions.java_calls import read_calls
 from .planning import dotted_prefixes
 
 #: Annotation to class type (fixed values)
@@ -257,20 +258,54 @@ def affected_tests(imports: DataFrame, edges: DataFrame, affected: DataFrame) ->
     return prefixes.unionByName(depends).join(known, "name", "left_semi").select("test").distinct()
 
 
-def lint_symbols(calls: DataFrame, members: DataFrame) -> DataFrame:
-    """C-9: calls and instantiations that the contract does not know.  ``calls``: file, kind
-    (new, builder, call, static), type, method; methods of throwables are exempt."""
+#: Calls that any receiver has, methods of every throwable, and owners of the test frameworks (fixed values)
+COMMON_CALLS = ("toString", "equals", "hashCode", "getClass", "size", "isEmpty", "contains", "add", "put", "get", "orElse", "orElseThrow")
+THROWABLE_CALLS = ("getMessage", "getCause", "toString")
+FRAMEWORK_OWNERS = ("Mockito", "Assertions", "Assert", "Collections", "Arrays", "Optional")
+
+
+def extract_calls(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """C-9 and J-17: instantiations and calls of each file, their types resolved among
+    ``classes`` (null where none fits).  Returns file, pos, kind, type, method, receiver, fqcn."""
+    read = read_calls(files, path, content)
+    uses = read.select("file", "package", F.explode("uses").alias("u"))
+    simple = F.when(F.col("u.type").rlike(r"^[A-Z]"), S.simple_name(F.col("u.type"))).otherwise(F.col("u.type"))
+    uses = uses.select("file", "package", simple.alias("name"), F.col("u.pos"), F.col("u.kind"), F.col("u.type"), F.col("u.method"), F.col("u.receiver"))
+    known = classes.select(F.col("fqcn").alias("import")).distinct()
+    imports = read.select("file", F.explode("imports").alias("import")).join(known.hint("shuffle_hash"), "import", "left_semi")
+    found = resolve_type(uses, imports, classes)
+    return found.select("file", "pos", "kind", "type", "method", "receiver", F.col("resolved").alias("fqcn"))
+
+
+def lint_symbols(calls: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """C-9: calls and instantiations that the contract of their type does not know.  Types
+    without a contract are left to the compiler.  ``calls``: as from ``extract_calls``;
+    ``members``: its ``entry`` and ``build`` columns, where there are any, verify builders
+    and name their last call.  Methods of throwables are exempt on types named so."""
     usable = members.filter(F.coalesce("usable", F.lit(True)))
-    methods = usable.filter("kind = 'method'").select(F.col("fqcn").alias("type"), F.col("name").alias("method"), F.lit(True).alias("__m")).distinct()
-    kinds = usable.groupBy(F.col("fqcn").alias("type")).agg(
-        F.bool_or((F.col("kind") == "constructor") & (F.col("visibility") != "private")).alias("__new"), F.bool_or(F.col("kind") == "builder").alias("__builder")
-    )
-    exempt = F.col("method").isin("getMessage", "getCause", "toString")
+    has = lambda c: F.col(c) if c in members.columns else F.lit(None).cast("string")
+    last = F.substring_index(F.coalesce(has("build"), F.lit("build()")), "(", 1)
+    names = F.when(F.col("kind") == "builder", F.array("name", last)).otherwise(F.array("name"))
+    named = usable.filter("kind IN ('method', 'builder')").select(F.col("fqcn"), F.explode(names).alias("method")).distinct().withColumn("__m", F.lit(True))
+    open_ = (F.col("kind") == "constructor") & (F.col("visibility") != "private")
+    entry = (F.col("kind") == "builder") & F.coalesce(has("entry").contains(".Builder()"), F.lit("entry" not in members.columns))
+    made = usable.groupBy("fqcn").agg(F.bool_or(open_).alias("__new"), F.bool_or(entry).alias("__builder"))
+    contract = classes.groupBy("fqcn").agg(F.bool_or(F.col("kind").isin("interface", "annotation") | F.col("is_abstract")).alias("__abstract"))
+    kind, method = F.col("kind"), F.col("method")
+    unknown = F.col("__m").isNull()
+    exempt = method.isin(*COMMON_CALLS) | (method.isin(*THROWABLE_CALLS) & F.col("fqcn").rlike("(Exception|Error)$"))
     fault = (
-        F.when((F.col("kind") == "new") & ~F.coalesce("__new", F.lit(False)), "INSTANTIATION_NOT_ALLOWED").when((F.col("kind") == "builder") & ~F.coalesce("__builder", F.lit(False)), "BUILDER_NOT_VERIFIED")
-        .when(F.col("kind").isin("call", "static") & F.col("__m").isNull() & ~exempt, "METHOD_NOT_IN_CONTRACT")
-    )
-    return calls.join(methods, ["type", "method"], "left").join(kinds, "type", "left").withColumn("fault", fault).filter(F.col("fault").isNotNull()).select(*calls.columns, "fault")
+        F.when(kind == "generated", "DIRECT_GENERATED_BUILDER_FORBIDDEN")
+        .when(F.col("__abstract").isNull(), None)
+        .when((kind == "builder") & ~F.coalesce("__builder", F.lit(False)), "BUILDER_NOT_VERIFIED")
+        .when((kind == "new") & (F.col("__abstract") | ~F.coalesce("__new", F.lit(False))), "INSTANTIATION_NOT_ALLOWED")
+        .when((kind == "call") & unknown & ~exempt, "METHOD_NOT_IN_CONTRACT")
+        .when((kind == "static") & unknown & ~F.col("type").isin(*FRAMEWORK_OWNERS), "STATIC_METHOD_NOT_IN_CONTRACT")
+    )
+    rows = calls
+    for part, keys in ((contract, ["fqcn"]), (made, ["fqcn"]), (named, ["fqcn", "method"])):
+        rows = rows.join(part.hint("shuffle_hash"), keys, "left")
+    return rows.withColumn("fault", fault).filter(F.col("fault").isNotNull()).select(*calls.columns, "fault")
 
 
 def source_types(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from ..operators import gates as G
 from ..operators import graph as R
 from ..operators import planning as P
 from ..operators import symbols as Y
+from .adapters import sut
 from .catalog import CATALOG
 from .planning_queries import _ENRICH, _LAMBDA, _PLAN, _enriched
 
@@ -200,16 +201,43 @@ add(
                FROM p1 LEFT JOIN k USING (sut) LEFT JOIN cv USING (sut) LEFT JOIN (SELECT fqcn AS sut, imports FROM allowed) al2 USING (sut) LEFT JOIN p2 USING (sut) LEFT JOIN p3 USING (sut) LEFT JOIN p4 USING (sut))
         SELECT *, CAST(floor((strlen(sut) + strlen(imports) + strlen(targets) + strlen(members) + strlen(dependencies) + strlen(failures) + 5) * 0.25) AS BIGINT) AS pack_tokens FROM pk""",
 )
+#: A test file for each class of ``part``, as SQL for both engines: known and unknown types, shadowed
+#: names, fields declared last, comments and literals that look like calls, throwables, statics, builders.
+_CALLER = """concat('package com.acme.p', p_partkey % 13, ';\\nimport com.acme.odd.Ghost;\\n// x.nope(); new C0Service();\\nclass T', p_partkey, 'Test { String s = "self.fake()";\\n',
+    ' void a(', simple, ' p) { ', simple, '.Builder b = new ', simple, '.Builder(); b.build(); b.do4(); b.lost(); p.do2(); p.size(); }\\n',
+    ' void c() { ', simple, ' p = new ', simple, '(); p.do', p_size % 7, '(); p.getMessage(); self.do5(); { Ghost q = new Ghost(); q.zap(); } { ', simple, ' q = null; q.zap(); } q.gone(); }\\n',
+    ' void d() { ', simple, '.do2(); ', fqcn, '.make(); Mockito.mock(1); new ', simple, '_Builder(); MyError e = null; e.getMessage(); e.lost(); }\\n ', simple, ' self; }')"""
+_CALLERS = f"SELECT fqcn, split_part(fqcn, '.', 4) AS simple, p_partkey, p_size FROM (SELECT p_partkey, p_size, {sut('p_partkey')} AS fqcn FROM part) k"
+
+
+def _called(t):
+    t.base("part").createOrReplaceTempView("part")
+    files = t.spark.sql(_CALLERS).selectExpr("concat(fqcn, 'Test.java') AS path", f"{_CALLER} AS content")
+    classes = t("part").selectExpr(f"{sut('p_partkey')} AS fqcn", "CASE WHEN p_partkey % 10 = 0 THEN 'interface' ELSE 'class' END AS kind", "p_partkey % 14 = 0 AS is_abstract")
+    extra = t.spark.createDataFrame([("com.acme.x.MyError", "class", False)], "fqcn string, kind string, is_abstract boolean")
+    return files, classes.unionByName(extra)
+
+
+def _lint(t):
+    files, classes = _called(t)
+    return Y.lint_symbols(Y.extract_calls(files, classes), classes, t("members")).select("file", "kind", "type", "method", "receiver", "fqcn", "fault")
+
+
+#: What the files above do, by the rules of the contract
+_USES = """u AS (SELECT k.fqcn || 'Test.java' AS file, k.fqcn, k.simple, p_partkey % 10 = 0 OR p_partkey % 14 = 0 AS abstract, x.* FROM callers k, LATERAL (VALUES
+        ('builder', k.simple, NULL, NULL, 1), ('call', k.simple, 'build', 'b', 2), ('call', k.simple, 'do4', 'b', 3), ('call', k.simple, 'lost', 'b', 4), ('call', k.simple, 'do2', 'p', 5),
+        ('new', k.simple, NULL, NULL, 6), ('call', k.simple, 'do' || CAST(p_size % 7 AS STRING), 'p', 7), ('call', k.simple, 'getMessage', 'p', 8), ('call', k.simple, 'do5', 'self', 9),
+        ('call', k.simple, 'zap', 'q', 10), ('static', k.simple, 'do2', NULL, 11), ('static', k.fqcn, 'make', NULL, 12), ('generated', k.simple || '_Builder', NULL, NULL, 13)) x(kind, type, method, receiver, pos)),
+    n AS (SELECT DISTINCT fqcn, unnest(CASE WHEN kind = 'builder' THEN [name, 'build'] ELSE [name] END) AS method FROM members WHERE usable AND kind IN ('method', 'builder')),
+    m AS (SELECT fqcn, bool_or(kind = 'constructor' AND visibility <> 'private') AS nw, bool_or(kind = 'builder') AS bl FROM members WHERE usable GROUP BY 1),
+    f AS (SELECT u.*, CASE WHEN u.kind = 'generated' THEN 'DIRECT_GENERATED_BUILDER_FORBIDDEN' WHEN u.kind = 'builder' AND NOT coalesce(bl, FALSE) THEN 'BUILDER_NOT_VERIFIED'
+            WHEN u.kind = 'new' AND (abstract OR NOT coalesce(nw, FALSE)) THEN 'INSTANTIATION_NOT_ALLOWED' WHEN u.kind = 'call' AND n.method IS NULL THEN 'METHOD_NOT_IN_CONTRACT'
+            WHEN u.kind = 'static' AND n.method IS NULL THEN 'STATIC_METHOD_NOT_IN_CONTRACT' END AS fault FROM u LEFT JOIN m USING (fqcn) LEFT JOIN n ON n.fqcn = u.fqcn AND n.method = u.method)"""
 add(
-    "c09_lint_symbols",
-    lambda t: Y.lint_symbols(t("members").selectExpr("concat(fqcn, '.java') AS file", "CASE pos % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'builder' WHEN 2 THEN 'call' ELSE 'static' END AS kind", "fqcn AS type",
-                                                     "CASE WHEN n_params = 0 THEN 'getMessage' WHEN n_params = 1 THEN 'ghost' ELSE name END AS method"), t("members")),
-    """WITH c AS (SELECT fqcn || '.java' AS file, CASE pos % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'builder' WHEN 2 THEN 'call' ELSE 'static' END AS kind, fqcn AS type,
-           CASE WHEN n_params = 0 THEN 'getMessage' WHEN n_params = 1 THEN 'ghost' ELSE name END AS method FROM members),
-       k AS (SELECT fqcn AS type, bool_or(kind = 'constructor' AND visibility <> 'private') AS nw, bool_or(kind = 'builder') AS bl FROM members WHERE usable GROUP BY 1),
-       f AS (SELECT c.*, CASE WHEN kind = 'new' AND NOT coalesce(nw, FALSE) THEN 'INSTANTIATION_NOT_ALLOWED' WHEN kind = 'builder' AND NOT coalesce(bl, FALSE) THEN 'BUILDER_NOT_VERIFIED'
-             WHEN kind IN ('call', 'static') AND method <> 'getMessage' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.usable AND m.kind = 'method' AND m.fqcn = c.type AND m.name = c.method) THEN 'METHOD_NOT_IN_CONTRACT' END AS fault FROM c LEFT JOIN k USING (type))
-       SELECT file, kind, type, method, fault FROM f WHERE fault IS NOT NULL""",
+    "c09_lint_symbols", _lint,
+    f"""WITH callers AS ({_CALLERS}), {_USES}
+        SELECT file, kind, type, method, receiver, CASE WHEN kind <> 'generated' THEN fqcn END AS fqcn, fault FROM f WHERE fault IS NOT NULL
+        UNION ALL SELECT fqcn || 'Test.java', 'call', 'MyError', 'lost', 'e', 'com.acme.x.MyError', 'METHOD_NOT_IN_CONTRACT' FROM callers""",
 )
 _SOURCE = "concat('package com.acme.p', class_no % 5, ';\\n// class Not\\n@Service\\n', CASE WHEN class_no % 3 = 0 THEN '@Builder(x = 1) ' ELSE '' END, 'public final ', kind, ' T', class_no, ' { String s = \"class Nope\"; }\\nclass Inner {}')"
 add(

@@ -11,8 +11,8 @@
 
 Defined cases: a null or empty text, or one of white space, is scored by its
 measures alone (no words: rejected by every labeller that votes); null and repeated
-ids are scored row by row, rows of equal texts alike; texts beyond ``max_chars`` are
-voted on and scored whole but not trained on; a score of just the threshold is kept;
+ids are scored row by row, rows of equal texts alike; texts of any length are voted on,
+trained on and scored whole; a score of just the threshold is kept;
 an empty table gives no rows; other columns, whatever their names, are ignored by
 ``score_quality`` and returned unchanged by ``drop_low_quality``.
 """
@@ -234,7 +234,7 @@ class Scorer:
                 self.bias -= 0.02 * rate * d
 
 
-_FEATURES = "pattern string, chars int, ids binary, x binary"
+_FEATURES = "pattern string, ids binary, x binary"
 
 
 def _read(measure: Measurer, scorer: Scorer, text: str) -> tuple[str, bytes, bytes]:
@@ -249,14 +249,10 @@ def _write(batches):
     scorer = Scorer()
     measure = Measurer(scorer)
     for batch in batches:
-        rows, chars = [], []
-        for x in batch.column(batch.num_columns - 1):
-            text = x.as_py() or ""
-            rows.append(_read(measure, scorer, text))
-            chars.append(len(text))
+        rows = [_read(measure, scorer, x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
         pattern, ids, values = zip(*rows, strict=True) if rows else ((), (), ())
-        made = [pa.array(pattern, pa.string()), pa.array(chars, pa.int32()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "pattern", "chars", "ids", "x"])
+        made = [pa.array(pattern, pa.string()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "pattern", "ids", "x"])
 
 
 def _arrays(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -286,17 +282,19 @@ def _measured(docs: DataFrame, kept: dict[str, str], id_col: str, text_col: str)
     return common.staged(slim.mapInArrow(_write, f"{kinds}, draw long, {_FEATURES}"), "quality")
 
 
-def fit_quality(features: DataFrame, *, sample_rows: int = 6000, max_chars: int = 20_000) -> tuple[LabelModel, Scorer]:
+def fit_quality(features: DataFrame, *, sample_rows: int = 6000, sample_bytes: int = 128 << 20) -> tuple[LabelModel, Scorer]:
     """The label model on the votes of all documents, the scorer on a sample of at most
-    ``sample_rows`` documents of at most ``max_chars`` characters, drawn by hash.  What
-    reaches the driver is the sample's feature arrays: at most six bytes for each
-    distinct bucket of a document."""
+    ``sample_rows`` documents of any length, drawn by hash.  What reaches the driver is
+    the sample's feature arrays, six bytes for each distinct bucket of a document; where
+    documents are so rich that these would pass ``sample_bytes``, fewer are drawn."""
     counts = {r["pattern"]: r["count"] for r in features.groupBy("pattern").count().collect()}  # at most three to the number of labellers
     model, scorer = LabelModel(counts), Scorer()
     total = sum(counts.values())
     if total:
+        mean = features.agg(F.avg(F.octet_length("ids") + F.octet_length("x"))).first()[0]
+        sample_rows = max(1, min(sample_rows, int(sample_bytes / max(mean, 1))))
         draw = F.col("draw") < int(min(1.0, 1.2 * sample_rows / total) * (1 << 20)) + 1
-        sampled = features.filter(draw & (F.col("chars") <= max_chars)).select("pattern", "ids", "x").limit(sample_rows).toArrow()
+        sampled = features.filter(draw).select("pattern", "ids", "x").limit(sample_rows).toArrow()
         if sampled.num_rows:
             rows = sorted(zip(*(c.to_pylist() for c in sampled.columns), strict=True))
             del sampled

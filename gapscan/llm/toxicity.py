@@ -10,10 +10,10 @@ insult together with a group) is trained by AdaGrad.  Scoring reads whole texts.
 
 Defined cases: null or empty text scores as no terms do; a null id is never learned
 from and not held out; labels that are null are skipped and repeated ones count
-once, as the largest; repeated rows are scored each, alike; texts beyond ``max_chars``
-are scored whole but not learned from; without both classes to learn from every score
-is the share of class 1 (0 without labels); an empty table gives no rows; other
-columns, whatever their names, are ignored.
+once, as the largest; repeated rows are scored each, alike; texts of any length are learned
+from and scored whole; a score of just 0.5 is predicted toxic; without both classes to learn
+from every score is the share of class 1 (0 without labels); an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -187,12 +187,12 @@ def _score(batches, model: FactorizationMachine, most: int = 300_000):
 
 def fit_toxicity_model(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, held_fold: int = 0, per_class: int = 3000, max_chars: int = 20_000,
+    folds: int = 5, held_fold: int = 0, per_class: int = 3000, sample_bytes: int = 256 << 20,
     least_z: float = 5.0, pair_z: float = 8.0, **fit,
 ) -> FactorizationMachine:
     """Fit on a bounded sample: ``per_class`` labelled documents of either class (twice
-    as many of the negative one), of at most ``max_chars`` characters, drawn by hash of
-    the id."""
+    as many of the negative one), of any length, drawn by hash of the id; fewer where
+    their terms, four bytes each, would pass ``sample_bytes``."""
     marked = labels.filter((common.crc_mod(id_col, folds) != held_fold) & F.col(label_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col) != 0).alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
@@ -204,7 +204,7 @@ def fit_toxicity_model(
     share = {True: min(1.0, 1.2 * per_class / n1), False: min(1.0, 2.4 * per_class / n0)}
     cut = F.when(F.col("y"), F.lit(int(share[True] * (1 << 20)) + 1)).otherwise(F.lit(int(share[False] * (1 << 20)) + 1))
     some = common.staged(marked.filter(draw < cut).limit(8 * per_class), "labelled")  # bounded, so it can be broadcast
-    texts = docs.filter(F.length(text_col) <= max_chars).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("x"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("x"))
     size = 1 << model.bits
     read = texts.join(F.broadcast(some), "id").select("y", "x").mapInArrow(lambda it: _collect_terms(it, size - 1), "y boolean, terms array<int>")
     sample = common.staged(read, "terms")
@@ -212,7 +212,10 @@ def fit_toxicity_model(
     where = np.full(size, -1, np.int32)
     where[kept] = np.arange(len(kept))
     numbered = sample.mapInArrow(lambda it: _numbered(it, where), "y boolean, terms binary")
-    if sample.count() > 8 * per_class:  # ids that repeat in ``docs`` make more rows than labels
+    n, terms_ = sample.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    if n and 4 * terms_ > sample_bytes:
+        numbered = numbered.filter(F.pmod(F.xxhash64("terms"), F.lit(1 << 20)) < int(sample_bytes / (4 * terms_) * (1 << 20)))
+    if n > 8 * per_class:  # ids that repeat in ``docs`` make more rows than labels
         numbered = numbered.limit(8 * per_class)
     table = numbered.toArrow()
     common.discard(sample, some)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
 from ..functions.java_calls import read_calls
+from .lineage import importable
 from .planning import dotted_prefixes
 
 #: Annotation to class type (fixed values)
@@ -267,6 +268,7 @@ FRAMEWORK_OWNERS = ("Mockito", "Assertions", "Assert", "Collections", "Arrays",
 def extract_calls(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """C-9 and J-17: instantiations and calls of each file, their types resolved among
     ``classes`` (null where none fits).  Returns file, pos, kind, type, method, receiver, fqcn."""
+    importable(files.sparkSession)
     read = read_calls(files, path, content)
     uses = read.select("file", "package", F.explode("uses").alias("u"))
     simple = F.when(F.col("u.type").rlike(r"^[A-Z]"), S.simple_name(F.col("u.type"))).otherwise(F.col("u.type"))

@@ -2,20 +2,20 @@
 
 Each function takes a streaming DataFrame and returns one; ``run`` starts it with
 ``availableNow`` on a checkpoint in the shared folder and reads back what it wrote.
-State processors keep a few numbers a key; rows of a key in one batch are put in event
-order first, since a batch gives them in any order.
+State processors keep a few numbers a key.  Events come in any order, within a batch and over
+batches: they wait in state until the watermark passes them, then a timer folds them in event
+order.  What comes later than the watermark is dropped by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Config
+from ..operators.lineage import importable
 from ..operators.telemetry import TERMINAL
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,74 +41,136 @@ def latest(updates: DataFrame, keys: list[str], version: str) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(whole, version).alias("x")).select(*keys, "x.*")
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
-
+class _InOrder(StatefulProcessor):
+    """A fold over a key's events in the order of ``order``, whatever order they come in.
 
-class _Fold(StatefulProcessor):
-    """One value of state a key."""
+    Events wait in a list; one timer stands at the earliest of them, or at what ``due`` says.
+    When the watermark passes it, all events behind the watermark are folded."""
 
-    state_schema = ""
+    state_schema, start = "", ()
+    row_schema, out_schema = "", ""
+    order = ("ms",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.names = [f.split()[0] for f in self.row_schema.split(", ")]
+        self.by = [self.names.index(c) for c in self.order]
 
     def close(self) -> None:
         pass
 
-    def held(self, start: tuple) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else start
+    def fold(self, key: tuple, state: tuple, rows: list[tuple], now: int) -> tuple[tuple | None, list[tuple]]:
+        """The state behind ``rows`` at ``now`` (None drops it), and rows to emit."""
+        raise NotImplementedError
 
+    def due(self, state: tuple) -> int | None:
+        """When something is to be done although no event comes."""
+        return None
 
-class TargetState(_Fold):
-    state_schema = "status string, rounds long, n long"
+    def _wake(self, now: int, *times: int | None) -> None:
+        """A timer at the first of ``times``, unless one stands that ``now`` has not passed:
+        those it has are still listed while they are worked off."""
+        at = min((t for t in times if t is not None), default=None)
+        if at is not None and not any(now < t <= at for t in self.handle.listTimers()):
+            self.handle.registerTimer(at)
 
-    def handleInputRows(self, key, rows, timerValues):
-        status, rounds, n = self.held(("", 0, 0))
-        for s in _ordered(rows, ["sec", "seq"])["status"]:
-            n += 1
-            if status in TERMINAL:
-                continue
-            rounds += s == "REPAIR_REQUESTED"
-            status = s
-        self.state.update((status, int(rounds), int(n)))
-        yield pd.DataFrame({"run_id": [key[0]], "target_id": [key[1]], "status": [status], "repair_rounds": [int(rounds)], "n": [int(n)]})
-
-
-def stream_target_state(events: DataFrame) -> DataFrame:
-    """T-1: the state of each target; a terminal state is never left.  Update mode."""
-    return events.groupBy("run_id", "target_id").transformWithStateInPandas(
-        TargetState(), outputStructType="run_id string, target_id string, status string, repair_rounds long, n long", outputMode="Update", timeMode="None"
-    )
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in self.out_schema.split(", ")])
 
-
-class Stall(_Fold):
-    state_schema = "streak long, window string"
+    def handleInputRows(self, key, rows, timerValues):
+        kinds = [_KINDS[f.split()[1]] for f in self.row_schema.split(", ")]  # pandas has floats where a number is null
+        came = [tuple(None if pd.isna(x) else k(x) for k, x in zip(kinds, r, strict=True)) for pdf in rows for r in pdf[self.names].itertuples(index=False)]
+        self.waiting.appendList(came)
+        self._wake(timerValues.getCurrentWatermarkInMs(), min(r[0] for r in came))
+        yield self._out([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[0] <= now), key=lambda r: [r[i] for i in self.by])
+        left = [r for r in held if r[0] > now]
+        state, out = self.fold(tuple(key), tuple(self.state.get()) if self.state.exists() else self.start, ready, now)
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        if state is None and not left:
+            self.state.clear()
+        else:
+            state = self.start if state is None else state
+            self.state.update(state)
+            self._wake(now, min((r[0] for r in left), default=None), self.due(state))
+        yield self._out(out)
+
+
+_KINDS = {"long": int, "string": str, "boolean": bool}
+
+
+def _fold(events: DataFrame, keys: list[str], processor: _InOrder, delay: str, mode: str) -> DataFrame:
+    """``processor`` over ``events`` by ``keys``; ``ts`` is the event time."""
+    importable(events.sparkSession)
+    timed = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=processor.out_schema, outputMode=mode, timeMode="EventTime")
+
+
+class TargetState(_InOrder):
+    state_schema, start = "status string, rounds long, n long, last long", ("", 0, 0, 0)
+    row_schema, order = "ms long, seq long, status string", ("ms", "seq")
+    out_schema = "run_id string, target_id string, status string, repair_rounds long, n long"
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def due(self, state):
+        return state[3] + self.keep_ms if state[0] in TERMINAL else None
+
+    def fold(self, key, state, rows, now):
+        status, rounds, n, last = state
+        if not rows:  # an ended target's time is up
+            return (None if status in TERMINAL and now >= last + self.keep_ms else state), []
+        for ms, _, s in rows:
+            n, last = n + 1, ms
+            if status not in TERMINAL:
+                rounds += s == "REPAIR_REQUESTED"
+                status = s
+        return (status, rounds, n, last), [(*key, status, rounds, n)]
+
+
+def stream_target_state(events: DataFrame, delay: str = "1 hour", keep_ended_days: float = 30) -> DataFrame:
+    """T-1: the state of each target; a terminal state is never left.  ``events``: run_id,
+    target_id, ts, seq, status.  Update mode.  State of a target that ended and was silent
+    for ``keep_ended_days`` is dropped; an event after that would begin it anew."""
+    return _fold(events, ["run_id", "target_id"], TargetState(int(keep_ended_days * 86_400_000)), delay, "Update")
+
+
+class Stall(_InOrder):
+    state_schema, start = "streak long, window string", (0, "")
+    row_schema, order = "ms long, cycle long, lines_delta long, branches_delta long, compile_failed boolean", ("ms", "cycle")
+    out_schema = "run_id string, cycle long, stall_streak long, stalled boolean, fail_rate double, gate string"
 
     def __init__(self, config: Config = DEFAULT):
         self.config = config
 
-    def handleInputRows(self, key, rows, timerValues):
-        streak, window = self.held((0, ""))
+    def fold(self, key, state, rows, now):
+        streak, window = state
         out = []
-        for r in _ordered(rows, ["cycle"]).itertuples():
-            measured = not (pd.isna(r.lines_delta) or pd.isna(r.branches_delta))
-            if measured:
-                streak = streak + 1 if r.lines_delta == 0 and r.branches_delta == 0 else 0
-            window = (window + ("1" if r.compile_failed else "0"))[-self.config.fail_window :]
+        for _, cycle, lines, branches, failed in rows:
+            if lines is not None and branches is not None:
+                streak = streak + 1 if lines == 0 and branches == 0 else 0
+            window = (window + ("1" if failed else "0"))[-self.config.fail_window :]
             rate = window.count("1") / len(window)
             stalled = streak >= self.config.stall_cycles
             gate = "G8_STALL" if stalled else "G8_COMPILE_FAIL_RATE" if rate > self.config.fail_rate else "PASS"
-            out.append((key[0], int(r.cycle), int(streak), bool(stalled), rate, gate))
-        self.state.update((int(streak), window))
-        yield pd.DataFrame(out, columns=["run_id", "cycle", "stall_streak", "stalled", "fail_rate", "gate"])
+            out.append((key[0], cycle, streak, stalled, rate, gate))
+        return (streak, window), out
 
 
-def stream_stall(cycles: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """T-2: stall streak and compile failures of each cycle as it comes."""
-    return cycles.groupBy("run_id").transformWithStateInPandas(
-        Stall(config), outputStructType="run_id string, cycle long, stall_streak long, stalled boolean, fail_rate double, gate string", outputMode="Append", timeMode="None"
-    )
+def stream_stall(cycles: DataFrame, config: Config = DEFAULT, delay: str = "1 hour") -> DataFrame:
+    """T-2: stall streak and compile failures of each cycle, once the watermark has passed it.
+    ``cycles``: run_id, ts, cycle, lines_delta, branches_delta, compile_failed."""
+    return _fold(cycles, ["run_id"], Stall(config), delay, "Append")
 
 
 def stream_cost(ledger: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -121,36 +183,54 @@ def stream_cost(ledger: DataFrame, window: str = "1 day", slide: str | None = No
     return summed.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "run_id", "role", "tokens", "micro_usd", "n")
 
 
-class Budget(_Fold):
-    state_schema = "start long, paused long, closed long, cycles long, alerted boolean"
+class Budget(_InOrder):
+    state_schema, start = "start long, paused long, closed long, cycles long, alerted boolean", (-1, -1, 0, 0, False)
+    row_schema, order = "ms long, seq long, kind string", ("ms", "seq")
+    out_schema = "run_id string, sec long, active_seconds long, cycles long, reason string"
 
     def __init__(self, config: Config = DEFAULT):
         self.config = config
 
-    def handleInputRows(self, key, rows, timerValues):
-        start, paused, closed, cycles, alerted = self.held((-1, -1, 0, 0, False))
+    def _over(self, state) -> int | None:
+        """The first second beyond the minutes, if the clock runs on until then."""
+        start, paused, closed, _, alerted = state
+        return None if start < 0 or paused >= 0 or alerted else start + closed + 60 * self.config.max_minutes + 1
+
+    def due(self, state):
+        over = self._over(state)
+        return None if over is None else 1000 * over
+
+    def fold(self, key, state, rows, now):
         out = []
-        for r in _ordered(rows, ["sec", "seq"]).itertuples():
-            now = int(r.sec)
-            start = now if start < 0 else start
-            if r.kind == "pause" and paused < 0:
-                paused = now
-            elif r.kind == "resume" and paused >= 0:
-                closed, paused = closed + now - paused, -1
-            cycles += r.kind == "cycle"
-            active = now - start - closed - (now - paused if paused >= 0 else 0)
-            if not alerted and (active > 60 * self.config.max_minutes or cycles > self.config.max_cycles):
+
+        def check(state: tuple, sec: int) -> tuple:
+            over = self._over(state)
+            if over is not None and sec >= over:
+                out.append((key[0], over, 60 * self.config.max_minutes + 1, state[3], "minutes"))
+                return (*state[:4], True)
+            return state
+
+        for ms, _, kind in rows:
+            sec = ms // 1000
+            start, paused, closed, cycles, alerted = check(state, sec)
+            start = sec if start < 0 else start
+            if kind == "pause" and paused < 0:
+                paused = sec
+            elif kind == "resume" and paused >= 0:
+                closed, paused = closed + sec - paused, -1
+            cycles += kind == "cycle"
+            if not alerted and cycles > self.config.max_cycles:
                 alerted = True
-                out.append((key[0], int(r.seq), now, int(active), int(cycles)))
-        self.state.update((int(start), int(paused), int(closed), int(cycles), bool(alerted)))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "sec", "active_seconds", "cycles"])
+                out.append((key[0], sec, (paused if paused >= 0 else sec) - start - closed, cycles, "cycles"))
+            state = (start, paused, closed, cycles, alerted)
+        return check(state, now // 1000), out
 
 
-def stream_budget(clock: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """T-4: one alert a run, at the event that takes it over its minutes or cycles."""
-    return clock.groupBy("run_id").transformWithStateInPandas(
-        Budget(config), outputStructType="run_id string, seq long, sec long, active_seconds long, cycles long", outputMode="Append", timeMode="None"
-    )
+def stream_budget(clock: DataFrame, config: Config = DEFAULT, delay: str = "1 hour") -> DataFrame:
+    """T-4: one alert a run: at the second its running minutes pass their limit, though no
+    event comes then, or at the event that takes it over its cycles.  ``clock``: run_id,
+    ts, seq, kind (pause, resume, cycle or any other)."""
+    return _fold(clock, ["run_id"], Budget(config), delay, "Append")
 
 
 def stream_handoff(requests: DataFrame, responses: DataFrame, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -190,6 +270,7 @@ def stream_wait_sessions(clock: DataFrame, gap: str = "6 hours", delay: str = "1
     return grouped.select("run_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def follow(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
+def follow(spark: SparkSession, table: DataFrame, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A stream over a table of files that something else writes."""
-    return spark.readStream.schema(table.schema).parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)

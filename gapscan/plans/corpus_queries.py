@@ -200,6 +200,23 @@ add(
               CASE k WHEN 0 THEN 'E_IMPORT_UNRESOLVED' WHEN 1 THEN 'E_TYPE_MISMATCH' WHEN 3 THEN 'E_PACKAGE_UNRESOLVED' ELSE 'E_OTHER' END AS code, CASE k WHEN 0 THEN 'K' || CAST(event_id % 5 AS STRING) WHEN 1 THEN 'int' WHEN 3 THEN 'q.r' ELSE '' END AS symbol,
               printf('err:%04d', n) AS err_id FROM e""",
 )
+_FORMATS = """CASE user_id % 3 WHEN 1 THEN CASE event_id % 6 WHEN 0 THEN concat(event_id, '. ERROR in /x/F', event_id, '.java (at line ', event_id % 9, ')') WHEN 1 THEN concat('\\tint a', event_id, ' = b;') WHEN 2 THEN '\\t^^^'
+    WHEN 3 THEN '\\tType mismatch: cannot convert from int to String' WHEN 4 THEN CASE WHEN event_id % 7 = 0 THEN '----------' ELSE 'info' END ELSE 'noise' END
+    WHEN 2 THEN CASE WHEN event_id % 6 < 3 THEN concat('src/F', event_id, '.java(3, 9): error: method does not override') ELSE '----------' END
+    ELSE CASE event_id % 6 WHEN 0 THEN '[ERROR] /y/G.java:[1,2] package q.r does not exist' WHEN 1 THEN 'src/F.java(3, 9): error: hidden' ELSE '\\tat x' END END"""
+add(  # segments of a few lines, so that blocks and counts go over them
+    "c03_parse_build_errors_formats", lambda t: C.parse_build_errors(_lines(t, _FORMATS, "user_id % 30").drop("event_id"), segment_lines=7).select("run_id", "format", "file", "line", "col", "message", "code", "symbol", "err_id"),
+    """WITH l AS (SELECT 'run' || CAST(user_id % 30 AS STRING) AS run_id, event_id AS e, event_id % 6 AS k, user_id % 3 AS f FROM events),
+       b AS (SELECT *, SUM(CASE WHEN f = 1 AND k = 4 AND e % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY e) AS blk FROM l),
+       s AS (SELECT *, last_value(CASE WHEN f = 1 AND k = 1 THEN 'int a' || CAST(e AS STRING) || ' = b;' WHEN f = 1 AND k = 3 THEN 'Type mismatch: cannot convert from int to String' END IGNORE NULLS)
+                    OVER (PARTITION BY run_id, blk ORDER BY e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS said FROM b),
+       h AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY e) AS n FROM s WHERE (f = 1 AND k = 0) OR (f = 2 AND k < 3) OR (f = 0 AND k = 0)),
+       m AS (SELECT *, CASE f WHEN 1 THEN coalesce(said, 'unknown error') WHEN 2 THEN 'method does not override' ELSE 'package q.r does not exist' END AS message FROM h)
+       SELECT run_id, CASE f WHEN 1 THEN 'jdt' WHEN 2 THEN 'vscode' ELSE 'maven' END AS format, CASE f WHEN 1 THEN '/x/F' || CAST(e AS STRING) || '.java' WHEN 2 THEN 'src/F' || CAST(e AS STRING) || '.java' ELSE '/y/G.java' END AS file,
+              CAST(CASE f WHEN 1 THEN e % 9 WHEN 2 THEN 3 ELSE 1 END AS INTEGER) AS line, CASE f WHEN 1 THEN 1 WHEN 2 THEN 9 ELSE 2 END AS col, message,
+              CASE WHEN f = 2 THEN 'E_OVERRIDE' WHEN f = 0 THEN 'E_PACKAGE_UNRESOLVED' WHEN message LIKE 'Type%' THEN 'E_TYPE_MISMATCH' ELSE 'E_OTHER' END AS code,
+              CASE WHEN f = 0 THEN 'q.r' WHEN message LIKE 'Type%' THEN 'int' ELSE '' END AS symbol, printf('err:%04d', n) AS err_id FROM m""",
+)
 add(
     "s10_read_build_logs",
     lambda t: I.read_build_logs(t.spark, _written(t, _lines(t, _LOG).select("line"), "logs")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("line <> ''"),

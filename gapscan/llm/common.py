@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Tables written by ``staged`` and not yet discarded, by path
+LIVE: dict[str, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
+    LIVE[path] = back
     return back
 
 
@@ -67,6 +70,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        LIVE.pop(df.staged_at, None)
 
 
 def conf_int(spark: SparkSession, key: str, default: int) -> int:

@@ -26,10 +26,11 @@ def impact(seeds: DataFrame, reversed_edges: DataFrame, config: Config = DEFAULT
     """G-2: what is reached from the seeds in at most ``impact_depth`` hops, with the hop.
     Each hop joins only the new frontier; it ends when that is empty."""
     reached = cut_lineage(seeds.select(F.col("fqcn").alias("node")).distinct().withColumn("hops", F.lit(0)))
-    edges = reversed_edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    # written once: no hop works the edges out again; the frontier alone is dealt anew
+    edges = cut_lineage(reversed_edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
     frontier = reached
     for hop in range(1, config.impact_depth + 1):
-        new = frontier.join(edges, "node").select(F.col("next").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+        new = frontier.join(edges.hint("shuffle_hash"), "node").select(F.col("next").alias("node")).distinct().join(reached.select("node").hint("merge"), "node", "left_anti")
         frontier = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if not frontier.head(1):
             break
@@ -81,29 +82,111 @@ def dependency_index(deps: DataFrame) -> DataFrame:
     return deps.groupBy("sut").agg(listed(F.lit(True)).alias("injects"), listed(~repository & ~client).alias("uses"), listed(repository).alias("repositories"), listed(client).alias("clients"))
 
 
-def fixture_cycles(edges: DataFrame, max_rounds: int = 12) -> DataFrame:
-    """G-5: nodes on a cycle, with the other nodes of their strongly connected group.
-
-    First edges that cannot lie on a cycle are peeled off (ends with no way in or out),
-    so only the core is closed: path pairs double in length each round until none is new; it raises when the rounds run out.
-    """
-    core = cut_lineage(edges.select("src", "dst").distinct())
-    for _ in range(max_rounds * 8):
-        n = core.count()
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        core = cut_lineage(kept.select("src", "dst"))
-        if core.count() == n:
-            break
-    paths, n = core, core.count()
-    for _ in range(max_rounds):
-        step = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = cut_lineage(paths.unionByName(step).distinct())
-        if (now := paths.count()) == n:
+def _one_way(edges: DataFrame) -> DataFrame:
+    """Where one way out of each node leads, by doubling: ``node, to, least, plain, end``.
+
+    Each node takes its smallest successor, a node without one stays.  When the set of
+    goals no longer shrinks, they are all on cycles (or ends), and when no smallest name
+    met on the way changes, each node of a cycle has the smallest of its cycle.  ``plain``: no node
+    on the way had a choice; ``end``: a node without a way out."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"), (F.count(F.lit(1)) == 1).alias("plain"), F.lit(False).alias("end"))
+    ends = edges.select(F.col("dst").alias("node")).distinct().join(out.select("node").hint("merge"), "node", "left_anti")
+    ends = ends.select("node", F.col("node").alias("to"), F.lit(True).alias("plain"), F.lit(True).alias("end"))
+    walk = cut_lineage(out.unionByName(ends).withColumn("least", F.col("node")))
+    goals = -1
+    while True:
+        onward = walk.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("least").alias("__least"), F.col("plain").alias("__plain"), F.col("end").alias("__end"))
+        step = walk.join(onward.hint("merge"), "to")
+        walk = cut_lineage(step.select(
+            "node", F.col("__to").alias("to"), F.least("least", "__least").alias("least"), (F.col("plain") & F.col("__plain")).alias("plain"),
+            F.col("__end").alias("end"), (F.col("__least") < F.col("least")).alias("__lower"),
+        ))
+        now, lower = walk.agg(F.count_distinct("to"), F.count_if("__lower")).first()
+        if now == goals and not lower:
+            return walk.drop("__lower")
+        goals = now
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` between groups: names in ``labels (node, label)`` replaced, loops dropped."""
+    for end in ("src", "dst"):
+        new = labels.select(F.col("node").alias(end), F.col("label").alias("__label")).hint("merge")
+        edges = edges.join(new, end, "left").withColumn(end, F.coalesce("__label", end)).drop("__label")
+    return edges.filter("src <> dst").select("src", "dst").distinct()
+
+
+def _coloured(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] | None:
+    """Groups by colour: the smallest name that reaches a node is its colour, and what
+    leads back to that name inside a colour is its group.  Gives ``(node, label)`` and the edges
+    inside colours, or None where ``rounds`` do not settle it (long ways; they are contracted first)."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+    for _ in range(rounds):
+        came = edges.join(colour.select(F.col("node").alias("src"), "colour").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("__came"))
+        better = F.col("__came") < F.col("colour")
+        colour = cut_lineage(colour.join(came.hint("merge"), "node", "left").select("node", F.when(better, F.col("__came")).otherwise(F.col("colour")).alias("colour"), better.alias("__new")))
+        if not colour.filter("__new").head(1):
             break
-        n = now
+        colour = colour.drop("__new")
     else:
-        raise RuntimeError("cycles not closed within the allowed rounds")
-    back = paths.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    both = paths.join(back, ["src", "dst"])
-    partners = F.array_join(F.array_sort(F.collect_set(F.when(F.col("src") != F.col("dst"), F.col("dst")))), ",")
-    return both.groupBy(F.col("src").alias("node")).agg(partners.alias("partners"))
+        return None
+    colour = colour.select("node", "colour")
+    within = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__s")).hint("merge"), "src")
+    within = within.join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__d")).hint("merge"), "dst").filter("__s = __d")
+    within = cut_lineage(within.select("src", "dst", F.col("__s").alias("colour")))
+    found = frontier = cut_lineage(colour.filter("node = colour"))
+    while True:
+        back = within.join(frontier.select(F.col("node").alias("dst")).hint("merge"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+        frontier = cut_lineage(back.join(found.select("node").hint("merge"), "node", "left_anti"))
+        if not frontier.head(1):
+            return found.select("node", F.col("colour").alias("label")), within.select("src", "dst")
+        found = found.unionByName(frontier)
+
+
+def strong_groups(edges: DataFrame, colour_rounds: int = 40) -> DataFrame:
+    """``node, group_id, size`` of every strongly connected group of two nodes or more; the
+    id is its smallest name.
+
+    Rounds of three steps, each linear in the edges left.  Following one way out of each
+    node finds cycles, which become one node, and nodes from which every way is forced to
+    an end, which go; the same against the edges; then groups by colours.  Every round
+    contracts or drops something, so it ends; long rings and chains fall to the doubling, dense groups to
+    the colours."""
+    left = cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct())
+    member = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")))
+
+    def moved(member: DataFrame, labels: DataFrame) -> DataFrame:
+        new = labels.select(F.col("node").alias("label"), F.col("label").alias("__label")).hint("merge")
+        return cut_lineage(member.join(new, "label", "left").select("node", F.coalesce("__label", "label").alias("label")))
+
+    while left.head(1):
+        for turn in (False, True):
+            walk = _one_way(_turned(left) if turn else left)
+            goals = walk.filter(~F.col("end")).select(F.col("to").alias("node")).distinct()
+            labels = cut_lineage(walk.join(goals.hint("merge"), "node", "left_semi").select("node", F.col("least").alias("label")))
+            dead = walk.filter("end AND plain").select("node")
+            for end in ("src", "dst"):
+                left = left.join(dead.select(F.col("node").alias(end)).hint("merge"), end, "left_anti")
+            left = cut_lineage(_relabelled(left, labels))
+            member = moved(member, labels)
+            if not left.head(1):
+                break
+        else:
+            found = _coloured(left, colour_rounds)
+            if found is not None:
+                labels, inner = found
+                left, member = cut_lineage(_relabelled(inner, labels)), moved(member, labels)
+    sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("group_id")).filter("size > 1")
+    return member.join(sizes.hint("merge"), "label").select("node", "group_id", "size")
+
+
+def fixture_cycles(edges: DataFrame) -> DataFrame:
+    """G-5: nodes on a cycle, with the id (the smallest name) and the size of their group;
+    a node that only leads to itself is a group of one."""
+    groups = cut_lineage(strong_groups(edges))
+    alone = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(groups.hint("merge"), "node", "left_anti")
+    return groups.unionByName(alone.select("node", F.col("node").alias("group_id"), F.lit(1).cast("long").alias("size")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import corpus as C
 from ..sources import ingest as I
+from ..sources import tables as B
 from .adapters import scratch
 from .catalog import CATALOG
 
@@ -357,16 +358,28 @@ add(
 
 def _sunk(t):
     path = scratch(t.spark, "sink")
-    I.write_table(t("classes"), path, ["repo"])
-    I.write_table(t("classes").filter("repo = 'r1' AND class_no % 2 = 1"), path, ["repo"])
-    return t.spark.read.parquet(path).select("fqcn", "repo", "class_no")
+    B.write_table(t("classes"), path, ["repo"])
+    B.write_table(t("classes").filter("repo = 'r1' AND class_no % 2 = 1"), path, ["repo"])
+    return B.read_table(t.spark, path).select("fqcn", "repo", "class_no")
+
+
+def _upserted(t):
+    path, rows = scratch(t.spark, "upsert"), t("classes").select("fqcn", "kind")
+    B.upsert_table(rows, path, ["fqcn"])
+    B.upsert_table(t("classes").filter("class_no % 3 = 0").select("fqcn", F.lit("new").alias("kind")), path, ["fqcn"])
+    B.upsert_table(t("classes").filter("class_no = 1").select(F.lit("z.Added").alias("fqcn"), F.lit("more").alias("kind")), path, ["fqcn"])
+    return B.read_table(t.spark, path).select("fqcn", "kind")
 
 
 add("s14_write_table", _sunk, "SELECT fqcn, repo, class_no FROM classes WHERE repo <> 'r1' OR class_no % 2 = 1")
 add(
-    "s15_upsert_by_key", lambda t: I.upsert_by_key(t("classes").select("fqcn", "kind"), t("classes").filter("class_no % 3 = 0").select("fqcn", F.lit("new").alias("kind")), ["fqcn"]),
+    "s15_upsert_by_key", lambda t: B.upsert_by_key(t("classes").select("fqcn", "kind"), t("classes").filter("class_no % 3 = 0").select("fqcn", F.lit("new").alias("kind")), ["fqcn"]),
     "SELECT fqcn, CASE WHEN class_no % 3 = 0 THEN 'new' ELSE kind END AS kind FROM classes",
 )
+add(
+    "s15_upsert_table", _upserted,
+    "SELECT fqcn, CASE WHEN class_no % 3 = 0 THEN 'new' ELSE kind END AS kind FROM classes UNION ALL SELECT 'z.Added', 'more' FROM classes WHERE class_no = 1",
+)
 
 
 

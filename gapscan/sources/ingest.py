@@ -214,20 +214,3 @@ def read_wsdl_packages(spark: SparkSession, path: str) -> DataFrame:
     """S-13: the packages of all target namespaces of each WSDL."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r'targetNamespace\s*=\s*"([^"]*)"'), F.lit(1)))).alias("namespace"))
     return files.select("file", S.namespace_to_package(F.col("namespace")).alias("package")).distinct()
-
-
-def write_table(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """S-14: replace a table, or with keys just the partitions that ``df`` has; the
-    committer never leaves a half-written file in place."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if keys:
-        writer = writer.partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-
-
-def upsert_by_key(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """S-15: incoming rows replace current ones of the same key; among incoming rows of a
-    key the last in ``order`` counts."""
-    rows = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new"), *[F.desc(c) for c in order or []]))
-    return rows.withColumn("__n", latest).filter("__n = 1").drop("__n", "__new")

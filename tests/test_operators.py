@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -134,7 +135,7 @@ def test_impact_and_cycles(spark):
     assert {r.node: r.hops for r in R.impact(seeds, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert {r.node for r in R.impact(seeds, edges, Config(impact_depth=9)).collect()} == set("abcdef")
     loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("y", "y")], "src string, dst string")
-    assert {r.node: r.partners for r in R.fixture_cycles(loop).collect()} == {"a": "b,c", "b": "a,c", "c": "a,b", "y": ""}
+    assert {tuple(r) for r in R.fixture_cycles(loop).collect()} == {("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("y", "y", 1)}
 
 
 def test_classes_by_precedence(spark):
@@ -266,12 +267,55 @@ def test_every_planned_class_has_a_pack(spark):
         assert got == {s for p, s in lines if p == number(r.sut)}
 
 
-def test_fixture_cycles_raises_when_rounds_run_out(spark):
-    edges = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 12}") for i in range(12)], "src string, dst string")
-    with pytest.raises(RuntimeError):
-        R.fixture_cycles(edges, max_rounds=2)
-    rows = R.fixture_cycles(edges).collect()
-    assert len(rows) == 12 and all(r.partners.count(",") == 10 for r in rows)
+def plain_groups(edges):
+    """Strongly connected groups of two or more, by what each node reaches."""
+    out = {}
+    for u, v in edges:
+        out.setdefault(u, set()).add(v)
+
+    def reached(u):
+        seen, todo = set(), [u]
+        while todo:
+            for v in out.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return seen
+
+    reach = {u: reached(u) for u in out}
+    groups = {u: sorted({v for v in reach[u] if u in reach.get(v, ())} | {u}) for u in reach}
+    return {(u, g[0], len(g)) for u, g in groups.items() if len(g) > 1}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_strong_groups_against_reachability(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(40)]
+    edges = [tuple(rng.sample(names, 2)) for _ in range((30, 45, 60, 90)[seed])] + [("a1", "a2"), ("a2", "a1"), ("a2", "n00"), ("z", "z")]
+    got = {tuple(r) for r in R.strong_groups(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == plain_groups(edges)
+
+
+def test_long_rings_and_chains_settle_by_doubling(spark, monkeypatch):
+    """A ring of 1,000 nodes with a chain as long into it and one out of it, in few steps."""
+    n, steps = 1000, []
+    keep = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: steps.append(1) or keep(df))
+    ring = [(f"r{i:05d}", f"r{(i + 1) % n:05d}") for i in range(n)]
+    chains = [(f"in{i:05d}", f"in{i + 1:05d}" if i < n - 1 else ring[7][0]) for i in range(n)] + [(ring[9][0] if i == 0 else f"out{i:05d}", f"out{i + 1:05d}") for i in range(n)]
+    rows = R.strong_groups(spark.createDataFrame(ring + chains, "src string, dst string")).collect()
+    assert len(rows) == n and {tuple(r)[1:] for r in rows} == {("r00000", n)} and len(steps) < 80
+
+
+def test_colours_find_dense_groups(spark):
+    rng = random.Random(9)
+    edges = [(f"{g}{rng.randrange(25):02d}", f"{g}{rng.randrange(25):02d}") for g in "ab" for _ in range(120)] + [("a01", "b01")]
+    edges = [e for e in edges if e[0] != e[1]]
+    found = R._coloured(spark.createDataFrame(edges, "src string, dst string").distinct(), 40)
+    assert found is not None
+    sizes = found[0].groupBy("label").count().filter("count > 1").collect()
+    assert {(r.label, r["count"]) for r in sizes} <= {(g, k) for _, g, k in plain_groups(edges)}
+    assert R._coloured(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string"), 3) is None
 
 
 def test_framework_imports_go_by_simple_name(spark):

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,11 +36,9 @@ def terms(text: str, mask: int) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
-def _paired(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, tile: int = 1024) -> np.ndarray:
-    """Which buckets belong to a pair whose covariance differs between the classes by
-    ``least_z`` standard errors, however common each is alone.  Pairs of all terms are
-    looked at, but those in (or out of) too few rows to reach ``least_z``; terms that
-    stand in the same rows are one.  Rows are held as bits, pairs as one tile."""
+def _rows_as_bits(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Buckets that may belong to a pair, the group of each (terms that stand in the same
+    rows are one), and for either class its rows as bits, a line a group."""
     seen, print_ = np.zeros(size, np.int64), np.zeros(size, np.uint64)
     marks = np.random.default_rng(3).integers(0, 1 << 63, len(rows)).astype(np.uint64)
     for r, mark in zip(rows, marks, strict=True):
@@ -58,27 +56,62 @@ def _paired(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, ti
             x = where[r]
             bits[x[x >= 0], i >> 3] |= 128 >> (i & 7)
         classes.append((len(own), bits))
-    best = np.zeros(m, np.float32)
+    return buckets, group, classes
+
+
+def _tile(classes: list[tuple[int, np.ndarray]], i: int, j: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest |z| of the difference in covariance, for each group from ``i`` on with
+    those from ``j`` on, and the other way round."""
 
     def part(n: int, bits: np.ndarray, at: int) -> np.ndarray:
         return np.unpackbits(bits[at : at + tile], axis=1, count=n).astype(np.float32)
 
-    for i in range(0, m, tile):
-        left = [part(n, bits, i) for n, bits in classes]
-        for j in range(i, m, tile):
-            gap, error = 0.0, 1e-12
-            for (n, bits), a, sign in zip(classes, left, (1, -1), strict=True):
-                b = a if i == j else part(n, bits, j)
-                joint, p, q = a @ b.T / n, a.mean(1)[:, None], b.mean(1)[None]
-                covariance = joint - p * q
-                square = (1 - 2 * p) * (1 - 2 * q) * joint + (1 - 2 * p) * p * q * q + (1 - 2 * q) * q * p * p + p * p * q * q
-                gap = gap + sign * covariance
-                error = error + np.maximum(square - covariance**2, 0) / n + 1 / n**2  # one row of doubt
-            z = np.abs(gap) / np.sqrt(error)
-            if i == j:
-                np.fill_diagonal(z, 0)
-            best[i : i + tile] = np.maximum(best[i : i + tile], z.max(1))
-            best[j : j + tile] = np.maximum(best[j : j + tile], z.max(0))
+    gap, error = 0.0, 1e-12
+    for (n, bits), sign in zip(classes, (1, -1), strict=True):
+        a = part(n, bits, i)
+        b = a if i == j else part(n, bits, j)
+        joint, p, q = a @ b.T / n, a.mean(1)[:, None], b.mean(1)[None]
+        covariance = joint - p * q
+        square = (1 - 2 * p) * (1 - 2 * q) * joint + (1 - 2 * p) * p * q * q + (1 - 2 * q) * q * p * p + p * p * q * q
+        gap = gap + sign * covariance
+        error = error + np.maximum(square - covariance**2, 0) / n + 1 / n**2  # one row of doubt
+    z = np.abs(gap) / np.sqrt(error)
+    if i == j:
+        np.fill_diagonal(z, 0)
+    return z.max(1), z.max(0)
+
+
+def _tiles(classes: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]], tile: int, spark: SparkSession | None):
+    """``(start, greatest)`` of every pair of tiles, worked out by Spark's tasks if there is a session."""
+    if spark is None:
+        for i, j in pairs:
+            yield from zip((i, j), _tile(classes, i, j, tile), strict=True)
+        return
+    held = spark.sparkContext.broadcast(classes)  # bits of the sample: its rows times its groups / 8 bytes
+
+    def work(batches):
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                best = [x.astype(np.float32).tobytes() for x in _tile(held.value, i, j, tile)]
+                yield pa.RecordBatch.from_pydict({"at": pa.array([i, j], pa.int64()), "best": pa.array(best, pa.binary())})
+
+    todo = spark.createDataFrame(pairs, "i long, j long").repartition(min(len(pairs), 4 * common.shuffle_width(spark)))
+    for r in todo.mapInArrow(work, "at long, best binary").toLocalIterator():
+        yield r["at"], np.frombuffer(r["best"], np.float32)
+    held.destroy()
+
+
+def _paired(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, spark: SparkSession | None = None, tile: int = 512) -> np.ndarray:
+    """Which buckets belong to a pair whose covariance differs between the classes by
+    ``least_z`` standard errors, however common each is alone.  Pairs of all terms are
+    looked at, but those in (or out of) too few rows to reach ``least_z``."""
+    buckets, group, classes = _rows_as_bits(rows, y, size, least_z)
+    m = len(classes[0][1])
+    best = np.zeros(m, np.float32)
+    pairs = [(i, j) for i in range(0, m, tile) for j in range(i, m, tile)]
+    if pairs:
+        for at, found in _tiles(classes, pairs, tile, spark):
+            best[at : at + tile] = np.maximum(best[at : at + tile], found)
     found = np.zeros(size, bool)
     found[buckets[best[group] >= least_z]] = True
     return found
@@ -91,7 +124,7 @@ class FactorizationMachine:
         self.w = np.zeros(0)
         self.v = np.zeros((0, factors))
 
-    def select(self, rows: list[np.ndarray], y: np.ndarray, least_z: float, pair_z: float = 8.0) -> list[np.ndarray]:
+    def select(self, rows: list[np.ndarray], y: np.ndarray, least_z: float, pair_z: float = 8.0, spark: SparkSession | None = None) -> list[np.ndarray]:
         """Keep the terms with |z| of the difference in presence at least ``least_z``, and
         those of any pair with |z| of the difference in covariance at least ``pair_z``;
         gives the rows as indexes of kept terms."""
@@ -104,7 +137,7 @@ class FactorizationMachine:
         z = (pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
         kept = np.abs(z) >= least_z
         if y.any() and not y.all():
-            kept |= _paired(rows, y, size, pair_z)
+            kept |= _paired(rows, y, size, pair_z, spark)
         strong = np.flatnonzero(kept)
         self.index = {int(b): i for i, b in enumerate(strong)}
         rng = np.random.default_rng(self.seed)
@@ -224,7 +257,7 @@ def fit_toxicity_model(
     if not found:
         return model
     y = np.array([label for label, _ in found])
-    rows = model.select([kept[np.frombuffer(x, np.int32)].astype(np.int32) for _, x in found], y, least_z, pair_z)
+    rows = model.select([kept[np.frombuffer(x, np.int32)].astype(np.int32) for _, x in found], y, least_z, pair_z, docs.sparkSession)
     if y.any() and not y.all():
         model.fit(rows, y.astype(float), **fit)
     return model

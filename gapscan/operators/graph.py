@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
-from .lineage import cut_lineage
+from .lineage import cut_lineage, written
 from .symbols import best_constructor
 
 
@@ -92,12 +92,12 @@ def _one_way(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"), (F.count(F.lit(1)) == 1).alias("plain"), F.lit(False).alias("end"))
     ends = edges.select(F.col("dst").alias("node")).distinct().join(out.select("node").hint("merge"), "node", "left_anti")
     ends = ends.select("node", F.col("node").alias("to"), F.lit(True).alias("plain"), F.lit(True).alias("end"))
-    walk = cut_lineage(out.unionByName(ends).withColumn("least", F.col("node")))
+    walk = written(out.unionByName(ends).withColumn("least", F.col("node")))
     goals = -1
     while True:
         onward = walk.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("least").alias("__least"), F.col("plain").alias("__plain"), F.col("end").alias("__end"))
         step = walk.join(onward.hint("merge"), "to")
-        walk = cut_lineage(step.select(
+        walk = written(step.select(
             "node", F.col("__to").alias("to"), F.least("least", "__least").alias("least"), (F.col("plain") & F.col("__plain")).alias("plain"),
             F.col("__end").alias("end"), (F.col("__least") < F.col("least")).alias("__lower"),
         ))
@@ -124,11 +124,11 @@ def _coloured(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] | No
     leads back to that name inside a colour is its group.  Gives ``(node, label)`` and the edges
     inside colours, or None where ``rounds`` do not settle it (long ways; they are contracted first)."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+    colour = written(nodes.withColumn("colour", F.col("node")))
     for _ in range(rounds):
         came = edges.join(colour.select(F.col("node").alias("src"), "colour").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("__came"))
         better = F.col("__came") < F.col("colour")
-        colour = cut_lineage(colour.join(came.hint("merge"), "node", "left").select("node", F.when(better, F.col("__came")).otherwise(F.col("colour")).alias("colour"), better.alias("__new")))
+        colour = written(colour.join(came.hint("merge"), "node", "left").select("node", F.when(better, F.col("__came")).otherwise(F.col("colour")).alias("colour"), better.alias("__new")))
         if not colour.filter("__new").head(1):
             break
         colour = colour.drop("__new")
@@ -137,11 +137,11 @@ def _coloured(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] | No
     colour = colour.select("node", "colour")
     within = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__s")).hint("merge"), "src")
     within = within.join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__d")).hint("merge"), "dst").filter("__s = __d")
-    within = cut_lineage(within.select("src", "dst", F.col("__s").alias("colour")))
-    found = frontier = cut_lineage(colour.filter("node = colour"))
+    within = written(within.select("src", "dst", F.col("__s").alias("colour")))
+    found = frontier = written(colour.filter("node = colour"))
     while True:
         back = within.join(frontier.select(F.col("node").alias("dst")).hint("merge"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-        frontier = cut_lineage(back.join(found.select("node").hint("merge"), "node", "left_anti"))
+        frontier = written(back.join(found.select("node").hint("merge"), "node", "left_anti"))
         if not frontier.head(1):
             return found.select("node", F.col("colour").alias("label")), within.select("src", "dst")
         found = found.unionByName(frontier)
@@ -156,22 +156,22 @@ def strong_groups(edges: DataFrame, colour_rounds: int = 40) -> DataFrame:
     an end, which go; the same against the edges; then groups by colours.  Every round
     contracts or drops something, so it ends; long rings and chains fall to the doubling, dense groups to
     the colours."""
-    left = cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct())
-    member = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")))
+    left = written(edges.filter("src <> dst").select("src", "dst").distinct())
+    member = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")))
 
     def moved(member: DataFrame, labels: DataFrame) -> DataFrame:
         new = labels.select(F.col("node").alias("label"), F.col("label").alias("__label")).hint("merge")
-        return cut_lineage(member.join(new, "label", "left").select("node", F.coalesce("__label", "label").alias("label")))
+        return written(member.join(new, "label", "left").select("node", F.coalesce("__label", "label").alias("label")))
 
     while left.head(1):
         for turn in (False, True):
             walk = _one_way(_turned(left) if turn else left)
             goals = walk.filter(~F.col("end")).select(F.col("to").alias("node")).distinct()
-            labels = cut_lineage(walk.join(goals.hint("merge"), "node", "left_semi").select("node", F.col("least").alias("label")))
+            labels = written(walk.join(goals.hint("merge"), "node", "left_semi").select("node", F.col("least").alias("label")))
             dead = walk.filter("end AND plain").select("node")
             for end in ("src", "dst"):
                 left = left.join(dead.select(F.col("node").alias(end)).hint("merge"), end, "left_anti")
-            left = cut_lineage(_relabelled(left, labels))
+            left = written(_relabelled(left, labels))
             member = moved(member, labels)
             if not left.head(1):
                 break
@@ -179,7 +179,7 @@ def strong_groups(edges: DataFrame, colour_rounds: int = 40) -> DataFrame:
             found = _coloured(left, colour_rounds)
             if found is not None:
                 labels, inner = found
-                left, member = cut_lineage(_relabelled(inner, labels)), moved(member, labels)
+                left, member = written(_relabelled(inner, labels)), moved(member, labels)
     sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("group_id")).filter("size > 1")
     return member.join(sizes.hint("merge"), "label").select("node", "group_id", "size")
 
@@ -187,6 +187,6 @@ def strong_groups(edges: DataFrame, colour_rounds: int = 40) -> DataFrame:
 def fixture_cycles(edges: DataFrame) -> DataFrame:
     """G-5: nodes on a cycle, with the id (the smallest name) and the size of their group;
     a node that only leads to itself is a group of one."""
-    groups = cut_lineage(strong_groups(edges))
+    groups = written(strong_groups(edges))
     alone = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(groups.hint("merge"), "node", "left_anti")
     return groups.unionByName(alone.select("node", F.col("node").alias("group_id"), F.lit(1).cast("long").alias("size")))

@@ -4,23 +4,42 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names, which all executors share; a session in one
+    process without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names, which all executors share; a
-    session in one process without one gets its own."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(_shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: for loops.  A checkpoint keeps the
+    size that Spark guessed for it, joins multiply such guesses, and after a dozen rounds
+    they are numbers of so many digits that planning stands still.  A table has its own size."""
+    path = f"{_shared_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that start from here on import this package where it is not installed."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -47,9 +47,10 @@ def filter_by_mode(targets: DataFrame, mode: str = "coverage") -> DataFrame:
 
 def exclude_generated(df: DataFrame, rules: DataFrame, *, col: str = "sut", boundary: bool = False) -> DataFrame:
     """F-2: anti join on exact names, then on package patterns.  With ``boundary`` a
-    package ends at a dot and path globs are left out, which makes the second join equi
-    too: a class is matched through each of its dotted prefixes.  Without it a pattern
-    is an unanchored prefix (``*`` is any text); the few patterns are one broadcast regex."""
+    package ends at a dot and path globs are left out: a class is matched through each of
+    its dotted prefixes.  Without it a pattern is an open prefix (``*`` is any text): what
+    stands before its first ``*`` is looked up among the beginnings of a name, and only
+    what meets there is tried as an expression.  Both joins are equi, however many the rules."""
     packages = rules.filter("rule_kind = 'package'")
     exact = rules.filter("rule_kind = 'fqcn'").select(F.col("pattern").alias(col))
     if boundary:
@@ -59,10 +60,14 @@ def exclude_generated(df: DataFrame, rules: DataFrame, *, col: str = "sut", boun
         met = prefixes.join(named.hint("shuffle_hash"), "__prefix").filter(~F.col("__whole") | (F.col(col) == F.col("__prefix")))
         return df.join(met.select(col).distinct().hint("merge"), col, "left_anti")
     left = df.join(exact.distinct(), col, "left_anti")
-    pattern = packages.agg(
-        F.array_join(F.collect_set(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.\[\](){}+?^$|\\])", r"\\$1"), r"\*", ".*"))), "|").alias("__re")
-    )  # one row: rules are a short list kept by hand
-    return left.join(F.broadcast(pattern), F.lit(True)).filter((F.col("__re") == "") | ~F.expr(f"{col} rlike __re")).drop("__re")
+    escaped = F.regexp_replace(F.regexp_replace("pattern", r"([.\[\](){}+?^$|\\])", r"\\$1"), r"\*", ".*")
+    heads = packages.select(F.substring_index("pattern", "*", 1).alias("__head"), F.when(F.col("pattern").contains("*"), F.concat(F.lit("^"), escaped)).alias("__re")).distinct()
+    # a pattern is looked up by its literal head among the name's own beginnings of that length
+    lengths = sorted(r[0] for r in heads.select(F.length("__head")).distinct().collect())  # at most the longest pattern's letters
+    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(col)), lambda n: F.substring(F.col(col), F.lit(1), n))
+    begun = left.select(col).distinct().withColumn("__head", F.explode(starts))
+    met = begun.join(heads.hint("merge"), "__head").filter(F.col("__re").isNull() | F.expr(f"`{col}` rlike __re"))
+    return left.join(met.select(col).distinct().hint("merge"), col, "left_anti")
 
 
 def dotted_prefixes(c: Column) -> Column:

@@ -38,6 +38,22 @@ def test_generated_classes_are_excluded(spark):
     assert P.exclude_generated(rows, near).count() == 1 and P.exclude_generated(rows, near, boundary=True).count() == 2
 
 
+def test_many_package_rules_against_plain_matching(spark):
+    import re
+
+    rng = random.Random(6)
+    names = [".".join(rng.choice(["com", "org", "acme", "gen", "a[0]"]) for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".Foo", ".FooBar", ".X$1"]) for _ in range(80)]
+    patterns = ["com.acme", "com.acme.gen.*", "org.*.Foo", "*X$1", "a[0].c", "com.*acme*Bar", "gen.Foo", "org.acme.", "zz.*"] + [f"pkg{i}.*" for i in range(2000)]
+    df = targets(spark, [(f"t{i}", n, "m", 1, 1) for i, n in enumerate(names)])
+    rules = spark.createDataFrame([("package", p) for p in patterns] + [("fqcn", "com.org.Foo")], "rule_kind string, pattern string")
+    kept = P.exclude_generated(df, rules)
+    plain = [re.compile(".*".join(map(re.escape, p.split("*")))) for p in patterns]
+    assert sorted(r.sut for r in kept.collect()) == sorted(n for n in names if n != "com.org.Foo" and not any(p.match(n) for p in plain))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert P.exclude_generated(df, rules.limit(0)).count() == len(names)
+
+
 def test_lambdas_go_to_their_parent(spark):
     rows = targets(spark, [("lambda-target", "com.acme.Q", "lambda$requireConfiguredCluster$0()L;", 3, 2), ("parent-target", "com.acme.Q", "requireConfiguredCluster()L;", 1, 0)])
     (r,) = P.collapse_lambdas(rows).collect()

@@ -185,19 +185,22 @@ def test_quality_scores_equal_a_plain_scorer(spark, tables):
 
 def test_long_texts_alone_are_judged_too(spark):
     """No text short: junk is rejected and toxic terms are learned all the same."""
-    rng = np.random.default_rng(3)
-    words = [a + b for a in ("ha", "ti", "re", "on") for b in ("an", "ble", "st", "er", "ing")] + ["the", "of", "and", "to", "in", "is"] * 3
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    whole = docs.filter("lang = 'en'").join(labels.select("doc_id", "quality"), "doc_id").orderBy("doc_id").collect()
     rows = []
-    for i in range(60):
-        drawn = rng.choice(words, 6000)
-        junk = i % 3 == 0
-        rows.append((i, " ".join(f"{w}{rng.choice(['###', '&&&', '$$$'])}" for w in drawn) if junk else " ".join(drawn) + ".\n", int(junk)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    assert all(len(t) > 20_000 for _, t, _ in rows)
-    kept = {r.doc_id: r.kept for r in score_quality(docs).collect()}
-    assert not any(kept[i] for i, _, junk in rows if junk) and all(kept[i] for i, _, junk in rows if not junk)
-    marked = docs.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" vilefoe")).otherwise(" kindfoe")).alias("text"))
-    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
-    scored = {r.doc_id: r.predicted for r in score_toxicity(marked, labels, epochs=40).collect()}
+    for junk in (0, 1):
+        held: list[str] = []
+        for text in (r.text for r in whole if r.quality != junk):
+            held.append(text)
+            if sum(map(len, held)) > 21_000:
+                rows.append((len(rows), "\n".join(held), junk))
+                held = []
+    assert sum(j for *_, j in rows) >= 3 and all(len(t) > 20_000 for _, t, _ in rows)
+    long = spark.createDataFrame(rows, "doc_id long, text string, junk int")
+    kept = {r.doc_id: r.kept for r in score_quality(long).collect()}
+    assert np.mean([not kept[i] for i, _, junk in rows if junk]) > 0.5 and np.mean([kept[i] for i, _, junk in rows if not junk]) > 0.9
+    marked = long.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" vilefoe")).otherwise(" kindfoe")).alias("text"))
+    marks = long.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"))
+    scored = {r.doc_id: r.predicted for r in score_toxicity(marked, marks, epochs=40).collect()}
     assert np.mean([scored[i] == (i % 2 == 0) for i in scored]) > 0.9
-    assert {r.predicted for r in score_toxicity(marked, labels, sample_bytes=1).collect()} <= {0, 1}
+    assert {r.predicted for r in score_toxicity(marked, marks, sample_bytes=1).collect()} <= {0, 1}

@@ -220,7 +220,7 @@ def allowed_imports(classes: DataFrame, members: DataFrame, deps: DataFrame, whi
         )
         .unionByName(classes.select("fqcn", F.explode(F.array(*[F.lit(p) for p in presets])).alias("import")))
     )
-    known = rows.join(classes.select("fqcn").distinct(), "fqcn", "left_semi")
+    known = rows.join(classes.select("fqcn").distinct().hint("merge"), "fqcn", "left_semi")
     return known.groupBy("fqcn").agg(F.array_join(F.array_sort(F.collect_set("import")), ",").alias("imports"))
 
 
@@ -256,7 +256,7 @@ def affected_tests(imports: DataFrame, edges: DataFrame, affected: DataFrame) ->
     known = affected.select(F.col("fqcn").alias("name")).distinct()
     prefixes = imports.select("test", F.explode(dotted_prefixes(F.col("import"))).alias("name"))
     depends = edges.select(F.col("src").alias("test"), F.col("dst").alias("name"))
-    return prefixes.unionByName(depends).join(known, "name", "left_semi").select("test").distinct()
+    return prefixes.unionByName(depends).join(known.hint("merge"), "name", "left_semi").select("test").distinct()
 
 
 #: Calls that any receiver has, methods of every throwable, and owners of the test frameworks (fixed values)

@@ -95,16 +95,16 @@ BUCKET_NAMES = ("pending", "generated", "passed", "failed", "skipped", "abandone
 def current_states(events: DataFrame) -> DataFrame:
     """The state of each target after all events: a terminal state is never left, else
     the last event counts.  A fold as one aggregate: the first terminal event if there is
-    one, otherwise the latest event; ``repair_rounds`` counts requests before the end."""
-    when = F.struct("sec", "seq")
-    ends = F.col("status").isin(*TERMINAL)
+    one, otherwise the latest event.  ``repair_rounds``: all requests, less those that a
+    second aggregate counts from the end on; nothing is gathered."""
+    keys, ends, asked = ["run_id", "target_id"], F.col("status").isin(*TERMINAL), F.col("status") == "REPAIR_REQUESTED"
     first_end = F.min(F.when(ends, F.struct("sec", "seq", "status")))
     last = F.max(F.struct("sec", "seq", "status"))
-    repairs = F.collect_list(F.when(F.col("status") == "REPAIR_REQUESTED", when))
-    folded = events.groupBy("run_id", "target_id").agg(first_end.alias("e"), last.alias("l"), repairs.alias("r"))
-    open_ = F.col("e").isNull()
-    rounds = F.size(F.filter("r", lambda x: open_ | (x < F.struct(F.col("e.sec"), F.col("e.seq")))))
-    return folded.select("run_id", "target_id", F.coalesce("e.status", "l.status").alias("status"), rounds.cast("long").alias("repair_rounds"))
+    folded = events.groupBy(*keys).agg(first_end.alias("e"), last.alias("l"), F.count_if(asked).alias("n"))
+    over = events.filter(ends).groupBy(*keys).agg(F.min(F.struct("sec", "seq")).alias("end"))
+    late = events.filter(asked).join(over.hint("merge"), keys).filter(F.struct("sec", "seq") >= F.col("end")).groupBy(*keys).agg(F.count(F.lit(1)).alias("late"))
+    rows = folded.join(late.hint("merge"), keys, "left")
+    return rows.select(*keys, F.coalesce("e.status", "l.status").alias("status"), (F.col("n") - F.coalesce("late", F.lit(0))).alias("repair_rounds"))
 
 
 def manifest_totals(states: DataFrame) -> DataFrame:

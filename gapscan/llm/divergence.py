@@ -249,3 +249,47 @@ def judge_quality(
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {FIELDS}"
     return read.mapInArrow(lambda it: _judge(it, references, limits, base_min_words, base_most_repeated), schema).withColumnRenamed("id", id_col)
+
+
+def oracle_sql() -> str:
+    """The same result, with the default parameters."""
+    kept = {
+        "lower": "a-z", "upper": "A-Z", "digit": "0-9", "white": r"\x20\x09-\x0D", "stop": r".,;:!?\"''()\-", "symbol": "#*$%&|<>", "ascii": r"\x00-\x7F",
+        "latin": r"\x{00C0}-\x{07FF}", "mark": r"\x{0080}-\x{00BF}\x{2000}-\x{2FFF}", "script": r"\x{0800}-\x{1FFF}\x{3000}-\x{FFFF}", "far": r"\x{10000}-\x{10FFFF}",
+    }
+    size = {c: f"length(regexp_replace(t, '[^{kept[c]}]', '', 'g'))" for c in CLASSES}
+    size["ascii"] += "".join(f" - {size[c]}" for c in ("lower", "upper", "digit", "white", "stop", "symbol"))
+    counts = ", ".join(f"{{'name': '{c}', 'n': {size[c]}}}" for c in CLASSES)
+    ends = "[.,;:!?\"''()]+"
+    bits = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({1} + {2}) / 2)) ELSE 0 END"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+        win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 7)),
+        rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+        cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY r),
+        ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+        cl AS (SELECT r, lang, x.name AS name, x.n AS n FROM (SELECT r, lang, unnest([{counts}]) AS x FROM d)),
+        tot AS (SELECT r, sum(n) AS total, sum(n) FILTER (name <> 'white') AS word_chars, sum(n) FILTER (name = 'symbol') AS n_symbols FROM cl GROUP BY r),
+        b AS (SELECT w.r, doc_id, lang, len(ws) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines,
+                     coalesce(cov.n, 0) AS n_repeat_words, total FROM w JOIN tot USING (r) LEFT JOIN ln USING (r) LEFT JOIN cov USING (r)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+        known AS (SELECT lang, count(*) AS docs FROM f WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 20 AND 10000 * count(*) >= (SELECT count(*) FROM f WHERE NOT base_failed)),
+        cref AS (SELECT cl.lang, name, sum(1000000 * n // total) AS parts FROM cl JOIN f USING (r) WHERE NOT base_failed GROUP BY ALL),
+        cq AS (SELECT lang, name, parts / sum(parts) OVER (PARTITION BY lang) AS q FROM cref JOIN known USING (lang)),
+        cd AS (SELECT r, round(sqrt(greatest(0, least(1, sum({bits.format("p", "p", "q")} + {bits.format("q", "p", "q")}) / 2))), 6) AS char_distance
+               FROM (SELECT cl.r, cl.n / f.total AS p, cq.q FROM cl JOIN f USING (r) JOIN cq ON cq.lang = cl.lang AND cq.name = cl.name WHERE f.word_chars >= 200) GROUP BY r),
+        nw AS (SELECT r, lang, k, count(*) AS c FROM (SELECT r, lang, regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^{ends}|{ends}$', '', 'g') AS k
+               FROM (SELECT r, lang, unnest(ws) AS x FROM w)) GROUP BY ALL),
+        wref AS (SELECT nw.lang, k, sum(1000000 * c // n_words) AS parts FROM nw JOIN f USING (r) WHERE NOT base_failed AND k <> '' AND length(k) <= {LONGEST} GROUP BY ALL),
+        wq AS (SELECT lang, k, parts / (1e6 * docs) AS q FROM (SELECT * FROM wref QUALIFY row_number() OVER (PARTITION BY lang ORDER BY parts DESC, k) <= 100) JOIN known USING (lang)),
+        qs AS (SELECT lang, sum(q) AS s FROM wq GROUP BY lang),
+        met AS (SELECT nw.r, sum(c) AS c, sum(q) AS q, sum({bits.format("(c / n_words)", "c / n_words", "q")} + {bits.format("q", "c / n_words", "q")}) AS bits
+                FROM nw JOIN f USING (r) JOIN wq ON wq.lang = nw.lang AND wq.k = nw.k GROUP BY nw.r),
+        rest AS (SELECT f.r, (n_words - coalesce(c, 0)) / n_words AS p, greatest(0, 1 - s) AS q, coalesce(bits, 0) + s - coalesce(met.q, 0) AS bits
+                 FROM f JOIN qs USING (lang) LEFT JOIN met USING (r) WHERE n_words >= 50),
+        wd AS (SELECT r, round(sqrt(greatest(0, least(1, (bits + {bits.format("p", "p", "q")} + {bits.format("q", "p", "q")}) / 2))), 6) AS word_distance FROM rest)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(char_distance > 0.25, FALSE) AND NOT coalesce(word_distance > 0.5, FALSE) AS kept, char_distance, word_distance
+        FROM f LEFT JOIN cd USING (r) LEFT JOIN wd USING (r)
+    """

@@ -103,5 +103,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(t) AS text_sha256
         FROM numbered
     """,
+    "op11_distribution_divergence": divergence.oracle_sql(),
     "op12_phrase_collocations": collocations.oracle_sql(),
 }

@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from gapscan.llm.divergence import CLASSES, LONGEST, judge_quality
+from gapscan.llm.divergence import CLASSES, LONGEST, judge_quality, oracle_sql
 
 WORDS = "the of and to in is that it was for on are as with his they at be this from".split()
 
@@ -111,3 +112,12 @@ def test_against_labels(spark):
     out = judge_quality(docs).join(labels, "doc_id").filter("NOT base_failed").collect()
     good, bad = [r for r in out if r.quality], [r for r in out if not r.quality]
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
+
+
+def test_sql_twin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    twin = con.sql(oracle_sql())
+    assert twin.columns == judge_quality(docs).columns
+    close([tuple(r) for r in judge_quality(docs).collect()], twin.fetchall())

@@ -49,6 +49,7 @@ class Words:
     ``text`` (its place in the batch), and where their bytes lie."""
 
     def __init__(self, texts: list[bytes | None], seed: int = 0):
+        self.texts, self.seed = texts, seed
         self.raw = b"\n".join([(t or b"").lower() for t in texts])
         codes = np.frombuffer(self.raw, np.uint8)
         base = _P ^ _U(2 * int.from_bytes(hashlib.blake2b(b"%d" % seed, digest_size=7).digest(), "big")) if seed else _P
@@ -89,6 +90,12 @@ class Words:
             self.end = self.end[last]
             self.hash, self.piece, self.start = self.hash[first], self.piece[first], self.start[first]
 
+    def unlike(self, first: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which words are not the word that stands first in their group: by a hash of
+        another seed, so that what one hash takes for the same the other tells apart."""
+        other = Words(self.texts, self.seed + 1_000_003).hash
+        return np.flatnonzero((other != other[first][group]) | (self.end - self.start != (self.end - self.start)[first][group]))
+
     def ids(self, langs: list[str], seed: int, bits: int = 64) -> np.ndarray:
         of = {x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8, salt=b"l%d" % seed).digest(), "big") for x in set(langs)}
         lang = np.fromiter((of[x] for x in langs), np.uint64, len(langs))
@@ -114,10 +121,19 @@ def _count_words(batches, seed: int, most: int = 300_000):
             "id": pa.array(_signed(np.fromiter(held, np.uint64, len(held)))), "n": pa.array([r[2] for r in rows], pa.int64()),
         })
 
+    def row(w: Words, langs: list[str], i: int, key: np.uint64, n: int):
+        """Two words of one hash: both go on, so that the check finds them."""
+        word = w.raw[w.start[i] : w.end[i]].decode("utf-8", "replace")
+        return pa.RecordBatch.from_pydict({"lang": [langs[w.text[i]]], "word": [word], "id": pa.array(_signed(np.array([key], np.uint64))), "n": [n]})
+
     for batch in batches:
         texts, langs = _read(batch)
         w = Words(texts, seed)
-        ids, first, counts = np.unique(w.ids(langs, seed), return_index=True, return_counts=True)
+        ids, first, group, counts = np.unique(w.ids(langs, seed), return_index=True, return_inverse=True, return_counts=True)
+        odd = w.unlike(first, group)
+        counts -= np.bincount(group[odd], minlength=len(counts))
+        for i in odd.tolist():
+            yield row(w, langs, i, ids[group[i]], 1)
         for key, i, n in zip(ids.tolist(), first.tolist(), counts.tolist(), strict=True):
             row = held.get(key)
             word = w.raw[w.start[i] : w.end[i]]
@@ -125,8 +141,8 @@ def _count_words(batches, seed: int, most: int = 300_000):
                 held[key] = [langs[w.text[i]], word, n]
             elif row[1] == word:
                 row[2] += n
-            else:  # two words of one hash: both go on, so that the check finds them
-                yield pa.RecordBatch.from_pydict({"lang": [langs[w.text[i]]], "word": [word.decode("utf-8", "replace")], "id": pa.array(_signed(ids[ids == key])), "n": [n]})
+            else:
+                yield row(w, langs, i, np.uint64(key), n)
         if len(held) > most:
             yield out()
             held.clear()

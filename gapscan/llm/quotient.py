@@ -117,8 +117,8 @@ class QuotientFilter:
     def blocks(self, block_bits: int):
         """``(block, filter)`` for each range of slots that shares its high bits."""
         block = (self.mixed[:, 0] >> _U(self.bits - block_bits)).astype(np.int64) if block_bits else np.zeros(len(self.mixed), np.int64)
-        edges = np.flatnonzero(np.diff(block, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(block)), strict=True):
+        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield int(block[a]), QuotientFilter(self.mixed[a:b], self.counts[a:b], self.bits)
 
     def dump(self) -> bytes:

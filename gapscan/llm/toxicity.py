@@ -96,9 +96,10 @@ def _tiles(classes: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int]],
                 yield pa.RecordBatch.from_pydict({"at": pa.array([i, j], pa.int64()), "best": pa.array(best, pa.binary())})
 
     todo = spark.createDataFrame(pairs, "i long, j long").repartition(min(len(pairs), 4 * common.shuffle_width(spark)))
-    for r in todo.mapInArrow(work, "at long, best binary").toLocalIterator():
-        yield r["at"], np.frombuffer(r["best"], np.float32)
+    found = todo.mapInArrow(work, "at long, best binary").toArrow()  # a number for each group and each tile it met
     held.destroy()
+    for at, best in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        yield at, np.frombuffer(best, np.float32)
 
 
 def _paired(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, spark: SparkSession | None = None, tile: int = 512) -> np.ndarray:

@@ -10,8 +10,8 @@ insult together with a group) is trained by AdaGrad.  Scoring reads whole texts.
 
 Defined cases: null or empty text scores as no terms do; a null id is never learned
 from and not held out; labels that are null are skipped and repeated ones count
-once, as the largest; repeated rows are scored each, alike; texts of any length are learned
-from and scored whole; a score of just 0.5 is predicted toxic; without both classes to learn
+once, as the largest; repeated rows are scored each, alike; texts beyond ``max_chars`` are
+learned from where their class has no others, and scored whole; a score of just 0.5 is predicted toxic; without both classes to learn
 from every score is the share of class 1 (0 without labels); an empty table gives no rows;
 other columns, whatever their names, are ignored.
 """
@@ -221,11 +221,12 @@ def _score(batches, model: FactorizationMachine, most: int = 300_000):
 
 def fit_toxicity_model(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, held_fold: int = 0, per_class: int = 3000, sample_bytes: int = 256 << 20,
+    folds: int = 5, held_fold: int = 0, per_class: int = 3000, max_chars: int = 20_000, sample_bytes: int = 256 << 20,
     least_z: float = 5.0, pair_z: float = 8.0, **fit,
 ) -> FactorizationMachine:
     """Fit on a bounded sample: ``per_class`` labelled documents of either class (twice
-    as many of the negative one), of any length, drawn by hash of the id; fewer where
+    as many of the negative one), drawn by hash of the id, of at most ``max_chars`` characters
+    where the class has such documents and of any length where it has none; fewer where
     their terms, four bytes each, would pass ``sample_bytes``."""
     marked = labels.filter((common.crc_mod(id_col, folds) != held_fold) & F.col(label_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col) != 0).alias("y"))
@@ -240,7 +241,10 @@ def fit_toxicity_model(
     some = common.staged(marked.filter(draw < cut).limit(8 * per_class), "labelled")  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("x"))
     size = 1 << model.bits
-    read = texts.join(F.broadcast(some), "id").select("y", "x").mapInArrow(lambda it: _collect_terms(it, size - 1), "y boolean, terms array<int>")
+    drawn = texts.join(F.broadcast(some), "id").select("y", "x", (F.length("x") <= max_chars).alias("short"))
+    brief = {r["y"]: r["short"] for r in drawn.groupBy("y").agg(F.bool_or("short").alias("short")).collect()}
+    drawn = drawn.filter(F.col("short") | F.when(F.col("y"), not brief.get(True)).otherwise(not brief.get(False)))
+    read = drawn.select("y", "x").mapInArrow(lambda it: _collect_terms(it, size - 1), "y boolean, terms array<int>")
     sample = common.staged(read, "terms")
     kept = _eligible(sample, least_z, pair_z)
     where = np.full(size, -1, np.int32)

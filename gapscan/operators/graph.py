@@ -190,3 +190,11 @@ def fixture_cycles(edges: DataFrame) -> DataFrame:
     groups = written(strong_groups(edges))
     alone = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(groups.hint("merge"), "node", "left_anti")
     return groups.unionByName(alone.select("node", F.col("node").alias("group_id"), F.lit(1).cast("long").alias("size")))
+
+
+def cycle_partners(cycles: DataFrame) -> DataFrame:
+    """``fixture_cycles`` with the other nodes of each node's group, in order.  A group is
+    listed once and handed to its nodes."""
+    listed = cycles.groupBy("group_id").agg(F.array_sort(F.collect_list("node")).alias("__all"))
+    rows = cycles.join(listed.hint("merge"), "group_id")
+    return rows.select("node", F.array_join(F.array_remove("__all", F.col("node")), ",").alias("partners"), "group_id", "size")

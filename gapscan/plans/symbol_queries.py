@@ -131,14 +131,15 @@ add(
 
 
 def _cycle_edges(t):
-    return t("part").selectExpr("concat('n', p_partkey) AS src", "concat('n', CASE WHEN p_partkey % 9 = 8 THEN p_partkey - 5 ELSE p_partkey + 1 END) AS dst").filter("src <> 'n0'")
+    return t("part").selectExpr("concat('n', p_partkey) AS src", "concat('n', CASE WHEN p_partkey % 9 = 8 THEN p_partkey - 5 ELSE p_partkey + 1 END) AS dst")
 
 
 add(
-    "g05_fixture_cycles", lambda t: R.fixture_cycles(_cycle_edges(t)),
+    "g05_fixture_cycles", lambda t: R.cycle_partners(R.fixture_cycles(_cycle_edges(t))),
     """WITH RECURSIVE e AS (SELECT p_partkey AS s, CASE WHEN p_partkey % 9 = 8 THEN p_partkey - 5 ELSE p_partkey + 1 END AS d FROM part),
        w AS (SELECT s, d FROM e UNION SELECT w.s, e.d FROM w JOIN e ON e.s = w.d)
-       SELECT 'n' || CAST(a.s AS STRING) AS node, least('n' || CAST(a.s AS STRING), min('n' || CAST(a.d AS STRING))) AS group_id, count(DISTINCT a.d) AS size
+       SELECT 'n' || CAST(a.s AS STRING) AS node, coalesce(string_agg(DISTINCT 'n' || CAST(a.d AS STRING), ',' ORDER BY 'n' || CAST(a.d AS STRING)) FILTER (a.s <> a.d), '') AS partners,
+              least('n' || CAST(a.s AS STRING), min('n' || CAST(a.d AS STRING))) AS group_id, count(DISTINCT a.d) AS size
        FROM w a JOIN w b ON a.s = b.d AND a.d = b.s GROUP BY a.s""",
 )
 add(

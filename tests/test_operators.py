@@ -283,6 +283,12 @@ def test_every_planned_class_has_a_pack(spark):
         assert got == {s for p, s in lines if p == number(r.sut)}
 
 
+def test_cycle_partners_lists_the_whole_group(spark):
+    loop = spark.createDataFrame([("b", "a"), ("a", "c"), ("c", "b"), ("c", "x"), ("x", "p"), ("p", "x"), ("y", "y")], "src string, dst string")
+    got = {tuple(r) for r in R.cycle_partners(R.fixture_cycles(loop)).collect()}
+    assert got == {("a", "b,c", "a", 3), ("b", "a,c", "a", 3), ("c", "a,b", "a", 3), ("x", "p", "p", 2), ("p", "x", "p", 2), ("y", "", "y", 1)}
+
+
 def plain_groups(edges):
     """Strongly connected groups of two or more, by what each node reaches."""
     out = {}

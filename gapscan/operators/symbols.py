@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
 from ..functions.java_calls import read_calls
-from .lineage import importable
+from .lineage import importable, written
 from .planning import dotted_prefixes
 
 #: Annotation to class type (fixed values)
@@ -187,8 +187,9 @@ def resolve_type(uses: DataFrame, imports: DataFrame, classes: DataFrame) -> Dat
     by_import = imports.groupBy("file", S.simple_name(F.col("import")).alias("name")).agg(F.min("import").alias("__import"))
     by_package = classes.select(F.col("fqcn").alias("__local")).distinct()
     anywhere = classes.groupBy(S.simple_name(F.col("fqcn")).alias("name")).agg(F.min("fqcn").alias("__any"))
-    rows = uses.join(exact, "name", "left").join(by_import, ["file", "name"], "left").withColumn("__want", F.concat("package", F.lit("."), "name"))
-    rows = rows.join(by_package, rows["__want"] == by_package["__local"], "left").join(anywhere, "name", "left")
+    rows = uses.withColumn("__want", F.concat("package", F.lit("."), "name"))
+    for part, keys in ((exact, ["name"]), (anywhere, ["name"]), (by_import, ["file", "name"]), (by_package.withColumnRenamed("__local", "__want").withColumn("__local", F.col("__want")), ["__want"])):
+        rows = rows.join(part.hint("shuffle_hash"), keys, "left")
     return rows.select(*uses.columns, F.coalesce("__exact", "__import", "__local", "__any").alias("resolved"))
 
 
@@ -269,14 +270,17 @@ def extract_calls(files: DataFrame, classes: DataFrame, path: str = "path", cont
     """C-9 and J-17: instantiations and calls of each file, their types resolved among
     ``classes`` (null where none fits).  Returns file, pos, kind, type, method, receiver, fqcn."""
     importable(files.sparkSession)
-    read = read_calls(files, path, content)
-    uses = read.select("file", "package", F.explode("uses").alias("u"))
-    simple = F.when(F.col("u.type").rlike(r"^[A-Z]"), S.simple_name(F.col("u.type"))).otherwise(F.col("u.type"))
-    uses = uses.select("file", "package", simple.alias("name"), F.col("u.pos"), F.col("u.kind"), F.col("u.type"), F.col("u.method"), F.col("u.receiver"))
+    read = written(read_calls(files, path, content))  # uses and imports are told from one scan
+    simple = lambda u: F.when(u["type"].rlike(r"^[A-Z]"), S.simple_name(u["type"])).otherwise(u["type"])
+    named = F.transform("uses", lambda u: F.struct(simple(u).alias("name"), u.alias("u")))
+    read = read.select("file", "package", "imports", named.alias("uses"))
+    names = F.array_distinct(F.transform("uses", lambda x: x["name"]))
+    # a name is looked up once a file, with its uses in an array
+    uses = read.select("file", "package", "uses", F.explode(names).alias("name")).select("file", "package", "name", F.transform(F.filter("uses", lambda x: x["name"] == F.col("name")), lambda x: x["u"]).alias("uses"))
     known = classes.select(F.col("fqcn").alias("import")).distinct()
     imports = read.select("file", F.explode("imports").alias("import")).join(known.hint("shuffle_hash"), "import", "left_semi")
     found = resolve_type(uses, imports, classes)
-    return found.select("file", "pos", "kind", "type", "method", "receiver", F.col("resolved").alias("fqcn"))
+    return found.select("file", F.inline("uses"), F.col("resolved").alias("fqcn"))
 
 
 def lint_symbols(calls: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:

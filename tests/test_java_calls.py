@@ -1,8 +1,10 @@
 """Calls read from Java text, and the verdicts on them."""
 
+import pyarrow as pa
 import pytest
 
 from gapscan.functions.java_calls import LITERAL, Walk, read_calls, tokens
+from gapscan.functions.java_code import read_code, slices
 from gapscan.operators import symbols as Y
 
 
@@ -71,3 +73,21 @@ def test_verdicts(spark):
         ("call", "OddException", "lost", "METHOD_NOT_IN_CONTRACT"), ("static", "Known", "lost", "STATIC_METHOD_NOT_IN_CONTRACT"),
     ]
     assert read_calls(files).filter("file = 'N.java'").first().uses == []
+
+
+def test_files_are_dealt_to_all_tasks(spark):
+    """A table in one split is still read by as many tasks as shuffles have."""
+    files = spark.range(400, numPartitions=1).selectExpr("concat('F', id, '.java') AS path", "'class T { void a(Foo x) { x.go(); } }' AS content")
+    assert read_calls(files).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_only_asked_facts_are_told_in_short_pieces(spark):
+    files = spark.range(1500, numPartitions=1).selectExpr("id AS file", "'class T { void a() { x.go(); } }' AS body")
+    rows = read_code(files, ["file"], facts=("calls",))
+    assert rows.columns == ["file", "calls"] and rows.filter("calls[0].name = 'a' AND calls[1].owner = 'x'").count() == 1500
+    assert max(b.num_rows for b in slices([pa.RecordBatch.from_pydict({"x": list(range(1500))})])) == 512
+
+
+def test_a_method_declares_no_field(spark):
+    body = "class A { Foo f; void m() { Bar f = null; f.one(); record R(Baz z) { void n() { z.two(); } } } void o() { f.three(); } }"
+    assert [(u[2], u[3]) for u in Walk(body).uses] == [("Bar", "one"), ("Baz", "two"), ("Foo", "three")]

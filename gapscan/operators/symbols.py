@@ -134,13 +134,16 @@ def build_fixtures(members: DataFrame, classes: DataFrame, with_mocks: bool = Tr
     is_builder = (F.col("kind") == "builder") & (entry.contains(".Builder") | (entry.endswith("Builder()") & ~entry.contains("_Builder")))
     returned = S.simple_name(F.col("return_type")) == S.simple_name(F.col("fqcn"))
     is_factory = (F.col("kind") == "method") & F.col("is_static") & returned
+    # what picks nothing goes, and rows meet by class first: a sort before the shuffle would hold all that a split multiplies into
+    open_ = (F.col("kind") == "constructor") & (F.col("visibility") == "public")
+    members = members.filter(is_builder | is_factory | open_).repartition("fqcn")
     picks = members.groupBy("fqcn").agg(
         F.min_by(made("builder", F.concat_ws(" … ", entry, F.coalesce("build", F.lit("build()")))), F.when(is_builder, F.col("pos"))).alias("b"),
         F.min_by(made("factory", F.col("evidence_id")), F.when(is_factory, F.col("pos"))).alias("f"),
     )
     ctor = best_constructor(members, public_only=True).select("fqcn", made("constructor", F.col("evidence_id")).alias("c"))
     abstract = (F.col("kind") == "interface") | F.col("is_abstract")
-    rows = classes.join(picks, "fqcn", "left").join(ctor, "fqcn", "left")
+    rows = classes.join(picks.hint("merge"), "fqcn", "left").join(ctor.hint("merge"), "fqcn", "left")
     concrete = F.coalesce("b", F.when(F.col("kind") != "annotation", F.col("c")), "f")
     chosen = F.coalesce(F.when(~abstract, concrete), made("mock", F.lit(None).cast("string")))
     degraded = (F.col("__x.strategy") == "mock") & ~(abstract & F.lit(with_mocks))
@@ -250,6 +253,10 @@ def context_pack(plan: DataFrame, classification: DataFrame, coverage: DataFrame
     return rows.withColumn("pack_tokens", S.pack_tokens(F.octet_length(F.concat_ws("\n", "sut", "imports", *parts))))
 
 
+#: Names that ``affected_tests`` answers by a broadcast; a name beyond them has at most a thousandth of the rows
+COMMON_NAMES = 1000
+
+
 def affected_tests(imports: DataFrame, edges: DataFrame, affected: DataFrame) -> DataFrame:
     """J-11: tests that import an affected class or a member of one, or depend on it.  A
     prefix match made equi: every dotted prefix of an import is looked up.
@@ -257,7 +264,14 @@ def affected_tests(imports: DataFrame, edges: DataFrame, affected: DataFrame) ->
     known = affected.select(F.col("fqcn").alias("name")).distinct()
     prefixes = imports.select("test", F.explode(dotted_prefixes(F.col("import"))).alias("name"))
     depends = edges.select(F.col("src").alias("test"), F.col("dst").alias("name"))
-    return prefixes.unionByName(depends).join(known.hint("merge"), "name", "left_semi").select("test").distinct()
+    rows = prefixes.unionByName(depends)
+    # ``com`` begins nearly every import: the commonest names, counted where they stand, are answered
+    # without a shuffle, so that none of them is gathered in a task
+    common = rows.groupBy("name").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "name").limit(COMMON_NAMES)
+    common = common.select("name").join(known.withColumn("__known", F.lit(True)).hint("shuffle_hash"), "name", "left").select("name", F.coalesce("__known", F.lit(False)).alias("__known"))
+    marked = rows.join(F.broadcast(common), "name", "left")
+    rare = marked.filter("__known IS NULL").select("test", "name").join(known.hint("merge"), "name", "left_semi")
+    return marked.filter("__known").select("test").unionByName(rare.select("test")).distinct()
 
 
 #: Calls that any receiver has, methods of every throwable, and owners of the test frameworks (fixed values)

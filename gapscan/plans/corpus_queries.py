@@ -23,23 +23,20 @@ def _written(t, lines, name):
     return path
 
 
-def _written_xml(t, lines, name, rows_a_file=2000):
-    """Elements as documents with a root, one document a file."""
-    rows = lines.toDF("x").withColumn("h", F.xxhash64("x"))
-    files = max(4, rows.count() // rows_a_file)
-    text = F.concat(F.lit("<root>"), F.array_join(F.collect_list("x"), ""), F.lit("</root>"))
-    docs = rows.groupBy(F.pmod("h", F.lit(files)).alias("bucket")).agg(text.alias("value"))
+def _written_xml(t, rows, tag, name, rows_a_file=50_000):
+    """Rows as elements of documents with a root, one document a file of bounded length, by
+    Spark's own writer: nothing is shuffled or gathered for it."""
     path = scratch(t.spark, name)
-    docs.write.partitionBy("bucket").text(path)
+    rows.write.format("xml").options(rootTag="root", rowTag=tag, declaration="", maxRecordsPerFile=rows_a_file).save(path)
     return path
 
 
 def _coverage_xml(t):
-    counter = lambda kind, missed: F.concat(F.lit(f'<counter type="{kind}" missed="'), missed.cast("string"), F.lit('" covered="3"/>'))
-    method = F.concat(F.lit('<method name="m'), F.col("pos").cast("string"), F.lit('" desc="()V" line="1">'), counter("LINE", F.col("missed_lines")), counter("BRANCH", F.col("missed_branches")), F.lit("</method>"))
-    rows = t("targets").groupBy("sut").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", method.alias("x")))), lambda m: m["x"]), "").alias("ms"), F.sum("missed_lines").alias("n"))
-    text = F.concat(F.lit('<class name="'), F.regexp_replace("sut", r"\.", "/"), F.lit('" sourcefilename="X.java">'), "ms", counter("LINE", F.col("n")), F.lit("</class>"))
-    return _written_xml(t, rows.select(text), "coverage")
+    counter = lambda kind, missed: F.struct(F.lit(kind).alias("_type"), F.col(missed).alias("_missed"), F.lit(3).alias("_covered"))
+    method = F.struct(F.concat(F.lit("m"), F.col("pos").cast("string")).alias("_name"), F.lit("()V").alias("_desc"), F.lit(1).alias("_line"), F.array(counter("LINE", "missed_lines"), counter("BRANCH", "missed_branches")).alias("counter"))
+    rows = t("targets").groupBy("sut").agg(F.array_sort(F.collect_list(F.struct("pos", method.alias("x")))).alias("ms"), F.sum("missed_lines").alias("n"))
+    text = rows.select(F.regexp_replace("sut", r"\.", "/").alias("_name"), F.lit("X.java").alias("_sourcefilename"), F.transform("ms", lambda m: m["x"]).alias("method"), F.array(counter("LINE", "n")).alias("counter"))
+    return _written_xml(t, text, "class", "coverage")
 
 
 add(
@@ -52,12 +49,12 @@ _MUT = ("Survived", "KILLED", "NO_COVERAGE")
 
 
 def _mutations(t):
-    text = F.format_string(
-        '<mutation status="%s"><mutatedClass>com.K%d</mutatedClass><mutatedMethod>m%d</mutatedMethod><methodDescription>()V</methodDescription><lineNumber>%s</lineNumber><mutator>x.y.%s</mutator><description>d</description></mutation>',
-        F.element_at(F.array(*[F.lit(x) for x in _MUT]), (F.col("l_suppkey") % 3 + 1).cast("int")), F.col("l_partkey") % 40, F.col("l_linenumber"),
-        F.when(F.col("l_partkey") % 50 == 0, "odd").otherwise((F.col("l_orderkey") % 90).cast("string")), F.when(F.col("l_partkey") % 2 == 0, "MathMutator").otherwise("Strange"),
+    text = t("lineitem").select(
+        F.element_at(F.array(*[F.lit(x) for x in _MUT]), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("_status"), F.concat(F.lit("com.K"), F.col("l_partkey") % 40).alias("mutatedClass"),
+        F.concat(F.lit("m"), "l_linenumber").alias("mutatedMethod"), F.lit("()V").alias("methodDescription"), F.when(F.col("l_partkey") % 50 == 0, "odd").otherwise((F.col("l_orderkey") % 90).cast("string")).alias("lineNumber"),
+        F.concat(F.lit("x.y."), F.when(F.col("l_partkey") % 2 == 0, "MathMutator").otherwise("Strange")).alias("mutator"), F.lit("d").alias("description"),
     )
-    return I.read_mutations_xml(t.spark, _written_xml(t, t("lineitem").select(text), "mutations")).drop("file")
+    return I.read_mutations_xml(t.spark, _written_xml(t, text, "mutation", "mutations")).drop("file")
 
 
 _MUT_SQL = """mut AS (SELECT CASE l_suppkey % 3 WHEN 0 THEN 'SURVIVED' WHEN 1 THEN 'KILLED' ELSE 'NO_COVERAGE' END AS status, 'com.K' || CAST(l_partkey % 40 AS STRING) AS fqcn, 'm' || CAST(l_linenumber AS STRING) || '()V' AS method,
@@ -79,8 +76,9 @@ add(
 
 
 def _reports(t):
-    text = F.format_string('<testsuite name="%s" failures="%d" errors="%d" tests="3"></testsuite>', "fqcn", F.when(F.col("class_no") % 5 == 0, 1).otherwise(0), F.when(F.col("class_no") % 7 == 0, 2).otherwise(0))
-    path = _written_xml(t, t("classes").filter("class_no % 3 > 0").select(text), "reports")
+    bad = lambda k, n: F.when(F.col("class_no") % k == 0, n).otherwise(0)
+    text = t("classes").filter("class_no % 3 > 0").select(F.col("fqcn").alias("_name"), bad(5, 1).alias("_failures"), bad(7, 2).alias("_errors"), F.lit(3).alias("_tests"))
+    path = _written_xml(t, text, "testsuite", "reports")
     return I.read_test_reports(t.spark, path, t("classes").select(F.col("fqcn").alias("test_class")))
 
 
@@ -91,16 +89,19 @@ add(
 
 
 def _poms(t):
-    dep = lambda g, a, v: f"<dependency><groupId>{g}</groupId><artifactId>{a}</artifactId><version>{v}</version></dependency>"
-    text = F.concat(
-        F.lit('<project xmlns="http://maven.apache.org/POM/4.0.0"><artifactId>a'), F.col("p_partkey").cast("string"), F.lit("</artifactId>"),
-        F.when(F.col("p_size") % 3 == 0, "<parent><artifactId>spring-boot-starter-parent</artifactId></parent>").otherwise(""),
-        F.when(F.col("p_size") % 2 == 0, "<properties><java.version>17</java.version></properties>").otherwise("<properties><maven.compiler.source>11</maven.compiler.source></properties>"),
-        F.lit("<dependencies>"), F.when(F.col("p_size") % 4 == 0, dep("org.junit.jupiter", "junit-jupiter-api", "5.9.1")).otherwise(dep("junit", "junit", "4.13")),
-        F.when(F.col("p_size") % 5 == 0, dep("org.mockito", "mockito-core", "5.2.0")).otherwise(dep("org.assertj", "assertj-core", "3.1")), F.lit("</dependencies>"),
-        F.when(F.col("p_size") % 7 == 0, "<build><plugins><plugin><artifactId>jacoco-maven-plugin</artifactId></plugin></plugins></build>").otherwise(""), F.lit("</project>"),
+    dep = lambda g, a, v: F.struct(F.lit(g).alias("groupId"), F.lit(a).alias("artifactId"), F.lit(v).alias("version"))
+    every = lambda k: F.col("p_size") % k == 0
+    named = lambda x: F.struct(F.lit(x).alias("artifactId"))
+    text = t("part").select(
+        F.lit("http://maven.apache.org/POM/4.0.0").alias("_xmlns"), F.concat(F.lit("a"), "p_partkey").alias("artifactId"), F.when(every(3), named("spring-boot-starter-parent")).alias("parent"),
+        F.struct(F.when(every(2), "17").alias("java.version"), F.when(~every(2), "11").alias("maven.compiler.source")).alias("properties"),
+        F.struct(F.array(
+            F.when(every(4), dep("org.junit.jupiter", "junit-jupiter-api", "5.9.1")).otherwise(dep("junit", "junit", "4.13")),
+            F.when(every(5), dep("org.mockito", "mockito-core", "5.2.0")).otherwise(dep("org.assertj", "assertj-core", "3.1")),
+        ).alias("dependency")).alias("dependencies"),
+        F.when(every(7), F.struct(F.struct(F.array(named("jacoco-maven-plugin")).alias("plugin")).alias("plugins"))).alias("build"),
     )
-    return I.read_poms(t.spark, _written_xml(t, t("part").select(text), "poms")).withColumnRenamed("artifactId", "module")
+    return I.read_poms(t.spark, _written_xml(t, text, "project", "poms")).withColumnRenamed("artifactId", "module")
 
 
 add(
@@ -385,10 +386,13 @@ add(
 
 
 def _state_documents(t):
-    """One document a supplier, one a file; every fifth is cut short."""
+    """One document a supplier, one a file in one flat folder; every fifth is cut short.  A folder a
+    file would have to be made, listed and moved for each."""
     text = F.concat(F.lit('{"id": '), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 5 == 4, ', "kind": ').otherwise(F.concat(F.lit(',\n "kind": "'), F.col("s_name"), F.lit('"}'))))
     path = scratch(t.spark, "state")
-    t("supplier").select(text.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    spread = t("supplier").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    files = spread.select(text.alias("value")).write.option("maxRecordsPerFile", 1)
+    files.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)  # a task moves its own files
     return I.read_state_json(t.spark, path, "id long, kind string")
 
 

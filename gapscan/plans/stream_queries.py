@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
 from ..streaming import streams as X
 from .adapters import scratch
 from .catalog import CATALOG
 from .run_queries import _ACTIVE, _STALL, _STATES
 
 add = CATALOG.add
+#: Files of a batch: no task writes or reads a batch alone
+FILES = 12
 
 
 def _live(t, df, name, files_a_batch=None):
@@ -19,8 +22,9 @@ def _live(t, df, name, files_a_batch=None):
 
 def _in_batches(t, df, name, **end):
     """Rows with an event time ``ts`` as a stream of several batches: the earlier and the later half
-    of the time in two files each, the rows of a half dealt at random, so that events
-    of a key come out of order within a batch and over batches."""
+    of the time in two folders of ``FILES`` each, the rows of a half dealt at random, so that events
+    of a key come out of order within a batch and over batches.  The rows are worked out once."""
+    df = cut_lineage(df)
     low, high = df.agg(F.min("ts"), F.max("ts")).first()
     if low is None:
         return _live(t, df, name), "1 hour"
@@ -28,9 +32,9 @@ def _in_batches(t, df, name, **end):
     for half in (F.col("ts") <= middle, F.col("ts") > middle):
         for part in (0, 1):
             dealt = df.filter(half & (F.pmod(F.xxhash64("ts", *end), F.lit(2)) == part))
-            dealt.coalesce(1).write.mode("append").parquet(path)
+            dealt.repartition(FILES).write.mode("append").parquet(path)
     _ended(df, **end).filter(F.col("ts") > F.lit(high)).coalesce(1).write.mode("append").parquet(path)
-    return X.follow(t.spark, df, path, 1), f"{(high - low).total_seconds() / 2 + 1:.0f} seconds"
+    return X.follow(t.spark, df, path, FILES), f"{(high - low).total_seconds() / 2 + 1:.0f} seconds"
 
 
 def _ended(df, **others):

@@ -56,6 +56,7 @@ class _InOrder(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema)
         self.waiting = handle.getListState("waiting", self.row_schema)
         self.names = [f.split()[0] for f in self.row_schema.split(", ")]
+        self.kinds = [_KINDS[f.split()[1]] for f in self.row_schema.split(", ")]
         self.by = [self.names.index(c) for c in self.order]
 
     def close(self) -> None:
@@ -80,11 +81,13 @@ class _InOrder(StatefulProcessor):
         return pd.DataFrame(rows, columns=[f.split()[0] for f in self.out_schema.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues):
-        kinds = [_KINDS[f.split()[1]] for f in self.row_schema.split(", ")]  # pandas has floats where a number is null
-        came = [tuple(None if pd.isna(x) else k(x) for k, x in zip(kinds, r, strict=True)) for pdf in rows for r in pdf[self.names].itertuples(index=False)]
+        came = []
+        for pdf in rows:  # pandas has floats where a number is null, and NaN is not itself
+            columns = [[None if x is None or x != x else k(x) for x in pdf[n].tolist()] for n, k in zip(self.names, self.kinds, strict=True)]
+            came.extend(zip(*columns, strict=True))
         self.waiting.appendList(came)
         self._wake(timerValues.getCurrentWatermarkInMs(), min(r[0] for r in came))
-        yield self._out([])
+        return iter(())  # an empty frame a key would cost more than the key
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
@@ -102,7 +105,8 @@ class _InOrder(StatefulProcessor):
             state = self.start if state is None else state
             self.state.update(state)
             self._wake(now, min((r[0] for r in left), default=None), self.due(state))
-        yield self._out(out)
+        if out:
+            yield self._out(out)
 
 
 _KINDS = {"long": int, "string": str, "boolean": bool}

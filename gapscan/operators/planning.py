@@ -123,6 +123,7 @@ def collapse_lambdas(targets: DataFrame) -> DataFrame:
     parts = targets.withColumn("__lambda", name).withColumn("__name", F.when(name != "", name).otherwise(F.substring_index("method", "(", 1)))
     is_lambda, alike = F.col("__lambda") != "", Window.partitionBy("repo", "sut", "__name")
     own = F.struct("pos", "target_id")
+    parts = parts.repartition("sut")  # serves the window and the look-ups by class that follow
     seen = parts.withColumn("__parent", F.max(F.when(~is_lambda, own)).over(alike)).withColumn("__group", F.struct(
         F.sum(F.when(is_lambda, F.col("missed_lines"))).over(alike).alias("l"), F.sum(F.when(is_lambda, F.col("missed_branches"))).over(alike).alias("b"),
         F.array_sort(F.collect_list(F.when(is_lambda, own)).over(alike)).alias("from"),
@@ -200,17 +201,18 @@ def batches(planned: DataFrame, size: int, *, type_caps: dict[str, int] | None =
     (later rows of the type move on); with ``one_class_a_batch`` the nth targets of all
     classes come before the n+1st, and a batch never spans two such rounds.  Rows are
     numbered in chunks; only batches, not rows, are sorted a repository."""
-    rows = planned
+    # each step is worked out once: it is read for its rows, for their counts, and for the batches
+    rows = cut_lineage(planned) if type_caps or one_class_a_batch else planned
     if type_caps:
         cap = F.lit(size)
         for name, n in type_caps.items():
             cap = F.when(F.col("type") == name, n).otherwise(cap)
         typed = rows.withColumn("type", F.coalesce("type", F.lit("")))
-        rows = _place(typed, ["repo", "type"], "plan_rank").withColumn("__turn", F.floor((F.col("__place") - 1) / cap))
-        rows = _place(rows.drop("__place"), ["repo", "__turn"], "plan_rank")
+        rows = cut_lineage(_place(typed, ["repo", "type"], "plan_rank").withColumn("__turn", F.floor((F.col("__place") - 1) / cap)).drop("__place"))
+        rows = cut_lineage(_place(rows, ["repo", "__turn"], "plan_rank"))
     elif one_class_a_batch:
         rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("repo", "sut").orderBy("plan_rank")) - 1)
-        rows = _place(rows, ["repo", "__turn"], "plan_rank")
+        rows = cut_lineage(_place(cut_lineage(rows), ["repo", "__turn"], "plan_rank"))
     else:
         rows = rows.withColumn("__turn", F.lit(0)).withColumn("__place", F.col("plan_rank"))
     rows = rows.withColumn("__slice", F.floor((F.col("__place") - 1) / size)).drop("__place")

@@ -121,7 +121,7 @@ add(
     f"""WITH {_LAMBDA}, {_ENRICH}, {_PLAN} SELECT repo, target_id, printf('batch-%03d', CAST(floor((plan_rank - 1) / 7) + 1 AS BIGINT)) AS batch_id FROM planned""",
 )
 add(
-    "w11_batches_one_class", lambda t: P.batches(P.plan(_enriched(t)), 50, one_class_a_batch=True).select("repo", "target_id", "batch_id"),
+    "w11_batches_one_class", lambda t: P.batches(P.plan(_enriched(t)).select("repo", "target_id", "sut", "plan_rank"), 50, one_class_a_batch=True).select("repo", "target_id", "batch_id"),
     f"""WITH {_LAMBDA}, {_ENRICH}, {_PLAN}, r AS (SELECT *, row_number() OVER (PARTITION BY repo, sut ORDER BY plan_rank) AS turn FROM planned),
         s AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, turn ORDER BY plan_rank) - 1) / 50) AS sl FROM r)
         SELECT repo, target_id, printf('batch-%03d', dense_rank() OVER (PARTITION BY repo ORDER BY turn, sl)) AS batch_id FROM s""",
@@ -134,7 +134,7 @@ def _typed(t):
 
 
 add(
-    "w11_batches_type_caps", lambda t: P.batches(_typed(t), 7, type_caps=_CAPS).select("repo", "target_id", "type", "batch_id"),
+    "w11_batches_type_caps", lambda t: P.batches(_typed(t).select("repo", "target_id", "type", "plan_rank"), 7, type_caps=_CAPS).select("repo", "target_id", "type", "batch_id"),
     f"""WITH {_LAMBDA}, {_ENRICH}, {_PLAN}, ty AS (SELECT p.*, coalesce(c.type, '') AS type FROM planned p LEFT JOIN classification c ON c.fqcn = p.sut),
         tu AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, type ORDER BY plan_rank) - 1) / CASE type WHEN 'service' THEN 3 WHEN 'controller' THEN 2 ELSE 7 END) AS turn FROM ty),
         sl AS (SELECT *, floor((row_number() OVER (PARTITION BY repo, turn ORDER BY plan_rank) - 1) / 7) AS slice FROM tu)

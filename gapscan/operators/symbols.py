@@ -214,18 +214,18 @@ def dependency_strategy(deps: DataFrame, fixtures: DataFrame) -> DataFrame:
 def allowed_imports(classes: DataFrame, members: DataFrame, deps: DataFrame, whitelist: DataFrame, presets: tuple[str, ...]) -> DataFrame:
     """A-22: what a test of each class may import: itself, its dependencies, types its
     members throw, whitelisted classes of its package, and the framework's own."""
-    rows = (
-        classes.select("fqcn", F.col("fqcn").alias("import"))
-        .unionByName(deps.select(F.col("sut").alias("fqcn"), F.col("type").alias("import")))
-        .unionByName(members.filter(F.col("throws").isNotNull() & ~F.col("throws").rlike(r"^java\.lang\.[A-Z]\w*$")).select("fqcn", F.col("throws").alias("import")))
-        .unionByName(
-            classes.withColumn("__p", S.package_of(F.col("fqcn")))
-            .join(whitelist.filter("level = 'class'").select(F.col("name").alias("import"), S.package_of(F.col("name")).alias("__p")), "__p").select("fqcn", "import")
-        )
-        .unionByName(classes.select("fqcn", F.explode(F.array(*[F.lit(p) for p in presets])).alias("import")))
-    )
-    known = rows.join(classes.select("fqcn").distinct().hint("merge"), "fqcn", "left_semi")
-    return known.groupBy("fqcn").agg(F.array_join(F.array_sort(F.collect_set("import")), ",").alias("imports"))
+    rows = deps.select(F.col("sut").alias("fqcn"), F.col("type").alias("import")).unionByName(
+        members.filter(F.col("throws").isNotNull() & ~F.col("throws").rlike(r"^java\.lang\.[A-Z]\w*$")).select("fqcn", F.col("throws").alias("import"))
+    )
+    own = rows.groupBy("fqcn").agg(F.collect_set("import").alias("__own"))
+    local = whitelist.filter("level = 'class'").groupBy(S.package_of(F.col("name")).alias("__p")).agg(F.collect_set("name").alias("__local"))
+    # a class moves once: what all classes have is no row of its own, and packages of a whitelist
+    # kept by hand are looked up after it
+    known = classes.select("fqcn").distinct().join(own.hint("shuffle_hash"), "fqcn", "left").withColumn("__p", S.package_of(F.col("fqcn")))
+    known = known.join(F.broadcast(local), "__p", "left")
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array("fqcn", *[F.lit(p) for p in presets]), F.coalesce("__own", none), F.coalesce("__local", none))
+    return known.select("fqcn", F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("imports"))
 
 
 def thrown_exceptions(members: DataFrame) -> DataFrame:

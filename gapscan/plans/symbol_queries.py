@@ -181,7 +181,8 @@ add(
 
 def _packs(t):
     digest = G.failure_digest(t("failure_memory"), t("targets").select("sut"))
-    return Y.context_pack(P.plan(_enriched(t), 0), t("classification"), t("coverage"), t("members"), t("supplied"), t("fixtures"), _allowed(t, "supplied"), digest)
+    scored = _enriched(t).select("repo", "target_id", "sut", "pos", "missed_lines", "missed_branches", "testability_risk", "penalty", "boost")
+    return Y.context_pack(P.plan(scored, 0).select("sut", "target_id", "plan_rank"), t("classification"), t("coverage"), t("members"), t("supplied"), t("fixtures"), _allowed(t, "supplied"), digest)
 
 
 add(

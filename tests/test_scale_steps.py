@@ -2,6 +2,10 @@
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from gapscan.functions.java_code import read_code, read_tests
+from gapscan.operators import corpus as C
 from gapscan.operators import symbols as Y
 from gapscan.plans import corpus_queries as Q
 from gapscan.plans.adapters import Tables
@@ -32,3 +36,26 @@ def test_xml_documents_have_a_bounded_number_of_elements(spark, monkeypatch, tmp
     path = Path(Q._written_xml(Tables(spark, SF), spark.range(25, numPartitions=1).selectExpr("id AS _id", "'x' AS v"), "e", "xml", 10))
     texts = [p.read_text() for p in path.glob("part-*")]
     assert sorted(x.count("<e ") for x in texts) == [5, 10, 10] and all(x.count("<root>") == x.count("</root>") == 1 for x in texts)
+
+
+def test_readers_of_java_text_deal_files_to_all_tasks(spark):
+    """A table in one split is still read by as many tasks as shuffles have."""
+    files = spark.range(40, numPartitions=1).selectExpr("concat('F', id) AS file", "'class T { @Test void a() { x.go(); } }' AS body")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert read_code(files, ["file"], facts=("calls",)).rdd.getNumPartitions() == parts
+    assert read_tests(files).rdd.getNumPartitions() == parts
+
+
+def test_stack_lint_reads_texts_once_and_spreads_a_module(spark):
+    """One Python step, and it gets only files that name the call; a module's files meet its stack in many parts."""
+    files = spark.range(900, numPartitions=1).selectExpr("concat('F', id) AS file", "'m' AS module", "CASE id % 3 WHEN 0 THEN 'mockStatic(A.class);' WHEN 1 THEN '// mockStatic(' END AS body")
+    imports = files.select("file", F.lit("org.junit.Test").alias("import")).union(files.select("file", F.lit("java.util.List")))
+    profiles = spark.createDataFrame([("m", "junit5", "mockito", False, False)], "module string, test_framework string, mock_framework string, inline_mocks boolean, spring_test boolean")
+    found = C.lint_stack(imports, files, profiles)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.kind, r.subject): r["count"] for r in found.groupBy("kind", "subject").count().collect()} == {("JUNIT_VERSION_MISMATCH", "org.junit.Test"): 900, ("FEATURE_NOT_IN_STACK", "mockStatic"): 300}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -278,7 +278,7 @@ add(
        UNION ALL SELECT fqcn, 'FEATURE_NOT_IN_STACK', 'mockStatic' FROM k WHERE st AND m IN (1, 4)""",
 )
 add(
-    "c08_lint_methods", lambda t: C.lint_methods(C.split_test_methods(t("classes").selectExpr("fqcn AS file", f"{_METHODS} AS body"))),
+    "c08_lint_methods", lambda t: C.lint_methods(C.split_test_methods(t("classes").selectExpr("fqcn AS file", f"{_METHODS} AS body"), C.METHOD_FACTS)),
     """WITH r AS (SELECT fqcn AS file, 0 AS pos, CASE WHEN class_no % 2 = 0 THEN 'shouldRun_whenAsked' ELSE 'bad' END AS name, class_no AS n FROM classes)
        SELECT file, pos, name, 'NAMING' AS kind FROM r WHERE n % 2 = 1 UNION ALL SELECT file, pos, name, 'AAA_MISSING' FROM r WHERE n % 3 = 2 UNION ALL SELECT file, pos, name, 'AAA_ORDER' FROM r WHERE n % 3 = 1
        UNION ALL SELECT file, pos, name, 'CONTROL_FLOW' FROM r WHERE n % 5 = 0 UNION ALL SELECT file, pos, name, 'ASSERT_FREE' FROM r WHERE n % 7 = 0 UNION ALL SELECT file, 1, 'shouldStop_whenTold', 'AAA_MISSING' FROM r""",

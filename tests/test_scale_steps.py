@@ -2,9 +2,10 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gapscan.functions.java_code import read_code, read_tests
+from gapscan.functions.java_code import SLICE_BYTES, read_code, read_tests, slices
 from gapscan.operators import corpus as C
 from gapscan.operators import symbols as Y
 from gapscan.plans import corpus_queries as Q
@@ -59,3 +60,19 @@ def test_stack_lint_reads_texts_once_and_spreads_a_module(spark):
         assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_texts_are_told_in_pieces_of_bounded_bytes():
+    batch = pa.RecordBatch.from_pydict({"file": ["a", "b", "c", "d"], "body": ["x" * SLICE_BYTES, None, "y" * SLICE_BYTES, "z"]})
+    assert [b.column(0).to_pylist() for b in slices([batch], 1)] == [["a", "b"], ["c"], ["d"]]
+
+
+def test_facts_of_a_test_body_are_those_of_its_text(spark):
+    """The body's facts come with the body, from one scan; a body with an import line is read anew."""
+    body = 'class T { /* @Test void no() {} */ @Test void a() {\n// given: x\nwhen(m.go()).then("}"); /* } */ // THEN\nimport x.y(1);\nb.c(2); } @Test void open() { // when\n f(3);'
+    files = spark.createDataFrame([("A", body), ("B", None), ("C", "@Test void t() { a.b('{'); // given \n } // then")], "file string, body string")
+    told, split = read_tests(files, facts=("calls", "notes")), read_tests(files)
+    assert told.select(split.columns).collect() == split.collect() and split.count() == 3
+    assert sorted(told.drop("body").collect()) == sorted(read_code(split, ["file", "pos", "name"], facts=("calls", "notes")).collect())
+    plan = C.lint_methods(C.split_test_methods(files, C.METHOD_FACTS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

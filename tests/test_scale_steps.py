@@ -76,3 +76,13 @@ def test_facts_of_a_test_body_are_those_of_its_text(spark):
     assert sorted(told.drop("body").collect()) == sorted(read_code(split, ["file", "pos", "name"], facts=("calls", "notes")).collect())
     plan = C.lint_methods(C.split_test_methods(files, C.METHOD_FACTS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_mutants_are_read_once_and_missing_names_are_equal(spark, tmp_path):
+    survived = spark.createDataFrame([("r", "K", "m", 2, "x.MathMutator"), ("r", None, "m", 3, "x.Odd"), ("r", None, "m", 1, "x.Odd"), (None, "K", None, 1, None)], "repo string, fqcn string, method string, line int, mutator string")
+    survived.write.parquet(f"{tmp_path}/mutants")
+    found = C.mutant_priority(spark.read.parquet(f"{tmp_path}/mutants"))
+    assert found.columns == ["repo", "fqcn", "method", "line", "mutator", "survivors", "hint", "priority"]
+    assert {(r.repo, r.fqcn, r.line, r.survivors, r.priority) for r in found.collect()} == {("r", None, 1, 2, 1), ("r", None, 3, 2, 2), ("r", "K", 2, 1, 3), (None, "K", 1, 1, 1)}
+    assert {r.hint for r in found.collect()} == {"arithmetic-operator-around-line-2", "behaviour-change-around-line-3", "behaviour-change-around-line-1"}
+    assert not any("mutants" in f for f in found.inputFiles())  # what it returns reads its own table, not the reports anew

@@ -32,10 +32,11 @@ def _written_xml(t, rows, tag, name, rows_a_file=50_000):
 
 
 def _coverage_xml(t):
-    counter = lambda kind, missed: F.struct(F.lit(kind).alias("_type"), F.col(missed).alias("_missed"), F.lit(3).alias("_covered"))
-    method = F.struct(F.concat(F.lit("m"), F.col("pos").cast("string")).alias("_name"), F.lit("()V").alias("_desc"), F.lit(1).alias("_line"), F.array(counter("LINE", "missed_lines"), counter("BRANCH", "missed_branches")).alias("counter"))
-    rows = t("targets").groupBy("sut").agg(F.array_sort(F.collect_list(F.struct("pos", method.alias("x")))).alias("ms"), F.sum("missed_lines").alias("n"))
-    text = rows.select(F.regexp_replace("sut", r"\.", "/").alias("_name"), F.lit("X.java").alias("_sourcefilename"), F.transform("ms", lambda m: m["x"]).alias("method"), F.array(counter("LINE", "n")).alias("counter"))
+    counter = lambda kind, missed: F.struct(F.lit(kind).alias("_type"), missed.alias("_missed"), F.lit(3).alias("_covered"))
+    # numbers are gathered; what is the same in every method is put around them afterwards
+    rows = t("targets").groupBy("sut").agg(F.sort_array(F.collect_list(F.struct("pos", "missed_lines", "missed_branches"))).alias("ms"), F.sum("missed_lines").alias("n"))
+    method = lambda m: F.struct(F.concat(F.lit("m"), m["pos"].cast("string")).alias("_name"), F.lit("()V").alias("_desc"), F.lit(1).alias("_line"), F.array(counter("LINE", m["missed_lines"]), counter("BRANCH", m["missed_branches"])).alias("counter"))
+    text = rows.select(F.regexp_replace("sut", r"\.", "/").alias("_name"), F.lit("X.java").alias("_sourcefilename"), F.transform("ms", method).alias("method"), F.array(counter("LINE", F.col("n"))).alias("counter"))
     return _written_xml(t, text, "class", "coverage")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 _COUNTER = "counter array<struct<_type:string,_missed:long,_covered:long>>"
-_COVERAGE = f"_name string, _sourcefilename string, {_COUNTER}, method array<struct<_name:string,_desc:string,_line:long,{_COUNTER.replace(' ', ':', 1)}>>"
+_COVERAGE = f"_name string, {_COUNTER}, method array<struct<_name:string,_desc:string,{_COUNTER.replace(' ', ':', 1)}>>"
 _MUTATION = "_status string, mutatedClass string, mutatedMethod string, methodDescription string, lineNumber string, mutator string, description string"
 _SUITE = "_name string, _failures long, _errors long, _tests long"
 _DEP = "struct<groupId:string,artifactId:string,version:string,scope:string>"
@@ -32,10 +32,11 @@ def _xml(spark: SparkSession, path: str, row: str, schema: str, **options) -> Da
 def read_coverage_xml(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
     """S-1: one row for each class, method and counter (method null: the class's own)."""
     classes = _xml(spark, path, "class", _COVERAGE).withColumn("fqcn", F.regexp_replace("_name", "/", "."))
-    own = classes.select("file", "fqcn", F.lit(None).cast("string").alias("method"), F.lit(-1).alias("method_pos"), F.explode("counter").alias("c"))
-    methods = classes.select("file", "fqcn", F.posexplode("method").alias("method_pos", "m"))
-    inner = methods.select("file", "fqcn", F.concat("m._name", "m._desc").alias("method"), "method_pos", F.explode("m.counter").alias("c"))
-    return own.unionByName(inner).select(
+    # the class's own counters stand before its methods', as of one without a name: every report is parsed once
+    own = F.struct(F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_desc"), F.col("counter"))
+    owners = classes.select("file", "fqcn", F.posexplode(F.concat(F.array(own), F.coalesce("method", F.array()))).alias("pos", "m"))
+    counters = owners.select("file", "fqcn", F.concat("m._name", "m._desc").alias("method"), (F.col("pos") - 1).alias("method_pos"), F.explode("m.counter").alias("c"))
+    return counters.select(
         "file", F.lit(snapshot).alias("snapshot"), "fqcn", "method", "method_pos", F.col("c._type").alias("counter"), F.col("c._covered").alias("covered"), F.col("c._missed").alias("missed")
     )
 

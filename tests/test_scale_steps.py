@@ -10,6 +10,7 @@ from gapscan.operators import corpus as C
 from gapscan.operators import symbols as Y
 from gapscan.plans import corpus_queries as Q
 from gapscan.plans.adapters import Tables
+from gapscan.sources import ingest as I
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,16 @@ def test_mutants_are_read_once_and_missing_names_are_equal(spark, tmp_path):
     assert {(r.repo, r.fqcn, r.line, r.survivors, r.priority) for r in found.collect()} == {("r", None, 1, 2, 1), ("r", None, 3, 2, 2), ("r", "K", 2, 1, 3), (None, "K", 1, 1, 1)}
     assert {r.hint for r in found.collect()} == {"arithmetic-operator-around-line-2", "behaviour-change-around-line-3", "behaviour-change-around-line-1"}
     assert not any("mutants" in f for f in found.inputFiles())  # what it returns reads its own table, not the reports anew
+
+
+def test_coverage_reports_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<r><class name="a/B"><method name="m" desc="()V"><counter type="LINE" missed="1" covered="2"/></method><method name="n" desc="()I"/>'
+        '<method name="o" desc="()J"><counter type="LINE" missed="3" covered="4"/></method><counter type="LINE" missed="5" covered="6"/></class>'
+        '<class name="C"><counter type="LINE" missed="7" covered="8"/></class><class name="D"><method name="p" desc="()V"><counter type="LINE" missed="9" covered="0"/></method></class></r>'
+    )
+    found = I.read_coverage_xml(spark, str(tmp_path), "after")
+    assert sorted((r.fqcn, r.method or "", r.method_pos, r.covered, r.missed) for r in found.collect()) == [
+        ("C", "", -1, 8, 7), ("D", "p()V", 0, 0, 9), ("a.B", "", -1, 6, 5), ("a.B", "m()V", 0, 2, 1), ("a.B", "o()J", 2, 4, 3),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().lower().count("scan xml") == 1

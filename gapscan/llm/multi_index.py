@@ -3,9 +3,10 @@
 Both halves of a vector are quantised with a codebook of their own, fitted on a
 bounded sample.  The cells are pairs of centroids.  A query walks the cells in the
 order of summed distance, the negative inner product of each half with its
-centroid, taking the next pair from a heap, until the cells passed hold
-a measured share of the vectors.  Every vector is indexed; only vectors of the cells
-passed are scored, exactly.
+centroid, until the cells passed hold a measured share of the vectors.  Where that
+order ends is told by a histogram of the sums, in a few array steps a query and not one
+step a cell.  Every vector is indexed; only vectors of the cells passed can be found,
+by their exact scores.
 
 Cells are fine, so that few vectors are scored, and neighbouring cells are stored
 together as a unit: a query is sent to a unit once, with one bit for each cell it
@@ -21,8 +22,6 @@ columns, whatever their names, are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,25 +50,30 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1)[None, :] - 2 * (x @ centres.T), axis=1)
 
 
+def passed(sums: np.ndarray, counts: np.ndarray, wanted: int, slots: int = 4096) -> np.ndarray:
+    """Marks the entries of least sum, in order, until their counts reach ``wanted``.
+    A histogram of the sums tells the slot in which that happens; only it is sorted."""
+    low, width = sums.min(initial=np.inf), np.ptp(sums) if len(sums) else 0.0
+    if 0 < width < np.inf:
+        slot = ((sums - low) / width * (slots - 1)).astype(np.int32)
+    else:  # all alike, or sums beyond what a double holds
+        slot = np.zeros(len(sums), np.int32)
+    upto = np.cumsum(np.bincount(slot, counts, minlength=slots))
+    last = int(np.searchsorted(upto, wanted))
+    out = slot < last
+    at = np.flatnonzero(slot == last)
+    at = at[np.argsort(sums[at], kind="stable")]
+    out[at[: np.searchsorted((upto[last - 1] if last else 0) + np.cumsum(counts[at]), wanted) + 1]] = True
+    return out
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
     """Cells ``i * len(second) + j`` by ascending ``first[i] + second[j]`` until they
-    hold ``wanted`` vectors (the multi-sequence algorithm: a heap of open pairs)."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    fa, fb = first[a].tolist(), second[b].tolist()
-    a, b, width = a.tolist(), b.tolist(), len(second)
-    heap, reached, out, have = [(fa[0] + fb[0], 0, 0)], [0] * len(fa), [], 0
-    while heap and have < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = a[i] * width + b[j]
-        if n := int(counts[cell]):
-            out.append(cell)
-            have += n
-        reached[i] = j + 1
-        if j + 1 < len(fb) and (i == 0 or reached[i - 1] > j + 1):
-            heapq.heappush(heap, (fa[i] + fb[j + 1], i, j + 1))
-        if i + 1 < len(fa) and reached[i + 1] == j:
-            heapq.heappush(heap, (fa[i + 1] + fb[j], i + 1, j))
-    return out
+    hold ``wanted`` vectors; cells without any are left out."""
+    held = np.flatnonzero(counts)
+    sums = np.add.outer(first, second).ravel()[held]
+    near = np.flatnonzero(passed(sums, counts[held], wanted))
+    return held[near[np.argsort(sums[near], kind="stable")]].tolist()
 
 
 def measured_share(sample: np.ndarray, books, k: int, target: float, probes: int = 200) -> float:
@@ -83,8 +87,9 @@ def measured_share(sample: np.ndarray, books, k: int, target: float, probes: int
         score = sample @ q
         top = np.argpartition(-score, min(k, n - 1))[: k + 1]
         order = walk(-(books[0] @ q[:half]), -(books[1] @ q[half:]), counts, n)
-        before = dict(zip(order, np.cumsum(counts[order]) - counts[order], strict=True))
-        needed.extend(before[c] + 1 for c in cell[top])
+        before = np.zeros(len(counts), np.int64)
+        before[order] = np.cumsum(counts[order]) - counts[order]
+        needed.extend((before[cell[top]] + 1).tolist())
     return float(np.quantile(needed, target)) / n
 
 
@@ -105,6 +110,9 @@ def _assign(batches, books, dim: int):
 def _probe(batches, books, counts: np.ndarray, dim: int, wanted: int, span: int):
     """A row for each query and unit it passes, with the bits of the cells passed there."""
     half = len(books[0][0])
+    held = np.flatnonzero(counts)
+    of_first, of_second = np.divmod(held, len(books[1]))
+    n_units = -(-len(counts) // span)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -112,18 +120,18 @@ def _probe(batches, books, counts: np.ndarray, dim: int, wanted: int, span: int)
         first, second = -(q[:, :half] @ books[0].T), -(q[:, half:] @ books[1].T)
         rows, units, bits = [], [], []
         for i, (x, y) in enumerate(zip(first, second, strict=True)):
-            cells = np.sort(np.array(walk(x, y, counts, wanted)))
-            met, starts = np.unique(cells // span, return_index=True)
-            for unit, own in zip(met.tolist(), np.split(cells, starts[1:]), strict=True):
-                passed = np.zeros(span, bool)
-                passed[own - unit * span] = True
-                rows.append(i)
-                units.append(unit)
-                bits.append(np.packbits(passed).tobytes())
-        for at in range(0, len(rows), 20_000):
-            part = batch.take(pa.array(rows[at : at + 20_000]))
-            columns = [part.column("q"), part.column("v"), pa.array(units[at : at + 20_000], pa.int32()), pa.array(bits[at : at + 20_000], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["q", "v", "unit", "bits"])
+            marks = np.zeros(n_units * span, bool)
+            marks[held] = passed(x[of_first] + y[of_second], counts[held], wanted)
+            packed = np.packbits(marks.reshape(n_units, span), axis=1)
+            met = np.flatnonzero(packed.any(1))
+            rows.extend([i] * len(met))
+            units.extend(met.tolist())
+            bits.extend(mark.tobytes() for mark in packed[met])
+            if len(rows) >= 20_000 or i == len(q) - 1:
+                part = batch.take(pa.array(rows))
+                columns = [part.column("q"), part.column("v"), pa.array(units, pa.int32()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["q", "v", "unit", "bits"])
+                rows, units, bits = [], [], []
 
 
 def _best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +147,7 @@ def _best(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return q[keep], g[keep], score[keep]
 
 
-def _score(batches, dim: int, k: int, held_rows: int = 400_000):
+def _score(batches, dim: int, k: int, held_rows: int = 400_000, together: int = 64):
     """Block pairs to each query's best distinct vectors.  The best so far are held over
     the blocks of a task, so what leaves it follows its queries, not its blocks; beyond
     ``held_rows`` they are sent on and a new list begins."""
@@ -152,15 +160,18 @@ def _score(batches, dim: int, k: int, held_rows: int = 400_000):
             vs = np.asarray(batch.column("vs")[row].values.field("g"))
             vv = np.asarray(batch.column("vs")[row].values.field("v").flatten(), np.float64).reshape(-1, dim)
             cells = np.asarray(batch.column("vs")[row].values.field("at"))
-            marks = batch.column("qs")[row].values.field("bits")
-            passed = np.unpackbits(np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(qs), -1), axis=1)
+            bits = batch.column("qs")[row].values.field("bits")
+            marks = np.unpackbits(np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(qs), -1), axis=1).astype(bool)
             order = np.argsort(cells, kind="stable")
             cells, vs, vv = cells[order], vs[order], vv[order]
             rough = np.full((len(qs), len(vs)), -np.inf)
             starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            # cells of a few vectors go together: one product for those who passed any, then only what each passed
+            starts = starts[np.r_[True, np.diff(starts // together) > 0]]
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True):
-                who = np.flatnonzero(passed[:, cells[lo]])
-                rough[who, lo:hi] = qv[who] @ vv[lo:hi].T
+                own = marks[:, cells[lo:hi]]
+                who = np.flatnonzero(own.any(1))
+                rough[who, lo:hi] = np.where(own[who], qv[who] @ vv[lo:hi].T, -np.inf)
             take = min(k, len(vs))
             edge = np.partition(rough, len(vs) - take, axis=1)[:, len(vs) - take]
             i, j = np.nonzero((rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (rough > -np.inf))

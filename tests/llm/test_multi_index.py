@@ -1,7 +1,12 @@
+import sys
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from gapscan.llm import multi_index as M
 from gapscan.llm.multi_index import search, walk
 
 
@@ -74,3 +79,48 @@ def test_tight_clusters_fill_every_place(spark):
         assert len(found) == 15 and all(r["count"] == 20 for r in found)
     few = search(df.filter("vec_id < 21"), F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
     assert len(few) == 2 and all(r["count"] == 20 for r in few)
+
+
+def test_passed_ends_where_the_sorted_order_does():
+    rng = np.random.default_rng(2)
+    for sums in (rng.standard_normal(500), rng.integers(0, 4, 500) / 2, np.zeros(500), np.r_[rng.random(499), np.inf], np.r_[rng.random(499) * 1e-300, 1e300]):
+        counts = rng.integers(1, 9, 500)
+        order = np.argsort(sums, kind="stable")
+        for wanted in (1, 2, 700, int(counts.sum()) - 1, int(counts.sum()), 10**6):
+            want = order[: np.searchsorted(np.cumsum(counts[order]), wanted) + 1]
+            assert np.flatnonzero(M.passed(sums, counts, wanted, 16)).tolist() == sorted(want.tolist())
+
+
+def test_a_query_takes_a_few_array_steps_not_one_a_cell():
+    """Calls of ``_probe`` follow the queries and units, not the 10,000 cells passed."""
+    rng = np.random.default_rng(3)
+    books, counts = [rng.standard_normal((128, 2)), rng.standard_normal((128, 2))], np.ones(128 * 128, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 9]), pa.array(rng.standard_normal((2, 4)).tolist(), pa.list_(pa.float64()))], names=["q", "v"])
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        found = pa.Table.from_batches(list(M._probe([batch], books, counts, 4, 10_000, 4 * 128)))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1_000
+    v = np.array(batch.column("v").to_pylist())
+    for q, x in zip((7, 9), v, strict=True):
+        own = found.filter(pc.equal(found.column("q"), q)).to_pylist()
+        got = [r["unit"] * 512 + int(c) for r in own for c in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))]
+        assert got == sorted(walk(-(books[0] @ x[:2]), -(books[1] @ x[2:]), counts, 10_000)) and len(got) == 10_000
+
+
+def test_small_cells_scored_together_give_only_what_was_passed():
+    rng = np.random.default_rng(4)
+    qv, vv, at = rng.standard_normal((5, 3)), rng.standard_normal((40, 3)), rng.integers(0, 12, 40)
+    marks = rng.random((5, 16)) < 0.4
+    qs = [{"q": i, "v": v.tolist(), "bits": np.packbits(m).tobytes()} for i, (v, m) in enumerate(zip(qv, marks, strict=True))]
+    vs = [{"g": j, "v": v.tolist(), "at": int(a)} for j, (v, a) in enumerate(zip(vv, at, strict=True))]
+    v = pa.list_(pa.float64())
+    types = (pa.list_(pa.struct([("q", pa.int64()), ("v", v), ("bits", pa.binary())])), pa.list_(pa.struct([("g", pa.int64()), ("v", v), ("at", pa.int32())])))
+    pair = pa.RecordBatch.from_arrays([pa.array([qs], types[0]), pa.array([vs], types[1])], names=["qs", "vs"])
+    want = {(i, j) for i in range(5) for j in sorted((j for j in range(40) if marks[i, at[j]]), key=lambda j: -(qv[i] @ vv[j]))[:3]}
+    for together in (1, 4, 64):
+        found = pa.Table.from_batches(list(M._score([pair], 3, 3, together=together))).to_pylist()
+        assert {(r["q"], r["g"]) for r in found} == want
+        assert all(abs(r["score"] - float(qv[r["q"]] @ vv[r["g"]])) < 1e-12 for r in found)

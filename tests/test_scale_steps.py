@@ -40,6 +40,19 @@ def test_xml_documents_have_a_bounded_number_of_elements(spark, monkeypatch, tmp
     assert sorted(x.count("<e ") for x in texts) == [5, 10, 10] and all(x.count("<root>") == x.count("</root>") == 1 for x in texts)
 
 
+def test_survivors_are_written_and_read_without_a_shuffle(spark, monkeypatch, tmp_path):
+    """Every job is one stage: no task gathers, sorts or groups what others read."""
+    monkeypatch.setattr(Q, "scratch", lambda s, name: str(tmp_path / name))
+    spark.sparkContext.setJobGroup("survivors", "")
+    try:
+        found = C.survivors(Q._mutations(Tables(spark, SF))).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("survivors")
+    assert found and jobs and all(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs)
+
+
 def test_readers_of_java_text_deal_files_to_all_tasks(spark):
     """A table in one split is still read by as many tasks as shuffles have."""
     files = spark.range(40, numPartitions=1).selectExpr("concat('F', id) AS file", "'class T { @Test void a() { x.go(); } }' AS body")

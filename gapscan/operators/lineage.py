@@ -31,15 +31,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: for loops.  A checkpoint keeps the
     size that Spark guessed for it, joins multiply such guesses, and after a dozen rounds
     they are numbers of so many digits that planning stands still.  A table has its own size."""
     path = f"{_shared_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting for removing the shuffle files of a query when it ends
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``written``, small, and the shuffle files of that work are removed with its end:
+    else they stay until the driver collects its garbage, beside those of what follows."""
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE, None)
+    conf.set(RELEASE, "true")
+    try:
+        return written(df, compression="zstd")
+    finally:
+        conf.unset(RELEASE) if before is None else conf.set(RELEASE, before)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that start from here on import this package where it is not installed."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

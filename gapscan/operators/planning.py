@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scalars as S
-from .lineage import cut_lineage
+from .lineage import cut_lineage, settled
 
 
 def target_ids(coverage: DataFrame, mode: str = "coverage", config: Config = DEFAULT) -> DataFrame:
@@ -120,10 +120,10 @@ def collapse_lambdas(targets: DataFrame) -> DataFrame:
     """A-3: misses of ``lambda$name$n`` go to the last target ``name`` of the class; a
     lambda without one becomes a target ``name()`` of its own, flagged."""
     name = F.regexp_extract("method", r"^lambda\$([A-Za-z_]\w*)\$\d+\(", 1)
-    parts = targets.withColumn("__lambda", name).withColumn("__name", F.when(name != "", name).otherwise(F.substring_index("method", "(", 1)))
-    is_lambda, alike = F.col("__lambda") != "", Window.partitionBy("repo", "sut", "__name")
+    # by class, for the window and the look-ups by class that follow; what is told from the method is told after the shuffle
+    parts = targets.repartition("sut").withColumn("__lambda", name).withColumn("__name", F.when(name != "", name).otherwise(F.substring_index("method", "(", 1)))
+    is_lambda, alike = F.col("__lambda") != "", Window.partitionBy("sut", "repo", "__name")  # the look-ups use this order
     own = F.struct("pos", "target_id")
-    parts = parts.repartition("sut")  # serves the window and the look-ups by class that follow
     seen = parts.withColumn("__parent", F.max(F.when(~is_lambda, own)).over(alike)).withColumn("__group", F.struct(
         F.sum(F.when(is_lambda, F.col("missed_lines"))).over(alike).alias("l"), F.sum(F.when(is_lambda, F.col("missed_branches"))).over(alike).alias("b"),
         F.array_sort(F.collect_list(F.when(is_lambda, own)).over(alike)).alias("from"),
@@ -143,7 +143,7 @@ def enrich_targets(targets: DataFrame, classification: DataFrame, penalties: Dat
     return (
         targets.join(classification.select(F.col("fqcn").alias("sut"), "testability_risk", "template"), "sut", "left")
         .join(penalties, "sut", "left")
-        .join(affected.select(F.col("fqcn").alias("sut"), F.lit(config.affected_boost).alias("boost")).distinct(), "sut", "left")
+        .join(affected.select(F.col("fqcn").alias("sut")).distinct().withColumn("boost", F.lit(config.affected_boost)), "sut", "left")
         .join(ids, "sut", "left")
         .select(
             *targets.columns,
@@ -175,13 +175,39 @@ def plan(enriched: DataFrame, limit: int = 0, config: Config = DEFAULT) -> DataF
         total = scored.groupBy("repo").agg(F.count(F.lit(1)).alias("eligible"))
         ranked = scored.withColumn("plan_rank", F.row_number().over(order)).filter(F.col("plan_rank") <= limit)
         return ranked.join(total.hint("shuffle_hash"), "repo")
-    # rows of one score are ranked together; those of higher scores are only counted
+    # rows of one score are ranked together; those of higher scores are only counted.  A missing score
+    # or repository is a value like any other: the two are joined on as one that is never null
+    by = F.struct("repo", "plan_score")
     counts = scored.groupBy("repo", "plan_score").agg(F.count(F.lit(1)).alias("__n"))
     higher = Window.partitionBy("repo").orderBy(F.desc("plan_score")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("repo", "plan_score", F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("repo")).alias("eligible"))
-    nth = F.row_number().over(Window.partitionBy("repo", "plan_score").orderBy(*inside))
-    rows = scored.withColumn("__nth", nth).join(counts.hint("shuffle_hash"), ["repo", "plan_score"])
-    return rows.select(*scored.columns, (F.col("__before") + F.col("__nth")).cast("int").alias("plan_rank"), "eligible")
+    counts = counts.select(by.alias("__by"), F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("repo")).alias("eligible"))
+    rows = scored.select(by.alias("__by"), *[c for c in scored.columns if c not in ("repo", "plan_score")])
+    nth = F.row_number().over(Window.partitionBy("__by").orderBy(*inside))
+    rows = rows.withColumn("__nth", nth).join(counts.hint("shuffle_hash"), "__by")
+    own = [F.col(f"__by.{c}") if c in ("repo", "plan_score") else F.col(c) for c in scored.columns]
+    return rows.select(*own, (F.col("__before") + F.col("__nth")).cast("int").alias("plan_rank"), "eligible")
+
+
+def plan_by_class(enriched: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """W-2 for J-16: the targets of each class, joined in the order of ``plan``.  Targets of
+    one repository stand in a class as in the plan by score and input order alone, so they
+    are ranked only if a class lies in several repositories."""
+    scored = drop_covered(enriched.withColumn("plan_score", plan_score(config)))
+    place = F.struct(F.col("plan_score").isNull().alias("last"), (-F.col("plan_score")).alias("score"), "pos", "target_id")
+    spread = ~F.min(F.struct("repo")).eqNullSafe(F.max(F.struct("repo")))
+    rows = settled(scored.groupBy("sut").agg(_joined(F.collect_list(place)).alias("targets"), spread.alias("__spread")))
+    if rows.filter("__spread").isEmpty():
+        return rows.drop("__spread")
+    return settled(targets_by_class(plan(settled(enriched), 0, config)))
+
+
+def targets_by_class(planned: DataFrame) -> DataFrame:
+    """The targets of each class, joined by their ranks."""
+    return planned.groupBy("sut").agg(_joined(F.collect_list(F.struct("plan_rank", "target_id"))).alias("targets"))
+
+
+def _joined(places: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(places), lambda x: x["target_id"]), ";")
 
 
 def top_suts(planned: DataFrame, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from ..config import DEFAULT, Config
 from ..functions import scalars as S
 from ..functions.java_calls import read_calls
 from .lineage import importable, written
-from .planning import dotted_prefixes
+from .planning import dotted_prefixes, targets_by_class
 
 #: Annotation to class type (fixed values)
 ANNOTATION_TYPES = {
@@ -211,21 +211,43 @@ def dependency_strategy(deps: DataFrame, fixtures: DataFrame) -> DataFrame:
     return deps.join(known, "type", "left").withColumn("strategy", F.coalesce("strategy", F.lit("mock")))
 
 
+def class_supply(deps: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """J-13 a class: its dependencies in order and how to supply each.  A class's types are
+    gathered once; they go to the fixtures, and only what is no mock comes back."""
+    own = deps.filter("sut IS NOT NULL").groupBy("sut").agg(F.collect_set("type").alias("types"))  # read twice, shuffled once
+    known = fixtures.groupBy(F.col("fqcn").alias("type")).agg(F.min("strategy").alias("strategy")).filter("strategy <> 'mock'")
+    found = own.select("sut", F.explode("types").alias("type")).join(known.hint("merge"), "type").repartition("sut")  # no arrays of one before the shuffle
+    found = found.groupBy("sut").agg(F.collect_list(F.struct("type", "strategy")).alias("found"))
+    found_, mock = F.coalesce("found", F.array().cast("array<struct<type:string,strategy:string>>")), F.lit("mock").alias("strategy")
+    mocks = F.transform(F.array_except("types", found_["type"]), lambda x: F.struct(x.alias("type"), mock))
+    return own.join(found, "sut", "left").select("sut", F.array_sort(F.concat(found_, mocks)).alias("uses"))
+
+
+def _thrown() -> Column:
+    """Whether what a member throws has to be imported; classes of ``java.lang`` have not."""
+    return F.col("throws").isNotNull() & ~F.col("throws").rlike(r"^java\.lang\.[A-Z]\w*$")
+
+
+def _local_classes(whitelist: DataFrame) -> DataFrame:
+    return whitelist.filter("level = 'class'").groupBy(S.package_of(F.col("name")).alias("__p")).agg(F.collect_set("name").alias("__local"))
+
+
+def _import_list(fqcn: str, presets: tuple[str, ...], *more: Column | str) -> Column:
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array(fqcn, *[F.lit(p) for p in presets]), *[F.coalesce(m, none) for m in more])
+    return F.array_join(F.array_sort(F.array_distinct(every)), ",")
+
+
 def allowed_imports(classes: DataFrame, members: DataFrame, deps: DataFrame, whitelist: DataFrame, presets: tuple[str, ...]) -> DataFrame:
     """A-22: what a test of each class may import: itself, its dependencies, types its
     members throw, whitelisted classes of its package, and the framework's own."""
-    rows = deps.select(F.col("sut").alias("fqcn"), F.col("type").alias("import")).unionByName(
-        members.filter(F.col("throws").isNotNull() & ~F.col("throws").rlike(r"^java\.lang\.[A-Z]\w*$")).select("fqcn", F.col("throws").alias("import"))
-    )
+    rows = deps.select(F.col("sut").alias("fqcn"), F.col("type").alias("import")).unionByName(members.filter(_thrown()).select("fqcn", F.col("throws").alias("import")))
     own = rows.groupBy("fqcn").agg(F.collect_set("import").alias("__own"))
-    local = whitelist.filter("level = 'class'").groupBy(S.package_of(F.col("name")).alias("__p")).agg(F.collect_set("name").alias("__local"))
     # a class moves once: what all classes have is no row of its own, and packages of a whitelist
     # kept by hand are looked up after it
     known = classes.select("fqcn").distinct().join(own.hint("shuffle_hash"), "fqcn", "left").withColumn("__p", S.package_of(F.col("fqcn")))
-    known = known.join(F.broadcast(local), "__p", "left")
-    none = F.array().cast("array<string>")
-    every = F.concat(F.array("fqcn", *[F.lit(p) for p in presets]), F.coalesce("__own", none), F.coalesce("__local", none))
-    return known.select("fqcn", F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("imports"))
+    known = known.join(F.broadcast(_local_classes(whitelist)), "__p", "left")
+    return known.select("fqcn", _import_list("fqcn", presets, "__own", "__local").alias("imports"))
 
 
 def thrown_exceptions(members: DataFrame) -> DataFrame:
@@ -234,23 +256,44 @@ def thrown_exceptions(members: DataFrame) -> DataFrame:
     return first.groupBy("fqcn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "throws"))), lambda x: x["throws"]), ",").alias("throws"))
 
 
+def _lines(items: Column) -> Column:
+    """The ``line`` of each item, in order."""
+    return F.array_join(F.transform(F.array_sort(items), lambda x: x["line"]), ";")
+
+
+def _member_lines() -> Column:
+    return _lines(F.collect_list(F.struct("pos", F.concat_ws(":", "kind", "name").alias("line")))).alias("members")
+
+
 def context_pack(plan: DataFrame, classification: DataFrame, coverage: DataFrame, members: DataFrame, deps: DataFrame, fixtures: DataFrame, imports: DataFrame, digest: DataFrame) -> DataFrame:
     """J-16: one row a planned class with all a test writer needs, each part grouped before
     the joins; ``pack_tokens`` by the packed text's bytes."""
-    text = lambda df, key, order, line: df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("__line")))), lambda x: x["__line"]), ";").alias("__t"))
-    parts = {
-        "targets": text(plan, "sut", ["plan_rank"], F.col("target_id")),
-        "members": text(members.withColumnRenamed("fqcn", "sut"), "sut", ["pos"], F.concat_ws(":", "kind", "name")),
-        "dependencies": text(dependency_strategy(deps.select("sut", "type").distinct(), fixtures), "sut", ["type"], F.concat_ws(":", "type", "strategy")),
-        "failures": text(digest, "sut", ["place"], F.concat_ws(":", "error_code", "fix_id")),
-    }
+    listed = members.groupBy(F.col("fqcn").alias("sut")).agg(_member_lines())
+    rows = targets_by_class(plan).join(listed, "sut", "left").join(class_supply(deps, fixtures), "sut", "left").join(imports.withColumnRenamed("fqcn", "sut"), "sut", "left")
+    return _packed(rows, classification, coverage, digest)
+
+
+def context_pack_by_class(targets: DataFrame, classification: DataFrame, coverage: DataFrame, members: DataFrame, supply: DataFrame, classes: DataFrame, whitelist: DataFrame, presets: tuple[str, ...], digest: DataFrame) -> DataFrame:
+    """J-16 with the imports of A-22, from targets and dependencies that are a row a class
+    already (``plan_by_class``, ``class_supply``): each moves once, for all that is told from it."""
+    listed = members.groupBy(F.col("fqcn").alias("sut")).agg(_member_lines(), F.collect_set(F.when(_thrown(), F.col("throws"))).alias("__thrown"))
+    known = classes.select(F.col("fqcn").alias("sut")).distinct().withColumn("__known", F.lit(True))
+    rows = targets.join(listed, "sut", "left").join(supply, "sut", "left").join(known, "sut", "left")
+    rows = rows.withColumn("__p", S.package_of(F.col("sut"))).join(F.broadcast(_local_classes(whitelist)), "__p", "left")
+    rows = rows.withColumn("imports", F.when(F.col("__known"), _import_list("sut", presets, F.col("uses")["type"], "__thrown", "__local")))
+    return _packed(rows, classification, coverage, digest)
+
+
+def _packed(rows: DataFrame, classification: DataFrame, coverage: DataFrame, digest: DataFrame) -> DataFrame:
+    """``rows``: sut, targets, members, uses, imports; the last three may be null."""
     facts = classification.groupBy(F.col("fqcn").alias("sut")).agg(F.max("type").alias("type"), F.max("template").alias("template"))
     covered = coverage.groupBy(F.col("fqcn").alias("sut")).agg(F.sum("covered_lines").alias("covered_lines"))
-    rows = plan.select("sut").distinct().join(facts, "sut", "left").join(covered, "sut", "left").join(imports.withColumnRenamed("fqcn", "sut"), "sut", "left")
-    for name, part in parts.items():
-        rows = rows.join(part.withColumnRenamed("__t", name), "sut", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    rows = rows.withColumn("imports", F.coalesce("imports", F.lit("")))
-    return rows.withColumn("pack_tokens", S.pack_tokens(F.octet_length(F.concat_ws("\n", "sut", "imports", *parts))))
+    failures = digest.groupBy("sut").agg(_lines(F.collect_list(F.struct("place", F.concat_ws(":", "error_code", "fix_id").alias("line")))).alias("failures"))
+    rows = rows.withColumn("dependencies", F.array_join(F.transform("uses", lambda x: F.concat_ws(":", x["type"], x["strategy"])), ";"))
+    rows = rows.join(facts, "sut", "left").join(covered, "sut", "left").join(failures, "sut", "left")
+    texts = ("imports", "targets", "members", "dependencies", "failures")
+    rows = rows.select("sut", "type", "template", "covered_lines", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
+    return rows.withColumn("pack_tokens", S.pack_tokens(F.octet_length(F.concat_ws("\n", "sut", *texts))))
 
 
 #: Names that ``affected_tests`` answers by a broadcast; a name beyond them has at most a thousandth of the rows

@@ -7,6 +7,7 @@ from ..operators import gates as G
 from ..operators import graph as R
 from ..operators import planning as P
 from ..operators import symbols as Y
+from ..operators.lineage import settled
 from .adapters import sut
 from .catalog import CATALOG
 from .planning_queries import _ENRICH, _LAMBDA, _PLAN, _enriched
@@ -163,8 +164,8 @@ add(
 _PRESETS = ("org.junit.jupiter.api.Test", "org.mockito.Mock")
 
 
-def _allowed(t, dependencies="dependencies"):
-    return Y.allowed_imports(t("classes"), t("members"), t(dependencies), t("whitelist"), _PRESETS)
+def _allowed(t):
+    return Y.allowed_imports(t("classes"), t("members"), t("dependencies"), t("whitelist"), _PRESETS)
 
 
 _ALLOWED = """
@@ -180,9 +181,10 @@ add(
 
 
 def _packs(t):
-    digest = G.failure_digest(t("failure_memory"), t("targets").select("sut"))
     scored = _enriched(t).select("repo", "target_id", "sut", "pos", "missed_lines", "missed_branches", "testability_risk", "penalty", "boost")
-    return Y.context_pack(P.plan(scored, 0).select("sut", "target_id", "plan_rank"), t("classification"), t("coverage"), t("members"), t("supplied"), t("fixtures"), _allowed(t, "supplied"), digest)
+    # the two large parts are settled one after the other, so that their shuffles are not on disk together
+    targets, supply = P.plan_by_class(scored), settled(Y.class_supply(t("supplied"), t("fixtures")))
+    return Y.context_pack_by_class(targets, t("classification"), t("coverage"), t("members"), supply, t("classes"), t("whitelist"), _PRESETS, G.failure_digest(t("failure_memory")))
 
 
 add(

@@ -1,13 +1,18 @@
 """Steps whose cost a larger table showed."""
 
+import random
 from pathlib import Path
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gapscan.functions.java_code import SLICE_BYTES, read_code, read_tests, slices
 from gapscan.operators import corpus as C
+from gapscan.operators import lineage
+from gapscan.operators import planning as P
 from gapscan.operators import symbols as Y
+from gapscan.plans import catalog
 from gapscan.plans import corpus_queries as Q
 from gapscan.plans.adapters import Tables
 from gapscan.sources import ingest as I
@@ -113,3 +118,76 @@ def test_coverage_reports_are_parsed_once(spark, tmp_path):
         ("C", "", -1, 8, 7), ("D", "p()V", 0, 0, 9), ("a.B", "", -1, 6, 5), ("a.B", "m()V", 0, 2, 1), ("a.B", "o()J", 2, 4, 3),
     ]
     assert found._jdf.queryExecution().executedPlan().toString().lower().count("scan xml") == 1
+
+
+def block_files(spark):
+    """Spark's own files on this machine: shuffles, for the most part."""
+    tops = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {p: p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.is_file()}
+
+
+@pytest.fixture
+def own_folder(spark, monkeypatch, tmp_path):
+    """Tables are written to a folder of the test's own, and none is broadcast for its size."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    monkeypatch.setattr(lineage, "_shared_dir", lambda s: f"{tmp_path}/shared")
+    yield tmp_path / "shared"
+    spark.conf.set(name, before)
+
+
+def test_packs_leave_less_than_four_inputs_on_disk(spark, own_folder):
+    where = "/root/testdata/sf0.01"
+    before = set(block_files(spark))
+    catalog.load()[0]["j16_context_pack"](spark, where).write.format("noop").mode("overwrite").save()
+    left = sum(n for p, n in block_files(spark).items() if p not in before) + sum(p.stat().st_size for p in own_folder.rglob("*") if p.is_file())
+    assert left < 4 * sum(Path(where, f"{t}.parquet").stat().st_size for t in ("lineitem", "orders", "events", "part"))
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark, own_folder):
+    before, setting = set(block_files(spark)), spark.conf.get(lineage.RELEASE, None)
+    found = lineage.settled(spark.range(9000).selectExpr("id % 900 AS k").groupBy("k").count())
+    assert not [p for p in block_files(spark) if p not in before and p.name.startswith("shuffle_")]
+    assert spark.conf.get(lineage.RELEASE, None) == setting
+    assert found.count() == 900 and {r["count"] for r in found.collect()} == {10}
+
+
+def ranked_by_class(rows):
+    """The targets of each class by their ranks, worked out one repository at a time."""
+    found = {}
+    for repo in {r[0] for r in rows}:
+        kept = []
+        for _, target, sut, pos, lines, branches, _, penalty, boost in (r for r in rows if r[0] == repo):
+            score = None if lines is None else 3 * lines + 5 * branches + (2 if lines or branches else 0) - penalty + boost
+            if score is None and branches or score is not None and not (score <= 0 and lines == branches == 0):
+                kept.append((score is None, -(score or 0), sut, pos, target))
+        for rank, (_, _, sut, _, target) in enumerate(sorted(kept)):
+            found.setdefault(sut, []).append((rank, target))
+    return sorted((sut, ";".join(t for _, t in sorted(ranks))) for sut, ranks in found.items())
+
+
+def test_targets_by_class_are_in_the_order_of_the_plan(spark, own_folder, monkeypatch):
+    """Ranks are worked out only for a class in several repositories; a target without a score comes last."""
+    rng = random.Random(5)
+    rows = [(f"r{i % 3}", f"t{i}", f"c{i % 3}_{rng.randrange(4)}", rng.randrange(3), rng.choice((None, 0, 1, 2)), rng.randrange(2), "low", 0, rng.randrange(2)) for i in range(150)]
+    mixed = [(*r[:2], "shared" if r[2].endswith("_0") else r[2], *r[3:]) for r in rows]
+    schema = "repo string, target_id string, sut string, pos int, missed_lines long, missed_branches long, testability_risk string, penalty long, boost long"
+    calls, plan = [], P.plan
+    monkeypatch.setattr(P, "plan", lambda *a: calls.append(1) or plan(*a))
+    for number, given in enumerate((rows, mixed)):
+        found = P.plan_by_class(spark.createDataFrame(given, schema))
+        assert sorted((r.sut, r.targets) for r in found.collect()) == ranked_by_class(given) and len(calls) == number
+
+
+def test_dependencies_of_a_class_are_shuffled_once_and_looked_up(spark, own_folder, tmp_path):
+    rng = random.Random(7)
+    rows = [(f"s{rng.randrange(9)}", rng.choice((None, *"abcdefgh")), n) for n in range(200)] + [(None, "a", 1), ("lone", None, 1)]
+    spark.createDataFrame(rows, "sut string, type string, pos int").write.parquet(f"{tmp_path}/deps")
+    fixtures = [("a", "mock"), ("b", "builder"), ("b", "constructor"), ("c", None), ("d", "mock"), ("d", "builder"), ("e", "static"), ("z", "builder")]
+    known = {"b": "builder", "d": "builder", "e": "static"}
+    found = Y.class_supply(spark.read.parquet(f"{tmp_path}/deps"), spark.createDataFrame(fixtures, "fqcn string, strategy string"))
+    want = {s: sorted({(t, known.get(t, "mock")) for x, t, _ in rows if x == s and t}) for s in {r[0] for r in rows} if s}
+    assert {r.sut: [tuple(u) for u in r.uses] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
